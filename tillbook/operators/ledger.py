@@ -30,15 +30,17 @@ Plans
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillbook.plans.scans import DEFAULT_CHUNK_WIDTH, keyed_scan
+from tillbook.functions import folds
+from tillbook.plans.scans import DEFAULT_CHUNK_WIDTH, keyed_scan, keyed_walk
 from tillbook.sources.views import RetailTables
 
+cloudpickle.register_pickle_by_value(folds)  # executors need no installed copy
+
 KEYS = ["product_id", "_vk"]  # _vk = variant_id with NULL mapped to -1 (non-null key for shuffles)
 NO_VARIANT = -1
 
@@ -70,52 +72,6 @@ def _segments(ops: DataFrame, chunk_width: int) -> DataFrame:
     return keyed_scan(ops, KEYS, "seq", is_adj, "sum", "seg", chunk_width=chunk_width)
 
 
-def _fold_partition(batches):
-    """Sequential fold over rows sorted by (product_id, _vk, seg, seq); state carried across batches."""
-    cur = None
-    q = 0
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        pid = pdf["product_id"].tolist()
-        vk = pdf["_vk"].tolist()
-        seg = pdf["seg"].tolist()
-        op = pdf["op"].tolist()
-        n = pdf["n"].tolist()
-        opening = pdf["opening"].tolist()
-        m = len(pid)
-        before = [None] * m
-        after = [0] * m
-        acc = [1] * m
-        for i in range(m):
-            key = (pid[i], vk[i], seg[i])
-            if key != cur:
-                cur = key
-                q = None if seg[i] > 0 else int(opening[i])  # segment > 0 starts at its adjustment
-            o, k = op[i], int(n[i])
-            before[i] = q
-            if o == "adjustment":
-                q = k
-            elif o == "in" or o == "return":
-                q = q + k
-            elif o == "out":
-                q = q - k if q > k else 0
-            elif o == "sale":
-                if q < k:
-                    acc[i] = 0
-                else:
-                    q = q - k
-            after[i] = q
-        out = pdf[["seq", "product_id", "variant_id", "_vk", "seg", "op", "n"]].copy()
-        out["q_before"] = pd.array(before, dtype="Int32")
-        out["q_after"] = np.asarray(after, dtype=np.int32)
-        out["accepted"] = np.asarray(acc, dtype=np.int32)
-        out["created_by"] = pdf["created_by"]
-        out["created_at"] = pdf["created_at"]
-        out["opening"] = pdf["opening"].astype(np.int32)
-        yield out
-
-
 def _fix_segment_starts(led: DataFrame) -> DataFrame:
     """``before`` of a segment's first row = last ``after`` of the previous segment (or the opening)."""
     last = (led.groupBy(*KEYS, "seg").agg(F.max_by("q_after", "seq").alias("_prev_after"))
@@ -142,7 +98,7 @@ def stock_ledger(t: RetailTables, ops: DataFrame | None = None, opening: DataFra
     x = x.select("seq", "product_id", "variant_id", "_vk", "seg", "op", "n", "created_by", "created_at", "opening")
     led = (x.repartition(nparts, "product_id", "_vk", "seg")
            .sortWithinPartitions("product_id", "_vk", "seg", "seq")
-           .mapInPandas(_fold_partition, LEDGER_SCHEMA))
+           .mapInPandas(folds.fold_sorted_batches, LEDGER_SCHEMA))
     return _finish(_fix_segment_starts(led))
 
 
@@ -156,21 +112,16 @@ def stock_ledger_adjust_only(t: RetailTables, ops: DataFrame | None = None, open
     x = _segments(x, chunk_width)
     d = (F.when(F.col("op").isin("in", "return"), F.col("n"))
          .when(F.col("op") == "out", -F.col("n")).otherwise(F.lit(0))).cast("bigint")
-    base = F.when(F.col("seg") == 0, F.col("opening")).otherwise(F.lit(None))
     skeys = [*KEYS, "seg"]
-    # segment base: the opening for segment 0, the adjustment's value otherwise
-    x = x.withColumn("_d", d).withColumn("_base0", base)
+    # walk base: the opening for segment 0, the adjustment's value for later segments
     segbase = x.filter(F.col("op") == "adjustment").select(*skeys, F.col("n").cast("bigint").alias("_sbase"))
-    x = x.join(segbase, skeys, "left").withColumn("_b", F.coalesce(F.col("_sbase"), F.col("_base0")).cast("bigint"))
-    x = keyed_scan(x, skeys, "seq", "_d", "sum", "_ps", chunk_width=chunk_width)
-    x = x.withColumn("_P", F.col("_b") + F.col("_ps"))
-    x = keyed_scan(x, skeys, "seq", "_P", "min", "_M", chunk_width=chunk_width)
-    x = keyed_scan(x, skeys, "seq", "_P", "min", "_Mx", exclusive=True, chunk_width=chunk_width)
-    after = (F.col("_P") - F.least(F.lit(0), F.col("_M"))).cast("int")
-    prev_p = F.col("_P") - F.col("_d")
-    before_in_seg = (prev_p - F.least(F.lit(0), F.coalesce(F.col("_Mx"), F.lit(0)))).cast("int")
-    x = x.withColumn("q_after", after).withColumn(
-        "q_before", F.when(F.col("op") == "adjustment", F.lit(None).cast("int")).otherwise(before_in_seg))
+    x = x.join(segbase, skeys, "left").select(
+        "*", d.alias("_d"),
+        F.coalesce(F.col("_sbase"), F.when(F.col("seg") == 0, F.col("opening"))).cast("bigint").alias("_b"))
+    x = keyed_walk(x, skeys, "seq", "_d", "_b", chunk_width=chunk_width)
+    x = x.select("*", F.col("_q_after").cast("int").alias("q_after"),
+                 F.when(F.col("op") == "adjustment", F.lit(None).cast("int"))
+                  .otherwise(F.col("_q_before").cast("int")).alias("q_before"))
     x = x.withColumn("accepted", F.lit(1))
     return _finish(_fix_segment_starts(x))
 

@@ -1 +1,215 @@
-"""Registered queries."""
+"""Registered stock queries and change jobs (K1–K10, S13, S14) with oracle SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tillbook.operators import changes as X
+from tillbook.operators import ledger as L
+from tillbook.operators import stock as K
+from tillbook.oracle.ledger_sql import ALERTS_CTES, MOVEMENTS_CTES, ledger_ctes
+from tillbook.oracle.views_sql import with_views
+from tillbook.plans.registry import register
+from tillbook.sources import standins as SI
+
+PSC = ("products p LEFT JOIN categories c ON p.category_id = c.id "
+       "LEFT JOIN stock s ON p.id = s.product_id AND s.variant_id IS NULL")
+
+
+def _levels_sql(where: str, limit: int, offset: int) -> str:
+    return with_views(f"""
+        SELECT p.id, p.sku, p.name, CAST(p.price AS DOUBLE) AS price, p.min_stock_level, p.unit_size,
+               c.name AS category_name, s.quantity, s.reserved_quantity,
+               s.quantity - s.reserved_quantity AS available_quantity, s.last_updated,
+               CASE WHEN s.quantity <= p.min_stock_level THEN 1 ELSE 0 END AS is_low_stock,
+               CASE WHEN s.quantity = 0 THEN 'out_of_stock' WHEN s.quantity <= p.min_stock_level THEN 'low_stock'
+                    ELSE 'in_stock' END AS stock_status
+        FROM {PSC} WHERE p.is_active = 1 AND {where}
+        ORDER BY is_low_stock DESC, s.quantity ASC NULLS FIRST, p.name ASC NULLS FIRST, p.id
+        LIMIT {limit} OFFSET {offset}""", "products", "categories", "stock")
+
+
+LEVEL_FILTER_SQL = ("s.quantity <= p.min_stock_level AND (p.name ILIKE '%ring%' OR p.sku ILIKE '%ring%' "
+                    "OR p.barcode ILIKE '%ring%')")
+register("stock_levels", lambda t: K.stock_levels(t), _levels_sql("TRUE", 50, 0), "K1 first page")
+register("stock_levels_filtered", lambda t: K.stock_levels(t, low_stock_only=True, search="RING", page=2, limit=10),
+         _levels_sql(LEVEL_FILTER_SQL, 10, 10), "K1 low-stock search, second page")
+register("stock_levels_count", lambda t: K.stock_levels_count(t, low_stock_only=True, search="RING", limit=10),
+         with_views(f"""
+    SELECT COUNT(*) AS total, 10 AS per_page, CAST(ceil(COUNT(*) / 10.0) AS BIGINT) AS total_pages
+    FROM products p LEFT JOIN stock s ON p.id = s.product_id AND s.variant_id IS NULL
+    WHERE p.is_active = 1 AND {LEVEL_FILTER_SQL}""", "products", "stock"), "K2")
+
+
+def _movements_sql(where: str, limit: int, offset: int) -> str:
+    return with_views(f"""
+        SELECT m.*, p.name AS product_name, p.sku, pv.variant_name, pv.variant_value,
+               u.first_name || ' ' || u.last_name AS created_by_name
+        FROM (SELECT * FROM stock_movements WHERE {where} ORDER BY created_at DESC, id DESC
+              LIMIT {limit} OFFSET {offset}) m
+        LEFT JOIN products p ON m.product_id = p.id LEFT JOIN product_variants pv ON m.variant_id = pv.id
+        LEFT JOIN users u ON m.created_by = u.id""",
+        "products", "product_variants", "users", "stock_ops", extra=MOVEMENTS_CTES)
+
+
+MOVE_FILTER = dict(movement_type="sale", date_from="2024-01-10", date_to="2024-01-20")
+MOVE_FILTER_SQL = ("movement_type = 'sale' AND created_at >= TIMESTAMP '2024-01-10 00:00:00' "
+                   "AND created_at < TIMESTAMP '2024-01-21 00:00:00'")
+register("movement_history", lambda t: K.movement_history(t), _movements_sql("TRUE", 50, 0), "K4 first page")
+register("movement_history_filtered", lambda t: K.movement_history(t, page=2, limit=20, **MOVE_FILTER),
+         _movements_sql(MOVE_FILTER_SQL, 20, 20), "K4 sales of 10–20 Jan, second page")
+register("movement_count", lambda t: K.movement_count(t, limit=20, **MOVE_FILTER), with_views(f"""
+    SELECT COUNT(*) AS total, 20 AS per_page, CAST(ceil(COUNT(*) / 20.0) AS BIGINT) AS total_pages
+    FROM stock_movements WHERE {MOVE_FILTER_SQL}""", "stock_ops", extra=MOVEMENTS_CTES), "K5")
+
+
+def _alerts_sql(status: str, table: str = "low_stock_alerts", extra=None) -> str:
+    return with_views(f"""
+        SELECT a.*, p.name AS product_name, p.sku, p.unit_size, c.name AS category_name, pv.variant_name,
+               pv.variant_value, u.first_name || ' ' || u.last_name AS acknowledged_by_name
+        FROM {table} a JOIN products p ON a.product_id = p.id
+        LEFT JOIN categories c ON p.category_id = c.id LEFT JOIN product_variants pv ON a.variant_id = pv.id
+        LEFT JOIN users u ON a.acknowledged_by = u.id
+        WHERE a.alert_status = '{status}' AND p.is_active = 1""",
+        "products", "categories", "product_variants", "users", "stock_ops", extra=extra or ALERTS_CTES)
+
+
+register("alerts_by_status", lambda t: K.alerts_by_status(t, "active"), _alerts_sql("active"), "K8 active")
+register("alerts_resolved", lambda t: K.alerts_by_status(t, "resolved"), _alerts_sql("resolved"), "K8 resolved")
+
+ACKS_SQL = ("SELECT id AS alert_id, product_id % 25 AS user_id, created_at + INTERVAL 1 HOUR AS ack_at "
+            "FROM low_stock_alerts")
+ACKED_SQL = """
+    SELECT a.id, a.product_id, a.variant_id, a.current_stock, a.min_stock_level,
+           CASE WHEN f.alert_id IS NOT NULL AND a.alert_status = 'active' THEN 'acknowledged' ELSE a.alert_status END
+             AS alert_status,
+           CASE WHEN f.alert_id IS NOT NULL AND a.alert_status = 'active' THEN f.user_id ELSE a.acknowledged_by END
+             AS acknowledged_by,
+           CASE WHEN f.alert_id IS NOT NULL AND a.alert_status = 'active' THEN f.ack_at ELSE a.acknowledged_at END
+             AS acknowledged_at,
+           a.created_at
+    FROM low_stock_alerts a LEFT JOIN (
+        SELECT alert_id, first(user_id ORDER BY ack_at, user_id) AS user_id, MIN(ack_at) AS ack_at FROM acks GROUP BY alert_id
+    ) f ON f.alert_id = a.id"""
+
+
+def _acked(t):
+    return X.acknowledge_alerts(t.low_stock_alerts, SI.alert_acks(t))
+
+
+register("acknowledge_alerts", _acked, with_views("SELECT * FROM acked", "products", "stock_ops",
+                                                  extra={**ALERTS_CTES, "acks": ACKS_SQL, "acked": ACKED_SQL}),
+         "K9: one ack per alert; only active ones change")
+register("alerts_acknowledged", lambda t: K.alerts_by_status(t, "acknowledged", alerts=_acked(t)),
+         _alerts_sql("acknowledged", "acked", {**ALERTS_CTES, "acks": ACKS_SQL, "acked": ACKED_SQL}),
+         "K8 over the acknowledged alerts")
+
+ADJ_VALIDATE = """
+    SELECT r.*, p.name AS product_name,
+           CASE WHEN r.op NOT IN ('in', 'out', 'adjustment') OR r.n IS NULL OR r.n < {minq} THEN 'Validation failed'
+                WHEN p.id IS NULL THEN 'Product not found'
+                WHEN s.id IS NULL THEN 'Stock record not found' END AS reason
+    FROM (SELECT * FROM stock_ops WHERE op IN ('in', 'out', 'adjustment')) r
+    LEFT JOIN products p ON p.id = r.product_id AND p.is_active = 1
+    LEFT JOIN stock s ON s.product_id = r.product_id AND s.variant_id IS NOT DISTINCT FROM r.variant_id"""
+
+
+def _adjust_ctes(minq: int) -> dict[str, str]:
+    return {"adj_val": ADJ_VALIDATE.format(minq=minq),
+            "adj_ok": "SELECT seq, product_id, variant_id, op, n, created_by, created_at FROM adj_val WHERE reason IS NULL",
+            **ledger_ctes("adj_ok", opening="stock")}
+
+
+ADJ_RESULTS = """
+    SELECT v.seq, v.product_id, v.variant_id, v.product_name, v.op AS adjustment_type,
+           CASE WHEN v.reason IS NULL THEN 'success' ELSE 'failed' END AS status, v.reason AS error,
+           CAST(l.q_after - l.q_before AS INTEGER) AS quantity_change, l.q_before AS previous_quantity,
+           l.q_after AS new_quantity
+    FROM adj_val v LEFT JOIN ledger l ON l.seq = v.seq"""
+
+register("stock_adjust", lambda t: X.adjust_results(t, SI.adjustment_requests(t), min_quantity=1),
+         with_views(ADJ_RESULTS, "products", "stock", "stock_ops", extra=_adjust_ctes(1)),
+         "K6: every in/out/adjustment op as a single adjust request (quantity ≥ 1)")
+register("bulk_adjust", lambda t: X.adjust_summary(X.adjust_results(t, SI.adjustment_requests(t))),
+         with_views("""SELECT COUNT(*) AS total, COUNT(CASE WHEN reason IS NULL THEN 1 END) AS successful,
+                              COUNT(CASE WHEN reason IS NOT NULL THEN 1 END) AS failed FROM adj_val""",
+                    "products", "stock", "stock_ops", extra=_adjust_ctes(0)), "K7 summary")
+
+
+def _after_adjust(t):
+    res = X.adjust_results(t, SI.adjustment_requests(t))
+    return K.stock_after_adjust(t, X.stock_after_results(t, res))
+
+
+register("stock_after_adjust", _after_adjust, with_views("""
+    SELECT s.product_id, s.variant_id, p.name AS product_name, p.sku, COALESCE(h.q, s.quantity) AS quantity,
+           s.reserved_quantity, COALESCE(h.q, s.quantity) - s.reserved_quantity AS available_quantity,
+           CASE WHEN COALESCE(h.q, s.quantity) <= p.min_stock_level THEN 1 ELSE 0 END AS is_low_stock
+    FROM stock s JOIN products p ON s.product_id = p.id
+    LEFT JOIN (SELECT product_id, variant_id, arg_max(q_after, seq) AS q FROM ledger GROUP BY product_id, variant_id) h
+      ON h.product_id = s.product_id AND h.variant_id IS NOT DISTINCT FROM s.variant_id""",
+    "products", "stock", "stock_ops", extra=_adjust_ctes(0)), "K10 after the bulk adjustment (L2 merge)")
+
+CART_LINES_SQL = """
+    SELECT i.sale_id AS cart_id, i.line_no, i.sale_id * 1000 + i.line_no AS seq, i.product_id, i.variant_id,
+           i.quantity, i.unit_price, s.cashier_id AS created_by, s.created_at
+    FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY sale_id ORDER BY product_id, quantity, total_price) AS line_no
+          FROM sale_items) i LEFT JOIN sales s ON s.id = i.sale_id"""
+CART_VAL = """
+    SELECT l.*, CASE WHEN p.id IS NULL THEN 'Product not found' WHEN st.id IS NULL THEN 'Stock record not found' END
+             AS reason
+    FROM cart_lines l LEFT JOIN products p ON p.id = l.product_id AND p.is_active = 1
+    LEFT JOIN stock st ON st.product_id = l.product_id AND st.variant_id IS NOT DISTINCT FROM l.variant_id"""
+register("apply_sales", lambda t: X.apply_sales_carts(X.apply_sales(t, SI.cart_lines(t))), with_views("""
+    SELECT cart_id, COUNT(*) AS lines, CAST(SUM(line_ok) AS BIGINT) AS accepted_lines,
+           COUNT(*) - CAST(SUM(line_ok) AS BIGINT) AS rejected_lines,
+           CAST(COALESCE(SUM(CASE WHEN line_ok = 1 THEN quantity * unit_price END), 0) AS DOUBLE) AS accepted_subtotal,
+           CASE WHEN SUM(line_ok) = COUNT(*) THEN 'completed' WHEN SUM(line_ok) = 0 THEN 'rejected' ELSE 'partial' END
+             AS outcome
+    FROM (SELECT v.*, CASE WHEN COALESCE(v.reason, CASE WHEN l.accepted = 0 THEN 'Insufficient stock' END) IS NULL
+                           THEN 1 ELSE 0 END AS line_ok
+          FROM cart_val v LEFT JOIN ledger l ON l.seq = v.seq)
+    GROUP BY cart_id""", "sale_items", "sales", "products", "stock", extra={
+    "cart_lines": CART_LINES_SQL, "cart_val": CART_VAL,
+    "sale_ops": "SELECT seq, product_id, variant_id, 'sale' AS op, quantity AS n, created_by, created_at "
+                "FROM cart_val WHERE reason IS NULL",
+    **ledger_ctes("sale_ops", opening="stock")}),
+    "S13: every sale's lines replayed against the stock table in sale-id order (line mode)")
+
+
+def _refunds(t):
+    lines = SI.lineitem_lines(t)
+    items = lines.select("sale_id", "line_no", "product_id", "variant_id", "quantity")
+    return X.refund_outcomes(t, items, SI.refund_requests(t, lines))
+
+
+register("apply_refunds", _refunds, with_views("""
+    SELECT request_id, sale_id, CAST(acc AS INTEGER) AS accepted,
+           CASE WHEN NOT eligible THEN 'Sale not found or already refunded'
+                WHEN NOT acc THEN 'Sale already refunded' END AS error,
+           CASE WHEN acc THEN CASE WHEN is_full THEN 'full' ELSE 'partial' END END AS refund_type,
+           CASE WHEN acc THEN refunded_items END AS refunded_items, total_items,
+           CASE WHEN acc THEN COALESCE(notes, '') || chr(10) || 'Refund: ' || COALESCE(reason, 'No reason provided') END
+             AS note_appended
+    FROM (SELECT r3.*, eligible AND (ff.first_full IS NULL OR r3.request_id <= ff.first_full) AS acc
+          FROM r3 LEFT JOIN ff ON ff.sale_id = r3.sale_id)""", "sales", extra={
+    "items_l": """SELECT l_orderkey AS sale_id,
+                         ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity,
+                                            l_extendedprice, l_returnflag, l_shipdate) AS line_no,
+                         l_partkey AS product_id, CAST(floor(l_quantity) AS INTEGER) AS quantity, l_returnflag
+                  FROM lineitem""",
+    "requests": """SELECT sale_id AS request_id, sale_id, 'returned items' AS reason, list(line_no ORDER BY line_no) AS items
+                   FROM items_l WHERE l_returnflag = 'R' GROUP BY sale_id""",
+    "r1": """SELECT q.*, s.status AS status_before, s.notes, COALESCE(tt.total_items, 0) AS total_items,
+                    COALESCE(s.status = 'completed', FALSE) AS eligible
+             FROM requests q LEFT JOIN sales s ON s.id = q.sale_id
+             LEFT JOIN (SELECT sale_id, COUNT(*) AS total_items FROM items_l GROUP BY sale_id) tt ON tt.sale_id = q.sale_id""",
+    "nl": """SELECT x.request_id, COUNT(*) AS n
+             FROM (SELECT DISTINCT request_id, sale_id, unnest(items) AS line_no FROM requests) x
+             WHERE EXISTS (SELECT 1 FROM items_l i WHERE i.sale_id = x.sale_id AND i.line_no = x.line_no)
+             GROUP BY x.request_id""",
+    "r3": """SELECT r1.*, CASE WHEN COALESCE(len(items), -1) > 0 THEN COALESCE(nl.n, 0) ELSE total_items END AS refunded_items,
+                    (CASE WHEN COALESCE(len(items), -1) > 0 THEN COALESCE(nl.n, 0) ELSE total_items END) = total_items AS is_full
+             FROM r1 LEFT JOIN nl ON nl.request_id = r1.request_id""",
+    "ff": "SELECT sale_id, MIN(request_id) AS first_full FROM r3 WHERE eligible AND is_full GROUP BY sale_id",
+}), "S14: one refund request per order with returned (R) line items")

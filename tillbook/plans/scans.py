@@ -70,3 +70,34 @@ def keyed_scan(df: DataFrame, keys: list[str], order: str, value: str | Column,
     else:
         res = F.coalesce(loc, car)
     return j.withColumn(out, res).drop("_v", "_chunk", "_local", "_carry")
+
+
+def keyed_walk(df: DataFrame, keys: list[str], order: str, delta: str, base: str,
+               chunk_width: int = DEFAULT_CHUNK_WIDTH) -> DataFrame:
+    """Clamp-at-zero walk per key: ``q_i = max(0, q_{i-1} + delta_i)``, ``q_0 = base``.
+
+    Closed form: with ``P_i = base + Σ_{j≤i} delta_j``, ``q_i = P_i − least(0, min_{k≤i} P_k)``.
+    Adds ``_q_after`` and ``_q_before``. One chunked pass: inside a (key, chunk) the
+    local prefix sum and its running minimum are chained windows on one sort; per chunk
+    the total and the minimum prefix feed a carry (offset, running minimum) computed on
+    the chunk table; one join by (key, chunk) combines them. ``base`` must be constant
+    per key and ``delta`` non-null.
+    """
+    d = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_width)).cast("bigint"))
+    wl = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    d = d.withColumn("_p", F.sum(delta).over(wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    excl = wl.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.select("*", F.min("_p").over(run).alias("_m"), F.min("_p").over(excl).alias("_mx"))
+    chunks = d.groupBy(*keys, "_chunk").agg(F.sum(delta).alias("_T"), F.min("_p").alias("_mc"),
+                                            F.max(base).alias("_base"))
+    wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_off", F.col("_base") + F.coalesce(F.sum("_T").over(wc), F.lit(0)))
+    chunks = chunks.select(*keys, "_chunk", "_off", F.min(F.col("_off") + F.col("_mc")).over(wc).alias("_cm"))
+    j = d.join(chunks, [*keys, "_chunk"], "left")
+    p = F.col("_off") + F.col("_p")
+    m = F.least(F.col("_cm"), F.col("_off") + F.col("_m"))
+    mx = F.least(F.col("_cm"), F.col("_off") + F.col("_mx"))
+    after = p - F.least(F.lit(0), m)
+    before = (p - F.col(delta)) - F.least(F.lit(0), F.coalesce(mx, F.lit(0)))
+    return j.select(*[c for c in df.columns], after.alias("_q_after"), before.alias("_q_before"))
