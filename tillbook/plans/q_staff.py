@@ -1 +1,31 @@
-"""Registered queries."""
+"""Registered staff queries (U1, U2, U6–U8) with oracle SQL."""
+
+from __future__ import annotations
+
+from tillbook.operators import staff as U
+from tillbook.oracle.ledger_sql import MOVEMENTS_CTES
+from tillbook.oracle.views_sql import with_views
+from tillbook.plans.registry import register
+
+USER_SEL = "id, username, email, role, first_name, last_name, is_active, created_at, updated_at"
+
+register("users_list", lambda t: U.users_list(t), with_views(f"SELECT {USER_SEL} FROM users", "users"), "U1")
+register("user_by_id", lambda t: U.user_by_id(t), with_views(f"SELECT {USER_SEL} FROM users", "users"),
+         "U2 for every user")
+register("user_sales_stats", lambda t: U.user_sales_stats(t), with_views("""
+    SELECT u.id, u.username, u.first_name, u.last_name, u.role, COUNT(s.id) AS total_sales,
+           CAST(SUM(CASE WHEN s.status = 'completed' THEN s.total_amount ELSE 0 END) AS DOUBLE) AS total_revenue,
+           CAST(SUM(CASE WHEN s.status = 'completed' THEN s.total_amount END) AS DOUBLE)
+             / NULLIF(COUNT(CASE WHEN s.status = 'completed' THEN 1 END), 0) AS average_sale,
+           MIN(s.created_at) AS first_sale, MAX(s.created_at) AS last_sale
+    FROM users u LEFT JOIN sales s ON s.cashier_id = u.id
+    GROUP BY u.id, u.username, u.first_name, u.last_name, u.role""", "users", "sales"), "U6 for every user")
+register("user_recent_sales", lambda t: U.user_recent_sales(t), with_views("""
+    SELECT cashier_id, rank, id, sale_number, CAST(total_amount AS DOUBLE) AS total_amount, status, created_at
+    FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cashier_id ORDER BY created_at DESC, id DESC) AS rank
+          FROM sales WHERE cashier_id IS NOT NULL) WHERE rank <= 10""", "sales"), "U7 for every cashier")
+register("user_movement_stats", lambda t: U.user_movement_stats(t), with_views("""
+    SELECT u.id, u.username, COUNT(m.id) AS total_movements, MIN(m.created_at) AS first_movement,
+           MAX(m.created_at) AS last_movement
+    FROM users u LEFT JOIN stock_movements m ON m.created_by = u.id GROUP BY u.id, u.username""",
+    "users", "stock_ops", extra=MOVEMENTS_CTES), "U8 for every user")
