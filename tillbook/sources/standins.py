@@ -55,3 +55,59 @@ def alert_acks(t: RetailTables, alerts: DataFrame | None = None) -> DataFrame:
     a = t.low_stock_alerts if alerts is None else alerts
     return a.select(F.col("id").alias("alert_id"), (F.col("product_id") % 25).alias("user_id"),
                     (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("ack_at"))
+
+
+PRODUCT_REQ_COLS = ("sku", "name", "price", "category_id", "brand", "unit_size", "cost", "min_stock_level", "barcode",
+                    "description")
+
+
+def catalog_relist_requests(t: RetailTables) -> DataFrame:
+    """Create requests: every inactive product listed again under a fresh id (after the current maximum)."""
+    top = t.products.agg((F.max("id") + 1).alias("_off"))
+    p = t.products.filter(F.col("is_active") == 0).crossJoin(top)
+    return p.select(F.col("id").alias("req_id"), (F.col("id") + F.col("_off")).alias("id"), *PRODUCT_REQ_COLS)
+
+
+def catalog_update_requests(t: RetailTables) -> DataFrame:
+    """Full-row update requests: every product re-submitted with its current values."""
+    return t.products.select(F.col("id").alias("req_id"), "id", *PRODUCT_REQ_COLS)
+
+
+def product_delete_requests(t: RetailTables) -> DataFrame:
+    return t.products.select(F.col("id").alias("req_id"), F.col("id").alias("product_id"))
+
+
+def category_insert_requests(t: RetailTables) -> DataFrame:
+    """Every category submitted again as a new one (same name, description and parent)."""
+    return t.categories.select(F.col("id").alias("req_id"), "name", "description", "parent_id")
+
+
+def category_reparent_requests(t: RetailTables) -> DataFrame:
+    """Roots asked to move under their lowest child (a cycle); children asked to move to the next root."""
+    kids = t.categories.filter(F.col("parent_id").isNotNull()).groupBy(F.col("parent_id").alias("id")).agg(
+        F.min(F.col("id")).alias("_lowest_child"))
+    c = t.categories.join(kids, "id", "left")
+    new_parent = F.when(F.col("parent_id").isNull(), F.col("_lowest_child")).otherwise(F.col("parent_id") % 6 + 1)
+    return c.select(F.col("id").alias("req_id"), "id", "name", "description", new_parent.alias("parent_id"))
+
+
+def category_delete_requests(t: RetailTables) -> DataFrame:
+    return t.categories.select(F.col("id").alias("req_id"), "id")
+
+
+def user_insert_requests(t: RetailTables) -> DataFrame:
+    """Every user submitted again (password = username)."""
+    return t.users.select(F.col("id").alias("req_id"), "username", "email", F.col("username").alias("password"),
+                          "role", "first_name", "last_name")
+
+
+def user_deactivation_patches(t: RetailTables, actor_id: int = 0) -> DataFrame:
+    """Every user deactivated by user ``actor_id`` (only ``is_active`` supplied)."""
+    nul = F.lit(None).cast("string")
+    return t.users.select(F.col("id").alias("req_id"), "id", F.lit(actor_id).cast("bigint").alias("actor_id"),
+                          nul.alias("username"), nul.alias("email"), nul.alias("role"), nul.alias("first_name"),
+                          nul.alias("last_name"), F.lit(0).alias("is_active"))
+
+
+def user_delete_requests(t: RetailTables, actor_id: int = 0) -> DataFrame:
+    return t.users.select(F.col("id").alias("req_id"), "id", F.lit(actor_id).cast("bigint").alias("actor_id"))
