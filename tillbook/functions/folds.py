@@ -62,3 +62,60 @@ def fold_sorted_batches(batches):
         out["created_at"] = pdf["created_at"]
         out["opening"] = pdf["opening"].astype(np.int32)
         yield out
+
+
+def _signal(op: str, accepted: int, after: int, min_level) -> int | None:
+    """Alert signal of one ledger row: 1 at/below minimum, 0 above (ops that may resolve), None = no effect."""
+    if min_level is None or min_level != min_level:  # missing product
+        return None
+    low = after <= min_level
+    if op in ("in", "out", "adjustment"):
+        return 1 if low else 0
+    if op == "sale" and accepted == 1 and low:
+        return 1
+    return None
+
+
+def ledger_state_step(key, pdfs, state):
+    """``applyInPandasWithState`` body: fold one key's rows of a micro-batch, in seq order.
+
+    State: (quantity, alert_active, last_seq). Rows with ``seq <= last_seq`` arrive too
+    late to be folded in order and are emitted with ``late = 1`` and no effect.
+    """
+    if state.exists:
+        q, active, last_seq = state.get
+        q, active, last_seq = int(q), int(active), int(last_seq)
+    else:
+        q, active, last_seq = None, 0, -(1 << 62)
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable")
+    cols = {c: [] for c in ("seq", "product_id", "variant_id", "op", "n", "q_before", "q_after", "q_change",
+                            "accepted", "created_by", "created_at", "min_level", "event", "late")}
+    for r in pdf.itertuples(index=False):
+        seq = int(r.seq)
+        late = seq <= last_seq
+        if q is None:
+            q = int(r.opening)
+        before = q
+        if late:
+            after, acc, event = q, 0, None
+        else:
+            after, acc = apply_op(q, r.op, int(r.n))
+            sig = _signal(r.op, acc, after, None if pd.isna(r.min_level) else int(r.min_level))
+            event = None
+            if sig == 1 and not active:
+                event, active = "raise", 1
+            elif sig == 0 and active:
+                event, active = "resolve", 0
+            q, last_seq = after, seq
+        for c, v in (("seq", seq), ("product_id", r.product_id), ("variant_id", r.variant_id), ("op", r.op),
+                     ("n", r.n), ("q_before", before), ("q_after", after), ("q_change", after - before),
+                     ("accepted", acc), ("created_by", r.created_by), ("created_at", r.created_at),
+                     ("min_level", r.min_level), ("event", event), ("late", int(late))):
+            cols[c].append(v)
+    state.update((q if q is not None else 0, active, last_seq))
+    out = pd.DataFrame(cols)
+    for c in ("variant_id", "created_by"):
+        out[c] = pd.array(out[c], dtype="Int64")
+    for c in ("n", "q_before", "q_after", "q_change", "accepted", "late", "min_level"):
+        out[c] = pd.array(out[c], dtype="Int32")
+    yield out

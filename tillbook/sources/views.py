@@ -60,12 +60,15 @@ class RetailTables:
         self.spark = spark
         self._base = base or {}
         self._tables = tables or {}
+        self.sf_dir: str | None = None
 
     # ------------------------------------------------------------------ constructors
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> "RetailTables":
         names = ("region", "nation", "customer", "part", "orders", "lineitem", "events")
-        return cls(spark, base={n: read_base(spark, sf_dir, n) for n in names})
+        t = cls(spark, base={n: read_base(spark, sf_dir, n) for n in names})
+        t.sf_dir = sf_dir.rstrip("/")
+        return t
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> "RetailTables":
