@@ -106,7 +106,7 @@ def apply_sales(t: RetailTables, lines: DataFrame) -> DataFrame:
         "seq", "product_id", "variant_id", F.lit("sale").alias("op"), F.col("quantity").alias("n"),
         "created_by", "created_at")
     opening = t.stock.select("product_id", "variant_id", "quantity")
-    led = stock_ledger(t, ops=ops, opening=opening).select(
+    led = stock_ledger(t, ops=ops, opening=opening, has_adjustments=False).select(
         "seq", "accepted", F.col("q_before").alias("stock_before"), F.col("q_after").alias("stock_after"))
     j = v.join(led, "seq", "left")
     reason = F.coalesce(F.col("reason"), F.when(F.col("accepted") == 0, F.lit("Insufficient stock")))

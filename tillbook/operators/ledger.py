@@ -88,18 +88,25 @@ def _finish(led: DataFrame) -> DataFrame:
 
 
 def stock_ledger(t: RetailTables, ops: DataFrame | None = None, opening: DataFrame | None = None,
-                 chunk_width: int = DEFAULT_CHUNK_WIDTH) -> DataFrame:
-    """L1: every op with before / after / change and an ``accepted`` flag (rejected sales: 0)."""
+                 chunk_width: int = DEFAULT_CHUNK_WIDTH, has_adjustments: bool = True) -> DataFrame:
+    """L1: every op with before / after / change and an ``accepted`` flag (rejected sales: 0).
+
+    ``has_adjustments=False`` declares that ``ops`` holds no ``adjustment`` rows (e.g. a
+    sale replay): the whole key is one segment and the segment scan is skipped.
+    """
     ops = t.stock_ops if ops is None else ops
     x = _with_opening(_keyed(ops), opening)
-    x = _segments(x, chunk_width)
+    if has_adjustments:
+        x = _segments(x, chunk_width)
+    else:
+        x = x.withColumn("seg", F.lit(0).cast("bigint"))
     spark = t.spark
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     x = x.select("seq", "product_id", "variant_id", "_vk", "seg", "op", "n", "created_by", "created_at", "opening")
     led = (x.repartition(nparts, "product_id", "_vk", "seg")
            .sortWithinPartitions("product_id", "_vk", "seg", "seq")
            .mapInPandas(folds.fold_sorted_batches, LEDGER_SCHEMA))
-    return _finish(_fix_segment_starts(led))
+    return _finish(_fix_segment_starts(led) if has_adjustments else led)
 
 
 def stock_ledger_adjust_only(t: RetailTables, ops: DataFrame | None = None, opening: DataFrame | None = None,

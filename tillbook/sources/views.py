@@ -27,6 +27,7 @@ EPOCH = "2000-01-01 00:00:00"
 
 RETAIL_TABLES = ("users", "categories", "products", "product_variants", "stock", "sales", "sale_items",
                  "stock_ops")
+DERIVED_TABLES = ("stock_movements", "low_stock_alerts")  # written by the ledger job
 
 
 def _ts(text: str) -> Column:
@@ -61,6 +62,7 @@ class RetailTables:
         self._base = base or {}
         self._tables = tables or {}
         self.sf_dir: str | None = None
+        self._root: str | None = None
 
     # ------------------------------------------------------------------ constructors
     @classmethod
@@ -72,34 +74,36 @@ class RetailTables:
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> "RetailTables":
-        tables = {n: spark.read.schema(RETAIL_SCHEMAS[n]).parquet(f"{root.rstrip('/')}/{n}")
-                  for n in RETAIL_TABLES}
-        return cls(spark, tables=tables)
+        """Tables written by ``materialize``; each is read (and its files listed) on first use."""
+        t = cls(spark)
+        t._root = root.rstrip("/")
+        return t
 
     @classmethod
     def from_frames(cls, spark: SparkSession, **frames: DataFrame) -> "RetailTables":
         """Hand-made tables (tests, fixtures); missing tables raise on access."""
         return cls(spark, tables=dict(frames))
 
-    def materialize(self, root: str, names: tuple[str, ...] = RETAIL_TABLES) -> "RetailTables":
+    def materialize(self, root: str, names: tuple[str, ...] = RETAIL_TABLES + DERIVED_TABLES) -> "RetailTables":
         """Write each table once as parquet and return a bundle that reads them back.
 
-        Fact tables are laid out for the queries: ``sales`` partitioned by sale date
-        (period predicates prune whole directories), ``sale_items`` and ``stock_ops``
-        clustered by their join key inside each file so min/max statistics prune.
+        Fact tables are laid out for the queries: ``sales`` range-partitioned and sorted by
+        ``created_at`` (each file covers a disjoint time range, so period predicates skip
+        files and row groups by their min/max statistics, with no small-file explosion of
+        per-day directories), ``sale_items`` and ``stock_ops`` clustered by their join key.
         """
         root = root.rstrip("/")
         for n in names:
             df = getattr(self, n)
             w = None
             if n == "sales":
-                w = (df.withColumn("sale_date", F.to_date("created_at"))
-                     .repartition("sale_date").sortWithinPartitions("created_at", "id")
-                     .write.partitionBy("sale_date"))
+                w = df.repartitionByRange("created_at").sortWithinPartitions("created_at", "id").write
             elif n == "sale_items":
                 w = df.repartition("sale_id").sortWithinPartitions("sale_id", "product_id").write
             elif n == "stock_ops":
                 w = df.repartition("product_id").sortWithinPartitions("product_id", "seq").write
+            elif n in DERIVED_TABLES:
+                w = df.repartitionByRange("created_at").sortWithinPartitions("created_at", "id").write
             else:
                 w = df.write
             w.mode("overwrite").parquet(f"{root}/{n}")
@@ -109,6 +113,8 @@ class RetailTables:
         return self._base[name]
 
     def _get(self, name: str, build) -> DataFrame:
+        if name not in self._tables and getattr(self, "_root", None):
+            self._tables[name] = self.spark.read.schema(RETAIL_SCHEMAS[name]).parquet(f"{self._root}/{name}")
         if name in self._tables:
             df = self._tables[name]
             cols = [f.name for f in RETAIL_SCHEMAS[name].fields] if name in RETAIL_SCHEMAS else df.columns
@@ -279,10 +285,15 @@ class RetailTables:
         return self._get("stock_ops", build)
 
     # ------------------------------------------------------------------ derived by jobs
+    def _stored(self, name: str) -> DataFrame | None:
+        if name not in self._tables and self._root:
+            self._tables[name] = self.spark.read.schema(RETAIL_SCHEMAS[name]).parquet(f"{self._root}/{name}")
+        return self._tables.get(name)
+
     @cached_property
     def stock_movements(self) -> DataFrame:
         """Ledger rows of ``stock_ops`` (opening quantity 0), in the reference's movement shape."""
-        if "stock_movements" in self._tables:
+        if self._stored("stock_movements") is not None:
             return self._tables["stock_movements"]
         from tillbook.operators.ledger import movements_from_ledger, stock_ledger
         return movements_from_ledger(stock_ledger(self))
@@ -290,7 +301,7 @@ class RetailTables:
     @cached_property
     def low_stock_alerts(self) -> DataFrame:
         """Alerts raised and resolved along the ledger, minimum from the product."""
-        if "low_stock_alerts" in self._tables:
+        if self._stored("low_stock_alerts") is not None:
             return self._tables["low_stock_alerts"]
         from tillbook.operators.ledger import alerts_table, low_stock_alert_events
         return alerts_table(low_stock_alert_events(self))
