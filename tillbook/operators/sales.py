@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillbook.functions.exprs import all_of, contains_any, full_name, mean_of, money
+from tillbook.functions.exprs import all_of, contains_any, currency_text, date_text, full_name, mean_of, money
 from tillbook.functions.periods import AS_OF, day_range, in_period
 from tillbook.sources.views import RetailTables
 
@@ -58,9 +58,19 @@ def _with_cashier_and_items(t: RetailTables, page: DataFrame) -> DataFrame:
 
 
 def sales_list(t: RetailTables, date_from=None, date_to=None, cashier_id=None, status=None, search=None,
-               page: int = 1, limit: int = 20) -> DataFrame:
-    """One page of filtered sales, newest first, with cashier name and item count."""
+               page: int = 1, limit: int = 20, after: tuple | None = None) -> DataFrame:
+    """One page of filtered sales, newest first, with cashier name and item count.
+
+    ``after=(created_at, id)`` of the previous page's last row selects the next page by
+    keyset (a pushed-down range predicate) instead of OFFSET, so deep pages cost the
+    same as the first one.
+    """
     s = t.sales.filter(sales_filter(date_from, date_to, cashier_id, status, search))
+    if after is not None:
+        ts, last_id = after
+        at = F.lit(str(ts)).cast("timestamp_ntz")
+        s = s.filter((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") < F.lit(int(last_id)))))
+        page = 1
     top = s.orderBy(F.col("created_at").desc(), F.col("id").desc()).offset((page - 1) * limit).limit(limit)
     return _sale_out(_with_cashier_and_items(t, top), "cashier_name", "item_count")
 
@@ -252,3 +262,10 @@ def sale_lines_as_carts(t: RetailTables) -> DataFrame:
     w = Window.partitionBy("cart_id").orderBy("product_id", "quantity", "total_price")
     return t.sale_items.select(F.col("sale_id").alias("cart_id"), "product_id", "variant_id", "quantity",
                                "unit_price", "total_price").withColumn("line_no", F.row_number().over(w))
+
+
+def sales_display(t: RetailTables) -> DataFrame:
+    """Sales with the client's display texts: en-US currency and date/time (client formatters)."""
+    return t.sales.select("id", "sale_number", currency_text("total_amount").alias("total_text"),
+                          date_text("created_at").alias("date_text"),
+                          date_text("created_at", with_time=True).alias("datetime_text"))

@@ -59,7 +59,7 @@ def _check(t, mode):
     return inc, C.catalog_check(t, inc, mode)
 
 
-register("catalog_insert_check", lambda t: _check(t, "insert")[1],
+register("catalog_upsert_check", lambda t: _check(t, "insert")[1],
          with_views("SELECT * FROM checked", "products", "categories", extra=_catalog_check_ctes("insert")),
          "P7 create form: every inactive product listed again under a new id")
 register("catalog_update_check", lambda t: _check(t, "update")[1],
