@@ -79,10 +79,10 @@ def test_h24_refunds(spark):
     items = spark.createDataFrame([(1, 1, 7, None, 1), (1, 2, 8, None, 2), (2, 1, 7, None, 1), (2, 2, 8, None, 1),
                                    (3, 1, 7, None, 1)],
                                   "sale_id long, line_no int, product_id long, variant_id long, quantity int")
-    req = spark.createDataFrame([(1, 1, None, []), (2, 2, "r", [1]), (3, 2, None, [1]), (4, 2, None, [2]),
-                                 (5, 2, None, [2]), (6, 3, None, []), (7, 1, None, [9])],
-                                "request_id long, sale_id long, reason string, items array<int>")
-    out = {r.request_id: r for r in X.refund_outcomes(t, items, req).collect()}
+    req = spark.createDataFrame([(1, 1, None), (2, 2, "r"), (3, 2, None), (4, 2, None), (5, 2, None), (6, 3, None),
+                                 (7, 1, None)], "request_id long, sale_id long, reason string")
+    lines = spark.createDataFrame([(2, 1), (3, 1), (4, 2), (5, 2), (7, 9)], "request_id long, line_no int")
+    out = {r.request_id: r for r in X.refund_outcomes(t, items, req, lines).collect()}
     assert out[1].refund_type == "full" and out[1].refunded_items == 2
     assert out[2].refund_type == "partial" and out[2].note_appended == "n\nRefund: r"
     assert out[3].accepted == 1 and out[4].accepted == 1            # partial refunds may repeat

@@ -126,25 +126,29 @@ def apply_sales_carts(line_results: DataFrame) -> DataFrame:
                     F.coalesce(F.col("_sub"), F.lit(0)).cast("double").alias("accepted_subtotal"), status.alias("outcome"))
 
 
-def refund_outcomes(t: RetailTables, items: DataFrame, requests: DataFrame) -> DataFrame:
+def refund_outcomes(t: RetailTables, items: DataFrame, requests: DataFrame, request_lines: DataFrame) -> DataFrame:
     """One outcome row per refund request.
 
     ``items``: sale_id, line_no, product_id, variant_id, quantity. ``requests``:
-    request_id (processing order), sale_id, reason, items (array of line_no; empty or
-    NULL = the whole sale). A request needs a completed sale; a full refund turns the
+    request_id (processing order), sale_id, reason. ``request_lines``: request_id,
+    line_no — the items to refund; a request without lines refunds the whole sale (the
+    reference's empty list). A request needs a completed sale; a full refund turns the
     sale to ``refunded`` so later requests for it fail; partial refunds leave it
     completed and may repeat (as in the reference). Unknown line numbers are ignored.
+    Lines stay rows (no per-request arrays), so a large request is never one record.
     """
     sales = t.sales.select(F.col("id").alias("sale_id"), F.col("status").alias("status_before"), "notes")
     totals = items.groupBy("sale_id").agg(F.count(F.lit(1)).alias("total_items"))
-    r = requests.join(sales, "sale_id", "left").join(totals, "sale_id", "left")
+    listed = request_lines.select("request_id", "line_no").distinct()
+    n_listed = listed.groupBy("request_id").agg(F.count(F.lit(1)).alias("_asked"))
+    matched = (listed.join(requests.select("request_id", "sale_id"), "request_id", "inner")
+               .join(items.select("sale_id", "line_no"), ["sale_id", "line_no"], "left_semi")
+               .groupBy("request_id").agg(F.count(F.lit(1)).alias("_n")))
+    r = (requests.join(sales, "sale_id", "left").join(totals, "sale_id", "left")
+         .join(n_listed, "request_id", "left").join(matched, "request_id", "left"))
     r = r.withColumn("total_items", F.coalesce(F.col("total_items"), F.lit(0).cast("bigint")))
-    wanted = F.coalesce(F.size(F.col("items")), F.lit(-1))
-    listed = r.filter(wanted > 0).select("request_id", "sale_id", F.explode("items").alias("line_no")).distinct()
-    n_listed = (listed.join(items.select("sale_id", "line_no"), ["sale_id", "line_no"], "left_semi")
-                .groupBy("request_id").agg(F.count(F.lit(1)).alias("_n")))
-    r = r.join(n_listed, "request_id", "left")
-    refunded = F.when(wanted > 0, F.coalesce(F.col("_n"), F.lit(0).cast("bigint"))).otherwise(F.col("total_items"))
+    refunded = F.when(F.col("_asked").isNotNull(), F.coalesce(F.col("_n"), F.lit(0).cast("bigint"))
+                      ).otherwise(F.col("total_items"))
     r = r.withColumn("refunded_items", refunded)
     r = r.withColumn("is_full", F.col("refunded_items") == F.col("total_items"))
     eligible = F.coalesce(F.col("status_before") == "completed", F.lit(False))
@@ -162,14 +166,15 @@ def refund_outcomes(t: RetailTables, items: DataFrame, requests: DataFrame) -> D
                                   F.coalesce(F.col("reason"), F.lit("No reason provided")))).alias("note_appended"))
 
 
-def refund_return_ops(t: RetailTables, items: DataFrame, requests: DataFrame, outcomes: DataFrame) -> DataFrame:
+def refund_return_ops(t: RetailTables, items: DataFrame, requests: DataFrame, request_lines: DataFrame,
+                      outcomes: DataFrame) -> DataFrame:
     """``return`` ops for the items of accepted refunds that have a stock row (input to the ledger)."""
     acc = outcomes.filter(F.col("accepted") == 1).select("request_id", "sale_id")
-    req = requests.select("request_id", "items", "created_by", "created_at").join(acc, "request_id", "inner")
-    whole = req.filter(F.coalesce(F.size("items"), F.lit(-1)) <= 0).join(items, "sale_id", "inner")
-    part = (req.filter(F.size("items") > 0).select("request_id", "sale_id", "created_by", "created_at",
-                                                    F.explode("items").alias("line_no"))
-            .dropDuplicates(["request_id", "line_no"]).join(items, ["sale_id", "line_no"], "inner"))
+    req = requests.select("request_id", "created_by", "created_at").join(acc, "request_id", "inner")
+    has_lines = request_lines.select("request_id").distinct()
+    whole = req.join(has_lines, "request_id", "left_anti").join(items, "sale_id", "inner")
+    part = (req.join(request_lines.select("request_id", "line_no").distinct(), "request_id", "inner")
+            .join(items, ["sale_id", "line_no"], "inner"))
     cols = ["request_id", "sale_id", "line_no", "product_id", "variant_id", "quantity", "created_by", "created_at"]
     both = whole.select(*cols).unionByName(part.select(*cols))
     stock_keys = _keyed(t.stock).select(*KEYS)

@@ -120,11 +120,10 @@ def stock_ledger_adjust_only(t: RetailTables, ops: DataFrame | None = None, open
     d = (F.when(F.col("op").isin("in", "return"), F.col("n"))
          .when(F.col("op") == "out", -F.col("n")).otherwise(F.lit(0))).cast("bigint")
     skeys = [*KEYS, "seg"]
-    # walk base: the opening for segment 0, the adjustment's value for later segments
-    segbase = x.filter(F.col("op") == "adjustment").select(*skeys, F.col("n").cast("bigint").alias("_sbase"))
-    x = x.join(segbase, skeys, "left").select(
-        "*", d.alias("_d"),
-        F.coalesce(F.col("_sbase"), F.when(F.col("seg") == 0, F.col("opening"))).cast("bigint").alias("_b"))
+    # walk base: the opening for segment 0, the adjustment's value for later segments (given on
+    # that row only; the walk takes the segment's maximum, so no join is needed)
+    base = F.when(F.col("op") == "adjustment", F.col("n")).when(F.col("seg") == 0, F.col("opening"))
+    x = x.select("*", d.alias("_d"), base.cast("bigint").alias("_b"))
     x = keyed_walk(x, skeys, "seq", "_d", "_b", chunk_width=chunk_width)
     x = x.select("*", F.col("_q_after").cast("int").alias("q_after"),
                  F.when(F.col("op") == "adjustment", F.lit(None).cast("int"))

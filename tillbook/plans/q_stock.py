@@ -180,7 +180,8 @@ register("apply_sales", lambda t: X.apply_sales_carts(X.apply_sales(t, SI.cart_l
 def _refunds(t):
     lines = SI.lineitem_lines(t)
     items = lines.select("sale_id", "line_no", "product_id", "variant_id", "quantity")
-    return X.refund_outcomes(t, items, SI.refund_requests(t, lines))
+    req, req_lines = SI.refund_requests(t, lines)
+    return X.refund_outcomes(t, items, req, req_lines)
 
 
 register("apply_refunds", _refunds, with_views("""
@@ -198,18 +199,20 @@ register("apply_refunds", _refunds, with_views("""
                                             l_extendedprice, l_returnflag, l_shipdate) AS line_no,
                          l_partkey AS product_id, CAST(floor(l_quantity) AS INTEGER) AS quantity, l_returnflag
                   FROM lineitem""",
-    "requests": """SELECT sale_id AS request_id, sale_id, 'returned items' AS reason, list(line_no ORDER BY line_no) AS items
+    "requests": """SELECT sale_id AS request_id, sale_id, 'returned items' AS reason
                    FROM items_l WHERE l_returnflag = 'R' GROUP BY sale_id""",
+    "rlines": "SELECT DISTINCT sale_id AS request_id, line_no FROM items_l WHERE l_returnflag = 'R'",
     "r1": """SELECT q.*, s.status AS status_before, s.notes, COALESCE(tt.total_items, 0) AS total_items,
                     COALESCE(s.status = 'completed', FALSE) AS eligible
              FROM requests q LEFT JOIN sales s ON s.id = q.sale_id
              LEFT JOIN (SELECT sale_id, COUNT(*) AS total_items FROM items_l GROUP BY sale_id) tt ON tt.sale_id = q.sale_id""",
+    "na": "SELECT request_id, COUNT(*) AS asked FROM rlines GROUP BY request_id",
     "nl": """SELECT x.request_id, COUNT(*) AS n
-             FROM (SELECT DISTINCT request_id, sale_id, unnest(items) AS line_no FROM requests) x
-             WHERE EXISTS (SELECT 1 FROM items_l i WHERE i.sale_id = x.sale_id AND i.line_no = x.line_no)
+             FROM rlines x JOIN requests q ON q.request_id = x.request_id
+             WHERE EXISTS (SELECT 1 FROM items_l i WHERE i.sale_id = q.sale_id AND i.line_no = x.line_no)
              GROUP BY x.request_id""",
-    "r3": """SELECT r1.*, CASE WHEN COALESCE(len(items), -1) > 0 THEN COALESCE(nl.n, 0) ELSE total_items END AS refunded_items,
-                    (CASE WHEN COALESCE(len(items), -1) > 0 THEN COALESCE(nl.n, 0) ELSE total_items END) = total_items AS is_full
-             FROM r1 LEFT JOIN nl ON nl.request_id = r1.request_id""",
+    "r3": """SELECT r1.*, CASE WHEN na.asked IS NOT NULL THEN COALESCE(nl.n, 0) ELSE total_items END AS refunded_items,
+                    (CASE WHEN na.asked IS NOT NULL THEN COALESCE(nl.n, 0) ELSE total_items END) = total_items AS is_full
+             FROM r1 LEFT JOIN na ON na.request_id = r1.request_id LEFT JOIN nl ON nl.request_id = r1.request_id""",
     "ff": "SELECT sale_id, MIN(request_id) AS first_full FROM r3 WHERE eligible AND is_full GROUP BY sale_id",
 }), "S14: one refund request per order with returned (R) line items")

@@ -81,7 +81,9 @@ def keyed_walk(df: DataFrame, keys: list[str], order: str, delta: str, base: str
     local prefix sum and its running minimum are chained windows on one sort; per chunk
     the total and the minimum prefix feed a carry (offset, running minimum) computed on
     the chunk table; one join by (key, chunk) combines them. ``base`` must be constant
-    per key and ``delta`` non-null.
+    per key where given (it may be NULL on all but one row of the key — e.g. only on a
+    segment's opening row; the key's base is the maximum non-NULL value) and ``delta``
+    non-null.
     """
     d = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_width)).cast("bigint"))
     wl = Window.partitionBy(*keys, "_chunk").orderBy(order)
@@ -92,7 +94,8 @@ def keyed_walk(df: DataFrame, keys: list[str], order: str, delta: str, base: str
     chunks = d.groupBy(*keys, "_chunk").agg(F.sum(delta).alias("_T"), F.min("_p").alias("_mc"),
                                             F.max(base).alias("_base"))
     wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("_off", F.col("_base") + F.coalesce(F.sum("_T").over(wc), F.lit(0)))
+    key_base = F.max("_base").over(Window.partitionBy(*keys))
+    chunks = chunks.withColumn("_off", key_base + F.coalesce(F.sum("_T").over(wc), F.lit(0)))
     chunks = chunks.select(*keys, "_chunk", "_off", F.min(F.col("_off") + F.col("_mc")).over(wc).alias("_cm"))
     j = d.join(chunks, [*keys, "_chunk"], "left")
     p = F.col("_off") + F.col("_p")

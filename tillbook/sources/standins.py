@@ -41,13 +41,15 @@ def lineitem_lines(t: RetailTables) -> DataFrame:
                      F.floor("l_quantity").cast("int").alias("quantity"), "l_returnflag", "l_shipdate")
 
 
-def refund_requests(t: RetailTables, lines: DataFrame | None = None) -> DataFrame:
+def refund_requests(t: RetailTables, lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(requests, request_lines): one request per order with returned (R) items, listing those items."""
     lines = lineitem_lines(t) if lines is None else lines
     r = lines.filter(F.col("l_returnflag") == "R")
-    return r.groupBy("sale_id").agg(
-        F.array_sort(F.collect_list("line_no")).alias("items"), F.max("l_shipdate").alias("created_at")
-    ).select(F.col("sale_id").alias("request_id"), "sale_id", F.lit("returned items").alias("reason"), "items",
-             F.lit(None).cast("bigint").alias("created_by"), "created_at")
+    req = r.groupBy("sale_id").agg(F.max("l_shipdate").alias("created_at")).select(
+        F.col("sale_id").alias("request_id"), "sale_id", F.lit("returned items").alias("reason"),
+        F.lit(None).cast("bigint").alias("created_by"), "created_at")
+    req_lines = r.select(F.col("sale_id").alias("request_id"), "line_no")
+    return req, req_lines
 
 
 def alert_acks(t: RetailTables, alerts: DataFrame | None = None) -> DataFrame:
