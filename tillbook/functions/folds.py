@@ -25,11 +25,16 @@ def apply_op(q: int, op: str, n: int) -> tuple[int, int]:
     raise ValueError(f"unknown op {op!r}")
 
 
+PROBE, RESET = 1, 2  # roles of the two copies of an adjustment row
+
+
 def fold_sorted_batches(batches):
     """Fold rows sorted by (product_id, _vk, seg, seq); the state crosses batch boundaries.
 
-    Segment 0 starts at the row's ``opening``; a later segment starts at its adjustment,
-    so its first ``q_before`` is left NULL (filled from the previous segment afterwards).
+    Segment 0 starts at the row's ``opening``. Each adjustment row comes twice: a *probe*
+    copy closing the previous segment (its ``before`` is the quantity there, its
+    ``after`` the set value) and a *reset* copy opening its own segment (sets the state,
+    emits nothing) — so no segment needs another segment's result.
     """
     cur = None
     q = 0
@@ -41,27 +46,35 @@ def fold_sorted_batches(batches):
         seg = pdf["seg"].tolist()
         op = pdf["op"].tolist()
         n = pdf["n"].tolist()
+        role = pdf["_role"].tolist()
         opening = pdf["opening"].tolist()
         m = len(pid)
-        before = [None] * m
+        before = [0] * m
         after = [0] * m
         acc = [1] * m
+        keep = [True] * m
         for i in range(m):
             key = (pid[i], vk[i], seg[i])
             if key != cur:
                 cur = key
-                q = None if seg[i] > 0 else int(opening[i])
+                q = int(opening[i]) if seg[i] == 0 else None
+            if role[i] == RESET:
+                q, keep[i] = int(n[i]), False
+                continue
             before[i] = q
+            if role[i] == PROBE:
+                after[i] = int(n[i])
+                continue
             q, acc[i] = apply_op(q, op[i], int(n[i]))
             after[i] = q
         out = pdf[["seq", "product_id", "variant_id", "_vk", "seg", "op", "n"]].copy()
-        out["q_before"] = pd.array(before, dtype="Int32")
+        out["q_before"] = np.asarray(before, dtype=np.int32)
         out["q_after"] = np.asarray(after, dtype=np.int32)
         out["accepted"] = np.asarray(acc, dtype=np.int32)
         out["created_by"] = pdf["created_by"]
         out["created_at"] = pdf["created_at"]
         out["opening"] = pdf["opening"].astype(np.int32)
-        yield out
+        yield out[np.asarray(keep)]
 
 
 def _signal(op: str, accepted: int, after: int, min_level) -> int | None:

@@ -18,8 +18,10 @@ Plans
   two-level scan) and partitioned by (product, variant, segment): a hot product
   spreads over tasks at every adjustment. Inside a task rows stream through Arrow
   batches sorted by (key, segment, seq); the state is two integers, so memory does
-  not grow with a key's size. The ``before`` of a segment's first row is the last
-  ``after`` of the previous segment (aggregate + join, no window over the key).
+  not grow with a key's size. Each adjustment is fed twice — a probe copy closing the
+  previous segment (it knows the quantity before the adjustment; its result is the set
+  value) and a reset copy opening its own — so segments never wait for each other and
+  the fold runs exactly once (no self-join of its output).
 * ``stock_ledger_adjust_only`` (L1w): without sales the fold is a reflected walk,
   ``after = P − least(0, running min P)`` with P the running sum inside a segment —
   pure two-level scans, no Python.
@@ -72,13 +74,15 @@ def _segments(ops: DataFrame, chunk_width: int) -> DataFrame:
     return keyed_scan(ops, KEYS, "seq", is_adj, "sum", "seg", chunk_width=chunk_width)
 
 
-def _fix_segment_starts(led: DataFrame) -> DataFrame:
-    """``before`` of a segment's first row = last ``after`` of the previous segment (or the opening)."""
-    last = (led.groupBy(*KEYS, "seg").agg(F.max_by("q_after", "seq").alias("_prev_after"))
-            .withColumn("seg", F.col("seg") + 1))
-    j = led.join(last, [*KEYS, "seg"], "left")
-    before = F.coalesce(F.col("q_before"), F.col("_prev_after"), F.col("opening")).cast("int")
-    return j.withColumn("q_before", before).drop("_prev_after")
+def _split_adjustments(x: DataFrame) -> DataFrame:
+    """Give every adjustment a probe copy at the end of the previous segment and a reset copy
+    starting its own (``_role`` 1 / 2; other rows 0)."""
+    adj = F.col("op") == "adjustment"
+    copies = F.when(adj, F.array(F.struct((F.col("seg") - 1).alias("s"), F.lit(folds.PROBE).alias("r")),
+                                 F.struct(F.col("seg").alias("s"), F.lit(folds.RESET).alias("r"))))
+    copies = copies.otherwise(F.array(F.struct(F.col("seg").alias("s"), F.lit(0).alias("r"))))
+    return (x.withColumn("_c", F.explode(copies))
+            .withColumn("seg", F.col("_c.s")).withColumn("_role", F.col("_c.r")).drop("_c"))
 
 
 def _finish(led: DataFrame) -> DataFrame:
@@ -97,16 +101,17 @@ def stock_ledger(t: RetailTables, ops: DataFrame | None = None, opening: DataFra
     ops = t.stock_ops if ops is None else ops
     x = _with_opening(_keyed(ops), opening)
     if has_adjustments:
-        x = _segments(x, chunk_width)
+        x = _split_adjustments(_segments(x, chunk_width))
     else:
-        x = x.withColumn("seg", F.lit(0).cast("bigint"))
+        x = x.withColumn("seg", F.lit(0).cast("bigint")).withColumn("_role", F.lit(0))
     spark = t.spark
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    x = x.select("seq", "product_id", "variant_id", "_vk", "seg", "op", "n", "created_by", "created_at", "opening")
+    x = x.select("seq", "product_id", "variant_id", "_vk", "seg", "_role", "op", "n", "created_by", "created_at",
+                 "opening")
     led = (x.repartition(nparts, "product_id", "_vk", "seg")
            .sortWithinPartitions("product_id", "_vk", "seg", "seq")
            .mapInPandas(folds.fold_sorted_batches, LEDGER_SCHEMA))
-    return _finish(_fix_segment_starts(led) if has_adjustments else led)
+    return _finish(led)
 
 
 def stock_ledger_adjust_only(t: RetailTables, ops: DataFrame | None = None, opening: DataFrame | None = None,
@@ -116,20 +121,19 @@ def stock_ledger_adjust_only(t: RetailTables, ops: DataFrame | None = None, open
     if "op" in ops.columns:
         ops = ops.filter(F.col("op") != "sale")
     x = _with_opening(_keyed(ops), opening)
-    x = _segments(x, chunk_width)
-    d = (F.when(F.col("op").isin("in", "return"), F.col("n"))
+    x = _split_adjustments(_segments(x, chunk_width))
+    d = (F.when(F.col("_role") != 0, F.lit(0)).when(F.col("op").isin("in", "return"), F.col("n"))
          .when(F.col("op") == "out", -F.col("n")).otherwise(F.lit(0))).cast("bigint")
     skeys = [*KEYS, "seg"]
-    # walk base: the opening for segment 0, the adjustment's value for later segments (given on
+    # walk base: the opening for segment 0, the reset copy's value for later segments (given on
     # that row only; the walk takes the segment's maximum, so no join is needed)
-    base = F.when(F.col("op") == "adjustment", F.col("n")).when(F.col("seg") == 0, F.col("opening"))
+    base = F.when(F.col("_role") == folds.RESET, F.col("n")).when(F.col("seg") == 0, F.col("opening"))
     x = x.select("*", d.alias("_d"), base.cast("bigint").alias("_b"))
     x = keyed_walk(x, skeys, "seq", "_d", "_b", chunk_width=chunk_width)
-    x = x.select("*", F.col("_q_after").cast("int").alias("q_after"),
-                 F.when(F.col("op") == "adjustment", F.lit(None).cast("int"))
-                  .otherwise(F.col("_q_before").cast("int")).alias("q_before"))
-    x = x.withColumn("accepted", F.lit(1))
-    return _finish(_fix_segment_starts(x))
+    x = x.filter(F.col("_role") != folds.RESET).select(
+        "*", F.when(F.col("_role") == folds.PROBE, F.col("n")).otherwise(F.col("_q_after")).cast("int").alias("q_after"),
+        F.col("_q_before").cast("int").alias("q_before"), F.lit(1).alias("accepted"))
+    return _finish(x)
 
 
 def movements_from_ledger(ledger: DataFrame) -> DataFrame:
