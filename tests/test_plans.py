@@ -14,12 +14,7 @@ from tillbook.sources.views import RetailTables
 SF = "/root/testdata/sf0.001"
 SPECS = load_all()
 # Jobs whose sequential fold or stream is Python by design (mapInPandas / applyInPandasWithState).
-PYTHON_BY_DESIGN = {"stock_ledger", "stock_movements", "stock_on_hand", "low_stock_alerts", "ledger_consistency",
-                    "stream_stock_ledger", "stream_low_stock_alerts", "apply_sales", "entity_counts",
-                    "activity_movements", "activity_alerts", "alerts_by_status", "alerts_resolved",
-                    "acknowledge_alerts", "alerts_acknowledged", "movement_history", "movement_history_filtered",
-                    "movement_count", "recent_movements_per_product", "user_movement_stats", "enum_violations",
-                    "fk_violations", "fk_delete_effects"}
+PYTHON_BY_DESIGN = {"stock_ledger", "stream_stock_ledger", "stream_low_stock_alerts", "apply_sales"}
 
 
 def _plan(spark, name: str) -> str:

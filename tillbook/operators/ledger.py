@@ -186,7 +186,7 @@ def low_stock_alert_events(t: RetailTables, ledger: DataFrame | None = None, min
     accepted sales only raise; returns and rejected sales never touch alerts.
     ``initially_active``: (product_id, variant_id) keys that start with an active alert.
     """
-    ledger = stock_ledger(t) if ledger is None else ledger
+    ledger = t.ledger if ledger is None else ledger
     x = _keyed(_alert_signal(t, ledger, min_level))
     x = keyed_scan(x, KEYS, "seq", "signal", "last", "state_before", exclusive=True, chunk_width=chunk_width)
     init = F.lit(0)

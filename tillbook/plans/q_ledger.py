@@ -25,10 +25,10 @@ register("stock_ledger_adjust_only", _adjust_only, with_views(
     f"SELECT {LEDGER_COLS} FROM ledger", "stock_ops",
     extra={"ops_adj": "SELECT * FROM stock_ops WHERE op <> 'sale'", **ledger_ctes("ops_adj")}),
     "L1w: the same fold without sales, in window form")
-register("stock_movements", lambda t: L.movements_from_ledger(L.stock_ledger(t)), with_views("SELECT * FROM stock_movements", "stock_ops",
+register("stock_movements", lambda t: L.movements_from_ledger(t.ledger), with_views("SELECT * FROM stock_movements", "stock_ops",
                                                                     extra=MOVEMENTS_CTES),
          "accepted ledger rows as the movements table")
-register("stock_on_hand", lambda t: L.stock_on_hand(L.stock_ledger(t)), with_views("""
+register("stock_on_hand", lambda t: L.stock_on_hand(t.ledger), with_views("""
     SELECT product_id, variant_id, arg_max(q_after, seq) AS quantity, MAX(created_at) AS last_updated
     FROM ledger GROUP BY product_id, variant_id""", "stock_ops", extra=LEDGER_CTES), "L2")
 register("low_stock_alerts", lambda t: L.alerts_table(L.low_stock_alert_events(t)), with_views("SELECT * FROM low_stock_alerts",

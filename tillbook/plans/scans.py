@@ -12,6 +12,10 @@ sequence range (``seq // chunk_width``):
 4. carry-in and local value are combined on a join by (key, chunk).
 
 Exact for associative aggregates: sum, min, max, last non-null.
+
+The input is read by two branches (window and chunk aggregate); feed these scans a
+table or a checkpoint, not an expensive uncached plan (``RetailTables.ledger`` is
+checkpointed for that reason).
 """
 
 from __future__ import annotations

@@ -290,13 +290,26 @@ class RetailTables:
             self._tables[name] = self.spark.read.schema(RETAIL_SCHEMAS[name]).parquet(f"{self._root}/{name}")
         return self._tables.get(name)
 
+    @cached_property
+    def ledger(self) -> DataFrame:
+        """The ledger job's output over ``stock_ops`` (opening 0), checkpointed once per bundle.
+
+        Downstream jobs (movements, alerts, consistency) scan it several times; the
+        checkpoint in the session's ``spark.checkpoint.dir`` runs the fold once and cuts the
+        lineage, as writing the ledger table would.
+        """
+        from tillbook.operators.ledger import stock_ledger
+        from tillbook.session import checkpoint_dir
+        checkpoint_dir(self.spark)
+        return stock_ledger(self).checkpoint(eager=True)
+
     @cached_property
     def stock_movements(self) -> DataFrame:
         """Ledger rows of ``stock_ops`` (opening quantity 0), in the reference's movement shape."""
         if self._stored("stock_movements") is not None:
             return self._tables["stock_movements"]
-        from tillbook.operators.ledger import movements_from_ledger, stock_ledger
-        return movements_from_ledger(stock_ledger(self))
+        from tillbook.operators.ledger import movements_from_ledger
+        return movements_from_ledger(self.ledger)
 
     @cached_property
     def low_stock_alerts(self) -> DataFrame:
@@ -304,4 +317,4 @@ class RetailTables:
         if self._stored("low_stock_alerts") is not None:
             return self._tables["low_stock_alerts"]
         from tillbook.operators.ledger import alerts_table, low_stock_alert_events
-        return alerts_table(low_stock_alert_events(self))
+        return alerts_table(low_stock_alert_events(self, self.ledger))
