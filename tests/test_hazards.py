@@ -136,3 +136,30 @@ def test_k9_acknowledge(spark):
     res = sorted((r.alert_id, r.user_id, r.result) for r in X.ack_outcomes(alerts, acks).collect())
     assert [x[2] for x in res] == ["acknowledged", "not found or already acknowledged",
                                    "not found or already acknowledged", "not found or already acknowledged"]
+
+
+def test_s13_line_mode_outputs(spark):
+    products = _mk(spark, "products", [_prod(1, "A"), _prod(2, "B")])
+    stock = _mk(spark, "stock", [(10, 1, None, 5, 0, T0, None), (20, 2, None, 1, 0, T0, None)])
+    t = RetailTables.from_frames(spark, products=products, stock=stock)
+    lines = spark.createDataFrame(
+        [(1, 1, 1001, 1, None, 4, Decimal("2.00"), 3, T0), (1, 2, 1002, 2, None, 2, Decimal("5.00"), 3, T0),
+         (2, 1, 2001, 1, None, 1, Decimal("2.00"), 3, T0), (2, 2, 2002, 1, None, 1, Decimal("2.00"), 3, T0)],
+        "cart_id long, line_no int, seq long, product_id long, variant_id long, quantity int, "
+        "unit_price decimal(12,2), created_by long, created_at timestamp_ntz")
+    res = X.apply_sales(t, lines)
+    ok = {(r.cart_id, r.line_no): (r.line_ok, r.stock_before, r.stock_after) for r in res.collect()}
+    assert ok == {(1, 1): (1, 5, 1), (1, 2): (0, 1, 1), (2, 1): (1, 1, 0), (2, 2): (0, 0, 0)}
+    carts = {r.cart_id: r.outcome for r in X.apply_sales_carts(res).collect()}
+    assert carts == {1: "partial", 2: "partial"}
+    headers = spark.createDataFrame([(1, "S-1", None, 3, None, Decimal("1.00"), None, None, T0),
+                                     (2, "S-2", "card", 3, "x", None, Decimal("0.50"), None, T0)],
+                                    "cart_id long, sale_number string, payment_method string, cashier_id long, "
+                                    "customer_name string, discount_amount decimal(12,2), tax_amount decimal(12,2), "
+                                    "notes string, created_at timestamp_ntz")
+    rows = {r.id: r for r in X.sale_replay_rows(res, headers).collect()}
+    assert rows[1].total_amount == Decimal("7.00") and rows[1].payment_method == "cash"
+    assert rows[2].total_amount == Decimal("2.50")
+    mv = X.sale_replay_movements(res, headers).collect()
+    assert sorted((m.id, m.quantity_change, m.notes) for m in mv) == [(1001, -4, "Sale S-1"), (2001, -1, "Sale S-2")]
+    assert X.sale_replay_items(res).count() == 2

@@ -126,6 +126,45 @@ def apply_sales_carts(line_results: DataFrame) -> DataFrame:
                     F.coalesce(F.col("_sub"), F.lit(0)).cast("double").alias("accepted_subtotal"), status.alias("outcome"))
 
 
+def sale_replay_rows(line_results: DataFrame, headers: DataFrame) -> DataFrame:
+    """S13 output: one ``sales`` row per cart with at least one accepted line.
+
+    ``headers``: cart_id, sale_number, payment_method, cashier_id, customer_name,
+    discount_amount, tax_amount, notes, created_at. Total = Σ accepted quantity × unit
+    price − discount + tax (line mode: rejected lines are left out).
+    """
+    acc = line_results.filter(F.col("line_ok") == 1).groupBy("cart_id").agg(
+        F.sum(F.col("quantity") * F.col("unit_price")).alias("_sub"))
+    h = headers.join(acc, "cart_id", "inner")
+    disc = F.coalesce(F.col("discount_amount"), F.lit(0))
+    tax = F.coalesce(F.col("tax_amount"), F.lit(0))
+    return h.select(F.col("cart_id").alias("id"), "sale_number",
+                    (F.col("_sub") - disc + tax).cast("decimal(12,2)").alias("total_amount"),
+                    tax.cast("decimal(12,2)").alias("tax_amount"), disc.cast("decimal(12,2)").alias("discount_amount"),
+                    F.coalesce(F.col("payment_method"), F.lit("cash")).alias("payment_method"),
+                    F.lit("completed").alias("status"), "cashier_id", "customer_name", "notes", "created_at")
+
+
+def sale_replay_items(line_results: DataFrame) -> DataFrame:
+    """S13 output: ``sale_items`` rows of the accepted lines (total = quantity × unit price)."""
+    ok = line_results.filter(F.col("line_ok") == 1)
+    return ok.select(F.col("cart_id").alias("sale_id"), "line_no", "product_id", "variant_id", "quantity",
+                     "unit_price", (F.col("quantity") * F.col("unit_price")).cast("decimal(12,2)").alias("total_price"),
+                     F.lit(0).cast("decimal(12,2)").alias("discount_amount"))
+
+
+def sale_replay_movements(line_results: DataFrame, headers: DataFrame) -> DataFrame:
+    """S13 output: ledger rows (``sale``, −quantity, before/after) of the accepted lines."""
+    ok = line_results.filter(F.col("line_ok") == 1)
+    h = headers.select("cart_id", "sale_number", F.col("cashier_id").alias("created_by"), "created_at")
+    j = ok.join(h, "cart_id", "left")
+    return j.select(F.col("seq").alias("id"), "product_id", "variant_id", F.lit("sale").alias("movement_type"),
+                    (-F.col("quantity")).alias("quantity_change"), F.col("stock_before").alias("quantity_before"),
+                    F.col("stock_after").alias("quantity_after"), F.col("cart_id").alias("reference_id"),
+                    F.lit("sale").alias("reference_type"), F.concat(F.lit("Sale "), F.col("sale_number")).alias("notes"),
+                    "created_by", "created_at")
+
+
 def refund_outcomes(t: RetailTables, items: DataFrame, requests: DataFrame, request_lines: DataFrame) -> DataFrame:
     """One outcome row per refund request.
 

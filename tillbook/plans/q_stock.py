@@ -177,6 +177,23 @@ register("apply_sales", lambda t: X.apply_sales_carts(X.apply_sales(t, SI.cart_l
     "S13: every sale's lines replayed against the stock table in sale-id order (line mode)")
 
 
+def _replay_movements(t):
+    lines = X.apply_sales(t, SI.cart_lines(t))
+    return X.sale_replay_movements(lines, SI.cart_headers(t))
+
+
+register("apply_sales_movements", _replay_movements, with_views("""
+    SELECT v.seq AS id, v.product_id, v.variant_id, 'sale' AS movement_type, -v.quantity AS quantity_change,
+           l.q_before AS quantity_before, l.q_after AS quantity_after, v.cart_id AS reference_id,
+           'sale' AS reference_type, 'Sale ' || s.sale_number AS notes, s.cashier_id AS created_by, s.created_at
+    FROM cart_val v JOIN ledger l ON l.seq = v.seq AND l.accepted = 1 LEFT JOIN sales s ON s.id = v.cart_id
+    WHERE v.reason IS NULL""", "sale_items", "sales", "products", "stock", extra={
+    "cart_lines": CART_LINES_SQL, "cart_val": CART_VAL,
+    "sale_ops": "SELECT seq, product_id, variant_id, 'sale' AS op, quantity AS n, created_by, created_at "
+                "FROM cart_val WHERE reason IS NULL",
+    **ledger_ctes("sale_ops", opening="stock")}), "S13 ledger rows of the accepted replayed lines")
+
+
 def _refunds(t):
     lines = SI.lineitem_lines(t)
     items = lines.select("sale_id", "line_no", "product_id", "variant_id", "quantity")

@@ -113,3 +113,9 @@ def user_deactivation_patches(t: RetailTables, actor_id: int = 0) -> DataFrame:
 
 def user_delete_requests(t: RetailTables, actor_id: int = 0) -> DataFrame:
     return t.users.select(F.col("id").alias("req_id"), "id", F.lit(actor_id).cast("bigint").alias("actor_id"))
+
+
+def cart_headers(t: RetailTables) -> DataFrame:
+    """Cart headers for the sale replay: every sale's own header fields."""
+    return t.sales.select(F.col("id").alias("cart_id"), "sale_number", "payment_method", "cashier_id", "customer_name",
+                          "discount_amount", "tax_amount", "notes", "created_at")
