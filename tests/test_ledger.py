@@ -175,3 +175,18 @@ def test_stream_equals_batch_and_flags_late_rows(spark):
     for r in out:
         if r.late == 0:
             assert (r.q_before, r.q_after, r.accepted) == want[r.seq]
+
+
+@pytest.mark.parametrize("hot_rows", [0, 25])
+def test_hot_groups_fold_in_chunks_exactly(spark, hot_rows):
+    rng = random.Random(21)
+    rows = _ops(rng, 900, 5)
+    t, ops = _tables(spark, rows)
+    opening = {(pid, None): rng.randrange(0, 60) for pid in range(5)}
+    op_df = spark.createDataFrame([(p, v, q) for (p, v), q in opening.items()],
+                                  "product_id long, variant_id long, quantity int")
+    want = _py_fold(rows, opening)
+    got = L.stock_ledger(t, ops=ops, opening=op_df, chunk_width=16, hot_rows=hot_rows).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.q_before, r.q_after, r.accepted) == want[r.seq], r.seq

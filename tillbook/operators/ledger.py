@@ -56,6 +56,18 @@ LEDGER_SCHEMA = T.StructType([
 ])
 
 
+PIECES_SCHEMA = T.StructType([
+    T.StructField("product_id", T.LongType()), T.StructField("_vk", T.LongType()), T.StructField("seg", T.LongType()),
+    T.StructField("_chunk", T.LongType()), T.StructField("_opening", T.LongType()), T.StructField("lo", T.LongType()),
+    T.StructField("hi", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("val", T.LongType()),
+])
+STARTS_SCHEMA = T.StructType([
+    T.StructField("product_id", T.LongType()), T.StructField("_vk", T.LongType()), T.StructField("seg", T.LongType()),
+    T.StructField("_chunk", T.LongType()), T.StructField("_start", T.LongType()),
+])
+HOT_ROWS = 1 << 20  # a (product, variant, segment) group above this many ops is folded in chunks
+
+
 def _keyed(ops: DataFrame) -> DataFrame:
     return ops.withColumn("_vk", F.coalesce(F.col("variant_id"), F.lit(NO_VARIANT).cast("bigint")))
 
@@ -91,12 +103,30 @@ def _finish(led: DataFrame) -> DataFrame:
                       "created_by", "created_at")
 
 
+def _chunk_starts(x: DataFrame, nparts: int, chunk_width: int) -> DataFrame:
+    """Start quantity of every chunk of the hot groups in ``x`` (rows with ``_chunk >= 0``).
+
+    Each chunk becomes its exact transfer function (pieces of ``q -> q + off`` or
+    ``q -> const``; a few per sale/out, one after an adjustment); per group the chunk
+    functions are composed in order. Only pieces — not rows — meet in one task.
+    """
+    hot = x.filter(F.col("_chunk") >= 0)
+    pieces = (hot.repartition(nparts, *KEYS, "seg", "_chunk")
+              .sortWithinPartitions(*KEYS, "seg", "_chunk", "seq")
+              .mapInPandas(folds.chunk_functions, PIECES_SCHEMA))
+    return pieces.groupBy(*KEYS, "seg").applyInPandas(folds.compose_starts, STARTS_SCHEMA)
+
+
 def stock_ledger(t: RetailTables, ops: DataFrame | None = None, opening: DataFrame | None = None,
-                 chunk_width: int = DEFAULT_CHUNK_WIDTH, has_adjustments: bool = True) -> DataFrame:
+                 chunk_width: int = DEFAULT_CHUNK_WIDTH, has_adjustments: bool = True,
+                 hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """L1: every op with before / after / change and an ``accepted`` flag (rejected sales: 0).
 
     ``has_adjustments=False`` declares that ``ops`` holds no ``adjustment`` rows (e.g. a
     sale replay): the whole key is one segment and the segment scan is skipped.
+    Groups (product, variant, segment) with more than ``hot_rows`` ops are cut into
+    ``chunk_width`` seq ranges whose start quantities come from composed chunk
+    functions, then all chunks fold in parallel (exact; see ``_chunk_starts``).
     """
     ops = t.stock_ops if ops is None else ops
     x = _with_opening(_keyed(ops), opening)
@@ -108,8 +138,16 @@ def stock_ledger(t: RetailTables, ops: DataFrame | None = None, opening: DataFra
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     x = x.select("seq", "product_id", "variant_id", "_vk", "seg", "_role", "op", "n", "created_by", "created_at",
                  "opening")
-    led = (x.repartition(nparts, "product_id", "_vk", "seg")
-           .sortWithinPartitions("product_id", "_vk", "seg", "seq")
+    if hot_rows is not None:
+        sizes = x.groupBy(*KEYS, "seg").agg(F.count(F.lit(1)).alias("_gn"))
+        x = x.join(sizes, [*KEYS, "seg"], "left").withColumn(
+            "_chunk", F.when(F.col("_gn") > hot_rows, F.floor(F.col("seq") / F.lit(chunk_width)))
+            .otherwise(F.lit(-1)).cast("bigint")).drop("_gn")
+        x = x.join(_chunk_starts(x, nparts, chunk_width), [*KEYS, "seg", "_chunk"], "left")
+    else:
+        x = x.withColumn("_chunk", F.lit(-1).cast("bigint")).withColumn("_start", F.lit(None).cast("bigint"))
+    led = (x.repartition(nparts, "product_id", "_vk", "seg", "_chunk")
+           .sortWithinPartitions("product_id", "_vk", "seg", "_chunk", "seq")
            .mapInPandas(folds.fold_sorted_batches, LEDGER_SCHEMA))
     return _finish(led)
 
