@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.exprs import all_of, contains_any, currency_text, date_text, full_name, mean_of, money
 from tillbook.functions.periods import AS_OF, day_range, in_period
+from tillbook.plans.scans import keyed_scan
 from tillbook.sources.views import RetailTables
 
 SALE_COLS = ("id", "sale_number", "total_amount", "tax_amount", "discount_amount", "payment_method", "status",
@@ -218,7 +219,7 @@ def cart_totals(lines: DataFrame, headers: DataFrame | None = None) -> DataFrame
 def cart_validation(t: RetailTables, lines: DataFrame) -> DataFrame:
     """Judge every cart line; a cart is accepted only if all its lines are.
 
-    ``lines``: cart_id, line_no, product_id, variant_id, quantity. A line is bad when
+    ``lines``: cart_id, line_no (unique in the cart), product_id, variant_id, quantity. A line is bad when
     its product is missing or inactive, when no stock row matches (variant compared
     null-safely), or when the running quantity of the same (product, variant) in the
     cart up to this line exceeds the stock (the reference checked each line against
@@ -229,9 +230,11 @@ def cart_validation(t: RetailTables, lines: DataFrame) -> DataFrame:
                         F.col("quantity").alias("stock_quantity"))
     j = lines.join(p, "product_id", "left")
     j = j.join(st, (j.product_id == st.s_pid) & j.variant_id.eqNullSafe(st.s_vid), "left").drop("s_pid", "s_vid")
-    w = (Window.partitionBy("cart_id", "product_id", "variant_id").orderBy("line_no")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    j = j.withColumn("requested_so_far", F.sum("quantity").over(w))
+    # running quantity per (cart, product, variant) in line order: a two-level scan, so one
+    # huge cart of one product is not a single window partition
+    j = j.withColumn("_vk", F.coalesce(F.col("variant_id"), F.lit(-1).cast("bigint")))
+    j = keyed_scan(j, ["cart_id", "product_id", "_vk"], "line_no", F.col("quantity").cast("bigint"), "sum",
+                   "requested_so_far").drop("_vk")
     reason = (F.when(F.col("_p").isNull(), F.lit("product_not_found"))
               .when(F.col("stock_quantity").isNull(), F.lit("stock_record_not_found"))
               .when(F.col("requested_so_far") > F.col("stock_quantity"), F.lit("insufficient_stock")))
