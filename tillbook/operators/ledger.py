@@ -103,7 +103,7 @@ def _finish(led: DataFrame) -> DataFrame:
                       "created_by", "created_at")
 
 
-def _chunk_starts(x: DataFrame, nparts: int, chunk_width: int) -> DataFrame:
+def _chunk_starts(x: DataFrame) -> DataFrame:
     """Start quantity of every chunk of the hot groups in ``x`` (rows with ``_chunk >= 0``).
 
     Each chunk becomes its exact transfer function (pieces of ``q -> q + off`` or
@@ -111,7 +111,7 @@ def _chunk_starts(x: DataFrame, nparts: int, chunk_width: int) -> DataFrame:
     functions are composed in order. Only pieces — not rows — meet in one task.
     """
     hot = x.filter(F.col("_chunk") >= 0)
-    pieces = (hot.repartition(nparts, *KEYS, "seg", "_chunk")
+    pieces = (hot.repartition(*KEYS, "seg", "_chunk")
               .sortWithinPartitions(*KEYS, "seg", "_chunk", "seq")
               .mapInPandas(folds.chunk_functions, PIECES_SCHEMA))
     return pieces.groupBy(*KEYS, "seg").applyInPandas(folds.compose_starts, STARTS_SCHEMA)
@@ -134,8 +134,6 @@ def stock_ledger(t: RetailTables, ops: DataFrame | None = None, opening: DataFra
         x = _split_adjustments(_segments(x, chunk_width))
     else:
         x = x.withColumn("seg", F.lit(0).cast("bigint")).withColumn("_role", F.lit(0))
-    spark = t.spark
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     x = x.select("seq", "product_id", "variant_id", "_vk", "seg", "_role", "op", "n", "created_by", "created_at",
                  "opening")
     if hot_rows is not None:
@@ -143,10 +141,11 @@ def stock_ledger(t: RetailTables, ops: DataFrame | None = None, opening: DataFra
         x = x.join(sizes, [*KEYS, "seg"], "left").withColumn(
             "_chunk", F.when(F.col("_gn") > hot_rows, F.floor(F.col("seq") / F.lit(chunk_width)))
             .otherwise(F.lit(-1)).cast("bigint")).drop("_gn")
-        x = x.join(_chunk_starts(x, nparts, chunk_width), [*KEYS, "seg", "_chunk"], "left")
+        x = x.join(_chunk_starts(x), [*KEYS, "seg", "_chunk"], "left")
     else:
         x = x.withColumn("_chunk", F.lit(-1).cast("bigint")).withColumn("_start", F.lit(None).cast("bigint"))
-    led = (x.repartition(nparts, "product_id", "_vk", "seg", "_chunk")
+    # hash by group (no fixed count: AQE sizes the partitions from the shuffle statistics)
+    led = (x.repartition("product_id", "_vk", "seg", "_chunk")
            .sortWithinPartitions("product_id", "_vk", "seg", "_chunk", "seq")
            .mapInPandas(folds.fold_sorted_batches, LEDGER_SCHEMA))
     return _finish(led)
