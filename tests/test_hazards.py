@@ -163,3 +163,47 @@ def test_s13_line_mode_outputs(spark):
     mv = X.sale_replay_movements(res, headers).collect()
     assert sorted((m.id, m.quantity_change, m.notes) for m in mv) == [(1001, -4, "Sale S-1"), (2001, -1, "Sale S-2")]
     assert X.sale_replay_items(res).count() == 2
+
+
+def _py_carts(carts, stock):
+    """Sequential truth: carts in order, all-or-nothing, running quantity within a cart."""
+    stock = dict(stock)
+    out = {}
+    for cid in sorted(carts, key=lambda c: min(l[0] for l in carts[c])):
+        need = {}
+        ok = True
+        for seq, pid, qty in sorted(carts[cid]):
+            if pid not in stock:
+                ok = False
+                break
+            need[pid] = need.get(pid, 0) + qty
+            if need[pid] > stock[pid]:
+                ok = False
+        out[cid] = "accepted" if ok else "rejected"
+        if ok:
+            for pid, q in need.items():
+                stock[pid] -= q
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_exact_cart_mode_matches_sequential_truth(spark, seed):
+    import random
+    rng = random.Random(seed)
+    npid = 4
+    products = _mk(spark, "products", [_prod(i, f"P{i}") for i in range(npid)])
+    stock_q = {i: rng.randrange(0, 25) for i in range(npid - 1)}  # product npid-1 has no stock row
+    stock = _mk(spark, "stock", [(i * 10, i, None, q, 0, T0, None) for i, q in stock_q.items()])
+    t = RetailTables.from_frames(spark, products=products, stock=stock)
+    carts, rows = {}, []
+    for c in range(30):
+        for ln in range(1, rng.randrange(1, 4) + 1):
+            pid = rng.randrange(0, npid) if rng.random() < 0.95 else rng.randrange(0, npid - 1)
+            q = rng.randrange(1, 6)
+            seq = c * 1000 + ln
+            carts.setdefault(c, []).append((seq, pid, q))
+            rows.append((c, ln, seq, pid, None, q, Decimal("1.00"), 1, T0))
+    lines = spark.createDataFrame(rows, "cart_id long, line_no int, seq long, product_id long, variant_id long, "
+                                        "quantity int, unit_price decimal(12,2), created_by long, created_at timestamp_ntz")
+    got = {r.cart_id: r.status for r in X.apply_sales_exact(t, lines).collect()}
+    assert got == _py_carts(carts, stock_q)

@@ -234,3 +234,56 @@ def stock_after_results(t: RetailTables, results: DataFrame) -> DataFrame:
     j = s.join(_keyed(last).drop("variant_id"), KEYS, "left")
     return j.select("id", "product_id", "variant_id", F.coalesce(F.col("_q"), F.col("quantity")).alias("quantity"),
                     "reserved_quantity", "last_updated", "updated_by")
+
+
+def apply_sales_exact(t: RetailTables, lines: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """S13, exact cart mode: a cart is all-or-nothing, carts processed in ``seq`` order.
+
+    A cart fits when, for each (product, variant), its total quantity ``need`` is at most
+    the stock at its turn. Only sales are involved, so that stock lies between
+
+    * an upper bound: opening − needs of the earlier *accepted* carts, and
+    * a lower bound: opening − needs of all earlier carts not yet rejected.
+
+    Each round computes both bounds for every (cart, key) as prefix sums over carts in
+    order (two-level keyed scans — no fold, no Python): ``need > upper`` anywhere rejects
+    the cart, ``need <= lower`` everywhere accepts it. The earliest undecided cart has
+    equal bounds, so every round decides at least one cart and the loop ends; each
+    round's decisions are checkpointed (lineage cut), one count per round is the only
+    driver-side action. Static failures (unknown/inactive product, no stock row) reject
+    the cart up front. Returns cart_id, status (accepted / rejected / pending when
+    ``max_rounds`` stopped early) and the number of rounds.
+    """
+    from tillbook.plans.scans import keyed_scan
+    from tillbook.session import checkpoint_dir
+    checkpoint_dir(t.spark)
+    v = _validate_stock_requests(t, lines)
+    static_bad = v.filter(F.col("reason").isNotNull()).select("cart_id").distinct()
+    live = _keyed(v.filter(F.col("reason").isNull()).join(static_bad, "cart_id", "left_anti"))
+    order = live.groupBy("cart_id").agg(F.min("seq").alias("_order"))
+    stock = _keyed(t.stock).select(*KEYS, F.col("quantity").cast("bigint").alias("_open"))
+    needs = (live.groupBy("cart_id", *KEYS).agg(F.sum("quantity").cast("bigint").alias("_need"))
+             .join(order, "cart_id").join(stock, KEYS, "left")).checkpoint(eager=True)
+    status = (order.select("cart_id", F.lit(None).cast("string").alias("status"))
+              .unionByName(static_bad.select("cart_id", F.lit("rejected").alias("status")))).checkpoint(eager=True)
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        if status.filter(F.col("status").isNull()).limit(1).count() == 0:
+            break
+        rounds += 1
+        x = needs.join(status, "cart_id")
+        acc = F.when(F.col("status") == "accepted", F.col("_need")).otherwise(F.lit(0))
+        live_need = F.when(F.col("status") == "rejected", F.lit(0)).otherwise(F.col("_need"))
+        x = keyed_scan(x, KEYS, "_order", acc, "sum", "_acc_before", exclusive=True)
+        x = keyed_scan(x, KEYS, "_order", live_need, "sum", "_live_before", exclusive=True)
+        upper = F.col("_open") - F.coalesce(F.col("_acc_before"), F.lit(0))
+        lower = F.col("_open") - F.coalesce(F.col("_live_before"), F.lit(0))
+        per_cart = x.filter(F.col("status").isNull()).groupBy("cart_id").agg(
+            F.max(F.when(F.col("_need") > upper, 1).otherwise(0)).alias("_fail"),
+            F.min(F.when(F.col("_need") <= lower, 1).otherwise(0)).alias("_fit"))
+        decided = per_cart.select("cart_id", F.when(F.col("_fail") == 1, F.lit("rejected"))
+                                  .when(F.col("_fit") == 1, F.lit("accepted")).alias("_new"))
+        status = (status.join(decided, "cart_id", "left")
+                  .select("cart_id", F.coalesce(F.col("status"), F.col("_new")).alias("status"))).checkpoint(eager=True)
+    return status.select("cart_id", F.coalesce(F.col("status"), F.lit("pending")).alias("status"),
+                         F.lit(rounds).alias("rounds"))

@@ -233,3 +233,8 @@ register("apply_refunds", _refunds, with_views("""
              FROM r1 LEFT JOIN na ON na.request_id = r1.request_id LEFT JOIN nl ON nl.request_id = r1.request_id""",
     "ff": "SELECT sale_id, MIN(request_id) AS first_full FROM r3 WHERE eligible AND is_full GROUP BY sale_id",
 }), "S14: one refund request per order with returned (R) line items")
+
+# Iterative (rounds until every cart is decided): no SQL oracle; tests compare it with a
+# sequential cart-by-cart simulation on random contended fixtures.
+register("apply_sales_exact", lambda t: X.apply_sales_exact(t, SI.cart_lines(t)), None,
+         "S13 exact cart mode: every sale replayed all-or-nothing against the stock table")
