@@ -207,3 +207,85 @@ def test_exact_cart_mode_matches_sequential_truth(spark, seed):
                                         "quantity int, unit_price decimal(12,2), created_by long, created_at timestamp_ntz")
     got = {r.cart_id: r.status for r in X.apply_sales_exact(t, lines).collect()}
     assert got == _py_carts(carts, stock_q)
+
+
+def _sale(i, amount, status, at, cashier=1):
+    return (i, f"S{i}", Decimal(amount), Decimal(0), Decimal(0), "cash", status, cashier, None, None, at)
+
+
+def test_h6_h9_h10_h20_period_semantics(spark):
+    as_of = dt.date(2001, 8, 1)
+    sales = _mk(spark, "sales", [
+        _sale(1, "10.00", "completed", dt.datetime(2001, 7, 25, 0, 0)),   # as_of - 7: inside "week"
+        _sale(2, "20.00", "refunded", dt.datetime(2001, 7, 30, 12)),
+        _sale(3, "5.00", "pending", dt.datetime(2001, 8, 4, 9)),          # after as_of: no upper bound
+        _sale(4, "7.00", "completed", dt.datetime(2001, 7, 24, 23, 59))])  # just outside
+    t = RetailTables.from_frames(spark, sales=sales)
+    r = S.sales_period_summary(t, "week", as_of).collect()[0]
+    assert (r.total_sales, r.total_revenue, r.completed_sales, r.refunded_sales) == (3, 10.0, 1, 1)
+    assert r.net_revenue == -10.0                                # completed − refunded, kept as is
+    f = S.sales_filtered_summary(t, date_from="2001-07-25", date_to="2001-08-04").collect()[0]
+    assert f.total_revenue == 35.0                               # list summary sums every status
+    empty = S.sales_period_summary(t, "today", dt.date(1990, 1, 1)).collect()[0]
+    assert empty.total_revenue is None and empty.average_sale is None
+    ov = D.sales_overview(t, dt.date(2010, 1, 1)).collect()[0]
+    assert (ov.today_revenue, ov.week_revenue, ov.today_average) == (0.0, 0.0, 0.0)
+
+
+def test_h11_h12_periods(spark):
+    sales = _mk(spark, "sales", [_sale(1, "10.00", "completed", dt.datetime(2001, 1, 5))])
+    users = _mk(spark, "users", [(1, "u", "u@x.io", "cashier", "A", "B", 1, T0, T0),
+                                 (2, "v", "v@x.io", "admin", "C", "D", 1, T0, T0)])
+    t = RetailTables.from_frames(spark, sales=sales, users=users)
+    with pytest.raises(ValueError):
+        S.sales_period_summary(t, "fortnight")
+    perf = {r.id: (r.total_sales, r.total_revenue) for r in D.cashier_performance(t, "year", dt.date(2001, 8, 1)).collect()}
+    assert perf == {1: (1, 10.0), 2: (0, 0.0)}                  # users without sales kept with zeros
+
+
+def test_h16_h17_h18_missing_and_empty_stock(spark):
+    cats = _mk(spark, "categories", [(1, "root", None, None, 1, T0, T0)])
+    products = _mk(spark, "products", [_prod(1, "A", cat=1, mn=5), _prod(2, "B", cat=1, mn=5), _prod(3, "C", cat=1)])
+    stock = _mk(spark, "stock", [(10, 1, None, 0, 0, T0, None), (20, 2, None, 9, 0, T0, None)])  # 3: no stock row
+    t = RetailTables.from_frames(spark, categories=cats, products=products, stock=stock)
+    from tillbook.operators import stock as K
+    lv = {r.id: (r.stock_status, r.is_low_stock) for r in K.stock_levels(t).collect()}
+    assert lv == {1: ("out_of_stock", 1), 2: ("in_stock", 0), 3: ("in_stock", 0)}
+    d = D.stock_distribution(t).collect()[0]
+    assert (d.out_of_stock, d.low_stock, d.in_stock) == (1, 0, 1)   # product 3 is in no bucket
+    c = D.inventory_by_category(t).collect()[0]
+    assert (c.total_products, c.low_stock_count, c.out_of_stock_count) == (3, 1, 1)  # out counts as low here
+
+
+def test_h25_adjust_quantity_rules(spark):
+    products = _mk(spark, "products", [_prod(1, "A")])
+    stock = _mk(spark, "stock", [(10, 1, None, 4, 0, T0, None)])
+    t = RetailTables.from_frames(spark, products=products, stock=stock)
+    adj = spark.createDataFrame([(1, 1, None, "adjustment", 0, 1, T0), (2, 1, None, "in", 3, 1, T0),
+                                 (3, 1, None, "out", 10, 1, T0), (4, 2, None, "in", 1, 1, T0)],
+                                RETAIL_SCHEMAS["stock_ops"])
+    single = {r.seq: (r.status, r.error, r.new_quantity) for r in X.adjust_results(t, adj, min_quantity=1).collect()}
+    assert single[1] == ("failed", "Validation failed", None)
+    assert single[2] == ("success", None, 7) and single[3] == ("success", None, 0)   # out floors at 0
+    assert single[4] == ("failed", "Product not found", None)
+    bulk = {r.seq: (r.status, r.new_quantity) for r in X.adjust_results(t, adj, min_quantity=0).collect()}
+    assert bulk[1] == ("success", 0) and bulk[2] == ("success", 3) and bulk[3] == ("success", 0)
+    s = X.adjust_summary(X.adjust_results(t, adj)).collect()[0]
+    assert (s.total, s.successful, s.failed) == (4, 3, 1)
+
+
+def test_h28_sku_of_an_inactive_product(spark):
+    products = _mk(spark, "products", [_prod(1, "OLD", active=0), _prod(2, "LIVE")])
+    cats = _mk(spark, "categories", [(1, "c", None, None, 1, T0, T0)])
+    t = RetailTables.from_frames(spark, products=products, categories=cats)
+    inc = spark.createDataFrame(
+        [(1, 10, "OLD", "x", Decimal("1.00"), None, None, None, None, None, None, None),
+         (2, 11, "LIVE", "y", Decimal("1.00"), None, None, None, None, None, None, None),
+         (3, 12, "NEW", "z", Decimal("1.00"), None, None, None, None, None, None, None),
+         (4, 13, "NEW", "z2", Decimal("1.00"), None, None, None, None, None, None, None)],
+        "req_id long, id long, sku string, name string, price decimal(10,2), category_id long, brand string, "
+        "unit_size string, cost decimal(10,2), min_stock_level int, barcode string, description string")
+    out = {r.req_id: (r.ok, r.reason, r.warning) for r in C.catalog_check(t, inc, "insert").collect()}
+    assert out[1] == (1, None, "SKU is used by an inactive product")
+    assert out[2] == (0, "Product with this SKU already exists", None)
+    assert out[3] == (1, None, None) and out[4] == (0, "Product with this SKU already exists", None)
