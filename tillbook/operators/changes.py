@@ -254,7 +254,7 @@ def apply_sales_exact(t: RetailTables, lines: DataFrame, max_rounds: int | None
     the cart up front. Returns cart_id, status (accepted / rejected / pending when
     ``max_rounds`` stopped early) and the number of rounds.
     """
-    from tillbook.plans.scans import keyed_scan
+    from tillbook.plans.scans import keyed_scans
     from tillbook.session import checkpoint_dir
     checkpoint_dir(t.spark)
     v = _validate_stock_requests(t, lines)
@@ -274,8 +274,8 @@ def apply_sales_exact(t: RetailTables, lines: DataFrame, max_rounds: int | None
         x = needs.join(status, "cart_id")
         acc = F.when(F.col("status") == "accepted", F.col("_need")).otherwise(F.lit(0))
         live_need = F.when(F.col("status") == "rejected", F.lit(0)).otherwise(F.col("_need"))
-        x = keyed_scan(x, KEYS, "_order", acc, "sum", "_acc_before", exclusive=True)
-        x = keyed_scan(x, KEYS, "_order", live_need, "sum", "_live_before", exclusive=True)
+        x = keyed_scans(x, KEYS, "_order", [(acc, "sum", "_acc_before", True),
+                                             (live_need, "sum", "_live_before", True)])
         upper = F.col("_open") - F.coalesce(F.col("_acc_before"), F.lit(0))
         lower = F.col("_open") - F.coalesce(F.col("_live_before"), F.lit(0))
         per_cart = x.filter(F.col("status").isNull()).groupBy("cart_id").agg(

@@ -41,39 +41,49 @@ def keyed_scan(df: DataFrame, keys: list[str], order: str, value: str | Column,
     (map nullable keys to a sentinel first). ``exclusive`` leaves the current row out.
     ``kind`` ∈ sum, min, max, count, last (last non-null value).
     """
-    val = F.col(value) if isinstance(value, str) else value
-    d = df.withColumn("_v", val).withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_width)).cast("bigint"))
-    hi = -1 if exclusive else Window.currentRow
-    w_local = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, hi)
-    w_chunks = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return keyed_scans(df, keys, order, [(value, kind, out, exclusive)], chunk_width)
+
 
-    if kind == "last":
-        local = F.last("_v", ignorenulls=True).over(w_local)
-        tot = F.max_by(F.col("_v"), F.when(F.col("_v").isNotNull(), F.col(order))).alias("_tot")
-        carry = F.last("_tot", ignorenulls=True).over(w_chunks)
-    elif kind in _AGG:
-        local = _AGG[kind]("_v").over(w_local)
-        tot = _AGG[kind]("_v").alias("_tot")
-        carry = (_AGG["sum"] if kind == "count" else _AGG[kind])("_tot").over(w_chunks)
-    else:
-        raise ValueError(f"unknown scan kind {kind!r}")
-
-    chunks = d.groupBy(*keys, "_chunk").agg(tot)
-    carries = chunks.select(*keys, "_chunk", carry.alias("_carry"))
-    j = d.withColumn("_local", local).join(carries, [*keys, "_chunk"], "left")
-
-    loc, car = F.col("_local"), F.col("_carry")
-    if kind in ("sum", "count"):
-        res = F.coalesce(car, F.lit(0)) + F.coalesce(loc, F.lit(0))
-        if kind == "sum":
-            res = F.when(loc.isNull() & car.isNull(), F.lit(None)).otherwise(res)
-    elif kind == "min":
-        res = F.least(car, loc)
-    elif kind == "max":
-        res = F.greatest(car, loc)
-    else:
-        res = F.coalesce(loc, car)
-    return j.withColumn(out, res).drop("_v", "_chunk", "_local", "_carry")
+def keyed_scans(df: DataFrame, keys: list[str], order: str,
+                specs: list[tuple[str | Column, str, str, bool]],
+                chunk_width: int = DEFAULT_CHUNK_WIDTH) -> DataFrame:
+    """Several running aggregates ``(value, kind, out, exclusive)`` in one chunked pass:
+    one sort for the local windows, one chunk aggregate, one carry window, one join."""
+    d = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_width)).cast("bigint"))
+    d = d.select("*", *[(F.col(v) if isinstance(v, str) else v).alias(f"_v{i}") for i, (v, _k, _o, _e) in
+                        enumerate(specs)])
+    w_base = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    w_chunks = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    locals_, tots, carries, combine = [], [], [], []
+    for i, (_v, kind, out, exclusive) in enumerate(specs):
+        v = f"_v{i}"
+        w_local = w_base.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
+        if kind == "last":
+            locals_.append(F.last(v, ignorenulls=True).over(w_local).alias(f"_l{i}"))
+            tots.append(F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_t{i}"))
+            carries.append(F.last(f"_t{i}", ignorenulls=True).over(w_chunks).alias(f"_c{i}"))
+        elif kind in _AGG:
+            locals_.append(_AGG[kind](v).over(w_local).alias(f"_l{i}"))
+            tots.append(_AGG[kind](v).alias(f"_t{i}"))
+            carries.append((_AGG["sum"] if kind == "count" else _AGG[kind])(f"_t{i}").over(w_chunks).alias(f"_c{i}"))
+        else:
+            raise ValueError(f"unknown scan kind {kind!r}")
+        loc, car = F.col(f"_l{i}"), F.col(f"_c{i}")
+        if kind in ("sum", "count"):
+            res = F.coalesce(car, F.lit(0)) + F.coalesce(loc, F.lit(0))
+            if kind == "sum":
+                res = F.when(loc.isNull() & car.isNull(), F.lit(None)).otherwise(res)
+        elif kind == "min":
+            res = F.least(car, loc)
+        elif kind == "max":
+            res = F.greatest(car, loc)
+        else:
+            res = F.coalesce(loc, car)
+        combine.append(res.alias(out))
+    chunk_tab = d.groupBy(*keys, "_chunk").agg(*tots)
+    carry_tab = chunk_tab.select(*keys, "_chunk", *carries)
+    j = d.select("*", *locals_).join(carry_tab, [*keys, "_chunk"], "left")
+    return j.select(*df.columns, *combine)
 
 
 def keyed_walk(df: DataFrame, keys: list[str], order: str, delta: str, base: str,
