@@ -6,7 +6,6 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from tillbook.functions.exprs import contains_any, full_name
 from tillbook.operators import catalog as P

@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.operators.ledger import (_keyed, KEYS, movements_from_ledger, stock_ledger,
-                                       stock_ledger_adjust_only, stock_on_hand)
+from tillbook.operators.ledger import KEYS, _keyed, stock_ledger, stock_ledger_adjust_only
 from tillbook.sources.views import RetailTables
 
 ADJUST_TYPES = ("in", "out", "adjustment")
@@ -222,9 +221,6 @@ def refund_return_ops(t: RetailTables, items: DataFrame, requests: DataFrame, re
                        F.lit("return").alias("op"), F.col("quantity").alias("n"), "created_by", "created_at")
 
 
-__all__ = ["adjust_results", "adjust_summary", "acknowledge_alerts", "ack_outcomes", "apply_sales",
-           "apply_sales_carts", "refund_outcomes", "refund_return_ops", "movements_from_ledger", "stock_on_hand"]
-
 
 def stock_after_results(t: RetailTables, results: DataFrame) -> DataFrame:
     """Stock table after successful adjustments: last ``new_quantity`` per (product, variant) (L2 merge)."""
@@ -271,7 +267,9 @@ def apply_sales_exact(t: RetailTables, lines: DataFrame, max_rounds: int | None
         if status.filter(F.col("status").isNull()).limit(1).count() == 0:
             break
         rounds += 1
-        x = needs.join(status, "cart_id")
+        # only keys that still carry an undecided cart need new prefix sums
+        open_keys = needs.join(status.filter(F.col("status").isNull()), "cart_id", "left_semi").select(*KEYS).distinct()
+        x = needs.join(open_keys, KEYS, "left_semi").join(status, "cart_id")
         acc = F.when(F.col("status") == "accepted", F.col("_need")).otherwise(F.lit(0))
         live_need = F.when(F.col("status") == "rejected", F.lit(0)).otherwise(F.col("_need"))
         x = keyed_scans(x, KEYS, "_order", [(acc, "sum", "_acc_before", True),

@@ -12,8 +12,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.functions.exprs import full_name, is_low, mean_of, money, stock_status
-from tillbook.functions.periods import AS_OF, PERIOD_DAYS, _d, in_period, ts_lit
+from tillbook.functions.exprs import full_name, mean_of, money, stock_status
+from tillbook.functions.periods import AS_OF, _d, in_period
 from tillbook.operators.sales import _completed_item_agg
 from tillbook.sources.views import RetailTables
 
@@ -79,11 +79,12 @@ def out_of_stock_count(t: RetailTables) -> DataFrame:
 
 def entity_counts(t: RetailTables) -> DataFrame:
     """Active products, active categories, active users, active alerts (one row)."""
-    p = t.products.agg(F.count(F.when(F.col("is_active") == 1, 1)).alias("total_products"))
-    c = t.categories.agg(F.count(F.when(F.col("is_active") == 1, 1)).alias("total_categories"))
-    u = t.users.agg(F.count(F.when(F.col("is_active") == 1, 1)).alias("active_users"))
-    a = t.low_stock_alerts.agg(F.count(F.when(F.col("alert_status") == "active", 1)).alias("pending_alerts"))
-    return p.crossJoin(c).crossJoin(u).crossJoin(a)  # four single-row aggregates
+    flags = (t.products.select(F.lit(0).alias("k"), (F.col("is_active") == 1).alias("hit"))
+             .unionByName(t.categories.select(F.lit(1).alias("k"), (F.col("is_active") == 1).alias("hit")))
+             .unionByName(t.users.select(F.lit(2).alias("k"), (F.col("is_active") == 1).alias("hit")))
+             .unionByName(t.low_stock_alerts.select(F.lit(3).alias("k"), (F.col("alert_status") == "active").alias("hit"))))
+    names = ("total_products", "total_categories", "active_users", "pending_alerts")
+    return flags.agg(*[F.count(F.when((F.col("k") == i) & F.col("hit"), 1)).alias(n) for i, n in enumerate(names)])
 
 
 def activity_sales(t: RetailTables, limit: int = 5) -> DataFrame:
@@ -241,5 +242,3 @@ def cashier_performance(t: RetailTables, period: str = "month", as_of=AS_OF) ->
                     mean_of(F.col("rev_c"), F.col("n_c")).alias("average_sale"),
                     F.coalesce("refunded", z).alias("refunded_sales"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["ts_lit", "PERIOD_DAYS", "is_low"]

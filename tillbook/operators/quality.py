@@ -146,7 +146,7 @@ def seed_plan(t: RetailTables) -> DataFrame:
     """
     spark = t.spark
     cats = t.categories
-    cat_max = cats.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_m"))
+    cat_max = cats.select(F.coalesce(F.max("id"), F.lit(0))).scalar()  # scalar subqueries, no cross join
     name_ids = cats.groupBy("name").agg(F.min("id").alias("_id"))
 
     roots = spark.createDataFrame([(i, n, d) for i, (n, d, p) in enumerate(SEED_CATEGORIES) if p is None],
@@ -155,8 +155,7 @@ def seed_plan(t: RetailTables) -> DataFrame:
                                  "ord int, name string, parent_name string")
     root_exist = roots.join(cats.filter(F.col("parent_id").isNull()).select("name", F.col("id").alias("_eid")),
                             "name", "left").groupBy("ord", "name").agg(F.min("_eid").alias("_eid"))
-    root_new = root_exist.crossJoin(cat_max).withColumn(
-        "id", F.coalesce(F.col("_eid"), F.col("_m") + 1 + F.col("ord")).cast("bigint"))
+    root_new = root_exist.withColumn("id", F.coalesce(F.col("_eid"), cat_max + 1 + F.col("ord")).cast("bigint"))
     # parent resolution: existing name first, else the root inserted by this seed
     kid_par = (kids.join(name_ids.withColumnRenamed("name", "parent_name"), "parent_name", "left")
                .join(root_new.select(F.col("name").alias("parent_name"), F.col("id").alias("_rid")), "parent_name", "left")
@@ -166,8 +165,7 @@ def seed_plan(t: RetailTables) -> DataFrame:
                                           F.col("id").alias("_eid")),
                               (F.col("name") == F.col("_cn")) & (F.col("parent_id") == F.col("_pp")), "left")
                  .groupBy("ord", "name", "parent_id").agg(F.min("_eid").alias("_eid")))
-    kid_new = kid_exist.crossJoin(cat_max).withColumn(
-        "id", F.coalesce(F.col("_eid"), F.col("_m") + 1 + F.col("ord")).cast("bigint"))
+    kid_new = kid_exist.withColumn("id", F.coalesce(F.col("_eid"), cat_max + 1 + F.col("ord")).cast("bigint"))
     cat_rows = (root_new.select(F.lit("categories").alias("table_name"), F.col("name").alias("natural_key"),
                                 F.when(F.col("_eid").isNull(), "insert").otherwise("exists").alias("action"), "id",
                                 F.lit(None).cast("bigint").alias("ref_id"))
@@ -180,24 +178,24 @@ def seed_plan(t: RetailTables) -> DataFrame:
 
     prods = spark.createDataFrame([(i, s, c) for i, (s, _b, _n, c, *_r) in enumerate(SEED_PRODUCTS)],
                                   "ord int, sku string, category string")
-    p_max = t.products.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_m"))
+    p_max = t.products.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
     p_exist = prods.join(t.products.select("sku", F.col("id").alias("_eid")), "sku", "left").groupBy(
         "ord", "sku", "category").agg(F.min("_eid").alias("_eid"))
-    p_rows = (p_exist.join(all_names.withColumnRenamed("name", "category"), "category", "left").crossJoin(p_max)
+    p_rows = (p_exist.join(all_names.withColumnRenamed("name", "category"), "category", "left")
               .select(F.lit("products").alias("table_name"), F.col("sku").alias("natural_key"),
                       F.when(F.col("_eid").isNull(), "insert").otherwise("exists").alias("action"),
-                      F.coalesce(F.col("_eid"), F.col("_m") + 1 + F.col("ord")).cast("bigint").alias("id"),
+                      F.coalesce(F.col("_eid"), p_max + 1 + F.col("ord")).cast("bigint").alias("id"),
                       F.col("cid").alias("ref_id")))
 
     users = spark.createDataFrame([(i, u, e) for i, (u, e, *_r) in enumerate(SEED_USERS)],
                                   "ord int, username string, email string")
-    u_max = t.users.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_m"))
+    u_max = t.users.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
     hit_u = users.join(t.users.select("username", F.col("id").alias("_eu")), "username", "left")
     hit = hit_u.join(t.users.select("email", F.col("id").alias("_ee")), "email", "left").groupBy(
         "ord", "username").agg(F.min(F.coalesce("_eu", "_ee")).alias("_eid"))
-    u_rows = hit.crossJoin(u_max).select(
+    u_rows = hit.select(
         F.lit("users").alias("table_name"), F.col("username").alias("natural_key"),
         F.when(F.col("_eid").isNull(), "insert").otherwise("exists").alias("action"),
-        F.coalesce(F.col("_eid"), F.col("_m") + 1 + F.col("ord")).cast("bigint").alias("id"),
+        F.coalesce(F.col("_eid"), u_max + 1 + F.col("ord")).cast("bigint").alias("id"),
         F.lit(None).cast("bigint").alias("ref_id"))
     return cat_rows.unionByName(p_rows).unionByName(u_rows)

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tillbook.operators import changes as X
-from tillbook.operators import ledger as L
 from tillbook.operators import stock as K
 from tillbook.oracle.ledger_sql import ALERTS_CTES, MOVEMENTS_CTES, ledger_ctes
 from tillbook.oracle.views_sql import with_views

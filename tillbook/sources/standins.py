@@ -65,9 +65,9 @@ PRODUCT_REQ_COLS = ("sku", "name", "price", "category_id", "brand", "unit_size",
 
 def catalog_relist_requests(t: RetailTables) -> DataFrame:
     """Create requests: every inactive product listed again under a fresh id (after the current maximum)."""
-    top = t.products.agg((F.max("id") + 1).alias("_off"))
-    p = t.products.filter(F.col("is_active") == 0).crossJoin(top)
-    return p.select(F.col("id").alias("req_id"), (F.col("id") + F.col("_off")).alias("id"), *PRODUCT_REQ_COLS)
+    offset = t.products.select(F.max("id") + 1).scalar()  # scalar subquery, evaluated once by Spark
+    p = t.products.filter(F.col("is_active") == 0)
+    return p.select(F.col("id").alias("req_id"), (F.col("id") + offset).alias("id"), *PRODUCT_REQ_COLS)
 
 
 def catalog_update_requests(t: RetailTables) -> DataFrame:
