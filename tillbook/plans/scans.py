@@ -23,7 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_CHUNK_WIDTH = 4096
+# Sequence units per chunk. Local windows hold at most this many rows of a key; the chunk
+# table holds rows(key) / width rows for a dense key (a third of 10^12 rows -> ~5M).
+DEFAULT_CHUNK_WIDTH = 1 << 16
 
 _AGG = {
     "sum": lambda c: F.sum(c),
