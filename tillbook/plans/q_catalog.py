@@ -43,7 +43,7 @@ register("product_variants_stock", lambda t: P.product_variants_stock(t), with_v
     WHERE pv.is_active = 1""", "product_variants", "stock"), "P4")
 register("recent_movements_per_product", lambda t: P.recent_movements_per_product(t), with_views("""
     SELECT m.*, u.first_name || ' ' || u.last_name AS created_by_name
-    FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY created_at DESC, id DESC) AS rank
+    FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY created_at DESC, id DESC) AS INTEGER) AS rank
           FROM stock_movements) m LEFT JOIN users u ON m.created_by = u.id
     WHERE m.rank <= 10""", "users", "stock_ops", extra=MOVEMENTS_CTES), "P5")
 register("product_search", lambda t: P.product_search(t, "gear"), with_views("""

@@ -22,7 +22,7 @@ register("user_sales_stats", lambda t: U.user_sales_stats(t), with_views("""
     GROUP BY u.id, u.username, u.first_name, u.last_name, u.role""", "users", "sales"), "U6 for every user")
 register("user_recent_sales", lambda t: U.user_recent_sales(t), with_views("""
     SELECT cashier_id, rank, id, sale_number, CAST(total_amount AS DOUBLE) AS total_amount, status, created_at
-    FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cashier_id ORDER BY created_at DESC, id DESC) AS rank
+    FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY cashier_id ORDER BY created_at DESC, id DESC) AS INTEGER) AS rank
           FROM sales WHERE cashier_id IS NOT NULL) WHERE rank <= 10""", "sales"), "U7 for every cashier")
 register("user_movement_stats", lambda t: U.user_movement_stats(t), with_views("""
     SELECT u.id, u.username, COUNT(m.id) AS total_movements, MIN(m.created_at) AS first_movement,
