@@ -4,7 +4,7 @@ Prints one JSON line: {"metric", "value" (sum of per-query medians, seconds), "u
 "queries" {name: median seconds}, "sf", ...}.
 
 Mode (``$BENCH_MODE``): ``materialized`` (default) first writes the canonical retail
-tables once as parquet under a scratch folder (timed separately as ``build_views_sec``)
+tables once as parquet under the session's checkpoint folder (timed separately as ``build_views_sec``)
 and runs the queries on them — the deployment shape, where views are an ETL product;
 ``base`` derives the views inside every query from the supplied base tables.
 Each query is executed fully with the ``noop`` sink (no collect to the driver); one
@@ -18,13 +18,13 @@ import os
 import re
 import statistics
 import sys
-import tempfile
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tillbook.plans.registry import load_all  # noqa: E402
-from tillbook.session import local_session  # noqa: E402
+from tillbook.session import checkpoint_dir, local_session  # noqa: E402
 from tillbook.sources.views import RetailTables  # noqa: E402
 
 
@@ -41,7 +41,8 @@ def main() -> None:
     build = 0.0
     base = RetailTables.from_testdata(spark, sf_dir)
     if mode == "materialized":
-        root = tempfile.mkdtemp(prefix="tillbook-bench-", dir="/tmp")
+        # the shared folder the session names (spark.checkpoint.dir), a scratch one only when unset
+        root = f"{checkpoint_dir(spark).rstrip('/')}/bench-{uuid.uuid4().hex[:10]}"
         t0 = time.perf_counter()
         tables = base.materialize(f"{root}/retail")
         build = time.perf_counter() - t0

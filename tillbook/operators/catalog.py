@@ -60,8 +60,9 @@ def products_list(t: RetailTables, search=None, category_id=None, sort_by: str =
 
 def products_count(t: RetailTables, search=None, category_id=None, low_stock: bool = False,
                    limit: int = 20) -> DataFrame:
-    """Rows and pages under the list filters (no category join)."""
-    ps = products_with_stock(t).filter(_list_filter(search, category_id, low_stock))
+    """Rows and pages under the list filters (no category join; no stock join unless filtered on stock)."""
+    ps = products_with_stock(t) if low_stock else t.products.filter(F.col("is_active") == 1)
+    ps = ps.filter(_list_filter(search, category_id, low_stock))
     return ps.agg(F.count(F.lit(1)).alias("total")).select(
         "total", F.lit(limit).alias("per_page"), F.ceil(F.col("total") / F.lit(limit)).cast("bigint").alias("total_pages"))
 

@@ -40,8 +40,9 @@ def stock_levels(t: RetailTables, low_stock_only: bool = False, category_id=None
 
 def stock_levels_count(t: RetailTables, low_stock_only: bool = False, category_id=None, search=None,
                        limit: int = 50) -> DataFrame:
-    """K2: rows and pages under the same filters."""
-    ps = products_with_stock(t).filter(_stock_filter(low_stock_only, category_id, search))
+    """K2: rows and pages under the same filters (the stock join only when filtering on stock)."""
+    ps = products_with_stock(t) if low_stock_only else t.products.filter(F.col("is_active") == 1)
+    ps = ps.filter(_stock_filter(low_stock_only, category_id, search))
     return ps.agg(F.count(F.lit(1)).alias("total")).select(
         "total", F.lit(limit).alias("per_page"), F.ceil(F.col("total") / F.lit(limit)).cast("bigint").alias("total_pages"))
 
