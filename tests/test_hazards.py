@@ -288,3 +288,15 @@ def test_h28_sku_of_an_inactive_product(spark):
     assert out[1] == (1, None, "SKU is used by an inactive product")
     assert out[2] == (0, "Product with this SKU already exists", None)
     assert out[3] == (1, None, None) and out[4] == (0, "Product with this SKU already exists", None)
+
+
+def test_exact_cart_mode_matches_recursive_sql_on_supplied_tables(spark):
+    from oracle_harness import duck
+    from tillbook.oracle.carts_sql import exact_carts_sql
+    from tillbook.plans.q_stock import CART_LINES_SQL, CART_VAL
+    from tillbook.sources import standins as SI
+    sf = "/root/testdata/sf0.001"
+    t = RetailTables.from_testdata(spark, sf)
+    got = {r.cart_id: r.status for r in X.apply_sales_exact(t, SI.cart_lines(t)).collect()}
+    want = dict(duck(sf).execute(exact_carts_sql(CART_LINES_SQL, CART_VAL)).fetchall())
+    assert got == want and len(got) > 1000
