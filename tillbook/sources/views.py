@@ -4,8 +4,8 @@
 (the derivation rules are fixed in FIXTURES.md §B and mirrored in
 ``tillbook.oracle.views_sql``). ``RetailTables.from_parquet`` reads tables that were
 written once by ``materialize`` — the shape a production deployment would use: the
-views are built in one ETL job, written partitioned/bucketed, and every query reads
-them with pushdown and pruning.
+views are built in one ETL job, written range-partitioned and sorted on their query
+keys, and every query reads them with pushdown and min/max skipping.
 
 All frames are lazy; nothing is cached implicitly.
 """
