@@ -12,7 +12,7 @@ tiny shuffle).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions.exprs import all_of, contains_any, currency_text, date_text, full_name, mean_of, money
@@ -262,9 +262,10 @@ def cart_validation_summary(t: RetailTables, lines: DataFrame) -> DataFrame:
 
 def sale_lines_as_carts(t: RetailTables) -> DataFrame:
     """Stand-in cart lines from ``sale_items``: one cart per sale, lines numbered within it."""
-    w = Window.partitionBy("cart_id").orderBy("product_id", "quantity", "total_price")
-    return t.sale_items.select(F.col("sale_id").alias("cart_id"), "product_id", "variant_id", "quantity",
-                               "unit_price", "total_price").withColumn("line_no", F.row_number().over(w))
+    from tillbook.sources.standins import number_lines
+    items = t.sale_items.select(F.col("sale_id").alias("cart_id"), "product_id", "variant_id", "quantity",
+                                "unit_price", "total_price")
+    return number_lines(items, "cart_id", ["product_id", "quantity", "total_price"])
 
 
 def sales_display(t: RetailTables) -> DataFrame:

@@ -35,7 +35,7 @@ _AGG = {
 }
 
 
-def keyed_scan(df: DataFrame, keys: list[str], order: str, value: str | Column, kind: str, out: str,
+def keyed_scan(df: DataFrame, keys: list[str], order: str | list[str], value: str | Column, kind: str, out: str,
                exclusive: bool = False, chunk_width: int = DEFAULT_CHUNK_WIDTH) -> DataFrame:
     """Add column ``out`` = running ``kind`` of ``value`` over each key ordered by ``order``.
 
@@ -46,15 +46,21 @@ def keyed_scan(df: DataFrame, keys: list[str], order: str, value: str | Column,
     return keyed_scans(df, keys, order, [(value, kind, out, exclusive)], chunk_width)
 
 
-def keyed_scans(df: DataFrame, keys: list[str], order: str,
+def keyed_scans(df: DataFrame, keys: list[str], order: str | list[str],
                 specs: list[tuple[str | Column, str, str, bool]],
                 chunk_width: int = DEFAULT_CHUNK_WIDTH) -> DataFrame:
     """Several running aggregates ``(value, kind, out, exclusive)`` in one chunked pass:
-    one sort for the local windows, one chunk aggregate, one carry window, one join."""
-    d = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_width)).cast("bigint"))
+    one sort for the local windows, one chunk aggregate, one carry window, one join.
+
+    ``order`` may be a list of columns (a composite order); chunks are ranges of its
+    first column, which must be a non-null LONG, and rows are ordered by the whole list
+    inside a chunk.
+    """
+    cols = [order] if isinstance(order, str) else list(order)
+    d = df.withColumn("_chunk", F.floor(F.col(cols[0]) / F.lit(chunk_width)).cast("bigint"))
     d = d.select("*", *[(F.col(v) if isinstance(v, str) else v).alias(f"_v{i}") for i, (v, _k, _o, _e) in
                         enumerate(specs)])
-    w_base = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    w_base = Window.partitionBy(*keys, "_chunk").orderBy(*cols)
     w_chunks = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     locals_, tots, carries, combine = [], [], [], []
     for i, (_v, kind, out, exclusive) in enumerate(specs):
@@ -62,7 +68,7 @@ def keyed_scans(df: DataFrame, keys: list[str], order: str,
         w_local = w_base.rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
         if kind == "last":
             locals_.append(F.last(v, ignorenulls=True).over(w_local).alias(f"_l{i}"))
-            tots.append(F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_t{i}"))
+            tots.append(F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.struct(*cols))).alias(f"_t{i}"))
             carries.append(F.last(f"_t{i}", ignorenulls=True).over(w_chunks).alias(f"_c{i}"))
         elif kind in _AGG:
             locals_.append(_AGG[kind](v).over(w_local).alias(f"_l{i}"))

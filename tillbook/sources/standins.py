@@ -8,22 +8,30 @@ line items TPC-H flags as returned (``l_returnflag = 'R'``), one request per ord
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillbook.plans.scans import keyed_scan
+
 from tillbook.sources.views import RetailTables
 
 LINE_SLOTS = 1000  # seq = cart_id * LINE_SLOTS + line_no
 
 
+def number_lines(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``line_no`` = 1, 2, … inside each ``key`` in ``order`` (like ``row_number()``), through the
+    chunked count scan, so one huge sale is not a single window partition. ``order[0]``
+    must be a LONG."""
+    return keyed_scan(df, [key], order, F.lit(1), "count", "line_no").withColumn("line_no", F.col("line_no").cast("int"))
+
+
 def adjustment_requests(t: RetailTables) -> DataFrame:
     return t.stock_ops.filter(F.col("op").isin("in", "out", "adjustment"))
 
 
 def cart_lines(t: RetailTables) -> DataFrame:
     """Every sale's items as cart lines, numbered inside the sale, with the sale's cashier and time."""
-    w = Window.partitionBy("sale_id").orderBy("product_id", "quantity", "total_price")
-    items = t.sale_items.withColumn("line_no", F.row_number().over(w))
+    items = number_lines(t.sale_items, "sale_id", ["product_id", "quantity", "total_price"])
     s = t.sales.select(F.col("id").alias("sale_id"), F.col("cashier_id").alias("created_by"), "created_at")
     j = items.drop("created_at").join(s, "sale_id", "left")
     return j.select(F.col("sale_id").alias("cart_id"), "line_no",
@@ -33,10 +41,9 @@ def cart_lines(t: RetailTables) -> DataFrame:
 
 def lineitem_lines(t: RetailTables) -> DataFrame:
     """sale_items with a line number (and the TPC-H return flag) from the base lineitem table."""
-    li = t.base("lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
-                                                 "l_returnflag", "l_shipdate")
-    return li.select(F.col("l_orderkey").alias("sale_id"), F.row_number().over(w).alias("line_no"),
+    li = number_lines(t.base("lineitem").withColumn("_ln", F.col("l_linenumber").cast("bigint")), "l_orderkey",
+                      ["_ln", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"])
+    return li.select(F.col("l_orderkey").alias("sale_id"), "line_no",
                      F.col("l_partkey").alias("product_id"), F.lit(None).cast("bigint").alias("variant_id"),
                      F.floor("l_quantity").cast("int").alias("quantity"), "l_returnflag", "l_shipdate")
 
