@@ -190,3 +190,14 @@ def test_hot_groups_fold_in_chunks_exactly(spark, hot_rows):
     assert len(got) == len(rows)
     for r in got:
         assert (r.q_before, r.q_after, r.accepted) == want[r.seq], r.seq
+
+
+def test_number_lines_equals_row_number_with_a_hot_key(spark):
+    from tillbook.sources.standins import number_lines
+    rng = random.Random(13)
+    rows = [(0 if rng.random() < 0.4 else rng.randrange(1, 8), rng.randrange(0, 300), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "sale long, product long, uid long")
+    got = {r.uid: r.line_no for r in number_lines(df, "sale", ["product", "uid"], chunk_width=16).collect()}
+    w = Window.partitionBy("sale").orderBy("product", "uid")
+    want = {r.uid: r.rn for r in df.select("uid", F.row_number().over(w).alias("rn")).collect()}
+    assert got == want

@@ -101,6 +101,8 @@ def ledger_state_step(key, pdfs, state):
     State: (quantity, alert_active, last_seq). Rows with ``seq <= last_seq`` arrive too
     late to be folded in order and are emitted with ``late = 1`` and no effect.
     """
+    import warnings
+    warnings.filterwarnings("ignore", category=FutureWarning, module="pyspark")
     if state.exists:
         q, active, last_seq = state.get
         q, active, last_seq = int(q), int(active), int(last_seq)

@@ -18,11 +18,13 @@ from tillbook.sources.views import RetailTables
 LINE_SLOTS = 1000  # seq = cart_id * LINE_SLOTS + line_no
 
 
-def number_lines(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+def number_lines(df: DataFrame, key: str, order: list[str], chunk_width: int | None = None) -> DataFrame:
     """``line_no`` = 1, 2, … inside each ``key`` in ``order`` (like ``row_number()``), through the
     chunked count scan, so one huge sale is not a single window partition. ``order[0]``
     must be a LONG."""
-    return keyed_scan(df, [key], order, F.lit(1), "count", "line_no").withColumn("line_no", F.col("line_no").cast("int"))
+    kw = {} if chunk_width is None else {"chunk_width": chunk_width}
+    return (keyed_scan(df, [key], order, F.lit(1), "count", "line_no", **kw)
+            .withColumn("line_no", F.col("line_no").cast("int")))
 
 
 def adjustment_requests(t: RetailTables) -> DataFrame:
