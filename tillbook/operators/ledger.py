@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 
 from tillbook.functions import folds
 from tillbook.plans.scans import DEFAULT_CHUNK_WIDTH, keyed_scan, keyed_walk
+from tillbook.session import checkpoint_dir
 from tillbook.sources.views import RetailTables
 
 cloudpickle.register_pickle_by_value(folds)  # executors need no installed copy
@@ -137,6 +138,10 @@ def stock_ledger(t: RetailTables, ops: DataFrame | None = None, opening: DataFra
     x = x.select("seq", "product_id", "variant_id", "_vk", "seg", "_role", "op", "n", "created_by", "created_at",
                  "opening")
     if hot_rows is not None:
+        # the sized input feeds three branches (group sizes, hot chunks, the fold): cut its
+        # lineage once in the shared checkpoint folder instead of recomputing the segment scan
+        checkpoint_dir(x.sparkSession)
+        x = x.checkpoint(eager=True)
         sizes = x.groupBy(*KEYS, "seg").agg(F.count(F.lit(1)).alias("_gn"))
         x = x.join(sizes, [*KEYS, "seg"], "left").withColumn(
             "_chunk", F.when(F.col("_gn") > hot_rows, F.floor(F.col("seq") / F.lit(chunk_width)))
