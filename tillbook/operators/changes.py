@@ -94,7 +94,10 @@ def apply_sales(t: RetailTables, lines: DataFrame) -> DataFrame:
     reported by ``apply_sales_carts`` (the reference's all-or-nothing cart mode is not
     reproduced in batch; see README).
     """
-    v = _validate_stock_requests(t, lines)
+    from tillbook.session import checkpoint_dir
+    checkpoint_dir(t.spark)
+    # validated lines feed the ledger and the join-back: cut their lineage once
+    v = _validate_stock_requests(t, lines).checkpoint(eager=True)
     ops = v.filter(F.col("reason").isNull()).select(
         "seq", "product_id", "variant_id", F.lit("sale").alias("op"), F.col("quantity").alias("n"),
         "created_by", "created_at")
