@@ -35,3 +35,18 @@ def test_entry_contract(spark):
     q, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(q)
     assert len(q) == len(SPECS)
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "date": "DATE"}
+
+
+@pytest.mark.parametrize("name", sorted(n for n, s in SPECS.items() if s.sql is not None))
+def test_column_types_match_oracle(spark, con, name):
+    spec = SPECS[name]
+    df = spec.build(RetailTables.from_testdata(spark, SF))
+    rel = con.sql(spec.sql)
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for f in df.schema.fields:
+        s = f.dataType.simpleString()
+        assert SPARK_TO_DUCK.get(s, s.upper()) == duck_types.get(f.name), (name, f.name, s, duck_types.get(f.name))
