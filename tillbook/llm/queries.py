@@ -5,20 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillbook.llm import quality_rules
+from tillbook.llm import bpe, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op6_bpe_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again; digests of both."""
+    return bpe.bpe_round(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compression-band quality rules over all documents."""
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_bpe_round": op6_bpe_round,
     "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {}
