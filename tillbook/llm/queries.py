@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm import bpe, quality_rules
+from tillbook.llm import bpe, language_id, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def held_out() -> Column:
+    """One third of the documents, by the check sum of the id; NULL ids belong to the others."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the two thirds that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.language_id(docs, docs.where(~held_out()).select("text", "lang"))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_bpe_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again; digests of both."""
     return bpe.bpe_round(table(spark, sf_dir, "documents")).select(
@@ -27,6 +39,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_language_id": op5_language_id,
     "op6_bpe_round": op6_bpe_round,
     "op10_quality_rules": op10_quality_rules,
 }
