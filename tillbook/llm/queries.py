@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm import bpe, decontaminate, language_id, quality_rules, sharding, simhash
+from tillbook.llm import bpe, decontaminate, language_id, pii, quality_rules, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,17 @@ def op6_bpe_round(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and the terms that give entities away."""
+    found = pii.sanitised_spans(table(spark, sf_dir, "documents"))
+
+    def count(i: int) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long").alias(f"n_{pii.KINDS[i]}")
+
+    return found.select("doc_id", *map(count, range(4)), F.sha2(pii.told("base").cast("binary"), 256).alias("base_sha256"),
+                        pii.told("spans").alias("spans"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compression-band quality rules over all documents."""
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
@@ -62,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_language_id": op5_language_id,
     "op6_bpe_round": op6_bpe_round,
+    "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {}
