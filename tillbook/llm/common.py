@@ -40,7 +40,7 @@ def doc_key(doc_id: Column, text: Column) -> Column:
                        F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(7), F.coalesce(text, F.lit("")), F.lit("k"))))
 
 
-def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """``fn`` over the Arrow batches of ``df``, a bounded piece of text at a time (see ``pieces``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,6 +28,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tillbook.llm.common import cut, per_batch, pieces
 
@@ -200,9 +201,8 @@ def learn(labelled: DataFrame, path: str = VOCABULARY) -> PieceModel:
     return PieceModel(langs, vocab, table)
 
 
-def language_id(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                path: str = VOCABULARY) -> DataFrame:
-    """One row per input row: doc_id, lang_pred and score, by the model learned from ``labelled`` (text, lang)."""
+def with_language(docs: DataFrame, labelled: DataFrame, text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """(row, lang_pred, score), one per input row, all its columns in ``row``; learned from ``labelled`` (text, lang)."""
     model = learn(labelled, path)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.prob, model.alone))
     tag = uuid.uuid4().hex
@@ -210,11 +210,19 @@ def language_id(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, scores = worker_model(tag, shared).predict(batch.column("text").to_pylist())
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-            ["doc_id", "lang_pred", "score"])
+            [batch.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+            ["row", "lang_pred", "score"])
+
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    kinds = StructType([packed.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return per_batch(packed, fn, kinds)
 
-    return per_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")),
-                     fn, "doc_id long, lang_pred string, score double")
+
+def language_id(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                path: str = VOCABULARY) -> DataFrame:
+    """One row per input row: doc_id, lang_pred and score."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return with_language(rows, labelled, "text", path).select("row.doc_id", "lang_pred", "score")
 
 
 _loaded: dict = {}

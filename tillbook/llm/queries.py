@@ -44,11 +44,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def token_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text, one row per input row."""
+    return bpe.bpe_round(docs).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op6_bpe_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again; digests of both."""
-    return bpe.bpe_round(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return token_digests(table(spark, sf_dir, "documents"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

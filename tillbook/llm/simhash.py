@@ -111,15 +111,27 @@ def near_links(grid: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                    radius: int = RADIUS) -> DataFrame:
-    """One row per input row: k (see ``doc_key``), doc_id, fp (signed 64-bit), component_id."""
+    """One row per input row: k (see ``doc_key``), doc_id, fp (signed 64-bit), root (the component's least), component_id."""
     found = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     grid = cut(tiles(distinct.select("fp")), "tiles")
     roots = components(near_links(grid, radius)).withColumnRenamed("node", "fp")
     placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = placed.join(least, "root").select("fp", "component_id")
-    return found.join(groups, "fp").select("k", "doc_id", "fp", "component_id")
+    groups = placed.join(least, "root").select("fp", "root", "component_id")
+    return found.join(groups, "fp").select("k", "doc_id", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one with the least id (a NULL id is the largest).
+
+    Of rows that agree in id and text one stays. They are brought down to one in each task first.
+    """
+    found = simhash_groups(docs, id_col, text_col, shingle, radius)
+    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("x")).select("x.k")
+    rows = docs.select(doc_key(F.col(id_col), F.col(text_col)).alias("k"), F.struct(*docs.columns).alias("row"))
+    return rows.dropDuplicates(["k"]).join(stay, "k", "left_semi").select("row.*")
 
 
 def hex_digits(fp: Column) -> Column:
