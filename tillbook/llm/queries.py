@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm import bpe, chunk_dedup, decontaminate, language_id, pii, quality_rules, sharding, simhash
+from tillbook.llm import bpe, chunk_dedup, decontaminate, language_id, pii, quality_rules, sharding, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,26 @@ def op6_bpe_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+def edits_of(docs: DataFrame) -> DataFrame:
+    """A stand-in edit table: three edits a document, at places that follow from its id and length."""
+    size = F.char_length("text")
+    spot = F.pmod(F.xxhash64("doc_id"), size + 1)
+    rows = F.array(
+        F.struct(F.lit(1).alias("edit"), spot.alias("at"), F.lit(12).alias("deleted"), F.substring("text", 3, 30).alias("inserted")),
+        F.struct(F.lit(2).alias("edit"), F.pmod(spot * 7 + 3, size + 1).alias("at"), F.lit(0).alias("deleted"),
+                 F.lit(" an inserted remark,\n").alias("inserted")),
+        F.struct(F.lit(3).alias("edit"), F.lit(0).cast("long").alias("at"), F.lit(5).alias("deleted"), F.lit("").alias("inserted")))
+    return docs.where("text is not null").select("doc_id", F.explode(rows).alias("e")).select("doc_id", "e.*")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, before and after a table of edits."""
+    docs = table(spark, sf_dir, "documents")
+    found = token_counts.apply_edits(token_counts.count_tokens(docs), edits_of(docs))
+    return found.select("doc_id", "n_before", "n_tokens", "n_edits", "n_encoded",
+                        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base spans, and the terms that give entities away."""
     found = pii.sanitised_spans(table(spark, sf_dir, "documents"))
@@ -85,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_language_id": op5_language_id,
     "op6_bpe_round": op6_bpe_round,
+    "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
