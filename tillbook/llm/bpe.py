@@ -165,7 +165,7 @@ class TrieBPE:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pre_tokens(t or "") for t in texts]
         words = set().union(*split)
-        new = words - self.kept.keys()
+        new = words.difference(self.kept)
         if new:
             if len(self.kept) + len(new) > KEPT_WORDS:
                 self.kept, new = {}, words

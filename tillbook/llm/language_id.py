@@ -124,7 +124,7 @@ class PieceModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         split = [words_of(t) for t in texts]
-        new = set().union(*split) - self.kept.keys()
+        new = set().union(*split).difference(self.kept)
         if len(self.kept) + len(new) > len(self.rows):
             new = set().union(*split)
             self.forget(len(new))
