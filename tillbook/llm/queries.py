@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm import bpe, chunk_dedup, decontaminate, language_id, pii, quality_rules, sharding, simhash, token_counts
+from tillbook.llm import bpe, chunk_dedup, decontaminate, language_id, pii, quality_rules, sharding, simhash, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op6_bpe_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every byte of every document that lies in a 200-byte string with another place, removed."""
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def edits_of(docs: DataFrame) -> DataFrame:
     """A stand-in edit table: three edits a document, at places that follow from its id and length."""
     size = F.char_length("text")
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_language_id": op5_language_id,
     "op6_bpe_round": op6_bpe_round,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
