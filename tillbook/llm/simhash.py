@@ -89,7 +89,8 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
     label = np.arange(len(both))
     rows = max(1, STRIP // len(b))
     for at in range(0, len(a), rows):
-        i, j = np.nonzero(np.bitwise_count(a[at: at + rows, None] ^ b[None, :]) <= radius)
+        differing = np.bitwise_count((a[at: at + rows, None] ^ b[None, :]).view(np.uint64))  # signed: of the absolute value
+        i, j = np.nonzero(differing <= radius)
         label = labels(len(both), i + at, j + len(a), label)
     moved = np.flatnonzero(label != np.arange(len(both)))
     return both[moved], both[label[moved]]
