@@ -52,10 +52,11 @@ def products_list(t: RetailTables, search=None, category_id=None, sort_by: str =
     desc = str(sort_order).upper() == "DESC"
     key = F.col(field).desc_nulls_last() if desc else F.col(field).asc_nulls_first()
     ps = products_with_stock(t).filter(_list_filter(search, category_id, low_stock))
-    top = ps.orderBy(key, F.col("id").desc() if desc else F.col("id").asc()).offset((page - 1) * limit).limit(limit)
+    order = [key, F.col("id").desc() if desc else F.col("id").asc()]
+    top = ps.orderBy(*order).offset((page - 1) * limit).limit(limit)
     c = t.categories.select(F.col("id").alias("c_id"), F.col("name").alias("category_name"))
     j = top.join(c, top.category_id == c.c_id, "left")
-    return _product_out(j, *_stock_cols())
+    return _product_out(j.orderBy(*order), *_stock_cols())
 
 
 def products_count(t: RetailTables, search=None, category_id=None, low_stock: bool = False,
@@ -87,7 +88,8 @@ def product_variants_stock(t: RetailTables) -> DataFrame:
     j = v.join(s, v.id == s.s_vid, "left")
     return j.select("id", "product_id", "variant_name", "variant_value", "sku_suffix",
                     money("price_adjustment").alias("price_adjustment"), "is_active", "created_at", "quantity",
-                    "reserved_quantity", (F.col("quantity") - F.col("reserved_quantity")).alias("available_quantity"))
+                    "reserved_quantity", (F.col("quantity") - F.col("reserved_quantity")).alias("available_quantity")).orderBy(
+        "product_id", "variant_name", "variant_value", "id")
 
 
 def recent_movements_per_product(t: RetailTables, n: int = 10) -> DataFrame:
@@ -112,7 +114,8 @@ def product_search(t: RetailTables, term: str, limit: int = 10) -> DataFrame:
     j = top.join(c, top.category_id == c.c_id, "left")
     return j.select("id", "sku", "barcode", "name", money("price").alias("price"), "unit_size", "category_name",
                     "quantity", "reserved_quantity",
-                    (F.col("quantity") - F.col("reserved_quantity")).alias("available_quantity"))
+                    (F.col("quantity") - F.col("reserved_quantity")).alias("available_quantity")).orderBy(
+        F.col("name").asc_nulls_first(), F.col("id").asc())
 
 
 def _category_rows(t: RetailTables) -> DataFrame:
@@ -158,13 +161,13 @@ def categories_flat(t: RetailTables) -> DataFrame:
     j = c.join(par, c.parent_id == par.p_id, "left")
     disp = F.when(F.col("parent_id").isNotNull(), F.concat(F.col("parent_name"), F.lit(" > "), F.col("name"))
                   ).otherwise(F.col("name"))
-    return j.select("id", "name", "parent_id", "parent_name", disp.alias("display_name"))
+    return j.select("id", "name", "parent_id", "parent_name", disp.alias("display_name")).orderBy("display_name", "id")
 
 
 def subcategories(t: RetailTables) -> DataFrame:
     """C4: active children of every category (parent_id, id, name, description, created_at)."""
     c = t.categories.filter((F.col("is_active") == 1) & F.col("parent_id").isNotNull())
-    return c.select("parent_id", "id", "name", "description", "created_at")
+    return c.select("parent_id", "id", "name", "description", "created_at").orderBy("parent_id", "name", "id")
 
 
 def category_descendants(t: RetailTables, include_self: bool = False) -> DataFrame:

@@ -92,7 +92,8 @@ def activity_sales(t: RetailTables, limit: int = 5) -> DataFrame:
     top = t.sales.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
     u = t.users.select(F.col("id").alias("u_id"), full_name("first_name", "last_name").alias("cashier_name"))
     return top.join(u, top.cashier_id == u.u_id, "left").select(
-        "id", "sale_number", money("total_amount").alias("total_amount"), "status", "created_at", "cashier_name")
+        "id", "sale_number", money("total_amount").alias("total_amount"), "status", "created_at", "cashier_name").orderBy(
+        F.col("created_at").desc(), F.col("id").desc())
 
 
 def activity_movements(t: RetailTables, limit: int = 5) -> DataFrame:
@@ -102,7 +103,8 @@ def activity_movements(t: RetailTables, limit: int = 5) -> DataFrame:
     p = t.products.select(F.col("id").alias("p_id"), F.col("name").alias("product_name"), "sku")
     u = t.users.select(F.col("id").alias("u_id"), full_name("first_name", "last_name").alias("created_by_name"))
     j = top.join(p, top.product_id == p.p_id, "left").join(u, top.created_by == u.u_id, "left")
-    return j.select("id", "movement_type", "quantity_change", "created_at", "product_name", "sku", "created_by_name")
+    return j.select("id", "movement_type", "quantity_change", "created_at", "product_name", "sku", "created_by_name").orderBy(
+        F.col("created_at").desc(), F.col("id").desc())
 
 
 def activity_alerts(t: RetailTables, limit: int = 5) -> DataFrame:
@@ -159,7 +161,7 @@ def sales_chart(t: RetailTables, period: str = "week", as_of=AS_OF) -> DataFrame
         F.sum(F.when(F.col("status") == "completed", F.col("total_amount")).otherwise(F.lit(0))).alias("rev"))
     j = slots.join(g, "label", "left")
     return j.select("label", F.coalesce(F.col("n"), F.lit(0).cast("bigint")).alias("sales"),
-                    F.coalesce(money("rev"), F.lit(0.0)).alias("revenue"))
+                    F.coalesce(money("rev"), F.lit(0.0)).alias("revenue")).orderBy("label")
 
 
 def inventory_by_category(t: RetailTables) -> DataFrame:
@@ -180,7 +182,7 @@ def inventory_by_category(t: RetailTables) -> DataFrame:
     z = F.lit(0).cast("bigint")
     return j.select(F.col("name").alias("category_name"), F.coalesce("n", z).alias("total_products"),
                     F.coalesce("low", z).alias("low_stock_count"), F.coalesce("out", z).alias("out_of_stock_count"),
-                    "total_quantity", money("val").alias("total_value"))
+                    "total_quantity", money("val").alias("total_value")).orderBy("category_name")
 
 
 def stock_distribution(t: RetailTables) -> DataFrame:
@@ -219,7 +221,7 @@ def low_stock_products(t: RetailTables, limit: int = 10) -> DataFrame:
     top = j.orderBy(F.col("quantity").asc(), F.col("name").asc(), F.col("id").asc()).limit(limit)
     top = top.join(_category_names(t), top.category_id == F.col("c_id"), "left")
     return top.select("id", "name", "sku", "min_stock_level", "quantity", "category_name",
-                      stock_status().alias("stock_status"))
+                      stock_status().alias("stock_status")).orderBy("quantity", "name", "id")
 
 
 def cashier_performance(t: RetailTables, period: str = "month", as_of=AS_OF) -> DataFrame:
@@ -240,5 +242,5 @@ def cashier_performance(t: RetailTables, period: str = "month", as_of=AS_OF) ->
     return j.select("id", full_name("first_name", "last_name").alias("name"), "role",
                     F.coalesce("n", z).alias("total_sales"), F.coalesce(money("rev"), F.lit(0.0)).alias("total_revenue"),
                     mean_of(F.col("rev_c"), F.col("n_c")).alias("average_sale"),
-                    F.coalesce("refunded", z).alias("refunded_sales"))
+                    F.coalesce("refunded", z).alias("refunded_sales")).orderBy(F.col("total_revenue").desc(), F.col("id").asc())
 

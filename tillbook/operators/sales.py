@@ -73,7 +73,8 @@ def sales_list(t: RetailTables, date_from=None, date_to=None, cashier_id=None, s
         s = s.filter((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") < F.lit(int(last_id)))))
         page = 1
     top = s.orderBy(F.col("created_at").desc(), F.col("id").desc()).offset((page - 1) * limit).limit(limit)
-    return _sale_out(_with_cashier_and_items(t, top), "cashier_name", "item_count")
+    page = _sale_out(_with_cashier_and_items(t, top), "cashier_name", "item_count")
+    return page.orderBy(F.col("created_at").desc(), F.col("id").desc())  # the joins keep no order
 
 
 def sales_count(t: RetailTables, date_from=None, date_to=None, cashier_id=None, status=None, search=None,
@@ -167,10 +168,9 @@ def top_products_by_qty(t: RetailTables, period: str = "today", as_of=AS_OF, dat
                         limit: int = 10) -> DataFrame:
     """Top products by quantity in completed sales of the period (ties by id)."""
     a = _completed_item_agg(t, period, as_of, date_from, date_to)
-    top = a.orderBy(F.col("total_sold").desc(), F.col("product_id").asc()).limit(limit)
     p = t.products.select("id", "name", "sku")
-    return top.join(p, top.product_id == p.id, "inner").select(
-        "id", "name", "sku", "total_sold", money("rev").alias("total_revenue"))
+    j = a.join(p, a.product_id == p.id, "inner").select("id", "name", "sku", "total_sold", money("rev").alias("total_revenue"))
+    return j.orderBy(F.col("total_sold").desc(), F.col("id").asc()).limit(limit)
 
 
 def payment_method_breakdown(t: RetailTables, period: str = "today", as_of=AS_OF, date_from=None,
@@ -178,7 +178,8 @@ def payment_method_breakdown(t: RetailTables, period: str = "today", as_of=AS_OF
     """Count and amount per payment method, completed sales only."""
     s = _period_sales(t, period, as_of, date_from, date_to).filter(F.col("status") == "completed")
     return (s.groupBy("payment_method").agg(F.count(F.lit(1)).alias("count"), F.sum("total_amount").alias("amt"))
-            .select("payment_method", "count", money("amt").alias("total_amount")))
+            .select("payment_method", "count", money("amt").alias("total_amount"))
+            .orderBy(F.col("total_amount").desc(), F.col("payment_method").asc()))
 
 
 def hourly_sales(t: RetailTables, as_of=AS_OF) -> DataFrame:
@@ -186,7 +187,7 @@ def hourly_sales(t: RetailTables, as_of=AS_OF) -> DataFrame:
     s = _period_sales(t, "today", as_of).filter(F.col("status") == "completed")
     return (s.groupBy(F.date_format("created_at", "HH").alias("hour"))
             .agg(F.count(F.lit(1)).alias("sales_count"), F.sum("total_amount").alias("amt"))
-            .select("hour", "sales_count", money("amt").alias("total_amount")))
+            .select("hour", "sales_count", money("amt").alias("total_amount")).orderBy("hour"))
 
 
 def recent_sales(t: RetailTables, limit: int = 10) -> DataFrame:
@@ -194,7 +195,7 @@ def recent_sales(t: RetailTables, limit: int = 10) -> DataFrame:
     top = t.sales.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
     j = _with_cashier_and_items(t, top)
     return j.select("id", "sale_number", money("total_amount").alias("total_amount"), "payment_method", "status",
-                    "created_at", "cashier_name", "item_count")
+                    "created_at", "cashier_name", "item_count").orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
 def cart_totals(lines: DataFrame, headers: DataFrame | None = None) -> DataFrame:

@@ -35,7 +35,8 @@ def stock_levels(t: RetailTables, low_stock_only: bool = False, category_id=None
     return j.select("id", "sku", "name", money("price").alias("price"), "min_stock_level", "unit_size",
                     "category_name", "quantity", "reserved_quantity",
                     (F.col("quantity") - F.col("reserved_quantity")).alias("available_quantity"), "last_updated",
-                    "is_low_stock", stock_status().alias("stock_status"))
+                    "is_low_stock", stock_status().alias("stock_status")).orderBy(
+        F.col("is_low_stock").desc(), F.col("quantity").asc_nulls_first(), F.col("name").asc_nulls_first(), F.col("id").asc())
 
 
 def stock_levels_count(t: RetailTables, low_stock_only: bool = False, category_id=None, search=None,
@@ -66,7 +67,7 @@ def movement_history(t: RetailTables, product_id=None, movement_type=None, date_
     u = t.users.select(F.col("id").alias("u_id"), full_name("first_name", "last_name").alias("created_by_name"))
     j = (top.join(p, top.product_id == p.p_id, "left").join(v, top.variant_id == v.v_id, "left")
          .join(u, top.created_by == u.u_id, "left"))
-    return j.drop("p_id", "v_id", "u_id")
+    return j.drop("p_id", "v_id", "u_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
 def movement_count(t: RetailTables, product_id=None, movement_type=None, date_from=None, date_to=None,
@@ -87,7 +88,7 @@ def alerts_by_status(t: RetailTables, status: str = "active", alerts: DataFrame
     u = t.users.select(F.col("id").alias("u_id"), full_name("first_name", "last_name").alias("acknowledged_by_name"))
     j = (a.join(p, a.product_id == p.p_id, "inner").join(c, F.col("category_id") == c.c_id, "left")
          .join(v, a.variant_id == v.v_id, "left").join(u, a.acknowledged_by == u.u_id, "left"))
-    return j.drop("p_id", "c_id", "v_id", "u_id", "category_id")
+    return j.drop("p_id", "c_id", "v_id", "u_id", "category_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
 def stock_after_adjust(t: RetailTables, stock: DataFrame | None = None) -> DataFrame:

@@ -13,13 +13,12 @@ register("users_list", lambda t: U.users_list(t), with_views(f"SELECT {USER_SEL}
 register("user_by_id", lambda t: U.user_by_id(t), with_views(f"SELECT {USER_SEL} FROM users", "users"),
          "U2 for every user")
 register("user_sales_stats", lambda t: U.user_sales_stats(t), with_views("""
-    SELECT u.id, u.username, u.first_name, u.last_name, u.role, COUNT(s.id) AS total_sales,
-           CAST(SUM(CASE WHEN s.status = 'completed' THEN s.total_amount ELSE 0 END) AS DOUBLE) AS total_revenue,
-           CAST(SUM(CASE WHEN s.status = 'completed' THEN s.total_amount END) AS DOUBLE)
-             / NULLIF(COUNT(CASE WHEN s.status = 'completed' THEN 1 END), 0) AS average_sale,
-           MIN(s.created_at) AS first_sale, MAX(s.created_at) AS last_sale
-    FROM users u LEFT JOIN sales s ON s.cashier_id = u.id
-    GROUP BY u.id, u.username, u.first_name, u.last_name, u.role""", "users", "sales"), "U6 for every user")
+    SELECT id, username, first_name, last_name, role, COALESCE(made, 0) AS total_sales, CAST(COALESCE(taken, 0) AS DOUBLE) AS total_revenue,
+           CASE WHEN done > 0 THEN CAST(taken AS DOUBLE) / done END AS average_sale, first_sale, last_sale
+    FROM users LEFT JOIN (
+        SELECT cashier_id AS id, COUNT(*) AS made, SUM(if(status = 'completed', total_amount, 0)) AS taken,
+               COUNT(*) FILTER (status = 'completed') AS done, MIN(created_at) AS first_sale, MAX(created_at) AS last_sale
+        FROM sales GROUP BY cashier_id) USING (id)""", "users", "sales"), "U6 for every user")
 register("user_recent_sales", lambda t: U.user_recent_sales(t), with_views("""
     SELECT cashier_id, rank, id, sale_number, CAST(total_amount AS DOUBLE) AS total_amount, status, created_at
     FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY cashier_id ORDER BY created_at DESC, id DESC) AS INTEGER) AS rank
