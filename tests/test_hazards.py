@@ -6,6 +6,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillbook.functions.exprs import contains_any, full_name
 from tillbook.operators import catalog as P
@@ -142,9 +143,9 @@ def test_s13_line_mode_outputs(spark):
     stock = _mk(spark, "stock", [(10, 1, None, 5, 0, T0, None), (20, 2, None, 1, 0, T0, None)])
     t = RetailTables.from_frames(spark, products=products, stock=stock)
     lines = spark.createDataFrame(
-        [(1, 1, 1001, 1, None, 4, Decimal("2.00"), 3, T0), (1, 2, 1002, 2, None, 2, Decimal("5.00"), 3, T0),
-         (2, 1, 2001, 1, None, 1, Decimal("2.00"), 3, T0), (2, 2, 2002, 1, None, 1, Decimal("2.00"), 3, T0)],
-        "cart_id long, line_no int, seq long, product_id long, variant_id long, quantity int, "
+        [(1, 1, 1, None, 4, Decimal("2.00"), 3, T0), (1, 2, 2, None, 2, Decimal("5.00"), 3, T0),
+         (2, 1, 1, None, 1, Decimal("2.00"), 3, T0), (2, 2, 1, None, 1, Decimal("2.00"), 3, T0)],
+        "cart_id long, line_no int, product_id long, variant_id long, quantity int, "
         "unit_price decimal(12,2), created_by long, created_at timestamp_ntz")
     res = X.apply_sales(t, lines)
     ok = {(r.cart_id, r.line_no): (r.line_ok, r.stock_before, r.stock_after) for r in res.collect()}
@@ -160,7 +161,7 @@ def test_s13_line_mode_outputs(spark):
     assert rows[1].total_amount == Decimal("7.00") and rows[1].payment_method == "cash"
     assert rows[2].total_amount == Decimal("2.50")
     mv = X.sale_replay_movements(res, headers).collect()
-    assert sorted((m.id, m.quantity_change, m.notes) for m in mv) == [(1001, -4, "Sale S-1"), (2001, -1, "Sale S-2")]
+    assert sorted((m.reference_id, m.line_no, m.quantity_change, m.notes) for m in mv) == [(1, 1, -4, "Sale S-1"), (2, 1, -1, "Sale S-2")]
     assert X.sale_replay_items(res).count() == 2
 
 
@@ -201,11 +202,42 @@ def test_exact_cart_mode_matches_sequential_truth(spark, seed):
             q = rng.randrange(1, 6)
             seq = c * 1000 + ln
             carts.setdefault(c, []).append((seq, pid, q))
-            rows.append((c, ln, seq, pid, None, q, Decimal("1.00"), 1, T0))
-    lines = spark.createDataFrame(rows, "cart_id long, line_no int, seq long, product_id long, variant_id long, "
+            rows.append((c, ln, pid, None, q, Decimal("1.00"), 1, T0))
+    lines = spark.createDataFrame(rows, "cart_id long, line_no int, product_id long, variant_id long, "
                                         "quantity int, unit_price decimal(12,2), created_by long, created_at timestamp_ntz")
     got = {r.cart_id: r.status for r in X.apply_sales_exact(t, lines).collect()}
-    assert got == _py_carts(carts, stock_q)
+    want = _py_carts(carts, stock_q)
+    assert got == want
+    # the outputs: lines of sold carts only, stock walked down line by line, one alert per stock that gets low
+    posted = X.post_sales(t.__class__.from_frames(spark, products=products, stock=stock), lines)
+    left, low, walk = dict(stock_q), {}, {}
+    for c, ln, pid, _, q, *_ in sorted(rows):
+        if want[c] == "accepted":
+            walk[c, ln] = (left[pid], left[pid] - q)
+            left[pid] -= q
+            if left[pid] <= 5:
+                low.setdefault(pid, (c, ln, left[pid]))
+    assert {(r.cart_id, r.line_no): (r.stock_before, r.stock_after) for r in posted.filter("line_ok = 1").collect()} == walk
+    assert {r.product_id: r.quantity for r in X.stock_after_sales(t, posted).collect()} == left
+    none = spark.createDataFrame([], RETAIL_SCHEMAS["low_stock_alerts"])
+    t2 = RetailTables.from_frames(spark, products=products.withColumn("min_stock_level", F.lit(5)), stock=stock, low_stock_alerts=none)
+    assert {r.product_id: (r.sale_id, r.line_no, r.current_stock) for r in X.alerts_after_sales(t2, posted).collect()} == low
+    assert posted.count() == len(rows)
+
+
+def test_sale_of_more_than_a_thousand_lines(spark):
+    products = _mk(spark, "products", [_prod(1, "A")])
+    stock = _mk(spark, "stock", [(10, 1, None, 2000, 0, T0, None)])
+    t = RetailTables.from_frames(spark, products=products, stock=stock)
+    rows = [(1, i + 1, 1, None, 1, Decimal("1.00"), 1, T0) for i in range(1500)] + [
+        (2, 1, 1, None, 400, Decimal("1.00"), 1, T0), (3, 1, 1, None, 101, Decimal("1.00"), 1, T0)]
+    lines = spark.createDataFrame(rows, "cart_id long, line_no int, product_id long, variant_id long, quantity int, "
+                                        "unit_price decimal(12,2), created_by long, created_at timestamp_ntz")
+    res = X.apply_sales(t, lines)
+    assert res.count() == len(rows) and {r.cart_id: r.outcome for r in X.apply_sales_carts(res).collect()} == {
+        1: "completed", 2: "completed", 3: "rejected"}
+    posted = {(r.cart_id, r.line_no): r.stock_after for r in X.post_sales(t, lines).collect()}
+    assert len(posted) == len(rows) and posted[1, 1500] == 500 and posted[2, 1] == 100 and posted[3, 1] is None
 
 
 def _sale(i, amount, status, at, cashier=1):
@@ -300,3 +332,52 @@ def test_exact_cart_mode_matches_recursive_sql_on_supplied_tables(spark):
     got = {r.cart_id: r.status for r in X.apply_sales_exact(t, SI.cart_lines(t)).collect()}
     want = dict(duck(sf).execute(exact_carts_sql(CART_LINES_SQL, CART_VAL)).fetchall())
     assert got == want and len(got) > 1000
+
+
+REQ = ("req_id long, id long, sku string, name string, price decimal(10,2), category_id long, brand string, "
+       "unit_size string, cost decimal(10,2), min_stock_level int, barcode string, description string")
+
+
+def _reqs(spark, *rows):
+    return spark.createDataFrame([(r, i, sku, "n", Decimal("1.00"), None, None, None, None, None, bar, None)
+                                  for r, i, sku, bar in rows], REQ)
+
+
+def test_requests_of_one_batch_are_settled_in_order(spark):
+    products = _mk(spark, "products", [_prod(1, "A"), _prod(2, "B")])
+    t = RetailTables.from_frames(spark, products=products, categories=_mk(spark, "categories", []))
+    # two updates of one product with its own SKU; another product may not take it
+    out = {r.req_id: r.reason for r in C.catalog_check(t, _reqs(spark, (1, 1, "A", None), (2, 1, "A", None)), "update").collect()}
+    assert out == {1: None, 2: None}
+    new = _reqs(spark, (1, 11, "N", "77"), (2, 12, "N", "88"), (3, 13, "M", "88"), (4, 14, "M", "99"), (5, 15, "K", "99"))
+    out = {r.req_id: r.ok for r in C.catalog_check(t, new, "insert").collect()}
+    assert out == {1: 1, 2: 0, 3: 1, 4: 0, 5: 1}   # a refused request blocks nothing by its barcode
+    users = _mk(spark, "users", [(i, f"user{i}", f"u{i}@x.io", "cashier", "A", "B", 1, T0, T0) for i in (1, 2, 3)])
+    t = RetailTables.from_frames(spark, users=users)
+    nul = None
+    patches = spark.createDataFrame([(1, 1, 9, "fresh", nul, nul, nul, nul, nul), (2, 2, 9, "fresh", nul, nul, nul, nul, nul),
+                                     (3, 3, 9, "user3", nul, nul, "Q", nul, nul)],
+                                    "req_id long, id long, actor_id long, username string, email string, role string, "
+                                    "first_name string, last_name string, is_active int")
+    assert {r.req_id: r.reason for r in C.user_partial_update(t, patches).collect()} == {
+        1: None, 2: "Username already exists", 3: None}
+
+
+def test_moves_that_close_a_circle_together(spark):
+    cats = _mk(spark, "categories", [(i, f"c{i}", None, None, 1, T0, T0) for i in (1, 2, 3, 4)])
+    t = RetailTables.from_frames(spark, categories=cats)
+    moves = spark.createDataFrame([(1, 1, "c1", 2), (2, 2, "c2", 3), (3, 3, "c3", 1), (4, 4, "c4", 1)],
+                                  "req_id long, id long, name string, parent_id long")
+    assert {r.req_id: r.ok for r in C.category_reparent_check(t, moves).collect()} == {1: 1, 2: 1, 3: 0, 4: 1}
+
+
+def test_deep_chain_and_cycle_of_categories(spark):
+    chain = [(i, f"c{i}", None, i - 1 if i > 1 else None, 1, T0, T0) for i in range(1, 121)]
+    circle = [(900, "x", None, 901, 1, T0, T0), (901, "y", None, 900, 1, T0, T0)]
+    t = RetailTables.from_frames(spark, categories=_mk(spark, "categories", chain + circle), products=_mk(spark, "products", []))
+    clo = P.category_descendants(t)
+    assert clo.filter("ancestor_id < 900").count() == 120 * 119 // 2 and clo.filter("ancestor_id = 1").agg(F.max("depth")).first()[0] == 119
+    tree = {r.id: (r.in_tree, r.depth) for r in P.category_tree(t).collect()}
+    assert tree[120] == (1, 119) and tree[900] == (0, None)
+    moves = spark.createDataFrame([(1, 1, "c1", 120), (2, 120, "c120", 1)], "req_id long, id long, name string, parent_id long")
+    assert {r.req_id: r.reason for r in C.category_reparent_check(t, moves).collect()} == {1: "Cannot create circular reference", 2: None}

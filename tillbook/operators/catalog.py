@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillbook.functions.exprs import all_of, contains_any, full_name, is_low, money
 from tillbook.operators.dashboard import products_with_stock
+from tillbook.session import checkpoint_dir
 from tillbook.sources.views import RetailTables
 
 PRODUCT_COLS = ("id", "sku", "barcode", "name", "description", "category_id", "brand", "unit_size", "price", "cost",
@@ -140,18 +142,32 @@ def category_tree(t: RetailTables) -> DataFrame:
 
     A category is in the tree when every ancestor is active and the chain ends at a
     root (the reference's builder drops children whose parent is missing from the
-    active set, H29). Depth/path come from the closure (C8) over active nodes; the
+    active set, H29). Depth and path come from a descent from the roots, a level at a time; the
     nested ``children`` arrays of the reference are not materialised (unbounded groups).
     """
     rows = _category_rows(t)
-    clo = category_descendants(t, include_self=True)
-    roots = t.categories.filter((F.col("is_active") == 1) & F.col("parent_id").isNull()).select(
-        F.col("id").alias("ancestor_id"))
-    reach = clo.join(roots, "ancestor_id", "inner").select(
-        F.col("descendant_id").alias("id"), F.col("ancestor_id").alias("root_id"), "depth", "path_names")
+    act = t.categories.filter(F.col("is_active") == 1)
+    roots = act.filter(F.col("parent_id").isNull()).select(
+        F.col("id").alias("root_id"), "id", F.lit(0).alias("depth"), F.array("id").alias("seen"), F.array("name").alias("names"))
+    kids = act.select(F.col("parent_id").alias("_up"), F.col("id").alias("_kid"), F.col("name").alias("_name"))
+    reach = _levels(roots, lambda w: w.join(kids, F.col("id") == F.col("_up")).filter(~F.array_contains("seen", F.col("_kid"))).select(
+        "root_id", F.col("_kid").alias("id"), (F.col("depth") + 1).alias("depth"), F.array_append("seen", F.col("_kid")).alias("seen"),
+        F.array_append("names", F.col("_name")).alias("names")))
     j = rows.join(reach, "id", "left")
     return j.select(*rows.columns, F.col("root_id").isNotNull().cast("int").alias("in_tree"), "root_id", "depth",
-                    F.array_join("path_names", " > ").alias("path"))
+                    F.array_join("names", " > ").alias("path"))
+
+
+def _levels(first: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``first`` and what ``step`` makes of it, again and again until nothing comes; each level is checkpointed.
+
+    One join a level, without a limit on levels or rows.
+    """
+    checkpoint_dir(first.sparkSession)
+    levels = [first.checkpoint(eager=True)]
+    while not levels[-1].isEmpty():
+        levels.append(step(levels[-1]).checkpoint(eager=True))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def categories_flat(t: RetailTables) -> DataFrame:
@@ -173,26 +189,23 @@ def subcategories(t: RetailTables) -> DataFrame:
 def category_descendants(t: RetailTables, include_self: bool = False) -> DataFrame:
     """Every (ancestor, active descendant) pair with depth and the path of names.
 
-    Descent follows active children only (as the reference's breadth-first helper). A
-    recursive CTE with a path guard: a cycle in the data stops instead of looping.
-    ``include_self`` adds (id, id, 0) for every active category.
+    Descent follows active children only (as the reference's breadth-first helper), a level
+    at a time; a cycle in the data stops where it meets its own path. ``include_self`` adds
+    (id, id, 0) for every active category.
     """
-    spark = t.spark
-    view = f"tillbook_categories_{uuid.uuid4().hex[:12]}"
-    t.categories.select("id", "name", "parent_id", "is_active").createOrReplaceTempView(view)
-    self_rows = (f"""SELECT id AS ancestor_id, id AS descendant_id, 0 AS depth, array(id) AS path,
-                            array(name) AS path_names FROM {view} WHERE is_active = 1 UNION ALL"""
-                 if include_self else "")
-    return spark.sql(f"""
-        WITH RECURSIVE clo(ancestor_id, descendant_id, depth, path, path_names) AS (
-            SELECT c.parent_id, c.id, 1, array(c.parent_id, c.id), array(p.name, c.name)
-            FROM {view} c LEFT JOIN {view} p ON p.id = c.parent_id
-            WHERE c.is_active = 1 AND c.parent_id IS NOT NULL
-            UNION ALL
-            SELECT clo.ancestor_id, c.id, clo.depth + 1, array_append(clo.path, c.id),
-                   array_append(clo.path_names, c.name)
-            FROM clo JOIN {view} c ON c.parent_id = clo.descendant_id AND c.is_active = 1
-            WHERE NOT array_contains(clo.path, c.id)
-        )
-        {self_rows}
-        SELECT ancestor_id, descendant_id, depth, path, path_names FROM clo""")
+    c = t.categories
+    act = c.filter(F.col("is_active") == 1)
+    kids = act.filter(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("_up"), F.col("id").alias("_kid"),
+                                                           F.col("name").alias("_name"))
+    names = c.select(F.col("id").alias("_up"), F.col("name").alias("_up_name"))
+    first = kids.join(names, "_up", "left").select(
+        F.col("_up").alias("ancestor_id"), F.col("_kid").alias("descendant_id"), F.lit(1).alias("depth"),
+        F.array("_up", "_kid").alias("path"), F.array("_up_name", "_name").alias("path_names"))
+    pairs = _levels(first, lambda w: w.join(kids, F.col("descendant_id") == F.col("_up")).filter(
+        ~F.array_contains("path", F.col("_kid"))).select(
+        "ancestor_id", F.col("_kid").alias("descendant_id"), (F.col("depth") + 1).alias("depth"),
+        F.array_append("path", F.col("_kid")).alias("path"), F.array_append("path_names", F.col("_name")).alias("path_names")))
+    if not include_self:
+        return pairs
+    return pairs.unionByName(act.select(F.col("id").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.lit(0).alias("depth"),
+                                        F.array("id").alias("path"), F.array("name").alias("path_names")))

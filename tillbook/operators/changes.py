@@ -9,10 +9,13 @@ column instead of aborting, like the reference's bulk endpoint; validation is jo
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.operators.ledger import KEYS, _keyed, stock_ledger, stock_ledger_adjust_only
+from tillbook.plans.scans import keyed_scan, keyed_scans
 from tillbook.sources.views import RetailTables
 
 ADJUST_TYPES = ("in", "out", "adjustment")
@@ -85,19 +88,22 @@ def ack_outcomes(alerts: DataFrame, acks: DataFrame) -> DataFrame:
                     .otherwise(F.lit("not found or already acknowledged")).alias("result"))
 
 
+def _in_sequence(df: DataFrame, *order: str) -> DataFrame:
+    """``seq``: unique longs that ascend in ``order`` (a range partition's number, then the place in it)."""
+    from tillbook.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.withColumn("seq", F.monotonically_increasing_id()).checkpoint(eager=True)
+
+
 def apply_sales(t: RetailTables, lines: DataFrame) -> DataFrame:
-    """S13 (line mode): replay cart lines against stock; one outcome row per line.
+    """Replay cart lines one by one: each line is a sale of its own, in the order of cart and line.
 
-    ``lines``: cart_id, line_no, seq, product_id, variant_id, quantity, unit_price,
-    created_by, created_at. Each valid line is a ``sale`` op in the ledger (rejected when
-    stock is short at that point of the sequence). Carts with mixed outcomes are
-    reported by ``apply_sales_carts`` (the reference's all-or-nothing cart mode is not
-    reproduced in batch; see README).
+    An extra beside the reference's rule (``post_sales``: all lines of a cart or none).
+    ``lines``: cart_id, line_no, product_id, variant_id, quantity, unit_price, created_by, created_at. Returns one
+    outcome row per line; a line is refused when the stock is short at its turn.
     """
-    from tillbook.session import checkpoint_dir
-    checkpoint_dir(t.spark)
-    # validated lines feed the ledger and the join-back: cut their lineage once
-    v = _validate_stock_requests(t, lines).checkpoint(eager=True)
+    v = _in_sequence(_validate_stock_requests(t, lines), "cart_id", "line_no")
     ops = v.filter(F.col("reason").isNull()).select(
         "seq", "product_id", "variant_id", F.lit("sale").alias("op"), F.col("quantity").alias("n"),
         "created_by", "created_at")
@@ -106,7 +112,7 @@ def apply_sales(t: RetailTables, lines: DataFrame) -> DataFrame:
         "seq", "accepted", F.col("q_before").alias("stock_before"), F.col("q_after").alias("stock_after"))
     j = v.join(led, "seq", "left")
     reason = F.coalesce(F.col("reason"), F.when(F.col("accepted") == 0, F.lit("Insufficient stock")))
-    return j.select("cart_id", "line_no", "seq", "product_id", "variant_id", "quantity", "unit_price",
+    return j.select("cart_id", "line_no", "product_id", "variant_id", "quantity", "unit_price",
                     reason.alias("reason"), F.when(reason.isNull(), F.lit(1)).otherwise(F.lit(0)).alias("line_ok"),
                     "stock_before", "stock_after")
 
@@ -150,13 +156,16 @@ def sale_replay_items(line_results: DataFrame) -> DataFrame:
 
 
 def sale_replay_movements(line_results: DataFrame, headers: DataFrame) -> DataFrame:
-    """S13 output: ledger rows (``sale``, −quantity, before/after) of the accepted lines."""
+    """S13 output: ledger rows (``sale``, −quantity, before/after) of the accepted lines.
+
+    A row is identified by its sale and line (``reference_id``, ``line_no``), which also order the rows.
+    """
     ok = line_results.filter(F.col("line_ok") == 1)
     h = headers.select("cart_id", "sale_number", F.col("cashier_id").alias("created_by"), "created_at")
     j = ok.join(h, "cart_id", "left")
-    return j.select(F.col("seq").alias("id"), "product_id", "variant_id", F.lit("sale").alias("movement_type"),
+    return j.select("product_id", "variant_id", F.lit("sale").alias("movement_type"),
                     (-F.col("quantity")).alias("quantity_change"), F.col("stock_before").alias("quantity_before"),
-                    F.col("stock_after").alias("quantity_after"), F.col("cart_id").alias("reference_id"),
+                    F.col("stock_after").alias("quantity_after"), F.col("cart_id").alias("reference_id"), "line_no",
                     F.lit("sale").alias("reference_type"), F.concat(F.lit("Sale "), F.col("sale_number")).alias("notes"),
                     "created_by", "created_at")
 
@@ -198,7 +207,8 @@ def refund_outcomes(t: RetailTables, items: DataFrame, requests: DataFrame, requ
         F.when(accepted, F.when(F.col("is_full"), F.lit("full")).otherwise(F.lit("partial"))).alias("refund_type"),
         F.when(accepted, F.col("refunded_items")).alias("refunded_items"), "total_items",
         F.when(accepted, F.concat(F.coalesce(F.col("notes"), F.lit("")), F.lit("\nRefund: "),
-                                  F.coalesce(F.col("reason"), F.lit("No reason provided")))).alias("note_appended"))
+                                  F.coalesce(F.col("reason"), F.lit("No reason provided")))).alias("note_appended"),
+        F.coalesce(F.col("reason"), F.lit("No reason provided")).alias("reason_text"))
 
 
 def refund_return_ops(t: RetailTables, items: DataFrame, requests: DataFrame, request_lines: DataFrame,
@@ -214,9 +224,34 @@ def refund_return_ops(t: RetailTables, items: DataFrame, requests: DataFrame, re
     both = whole.select(*cols).unionByName(part.select(*cols))
     stock_keys = _keyed(t.stock).select(*KEYS)
     both = _keyed(both).join(stock_keys, KEYS, "left_semi").drop("_vk")
-    return both.select((F.col("request_id") * 1000 + F.col("line_no")).alias("seq"), "product_id", "variant_id",
-                       F.lit("return").alias("op"), F.col("quantity").alias("n"), "created_by", "created_at")
-
+    return _in_sequence(both, "request_id", "line_no").select(
+        "seq", "request_id", "sale_id", "line_no", "product_id", "variant_id", F.lit("return").alias("op"),
+        F.col("quantity").alias("n"), "created_by", "created_at")
+
+
+def refund_movements(t: RetailTables, return_ops: DataFrame) -> DataFrame:
+    """S14 output: the ledger rows of refunded lines; stock goes up, line by line in the order of the requests."""
+    x = _keyed(return_ops).join(_keyed(t.stock).select(*KEYS, F.col("quantity").cast("bigint").alias("_open")), KEYS)
+    x = keyed_scan(x, KEYS, "seq", F.col("n").cast("bigint"), "sum", "_so_far")
+    after = F.col("_open") + F.col("_so_far")
+    return x.select("request_id", F.col("sale_id").alias("reference_id"), "line_no", "product_id", "variant_id",
+                    F.lit("return").alias("movement_type"), F.col("n").alias("quantity_change"),
+                    (after - F.col("n")).alias("quantity_before"), after.alias("quantity_after"),
+                    F.lit("refund").alias("reference_type"), "created_by", "created_at")
+
+
+def sales_after_refunds(t: RetailTables, outcomes: DataFrame) -> DataFrame:
+    """S14 output: the sales that accepted refunds touch: status, and the notes of all of them in order."""
+    done = outcomes.filter(F.col("accepted") == 1)
+    each = done.groupBy("sale_id").agg(
+        F.max((F.col("refund_type") == "full").cast("int")).alias("full"),
+        F.array_sort(F.collect_list(F.struct("request_id", "reason_text"))).alias("_notes"))
+    s = t.sales.select("id", "sale_number", "status", "notes")
+    j = each.join(s, each.sale_id == s.id)
+    notes = F.concat(F.coalesce("notes", F.lit("")), F.array_join(F.transform(
+        "_notes", lambda x: F.concat(F.lit("\nRefund: "), x["reason_text"])), ""))
+    return j.select("id", "sale_number", F.when(F.col("full") == 1, "refunded").otherwise(F.col("status")).alias("status"),
+                    notes.alias("notes"))
 
 
 def stock_after_results(t: RetailTables, results: DataFrame) -> DataFrame:
@@ -229,8 +264,8 @@ def stock_after_results(t: RetailTables, results: DataFrame) -> DataFrame:
                     "reserved_quantity", "last_updated", "updated_by")
 
 
-def apply_sales_exact(t: RetailTables, lines: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """S13, exact cart mode: a cart is all-or-nothing, carts processed in ``seq`` order.
+def apply_sales_exact(t: RetailTables, lines: DataFrame) -> DataFrame:
+    """S13, which carts are sold: a cart is all-or-nothing, carts are processed in the order of their ids.
 
     A cart fits when, for each (product, variant), its total quantity ``need`` is at most
     the stock at its turn. Only sales are involved, so that stock lies between
@@ -241,44 +276,77 @@ def apply_sales_exact(t: RetailTables, lines: DataFrame, max_rounds: int | None
     Each round computes both bounds for every (cart, key) as prefix sums over carts in
     order (two-level keyed scans — no fold, no Python): ``need > upper`` anywhere rejects
     the cart, ``need <= lower`` everywhere accepts it. The earliest undecided cart has
-    equal bounds, so every round decides at least one cart and the loop ends; each
-    round's decisions are checkpointed (lineage cut), one count per round is the only
-    driver-side action. Static failures (unknown/inactive product, no stock row) reject
-    the cart up front. Returns cart_id, status (accepted / rejected / pending when
-    ``max_rounds`` stopped early) and the number of rounds.
+    equal bounds, so every round decides at least one cart per connected set of carts.
+    Rounds run until none is undecided; each works on the rows that still matter (undecided
+    carts, and accepted ones on their keys) and checkpoints them. Static failures
+    (unknown/inactive product, no stock row) reject the cart up front. Returns cart_id,
+    status (accepted / rejected).
     """
-    from tillbook.plans.scans import keyed_scans
     from tillbook.session import checkpoint_dir
     checkpoint_dir(t.spark)
     v = _validate_stock_requests(t, lines)
-    static_bad = v.filter(F.col("reason").isNotNull()).select("cart_id").distinct()
-    live = _keyed(v.filter(F.col("reason").isNull()).join(static_bad, "cart_id", "left_anti"))
-    order = live.groupBy("cart_id").agg(F.min("seq").alias("_order"))
+    bad = v.groupBy("cart_id").agg(F.max(F.col("reason").isNotNull().cast("int")).alias("_bad")).checkpoint(eager=True)
+    decided = [bad.filter("_bad = 1").select("cart_id", F.lit("rejected").alias("status"))]
+    stock = _keyed(t.stock).select(*KEYS, F.col("quantity").cast("bigint").alias("_open"))
+    rows = (_keyed(v.join(bad.filter("_bad = 0"), "cart_id", "left_semi")).groupBy("cart_id", *KEYS)
+            .agg(F.sum("quantity").cast("bigint").alias("_need")).join(stock, KEYS).withColumn("_sold", F.lit(0)))
+    rows = rows.checkpoint(eager=True)
+    while not rows.filter("_sold = 0").isEmpty():
+        x = keyed_scans(rows, KEYS, "cart_id", [(F.col("_need") * F.col("_sold"), "sum", "_sold_before", True),
+                                                ("_need", "sum", "_all_before", True)])
+        upper = F.col("_open") - F.coalesce(F.col("_sold_before"), F.lit(0))
+        lower = F.col("_open") - F.coalesce(F.col("_all_before"), F.lit(0))
+        new = x.filter("_sold = 0").groupBy("cart_id").agg(
+            F.max((F.col("_need") > upper).cast("int")).alias("_fail"), F.min((F.col("_need") <= lower).cast("int")).alias("_fit"))
+        new = new.filter("_fail = 1 or _fit = 1").select(
+            "cart_id", F.when(F.col("_fail") == 1, F.lit("rejected")).otherwise(F.lit("accepted")).alias("status")).checkpoint(eager=True)
+        decided.append(new)
+        rows = (rows.join(new, "cart_id", "left").filter("status is null or status = 'accepted'")
+                .withColumn("_sold", F.when(F.col("status") == "accepted", 1).otherwise(F.col("_sold"))).drop("status"))
+        waiting = rows.filter("_sold = 0").select(*KEYS).distinct()
+        rows = rows.join(waiting, KEYS, "left_semi").checkpoint(eager=True)
+    return reduce(DataFrame.unionByName, decided)
+
+
+def post_sales(t: RetailTables, lines: DataFrame) -> DataFrame:
+    """One row per line with its cart's outcome and, for sold carts, the stock before and after the line.
+
+    ``lines`` as for ``apply_sales``. Feeds ``sale_replay_rows`` / ``_items`` / ``_movements``, ``stock_after_sales`` and
+    ``alerts_after_sales``; a refused cart leaves nothing in any of them.
+    """
+    status = apply_sales_exact(t, lines).checkpoint(eager=True)
+    v = _validate_stock_requests(t, lines).join(status, "cart_id")
+    sold = _keyed(v.filter(F.col("status") == "accepted"))
+    sold = keyed_scan(sold.checkpoint(eager=True), KEYS, ["cart_id", "line_no"], F.col("quantity").cast("bigint"), "sum", "_so_far")
     stock = _keyed(t.stock).select(*KEYS, F.col("quantity").cast("bigint").alias("_open"))
-    needs = (live.groupBy("cart_id", *KEYS).agg(F.sum("quantity").cast("bigint").alias("_need"))
-             .join(order, "cart_id").join(stock, KEYS, "left")).checkpoint(eager=True)
-    status = (order.select("cart_id", F.lit(None).cast("string").alias("status"))
-              .unionByName(static_bad.select("cart_id", F.lit("rejected").alias("status")))).checkpoint(eager=True)
-    rounds = 0
-    while max_rounds is None or rounds < max_rounds:
-        if status.filter(F.col("status").isNull()).limit(1).count() == 0:
-            break
-        rounds += 1
-        # only keys that still carry an undecided cart need new prefix sums
-        open_keys = needs.join(status.filter(F.col("status").isNull()), "cart_id", "left_semi").select(*KEYS).distinct()
-        x = needs.join(open_keys, KEYS, "left_semi").join(status, "cart_id")
-        acc = F.when(F.col("status") == "accepted", F.col("_need")).otherwise(F.lit(0))
-        live_need = F.when(F.col("status") == "rejected", F.lit(0)).otherwise(F.col("_need"))
-        x = keyed_scans(x, KEYS, "_order", [(acc, "sum", "_acc_before", True),
-                                             (live_need, "sum", "_live_before", True)])
-        upper = F.col("_open") - F.coalesce(F.col("_acc_before"), F.lit(0))
-        lower = F.col("_open") - F.coalesce(F.col("_live_before"), F.lit(0))
-        per_cart = x.filter(F.col("status").isNull()).groupBy("cart_id").agg(
-            F.max(F.when(F.col("_need") > upper, 1).otherwise(0)).alias("_fail"),
-            F.min(F.when(F.col("_need") <= lower, 1).otherwise(0)).alias("_fit"))
-        decided = per_cart.select("cart_id", F.when(F.col("_fail") == 1, F.lit("rejected"))
-                                  .when(F.col("_fit") == 1, F.lit("accepted")).alias("_new"))
-        status = (status.join(decided, "cart_id", "left")
-                  .select("cart_id", F.coalesce(F.col("status"), F.col("_new")).alias("status"))).checkpoint(eager=True)
-    return status.select("cart_id", F.coalesce(F.col("status"), F.lit("pending")).alias("status"),
-                         F.lit(rounds).alias("rounds"))
+    after = F.col("_open") - F.col("_so_far")
+    sold = sold.join(stock, KEYS).select(
+        "cart_id", "line_no", "product_id", "variant_id", "quantity", "unit_price", F.lit(None).cast("string").alias("reason"),
+        F.lit(1).alias("line_ok"), (after + F.col("quantity")).alias("stock_before"), after.alias("stock_after"))
+    none = F.lit(None).cast("bigint")
+    refused = v.filter(F.col("status") == "rejected").select(
+        "cart_id", "line_no", "product_id", "variant_id", "quantity", "unit_price",
+        F.coalesce("reason", F.lit("Cart refused")).alias("reason"), F.lit(0).alias("line_ok"), none.alias("stock_before"),
+        none.alias("stock_after"))
+    return sold.unionByName(refused).checkpoint(eager=True)
+
+
+def stock_after_sales(t: RetailTables, posted: DataFrame) -> DataFrame:
+    """S13 output: the stock table after the sold lines."""
+    less = _keyed(posted.filter(F.col("line_ok") == 1)).groupBy(*KEYS).agg(F.sum("quantity").alias("_less"))
+    j = _keyed(t.stock).join(less, KEYS, "left")
+    return j.select("id", "product_id", "variant_id", (F.col("quantity") - F.coalesce("_less", F.lit(0))).alias("quantity"),
+                    "reserved_quantity")
+
+
+def alerts_after_sales(t: RetailTables, posted: DataFrame) -> DataFrame:
+    """S13 output: alerts the sold lines raise: the first line that leaves a stock at or below its product's
+    minimum, for stocks without an active alert. Stock only falls here, so there is one at most."""
+    p = t.products.select(F.col("id").alias("product_id"), "min_stock_level")
+    low = _keyed(posted.filter(F.col("line_ok") == 1).join(p, "product_id")).filter(F.col("stock_after") <= F.col("min_stock_level"))
+    first = low.groupBy(*KEYS, "variant_id", "min_stock_level").agg(
+        F.min(F.struct("cart_id", "line_no", "stock_after")).alias("x"))
+    active = _keyed(t.low_stock_alerts.filter(F.col("alert_status") == "active")).select(*KEYS)
+    return first.join(active, KEYS, "left_anti").select(
+        "product_id", "variant_id", F.col("x.stock_after").alias("current_stock"), "min_stock_level",
+        F.lit("active").alias("alert_status"), F.col("x.cart_id").alias("sale_id"), F.col("x.line_no").alias("line_no"))

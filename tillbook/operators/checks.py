@@ -4,7 +4,8 @@ One pattern throughout: a request frame is checked by ordered predicates; ``reas
 the first failing check (the reference answers with the first error), ``ok`` = no
 failure. Uniqueness checks compare against per-key aggregates of the current table
 (count, min id, max id) instead of joining row to row, so a duplicated key cannot fan
-out; duplicates inside one batch keep the lowest ``req_id`` (sequential semantics).
+out; requests of one batch that claim the same key are settled as if they came one by
+one in the order of ``req_id``.
 Apply jobs return the new table (anti join of changed ids ∪ changed rows).
 """
 
@@ -15,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.operators.catalog import category_descendants
+from tillbook.session import checkpoint_dir
 from tillbook.sources.schemas import ROLES
 from tillbook.sources.views import RetailTables
 
@@ -52,13 +53,34 @@ def _exists_other(prefix: str, self_id: Column | None) -> Column:
     return F.coalesce((n > 1) | ((n == 1) & ~lo.eqNullSafe(self_id)), F.lit(False))
 
 
-def _batch_first(df: DataFrame, keys: list[str], ok: Column, name: str) -> DataFrame:
-    """Mark ``name`` = 1 for requests that lose to an earlier passing request with the same key."""
-    firsts = df.filter(ok & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).groupBy(*keys).agg(
-        F.min("req_id").alias(f"_{name}_first"))
-    j = df.join(firsts, keys, "left")
-    return j.withColumn(name, (F.col(f"_{name}_first").isNotNull() & (F.col("req_id") > F.col(f"_{name}_first"))
-                               ).cast("int")).drop(f"_{name}_first")
+def _settle(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """``_clash``: the first key that an earlier *accepted* request of another id holds; NULL = accepted or ``_pre`` failed.
+
+    ``df``: req_id, id, _pre (reason of the checks against the tables; NULL = passed). As if the requests came one
+    by one: a request refused for one key blocks no other by its second key. In each round a request with no
+    earlier live rival on any key is accepted, and one with an accepted rival is refused; the earliest open request
+    is always decided. Keys are NULL where a request claims none.
+    """
+    checkpoint_dir(df.sparkSession)
+    x = df.select("*", *[c.alias(f"_key_{k}") for k, c in keys.items()],
+                  F.when(F.col("_pre").isNotNull(), F.lit("refused")).alias("_state"),
+                  F.lit(None).cast("string").alias("_clash")).checkpoint(eager=True)
+    while not x.filter(F.col("_state").isNull()).isEmpty():
+        y, free, clash = x, F.lit(True), F.lit(None).cast("string")
+        for k in keys:
+            key = f"_key_{k}"
+            live = F.struct("req_id", "id")
+            firsts = x.filter(F.col(key).isNotNull() & (F.coalesce("_state", F.lit("")) != "refused")).groupBy(key).agg(
+                F.min(live).alias("_live"), F.min(F.when(F.col("_state") == "accepted", live)).alias("_held"))
+            y = y.join(firsts.withColumnsRenamed({"_live": f"_live_{k}", "_held": f"_held_{k}"}), key, "left")
+            rival = lambda s: ((F.col(f"{s}.req_id") < F.col("req_id")) & (F.col(f"{s}.id") != F.col("id")))
+            free = free & ~F.coalesce(rival(f"_live_{k}"), F.lit(False))
+            clash = F.coalesce(clash, F.when(rival(f"_held_{k}"), F.lit(k)))
+        new = F.when(clash.isNotNull(), "refused").when(free, "accepted")
+        x = y.select(*[c for c in x.columns if c not in ("_state", "_clash")],
+                     F.coalesce("_state", new).alias("_state"),
+                     F.when(F.col("_state").isNull(), clash).otherwise(F.col("_clash")).alias("_clash")).checkpoint(eager=True)
+    return x
 
 
 def _finish(df: DataFrame, reason: Column, *cols: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -94,12 +116,10 @@ def catalog_check(t: RetailTables, incoming: DataFrame, mode: str = "insert") ->
     checks += [("Product with this SKU already exists", _exists_other("_sa", self_id)),
                ("Product with this barcode already exists", F.col("barcode").isNotNull() & _exists_other("_ba", self_id)),
                ("Category not found", _truthy_id("category_id") & F.col("_cat").isNull())]
-    pre = first_failure(checks)
-    x = _batch_first(x, ["sku"], pre.isNull(), "_dup_sku")
-    x = _batch_first(x, ["barcode"], pre.isNull(), "_dup_bar")
-    reason = F.coalesce(pre, F.when(F.col("_dup_sku") == 1, F.lit("Product with this SKU already exists"))
-                        .when(F.col("_dup_bar") == 1, F.lit("Product with this barcode already exists")))
-    x = x.withColumn("_reason", reason)
+    # new products have ids of their own; updates of one product are no rivals
+    x = _settle(x.withColumn("_pre", first_failure(checks)), {"SKU": F.col("sku"), "barcode": F.col("barcode")})
+    x = x.withColumn("_reason", F.coalesce("_pre", F.when(F.col("_clash").isNotNull(), F.format_string(
+        "Product with this %s already exists", "_clash"))))
     warn = F.when(F.col("_reason").isNull() & ~_exists_other("_sa", self_id) & _exists_other("_sx", self_id),
                   F.lit("SKU is used by an inactive product"))
     return _finish(x.withColumn("warning", warn), F.col("_reason"), "id", "sku", keep=("warning",))
@@ -188,24 +208,25 @@ def category_insert_check(t: RetailTables, incoming: DataFrame) -> DataFrame:
     pre = first_failure([("Validation failed", _blank("name")),
                          ("Parent category not found", F.col("parent_id").isNotNull() & F.col("_par").isNull()),
                          ("Category with this name already exists at this level", F.col("_sib_n") > 0)])
-    x = x.withColumn("_pk", F.coalesce(F.col("parent_id"), F.lit(-1)))
-    x = _batch_first(x, ["name", "_pk"], pre.isNull(), "_dup")
-    reason = F.coalesce(pre, F.when(F.col("_dup") == 1, F.lit("Category with this name already exists at this level")))
+    place = F.concat_ws(":", F.coalesce(F.col("parent_id"), F.lit(-1)).cast("string"), "name")
+    x = _settle(x.withColumn("_pre", pre).withColumn("id", F.col("req_id")), {"name": place})
+    reason = F.coalesce("_pre", F.when(F.col("_clash").isNotNull(), F.lit("Category with this name already exists at this level")))
     return _finish(x, reason, "name", "parent_id")
 
 
 def category_reparent_check(t: RetailTables, requests: DataFrame) -> DataFrame:
     """(req_id, id, name, parent_id) updates: category active; not its own parent; parent active;
-    parent not among its active descendants (closure, C8); name unique among the new siblings."""
+    parent not among its active descendants (parents are followed up from it); name unique among the new
+    siblings; no two requests of the batch that together make a circle or claim one name."""
     x = requests.withColumn("name", F.trim("name")).withColumn(
         "parent_id", F.when(_truthy_id("parent_id"), F.col("parent_id")))
     act = t.categories.filter(F.col("is_active") == 1)
     x = x.join(act.select(F.col("id").alias("_self")), F.col("id") == F.col("_self"), "left")
     x = x.join(act.select(F.col("id").alias("_par")), F.col("parent_id") == F.col("_par"), "left")
-    clo = category_descendants(t).select(F.col("ancestor_id").alias("_anc"), F.col("descendant_id").alias("_desc"))
-    cyc = (x.select("req_id", "id", "parent_id")
-           .join(clo, (F.col("id") == F.col("_anc")) & (F.col("parent_id") == F.col("_desc")), "inner")
-           .select("req_id").distinct().withColumn("_cycle", F.lit(1)))
+    below = _walk_up(x.filter(F.col("parent_id").isNotNull()).select("req_id", F.col("id").alias("start"),
+                                                                     F.col("parent_id").alias("cur"), F.lit(None).cast("bigint").alias("late")),
+                     act.select("id", "parent_id", F.lit(None).cast("bigint").alias("by")))
+    cyc = below.select("req_id").distinct().withColumn("_cycle", F.lit(1))
     x = x.join(cyc, "req_id", "left")
     x = x.join(_sibling_stats(t), (F.col("name") == F.col("_sname")) & F.col("parent_id").eqNullSafe(F.col("_spar")),
                "left")
@@ -216,7 +237,43 @@ def category_reparent_check(t: RetailTables, requests: DataFrame) -> DataFrame:
         ("Parent category not found", F.col("parent_id").isNotNull() & F.col("_par").isNull()),
         ("Cannot create circular reference", F.col("_cycle") == 1),
         ("Category with this name already exists at this level", _exists_other("_sib", F.col("id")))])
-    return _finish(x, reason, "id", "name", "parent_id")
+    place = F.concat_ws(":", F.coalesce(F.col("parent_id"), F.lit(-1)).cast("string"), "name")
+    x = _settle(x.withColumn("_pre", reason), {"name": place})
+    reason = F.coalesce("_pre", F.when(F.col("_clash").isNotNull(), F.lit("Category with this name already exists at this level")))
+    out = _finish(x, reason, "id", "name", "parent_id").checkpoint(eager=True)
+    while True:  # moves that are fine alone may close a circle together: the latest of a circle is refused
+        moved = out.filter("ok = 1").groupBy("id").agg(F.max(F.struct("req_id", "parent_id")).alias("m")).select(
+            "id", F.col("m.req_id").alias("by"), F.col("m.parent_id").alias("_new"))
+        edges = act.select("id", "parent_id").join(moved, "id", "left").select(
+            "id", F.when(F.col("by").isNotNull(), F.col("_new")).otherwise(F.col("parent_id")).alias("parent_id"), "by")
+        edges = edges.checkpoint(eager=True)
+        circles = _walk_up(edges.filter("by is not null").select(F.col("by").alias("req_id"), F.col("id").alias("start"),
+                                                                 F.col("parent_id").alias("cur"), F.col("by").alias("late")), edges)
+        last = circles.select(F.col("late").alias("req_id")).distinct().withColumn("_late", F.lit(1)).checkpoint(eager=True)
+        if last.isEmpty():
+            return out
+        hit = F.col("_late") == 1
+        out = out.join(last, "req_id", "left").select(
+            "req_id", "id", "name", "parent_id", F.when(hit, "Cannot create circular reference").otherwise(F.col("reason")).alias("reason"),
+            F.when(hit, 0).otherwise(F.col("ok")).alias("ok")).checkpoint(eager=True)
+
+
+def _walk_up(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """The walks (req_id, late) that come back to ``start`` when parents are followed from ``cur``.
+
+    ``starts``: req_id, start, cur, late; ``edges``: id, parent_id, by of active categories. ``late`` grows to the
+    largest ``by`` passed. A join a level; a walk that runs into a circle without its start ends there.
+    """
+    checkpoint_dir(starts.sparkSession)
+    w = starts.withColumn("seen", F.array("start")).checkpoint(eager=True)
+    back = [w.filter("cur = start")]
+    up = edges.select(F.col("id").alias("cur"), F.col("parent_id").alias("_next"), F.col("by").alias("_by"))
+    while not w.isEmpty():
+        w = w.filter("cur <> start").filter(~F.array_contains("seen", F.col("cur"))).join(up, "cur").filter("_next is not null").select(
+            "req_id", "start", F.col("_next").alias("cur"), F.greatest("late", "_by").alias("late"),
+            F.array_append("seen", F.col("cur")).alias("seen")).checkpoint(eager=True)
+        back.append(w.filter("cur = start"))
+    return reduce(DataFrame.unionByName, back).select("req_id", "late")
 
 
 def category_soft_delete(t: RetailTables, requests: DataFrame) -> DataFrame:
@@ -249,10 +306,8 @@ def user_insert_check(t: RetailTables, incoming: DataFrame) -> DataFrame:
            | F.col("role").isNull() | _blank("first_name") | _blank("last_name"))
     pre = first_failure([("Validation failed", bad), ("Username already exists", F.col("_un") > 0),
                          ("Email already exists", F.col("_en") > 0)])
-    x = _batch_first(x, ["username"], pre.isNull(), "_du")
-    x = _batch_first(x, ["email"], pre.isNull(), "_de")
-    reason = F.coalesce(pre, F.when(F.col("_du") == 1, F.lit("Username already exists"))
-                        .when(F.col("_de") == 1, F.lit("Email already exists")))
+    x = _settle(x.withColumn("_pre", pre).withColumn("id", F.col("req_id")), {"Username": F.col("username"), "Email": F.col("email")})
+    reason = F.coalesce("_pre", F.when(F.col("_clash").isNotNull(), F.format_string("%s already exists", "_clash")))
     return _finish(x, reason, "username", "email")
 
 
@@ -284,6 +339,9 @@ def user_partial_update(t: RetailTables, patches: DataFrame) -> DataFrame:
         ("Username already exists", changed_u & (F.col("_un") > 0)),
         ("Email already exists", changed_e & (F.col("_en") > 0)),
         ("No fields to update", reduce(lambda a, b: a & b, [F.col(c).isNull() for c in PATCH_FIELDS]))])
+    x = _settle(x.withColumn("_pre", reason), {"Username": F.when(changed_u, F.col("username")),
+                                               "Email": F.when(changed_e, F.col("email"))})
+    reason = F.coalesce("_pre", F.when(F.col("_clash").isNotNull(), F.format_string("%s already exists", "_clash")))
     new_vals = [F.when(reason.isNull(), F.coalesce(F.col(c), F.col(f"_old_{c}"))).otherwise(F.col(f"_old_{c}"))
                 .alias(c) for c in PATCH_FIELDS]
     return x.select("req_id", "id", reason.alias("reason"), reason.isNull().cast("int").alias("ok"), *new_vals)

@@ -262,11 +262,9 @@ def cart_validation_summary(t: RetailTables, lines: DataFrame) -> DataFrame:
 
 
 def sale_lines_as_carts(t: RetailTables) -> DataFrame:
-    """Stand-in cart lines from ``sale_items``: one cart per sale, lines numbered within it."""
-    from tillbook.sources.standins import number_lines
-    items = t.sale_items.select(F.col("sale_id").alias("cart_id"), "product_id", "variant_id", "quantity",
-                                "unit_price", "total_price")
-    return number_lines(items, "cart_id", ["product_id", "quantity", "total_price"])
+    """Stand-in cart lines: one cart per sale."""
+    return t.sale_lines.select(F.col("sale_id").alias("cart_id"), "line_no", "product_id", "variant_id", "quantity",
+                               "unit_price", "total_price")
 
 
 def sales_display(t: RetailTables) -> DataFrame:

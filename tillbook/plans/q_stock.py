@@ -151,11 +151,18 @@ register("stock_after_adjust", _after_adjust, with_views("""
       ON h.product_id = s.product_id AND h.variant_id IS NOT DISTINCT FROM s.variant_id""",
     "products", "stock", "stock_ops", extra=_adjust_ctes(0)), "K10 after the bulk adjustment (L2 merge)")
 
-CART_LINES_SQL = """
-    SELECT i.sale_id AS cart_id, i.line_no, i.sale_id * 1000 + i.line_no AS seq, i.product_id, i.variant_id,
+ITEMS_SQL = """
+    SELECT l_orderkey AS sale_id, CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity,
+                                       l_extendedprice, l_returnflag, l_shipdate) AS INTEGER) AS line_no,
+           l_partkey AS product_id, CAST(NULL AS BIGINT) AS variant_id, CAST(floor(l_quantity) AS INTEGER) AS quantity,
+           CAST(CAST((CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * 100 AS BIGINT) * 2 + CAST(floor(l_quantity) AS INTEGER))
+                // (2 * CAST(floor(l_quantity) AS INTEGER)) AS DECIMAL(18,0)) * CAST(0.01 AS DECIMAL(2,2)) AS DECIMAL(12,2))
+             AS unit_price, l_returnflag, l_shipdate
+    FROM lineitem"""
+CART_LINES_SQL = f"""
+    SELECT i.sale_id AS cart_id, i.line_no, ROW_NUMBER() OVER (ORDER BY i.sale_id, i.line_no) AS seq, i.product_id, i.variant_id,
            i.quantity, i.unit_price, s.cashier_id AS created_by, s.created_at
-    FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY sale_id ORDER BY product_id, quantity, total_price) AS line_no
-          FROM sale_items) i LEFT JOIN sales s ON s.id = i.sale_id"""
+    FROM ({ITEMS_SQL}) i LEFT JOIN sales s ON s.id = i.sale_id"""
 CART_VAL = """
     SELECT l.*, CASE WHEN p.id IS NULL THEN 'Product not found' WHEN st.id IS NULL THEN 'Stock record not found' END
              AS reason
@@ -184,8 +191,8 @@ def _replay_movements(t):
 
 
 register("apply_sales_movements", _replay_movements, with_views("""
-    SELECT v.seq AS id, v.product_id, v.variant_id, 'sale' AS movement_type, -v.quantity AS quantity_change,
-           l.q_before AS quantity_before, l.q_after AS quantity_after, v.cart_id AS reference_id,
+    SELECT v.product_id, v.variant_id, 'sale' AS movement_type, -v.quantity AS quantity_change,
+           l.q_before AS quantity_before, l.q_after AS quantity_after, v.cart_id AS reference_id, v.line_no,
            'sale' AS reference_type, 'Sale ' || s.sale_number AS notes, s.cashier_id AS created_by, s.created_at
     FROM cart_val v JOIN ledger l ON l.seq = v.seq AND l.accepted = 1 LEFT JOIN sales s ON s.id = v.cart_id
     WHERE v.reason IS NULL""", "sale_items", "sales", "products", "stock", extra={
@@ -196,10 +203,8 @@ register("apply_sales_movements", _replay_movements, with_views("""
 
 
 def _refunds(t):
-    lines = SI.lineitem_lines(t)
-    items = lines.select("sale_id", "line_no", "product_id", "variant_id", "quantity")
-    req, req_lines = SI.refund_requests(t, lines)
-    return X.refund_outcomes(t, items, req, req_lines)
+    req, req_lines = SI.refund_requests(t)
+    return X.refund_outcomes(t, t.sale_lines, req, req_lines)
 
 
 register("apply_refunds", _refunds, with_views("""
@@ -209,14 +214,10 @@ register("apply_refunds", _refunds, with_views("""
            CASE WHEN acc THEN CASE WHEN is_full THEN 'full' ELSE 'partial' END END AS refund_type,
            CASE WHEN acc THEN refunded_items END AS refunded_items, total_items,
            CASE WHEN acc THEN COALESCE(notes, '') || chr(10) || 'Refund: ' || COALESCE(reason, 'No reason provided') END
-             AS note_appended
+             AS note_appended, COALESCE(reason, 'No reason provided') AS reason_text
     FROM (SELECT r3.*, eligible AND (ff.first_full IS NULL OR r3.request_id <= ff.first_full) AS acc
           FROM r3 LEFT JOIN ff ON ff.sale_id = r3.sale_id)""", "sales", extra={
-    "items_l": """SELECT l_orderkey AS sale_id,
-                         ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity,
-                                            l_extendedprice, l_returnflag, l_shipdate) AS line_no,
-                         l_partkey AS product_id, CAST(floor(l_quantity) AS INTEGER) AS quantity, l_returnflag
-                  FROM lineitem""",
+    "items_l": ITEMS_SQL,
     "requests": """SELECT sale_id AS request_id, sale_id, 'returned items' AS reason
                    FROM items_l WHERE l_returnflag = 'R' GROUP BY sale_id""",
     "rlines": "SELECT DISTINCT sale_id AS request_id, line_no FROM items_l WHERE l_returnflag = 'R'",
@@ -235,7 +236,20 @@ register("apply_refunds", _refunds, with_views("""
     "ff": "SELECT sale_id, MIN(request_id) AS first_full FROM r3 WHERE eligible AND is_full GROUP BY sale_id",
 }), "S14: one refund request per order with returned (R) line items")
 
-# Iterative (rounds until every cart is decided): no SQL oracle; tests compare it with a
-# sequential cart-by-cart simulation on random contended fixtures.
+# Carts walked one by one have no SQL that is fast on whole tables (a recursive CTE carries the whole stock from cart
+# to cart): tests hold these keys against a sequential version, and that CTE, on the smallest tables.
 register("apply_sales_exact", lambda t: X.apply_sales_exact(t, SI.cart_lines(t)), None,
-         "S13 exact cart mode: every sale replayed all-or-nothing against the stock table")
+         "S13: every sale replayed all-or-nothing against the stock table; the outcome of each cart")
+
+
+def _posted(t, make):
+    return make(X.post_sales(t, SI.cart_lines(t)))
+
+
+register("post_sales", lambda t: _posted(t, lambda p: X.sale_replay_rows(p, SI.cart_headers(t))), None,
+         "S13: the sales rows of the carts sold")
+register("post_sales_items", lambda t: _posted(t, X.sale_replay_items), None, "S13: their items")
+register("post_sales_movements", lambda t: _posted(t, lambda p: X.sale_replay_movements(p, SI.cart_headers(t))), None,
+         "S13: their ledger rows")
+register("post_sales_stock", lambda t: _posted(t, lambda p: X.stock_after_sales(t, p)), None, "S13: the stock after them")
+register("post_sales_alerts", lambda t: _posted(t, lambda p: X.alerts_after_sales(t, p)), None, "S13: the alerts they raise")

@@ -37,6 +37,9 @@ RETAIL_SCHEMAS: dict[str, T.StructType] = {
     "sale_items": _schema(("sale_id", L), ("product_id", L), ("variant_id", L), ("quantity", I),
                           ("unit_price", MONEY), ("total_price", MONEY), ("discount_amount", MONEY),
                           ("created_at", TS)),
+    # the items of sales with their place in the sale, and whether they came back
+    "sale_lines": _schema(("sale_id", L), ("line_no", I), ("product_id", L), ("variant_id", L), ("quantity", I),
+                          ("unit_price", MONEY), ("total_price", MONEY), ("returned", I), ("created_at", TS)),
     "stock_ops": _schema(("seq", L), ("product_id", L), ("variant_id", L), ("op", S), ("n", I),
                          ("created_by", L), ("created_at", TS)),
     "stock_movements": _schema(("id", L), ("product_id", L), ("variant_id", L), ("movement_type", S),

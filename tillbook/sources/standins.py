@@ -3,7 +3,7 @@
 These only shape existing rows into the request schemas the jobs expect (no job logic
 here): stock adjustment requests are the in/out/adjustment rows of ``stock_ops``; cart
 lines are the lines of every sale, replayed in sale-id order; refund requests are the
-line items TPC-H flags as returned (``l_returnflag = 'R'``), one request per order.
+lines that came back, one request per sale.
 """
 
 from __future__ import annotations
@@ -11,54 +11,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillbook.plans.scans import keyed_scan
-
 from tillbook.sources.views import RetailTables
 
-LINE_SLOTS = 1000  # seq = cart_id * LINE_SLOTS + line_no
-
-
-def number_lines(df: DataFrame, key: str, order: list[str], chunk_width: int | None = None) -> DataFrame:
-    """``line_no`` = 1, 2, … inside each ``key`` in ``order`` (like ``row_number()``), through the
-    chunked count scan, so one huge sale is not a single window partition. ``order[0]``
-    must be a LONG."""
-    kw = {} if chunk_width is None else {"chunk_width": chunk_width}
-    return (keyed_scan(df, [key], order, F.lit(1), "count", "line_no", **kw)
-            .withColumn("line_no", F.col("line_no").cast("int")))
-
-
 def adjustment_requests(t: RetailTables) -> DataFrame:
     return t.stock_ops.filter(F.col("op").isin("in", "out", "adjustment"))
 
 
 def cart_lines(t: RetailTables) -> DataFrame:
-    """Every sale's items as cart lines, numbered inside the sale, with the sale's cashier and time."""
-    items = number_lines(t.sale_items, "sale_id", ["product_id", "quantity", "total_price"])
+    """Every sale's lines as cart lines, with the sale's cashier and time. Carts come in the order of their ids."""
     s = t.sales.select(F.col("id").alias("sale_id"), F.col("cashier_id").alias("created_by"), "created_at")
-    j = items.drop("created_at").join(s, "sale_id", "left")
-    return j.select(F.col("sale_id").alias("cart_id"), "line_no",
-                    (F.col("sale_id") * LINE_SLOTS + F.col("line_no")).alias("seq"), "product_id", "variant_id",
-                    "quantity", "unit_price", "created_by", "created_at")
-
-
-def lineitem_lines(t: RetailTables) -> DataFrame:
-    """sale_items with a line number (and the TPC-H return flag) from the base lineitem table."""
-    li = number_lines(t.base("lineitem").withColumn("_ln", F.col("l_linenumber").cast("bigint")), "l_orderkey",
-                      ["_ln", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"])
-    return li.select(F.col("l_orderkey").alias("sale_id"), "line_no",
-                     F.col("l_partkey").alias("product_id"), F.lit(None).cast("bigint").alias("variant_id"),
-                     F.floor("l_quantity").cast("int").alias("quantity"), "l_returnflag", "l_shipdate")
-
-
-def refund_requests(t: RetailTables, lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(requests, request_lines): one request per order with returned (R) items, listing those items."""
-    lines = lineitem_lines(t) if lines is None else lines
-    r = lines.filter(F.col("l_returnflag") == "R")
-    req = r.groupBy("sale_id").agg(F.max("l_shipdate").alias("created_at")).select(
+    j = t.sale_lines.drop("created_at").join(s, "sale_id", "left")
+    return j.select(F.col("sale_id").alias("cart_id"), "line_no", "product_id", "variant_id", "quantity", "unit_price",
+                    "created_by", "created_at")
+
+
+def refund_requests(t: RetailTables) -> tuple[DataFrame, DataFrame]:
+    """(requests, request_lines): one request per sale with returned lines, listing those lines."""
+    r = t.sale_lines.filter(F.col("returned") == 1)
+    req = r.groupBy("sale_id").agg(F.max("created_at").alias("created_at")).select(
         F.col("sale_id").alias("request_id"), "sale_id", F.lit("returned items").alias("reason"),
         F.lit(None).cast("bigint").alias("created_by"), "created_at")
-    req_lines = r.select(F.col("sale_id").alias("request_id"), "line_no")
-    return req, req_lines
+    return req, r.select(F.col("sale_id").alias("request_id"), "line_no")
 
 
 def alert_acks(t: RetailTables, alerts: DataFrame | None = None) -> DataFrame:

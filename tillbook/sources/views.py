@@ -26,7 +26,7 @@ OP_OF_EVENT = {"signup": "in", "click": "out", "error": "adjustment", "purchase"
 EPOCH = "2000-01-01 00:00:00"
 
 RETAIL_TABLES = ("users", "categories", "products", "product_variants", "stock", "sales", "sale_items",
-                 "stock_ops")
+                 "sale_lines", "stock_ops")
 DERIVED_TABLES = ("stock_movements", "low_stock_alerts")  # written by the ledger job
 
 
@@ -45,6 +45,13 @@ def _root_id(p_type: Column) -> Column:
     return expr.otherwise(F.lit(6)).cast("bigint")
 
 
+def _unit_price() -> Column:
+    """Unit price of a lineitem, rounded half-up to the cent in integer arithmetic (exact everywhere)."""
+    cents = F.expr("(cast(cast(l_extendedprice as decimal(12,2)) * 100 as bigint) * 2"
+                   " + cast(floor(l_quantity) as int)) div (2 * cast(floor(l_quantity) as int))")
+    return (cents.cast("decimal(18,0)") * F.lit("0.01").cast("decimal(2,2)")).cast(MONEY)
+
+
 def _brand_no(p_brand: Column) -> Column:
     return F.substring(p_brand, 7, 1 << 20).cast("int")
 
@@ -102,6 +109,8 @@ class RetailTables:
             elif n == "sale_items":
                 # range on (sale, product): clustered by sale, yet one huge sale spans several files
                 w = df.repartitionByRange("sale_id", "product_id").sortWithinPartitions("sale_id", "product_id").write
+            elif n == "sale_lines":
+                w = df.repartitionByRange("sale_id", "line_no").sortWithinPartitions("sale_id", "line_no").write
             elif n == "stock_ops":
                 # range on (product, seq): a product holding a third of the ops is split across files
                 w = df.repartitionByRange("product_id", "seq").sortWithinPartitions("product_id", "seq").write
@@ -260,16 +269,29 @@ class RetailTables:
             return li.select(
                 F.col("l_orderkey").alias("sale_id"), F.col("l_partkey").alias("product_id"),
                 F.lit(None).cast("bigint").alias("variant_id"), qty.alias("quantity"),
-                # unit price rounded half-up to the cent in integer arithmetic (exact everywhere)
-                (F.expr("(cast(cast(l_extendedprice as decimal(12,2)) * 100 as bigint) * 2"
-                        " + cast(floor(l_quantity) as int)) div (2 * cast(floor(l_quantity) as int))")
-                 .cast("decimal(18,0)") * F.lit("0.01").cast("decimal(2,2)")).cast(MONEY).alias("unit_price"),
+                _unit_price().alias("unit_price"),
                 F.col("l_extendedprice").cast(MONEY).alias("total_price"),
                 F.lit("0.00").cast(MONEY).alias("discount_amount"),
                 F.col("l_shipdate").alias("created_at"),
             )
         return self._get("sale_items", build)
 
+    @cached_property
+    def sale_lines(self) -> DataFrame:
+        """``sale_items`` numbered 1, 2, ... within each sale, with the return flag: computed once when written."""
+        def build():
+            from tillbook.plans.scans import keyed_scan
+            li = self.base("lineitem").withColumn("_ln", F.col("l_linenumber").cast("bigint"))
+            li = keyed_scan(li, ["l_orderkey"], ["_ln", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag",
+                                                 "l_shipdate"], F.lit(1), "count", "line_no")
+            return li.select(
+                F.col("l_orderkey").alias("sale_id"), F.col("line_no").cast("int").alias("line_no"),
+                F.col("l_partkey").alias("product_id"), F.lit(None).cast("bigint").alias("variant_id"),
+                F.floor("l_quantity").cast("int").alias("quantity"), _unit_price().alias("unit_price"),
+                F.col("l_extendedprice").cast(MONEY).alias("total_price"),
+                F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("returned"), F.col("l_shipdate").alias("created_at"))
+        return self._get("sale_lines", build)
+
     @cached_property
     def stock_ops(self) -> DataFrame:
         def build():
