@@ -57,8 +57,6 @@ def test_per_key_top_n_limits_before_the_shuffle(spark, name):
 
 def test_sequential_fold_is_the_only_python(spark):
     plan = _plan(spark, "stock_ledger")
-    # the fold itself and the chunk-function pass of hot groups: each exactly once, plus the
-    # per-group composition of chunk functions; no row-at-a-time UDF
-    assert len(set(re.findall(r"\((\d+)\) MapInPandas", plan))) == 2
-    assert len(set(re.findall(r"\((\d+)\) FlatMapGroupsInPandas", plan))) == 1
+    assert len(set(re.findall(r"\((\d+)\) MapInPandas", plan))) == 1
+    assert "FlatMapGroupsInPandas" not in plan
     assert "BatchEvalPython" not in plan

@@ -29,7 +29,8 @@ PROBE, RESET = 1, 2  # roles of the two copies of an adjustment row
 
 
 def fold_sorted_batches(batches):
-    """Fold rows sorted by (product_id, _vk, seg[, _chunk], seq); the state crosses batch boundaries.
+    """Fold rows sorted by (product_id, _vk, seg, seq); the state crosses batch boundaries, so a task holds
+    one Arrow batch and one quantity, however many rows a segment has.
 
     Segment 0 starts at the row's ``opening``. Each adjustment row comes twice: a *probe*
     copy closing the previous segment (its ``before`` is the quantity there, its
@@ -53,17 +54,11 @@ def fold_sorted_batches(batches):
         after = [0] * m
         acc = [1] * m
         keep = [True] * m
-        chunk = pdf["_chunk"].tolist() if "_chunk" in pdf.columns else [0] * m
-        start = pdf["_start"].tolist() if "_start" in pdf.columns else [None] * m
         for i in range(m):
-            key = (pid[i], vk[i], seg[i], chunk[i])
+            key = (pid[i], vk[i], seg[i])
             if key != cur:
                 cur = key
-                s0 = start[i]
-                if s0 is not None and s0 == s0:  # a hot group's chunk starts from its composed quantity
-                    q = int(s0)
-                else:
-                    q = int(opening[i]) if seg[i] == 0 else None
+                q = int(opening[i]) if seg[i] == 0 else None
             if role[i] == RESET:
                 q, keep[i] = int(n[i]), False
                 continue
@@ -74,12 +69,12 @@ def fold_sorted_batches(batches):
             q, acc[i] = apply_op(q, op[i], int(n[i]))
             after[i] = q
         out = pdf[["seq", "product_id", "variant_id", "_vk", "seg", "op", "n"]].copy()
-        out["q_before"] = np.asarray(before, dtype=np.int32)
-        out["q_after"] = np.asarray(after, dtype=np.int32)
+        out["q_before"] = np.asarray(before, dtype=np.int64)
+        out["q_after"] = np.asarray(after, dtype=np.int64)
         out["accepted"] = np.asarray(acc, dtype=np.int32)
         out["created_by"] = pdf["created_by"]
         out["created_at"] = pdf["created_at"]
-        out["opening"] = pdf["opening"].astype(np.int32)
+        out["opening"] = pdf["opening"].astype(np.int64)
         yield out[np.asarray(keep)]
 
 
@@ -140,119 +135,3 @@ def ledger_state_step(key, pdfs, state):
     for c in ("n", "q_before", "q_after", "q_change", "accepted", "late", "min_level"):
         out[c] = pd.array(out[c], dtype="Int32")
     yield out
-
-
-# ---------------------------------------------------------------------------------------
-# Chunked fold for hot groups: a chunk of ops as an exact function of its start quantity.
-# A function is a list of pieces (lo, hi, kind, val) covering q >= 0 in order (hi None =
-# unbounded): kind SHIFT maps q -> q + val on [lo, hi), kind CONST maps it to val.
-SHIFT, CONST = 0, 1
-
-
-def _split(pieces, n, clamp):
-    """Apply ``out n`` (clamp=True: below the threshold -> 0) or ``sale n`` (clamp=False:
-    below the threshold the sale is rejected, q unchanged) to every piece."""
-    out = []
-    for lo, hi, kind, val in pieces:
-        if kind == CONST:
-            if val >= n:
-                out.append((lo, hi, CONST, val - n))
-            else:
-                out.append((lo, hi, CONST, 0 if clamp else val))
-            continue
-        t = n - val  # start values q >= t have q + val >= n
-        below_hi = t if hi is None else min(hi, t)
-        if lo < below_hi:
-            out.append((lo, below_hi, CONST, 0) if clamp else (lo, below_hi, SHIFT, val))
-        above_lo = max(lo, t)
-        if hi is None or above_lo < hi:
-            out.append((above_lo, hi, SHIFT, val - n))
-    return out
-
-
-def _merge(pieces):
-    merged = []
-    for p in pieces:
-        if merged and merged[-1][1] == p[0] and merged[-1][2] == p[2] and merged[-1][3] == p[3]:
-            merged[-1] = (merged[-1][0], p[1], p[2], p[3])
-        else:
-            merged.append(p)
-    return merged
-
-
-def chunk_function(ops, ns, roles):
-    """Transfer function of one chunk of ops (sorted by seq) as pieces."""
-    pieces = [(0, None, SHIFT, 0)]
-    for op, n, role in zip(ops, ns, roles):
-        n = int(n)
-        if role == PROBE:
-            continue
-        if role == RESET or op == "adjustment":
-            pieces = [(0, None, CONST, n)]
-        elif op == "in" or op == "return":
-            pieces = [(lo, hi, kind, val + n) for lo, hi, kind, val in pieces]
-        elif op == "out":
-            pieces = _merge(_split(pieces, n, clamp=True))
-        elif op == "sale":
-            pieces = _merge(_split(pieces, n, clamp=False))
-        else:
-            raise ValueError(f"unknown op {op!r}")
-    return pieces
-
-
-def chunk_functions(batches):
-    """mapInPandas body: rows sorted by (product_id, _vk, seg, _chunk, seq) -> one row per piece."""
-    pending = None  # (key, ops, ns, roles) of a chunk that may continue in the next batch
-    cols = ("product_id", "_vk", "seg", "_chunk", "_opening", "lo", "hi", "kind", "val")
-
-    def emit(key, ops, ns, roles, sink):
-        for lo, hi, kind, val in chunk_function(ops, ns, roles):
-            for c, v in zip(cols, (*key, lo, hi, kind, val)):
-                sink[c].append(v)
-
-    for pdf in batches:
-        sink = {c: [] for c in cols}
-        keys = list(zip(pdf["product_id"].tolist(), pdf["_vk"].tolist(), pdf["seg"].tolist(),
-                        pdf["_chunk"].tolist(), pdf["opening"].tolist()))
-        ops, ns, roles = pdf["op"].tolist(), pdf["n"].tolist(), pdf["_role"].tolist()
-        for i, key in enumerate(keys):
-            if pending is None or pending[0] != key:
-                if pending is not None:
-                    emit(*pending, sink)
-                pending = (key, [], [], [])
-            pending[1].append(ops[i])
-            pending[2].append(ns[i])
-            pending[3].append(roles[i])
-        yield _pieces_frame(sink)
-    if pending is not None:
-        sink = {c: [] for c in cols}
-        emit(*pending, sink)
-        yield _pieces_frame(sink)
-
-
-def _pieces_frame(sink):
-    out = pd.DataFrame(sink)
-    out["hi"] = pd.array(out["hi"], dtype="Int64")
-    for c in ("product_id", "_vk", "seg", "_chunk", "_opening", "lo", "val"):
-        out[c] = out[c].astype(np.int64)
-    out["kind"] = out["kind"].astype(np.int32)
-    return out
-
-
-def compose_starts(pdf):
-    """applyInPandas body per (product_id, _vk, seg): start quantity of every chunk, in order."""
-    pdf = pdf.sort_values(["_chunk", "lo"], kind="stable")
-    seg = int(pdf["seg"].iloc[0])
-    q = int(pdf["_opening"].iloc[0]) if seg == 0 else 0  # later segments open with a reset
-    rows = []
-    for chunk, g in pdf.groupby("_chunk", sort=True):
-        rows.append((int(chunk), q))
-        lo = g["lo"].to_numpy()
-        i = int(np.searchsorted(lo, q, side="right")) - 1
-        kind, val = int(g["kind"].iloc[i]), int(g["val"].iloc[i])
-        q = q + val if kind == SHIFT else val
-    out = pd.DataFrame(rows, columns=["_chunk", "_start"])
-    out.insert(0, "seg", seg)
-    out.insert(0, "_vk", int(pdf["_vk"].iloc[0]))
-    out.insert(0, "product_id", int(pdf["product_id"].iloc[0]))
-    return out

@@ -39,7 +39,6 @@ from pyspark.sql import types as T
 
 from tillbook.functions import folds
 from tillbook.plans.scans import DEFAULT_CHUNK_WIDTH, keyed_scan, keyed_walk
-from tillbook.session import checkpoint_dir
 from tillbook.sources.views import RetailTables
 
 cloudpickle.register_pickle_by_value(folds)  # executors need no installed copy
@@ -51,24 +50,12 @@ LEDGER_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("product_id", T.LongType()),
     T.StructField("variant_id", T.LongType()), T.StructField("_vk", T.LongType()),
     T.StructField("seg", T.LongType()), T.StructField("op", T.StringType()), T.StructField("n", T.IntegerType()),
-    T.StructField("q_before", T.IntegerType()), T.StructField("q_after", T.IntegerType()),
+    T.StructField("q_before", T.LongType()), T.StructField("q_after", T.LongType()),
     T.StructField("accepted", T.IntegerType()), T.StructField("created_by", T.LongType()),
-    T.StructField("created_at", T.TimestampNTZType()), T.StructField("opening", T.IntegerType()),
+    T.StructField("created_at", T.TimestampNTZType()), T.StructField("opening", T.LongType()),
 ])
 
 
-PIECES_SCHEMA = T.StructType([
-    T.StructField("product_id", T.LongType()), T.StructField("_vk", T.LongType()), T.StructField("seg", T.LongType()),
-    T.StructField("_chunk", T.LongType()), T.StructField("_opening", T.LongType()), T.StructField("lo", T.LongType()),
-    T.StructField("hi", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("val", T.LongType()),
-])
-STARTS_SCHEMA = T.StructType([
-    T.StructField("product_id", T.LongType()), T.StructField("_vk", T.LongType()), T.StructField("seg", T.LongType()),
-    T.StructField("_chunk", T.LongType()), T.StructField("_start", T.LongType()),
-])
-HOT_ROWS = 1 << 20  # a (product, variant, segment) group above this many ops is folded in chunks
-
-
 def _keyed(ops: DataFrame) -> DataFrame:
     return ops.withColumn("_vk", F.coalesce(F.col("variant_id"), F.lit(NO_VARIANT).cast("bigint")))
 
@@ -99,35 +86,21 @@ def _split_adjustments(x: DataFrame) -> DataFrame:
 
 
 def _finish(led: DataFrame) -> DataFrame:
-    return led.select("seq", "product_id", "variant_id", "op", "n", "q_before", "q_after",
-                      (F.col("q_after") - F.col("q_before")).cast("int").alias("q_change"), "accepted",
+    # quantities are 64-bit in the fold; the stock table's are 32-bit
+    return led.select("seq", "product_id", "variant_id", "op", "n", F.col("q_before").cast("int").alias("q_before"),
+                      F.col("q_after").cast("int").alias("q_after"), (F.col("q_after") - F.col("q_before")).cast("int").alias("q_change"), "accepted",
                       "created_by", "created_at")
 
 
-def _chunk_starts(x: DataFrame) -> DataFrame:
-    """Start quantity of every chunk of the hot groups in ``x`` (rows with ``_chunk >= 0``).
-
-    Each chunk becomes its exact transfer function (pieces of ``q -> q + off`` or
-    ``q -> const``; a few per sale/out, one after an adjustment); per group the chunk
-    functions are composed in order. Only pieces — not rows — meet in one task.
-    """
-    hot = x.filter(F.col("_chunk") >= 0)
-    pieces = (hot.repartition(*KEYS, "seg", "_chunk")
-              .sortWithinPartitions(*KEYS, "seg", "_chunk", "seq")
-              .mapInPandas(folds.chunk_functions, PIECES_SCHEMA))
-    return pieces.groupBy(*KEYS, "seg").applyInPandas(folds.compose_starts, STARTS_SCHEMA)
-
-
 def stock_ledger(t: RetailTables, ops: DataFrame | None = None, opening: DataFrame | None = None,
-                 chunk_width: int = DEFAULT_CHUNK_WIDTH, has_adjustments: bool = True,
-                 hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                 chunk_width: int = DEFAULT_CHUNK_WIDTH, has_adjustments: bool = True) -> DataFrame:
     """L1: every op with before / after / change and an ``accepted`` flag (rejected sales: 0).
 
     ``has_adjustments=False`` declares that ``ops`` holds no ``adjustment`` rows (e.g. a
     sale replay): the whole key is one segment and the segment scan is skipped.
-    Groups (product, variant, segment) with more than ``hot_rows`` ops are cut into
-    ``chunk_width`` seq ranges whose start quantities come from composed chunk
-    functions, then all chunks fold in parallel (exact; see ``_chunk_starts``).
+    Whether a sale is refused depends on all before it, so the ops between two adjustments
+    of one (product, variant) are folded one after the other, as a stream: the task's memory
+    doesn't grow with them, its time does.
     """
     ops = t.stock_ops if ops is None else ops
     x = _with_opening(_keyed(ops), opening)
@@ -137,21 +110,8 @@ def stock_ledger(t: RetailTables, ops: DataFrame | None = None, opening: DataFra
         x = x.withColumn("seg", F.lit(0).cast("bigint")).withColumn("_role", F.lit(0))
     x = x.select("seq", "product_id", "variant_id", "_vk", "seg", "_role", "op", "n", "created_by", "created_at",
                  "opening")
-    if hot_rows is not None:
-        # the sized input feeds three branches (group sizes, hot chunks, the fold): cut its
-        # lineage once in the shared checkpoint folder instead of recomputing the segment scan
-        checkpoint_dir(x.sparkSession)
-        x = x.checkpoint(eager=True)
-        sizes = x.groupBy(*KEYS, "seg").agg(F.count(F.lit(1)).alias("_gn"))
-        x = x.join(sizes, [*KEYS, "seg"], "left").withColumn(
-            "_chunk", F.when(F.col("_gn") > hot_rows, F.floor(F.col("seq") / F.lit(chunk_width)))
-            .otherwise(F.lit(-1)).cast("bigint")).drop("_gn")
-        x = x.join(_chunk_starts(x), [*KEYS, "seg", "_chunk"], "left")
-    else:
-        x = x.withColumn("_chunk", F.lit(-1).cast("bigint")).withColumn("_start", F.lit(None).cast("bigint"))
     # hash by group (no fixed count: AQE sizes the partitions from the shuffle statistics)
-    led = (x.repartition("product_id", "_vk", "seg", "_chunk")
-           .sortWithinPartitions("product_id", "_vk", "seg", "_chunk", "seq")
+    led = (x.repartition("product_id", "_vk", "seg").sortWithinPartitions("product_id", "_vk", "seg", "seq")
            .mapInPandas(folds.fold_sorted_batches, LEDGER_SCHEMA))
     return _finish(led)
 

@@ -48,10 +48,10 @@ register("ledger_consistency", lambda t: L.ledger_consistency(t.stock_movements)
 from tillbook.oracle.ledger_sql import ALERTS_CTES as _AC  # noqa: E402
 from tillbook.streaming import ledger_stream as LS  # noqa: E402
 
-register("stream_stock_ledger", lambda t: LS.stream_stock_ledger(t, f"{t.sf_dir}/events*.parquet"),
+register("stream_stock_ledger", lambda t: LS.stream_stock_ledger(t),
          with_views(f"SELECT {LEDGER_COLS} FROM ledger", "stock_ops", extra=LEDGER_CTES),
          "L1 as Structured Streaming (applyInPandasWithState, availableNow)")
-register("stream_low_stock_alerts", lambda t: LS.stream_low_stock_alerts(t, f"{t.sf_dir}/events*.parquet"),
+register("stream_low_stock_alerts", lambda t: LS.stream_low_stock_alerts(t),
          with_views("""SELECT seq, product_id, variant_id, op, q_after, min_level, event, created_by, created_at
                        FROM alert_ev WHERE event IS NOT NULL""", "stock_ops", "products", extra=_AC),
          "L3 as Structured Streaming")

@@ -94,6 +94,13 @@ def keyed_scans(df: DataFrame, keys: list[str], order: str | list[str],
     return j.select(*df.columns, *combine)
 
 
+def number_lines(df: DataFrame, key: str, order: list[str], chunk_width: int = DEFAULT_CHUNK_WIDTH) -> DataFrame:
+    """``line_no`` = 1, 2, … inside each ``key`` in ``order`` (like ``row_number()``), through the chunked count
+    scan, so one huge sale is not a single window partition. ``order[0]`` must be a LONG."""
+    return (keyed_scan(df, [key], order, F.lit(1), "count", "line_no", chunk_width=chunk_width)
+            .withColumn("line_no", F.col("line_no").cast("int")))
+
+
 def keyed_walk(df: DataFrame, keys: list[str], order: str, delta: str, base: str,
                chunk_width: int = DEFAULT_CHUNK_WIDTH) -> DataFrame:
     """Clamp-at-zero walk per key: ``q_i = max(0, q_{i-1} + delta_i)``, ``q_0 = base``.

@@ -46,13 +46,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts: the cluster's ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) a fresh scratch folder is made.
+    Only a local session without one (tests) gets a fresh scratch folder. A cluster must name a
+    folder that all its machines share, so there it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    local = sc.master == "local" or sc.master.startswith("local[")
+    if not conf_dir and not local:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="tillbook-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)

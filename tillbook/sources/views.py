@@ -280,12 +280,11 @@ class RetailTables:
     def sale_lines(self) -> DataFrame:
         """``sale_items`` numbered 1, 2, ... within each sale, with the return flag: computed once when written."""
         def build():
-            from tillbook.plans.scans import keyed_scan
-            li = self.base("lineitem").withColumn("_ln", F.col("l_linenumber").cast("bigint"))
-            li = keyed_scan(li, ["l_orderkey"], ["_ln", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag",
-                                                 "l_shipdate"], F.lit(1), "count", "line_no")
+            from tillbook.plans.scans import number_lines
+            li = number_lines(self.base("lineitem").withColumn("_ln", F.col("l_linenumber").cast("bigint")), "l_orderkey",
+                              ["_ln", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"])
             return li.select(
-                F.col("l_orderkey").alias("sale_id"), F.col("line_no").cast("int").alias("line_no"),
+                F.col("l_orderkey").alias("sale_id"), "line_no",
                 F.col("l_partkey").alias("product_id"), F.lit(None).cast("bigint").alias("variant_id"),
                 F.floor("l_quantity").cast("int").alias("quantity"), _unit_price().alias("unit_price"),
                 F.col("l_extendedprice").cast(MONEY).alias("total_price"),

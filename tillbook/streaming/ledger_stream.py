@@ -18,7 +18,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -26,6 +26,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from tillbook.functions import folds
 from tillbook.session import checkpoint_dir
 from tillbook.sources.base import BASE_SCHEMAS
+from tillbook.sources.schemas import RETAIL_SCHEMAS
 from tillbook.sources.views import OP_OF_EVENT, RetailTables
 
 cloudpickle.register_pickle_by_value(folds)
@@ -43,12 +44,20 @@ STATE_SCHEMA = T.StructType([T.StructField("q", T.LongType()), T.StructField("ac
                              T.StructField("last_seq", T.LongType())])
 
 
-def stock_ops_stream(spark: SparkSession, events_path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """``stock_ops`` as a stream over event parquet files (same mapping as the batch view)."""
-    r = spark.readStream.schema(BASE_SCHEMAS["events"])
+def stock_ops_stream(t: RetailTables, max_files_per_trigger: int | None = None) -> DataFrame:
+    """``stock_ops`` as a stream: the bundle's stored table, or event files with the batch view's mapping.
+
+    Set ``max_files_per_trigger`` for files that arrive in sequence order (a log): it bounds the
+    rows folded at once. The stored table is ordered by product, not time, and is read in one go.
+    """
+    r = t.spark.readStream
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    e = r.parquet(events_path)
+    if t._root:
+        return r.schema(RETAIL_SCHEMAS["stock_ops"]).parquet(f"{t._root}/stock_ops")
+    if not t.sf_dir:
+        raise ValueError("no files to stream from: the bundle was made of frames")
+    e = r.schema(BASE_SCHEMAS["events"]).parquet(f"{t.sf_dir}/events*.parquet")
     op = None
     for ev, o in OP_OF_EVENT.items():
         op = F.when(F.col("event_type") == ev, F.lit(o)) if op is None else op.when(F.col("event_type") == ev, F.lit(o))
@@ -89,15 +98,15 @@ def run_to_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(OUT_SCHEMA).parquet(f"{run}/out")
 
 
-def stream_stock_ledger(t: RetailTables, events_path: str) -> DataFrame:
+def stream_stock_ledger(t: RetailTables) -> DataFrame:
     """The stream's ledger rows (in-order rows only), in the batch ledger's columns."""
-    out = run_to_table(ledger_stream(t, stock_ops_stream(t.spark, events_path)), "ledger")
+    out = run_to_table(ledger_stream(t, stock_ops_stream(t)), "ledger")
     return out.filter(F.col("late") == 0).select("seq", "product_id", "variant_id", "op", "n", "q_before", "q_after",
                                                  "q_change", "accepted", "created_by", "created_at")
 
 
-def stream_low_stock_alerts(t: RetailTables, events_path: str) -> DataFrame:
+def stream_low_stock_alerts(t: RetailTables) -> DataFrame:
     """The stream's alert events (raise / resolve rows)."""
-    out = run_to_table(ledger_stream(t, stock_ops_stream(t.spark, events_path)), "alerts")
+    out = run_to_table(ledger_stream(t, stock_ops_stream(t)), "alerts")
     return out.filter(F.col("event").isNotNull() & (F.col("late") == 0)).select(
         "seq", "product_id", "variant_id", "op", "q_after", "min_level", "event", "created_by", "created_at")
