@@ -215,6 +215,7 @@ def refund_return_ops(t: RetailTables, items: DataFrame, requests: DataFrame, re
                       outcomes: DataFrame) -> DataFrame:
     """``return`` ops for the items of accepted refunds that have a stock row (input to the ledger)."""
     acc = outcomes.filter(F.col("accepted") == 1).select("request_id", "sale_id")
+    items = items.select("sale_id", "line_no", "product_id", "variant_id", "quantity")
     req = requests.select("request_id", "created_by", "created_at").join(acc, "request_id", "inner")
     has_lines = request_lines.select("request_id").distinct()
     whole = req.join(has_lines, "request_id", "left_anti").join(items, "sale_id", "inner")

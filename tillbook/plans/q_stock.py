@@ -207,18 +207,9 @@ def _refunds(t):
     return X.refund_outcomes(t, t.sale_lines, req, req_lines)
 
 
-register("apply_refunds", _refunds, with_views("""
-    SELECT request_id, sale_id, CAST(acc AS INTEGER) AS accepted,
-           CASE WHEN NOT eligible THEN 'Sale not found or already refunded'
-                WHEN NOT acc THEN 'Sale already refunded' END AS error,
-           CASE WHEN acc THEN CASE WHEN is_full THEN 'full' ELSE 'partial' END END AS refund_type,
-           CASE WHEN acc THEN refunded_items END AS refunded_items, total_items,
-           CASE WHEN acc THEN COALESCE(notes, '') || chr(10) || 'Refund: ' || COALESCE(reason, 'No reason provided') END
-             AS note_appended, COALESCE(reason, 'No reason provided') AS reason_text
-    FROM (SELECT r3.*, eligible AND (ff.first_full IS NULL OR r3.request_id <= ff.first_full) AS acc
-          FROM r3 LEFT JOIN ff ON ff.sale_id = r3.sale_id)""", "sales", extra={
+REFUND_CTES = {
     "items_l": ITEMS_SQL,
-    "requests": """SELECT sale_id AS request_id, sale_id, 'returned items' AS reason
+    "requests": """SELECT sale_id AS request_id, sale_id, 'returned items' AS reason, MAX(l_shipdate) AS created_at
                    FROM items_l WHERE l_returnflag = 'R' GROUP BY sale_id""",
     "rlines": "SELECT DISTINCT sale_id AS request_id, line_no FROM items_l WHERE l_returnflag = 'R'",
     "r1": """SELECT q.*, s.status AS status_before, s.notes, COALESCE(tt.total_items, 0) AS total_items,
@@ -234,7 +225,40 @@ register("apply_refunds", _refunds, with_views("""
                     (CASE WHEN na.asked IS NOT NULL THEN COALESCE(nl.n, 0) ELSE total_items END) = total_items AS is_full
              FROM r1 LEFT JOIN na ON na.request_id = r1.request_id LEFT JOIN nl ON nl.request_id = r1.request_id""",
     "ff": "SELECT sale_id, MIN(request_id) AS first_full FROM r3 WHERE eligible AND is_full GROUP BY sale_id",
-}), "S14: one refund request per order with returned (R) line items")
+    "fin": """SELECT r3.*, eligible AND (ff.first_full IS NULL OR r3.request_id <= ff.first_full) AS acc
+              FROM r3 LEFT JOIN ff ON ff.sale_id = r3.sale_id"""}
+register("apply_refunds", _refunds, with_views("""
+    SELECT request_id, sale_id, CAST(acc AS INTEGER) AS accepted,
+           CASE WHEN NOT eligible THEN 'Sale not found or already refunded'
+                WHEN NOT acc THEN 'Sale already refunded' END AS error,
+           CASE WHEN acc THEN CASE WHEN is_full THEN 'full' ELSE 'partial' END END AS refund_type,
+           CASE WHEN acc THEN refunded_items END AS refunded_items, total_items,
+           CASE WHEN acc THEN COALESCE(notes, '') || chr(10) || 'Refund: ' || COALESCE(reason, 'No reason provided') END
+             AS note_appended, COALESCE(reason, 'No reason provided') AS reason_text
+    FROM fin""", "sales", extra=REFUND_CTES), "S14: one refund request per order with returned (R) line items")
+
+
+def _refund_movements(t):
+    req, req_lines = SI.refund_requests(t)
+    out = X.refund_outcomes(t, t.sale_lines, req, req_lines)
+    return X.refund_movements(t, X.refund_return_ops(t, t.sale_lines, req, req_lines, out))
+
+
+register("refund_movements", _refund_movements, with_views("""
+    SELECT request_id, sale_id AS reference_id, line_no, product_id, variant_id, 'return' AS movement_type,
+           quantity AS quantity_change, upto - quantity AS quantity_before, upto AS quantity_after,
+           'refund' AS reference_type, CAST(NULL AS BIGINT) AS created_by, created_at
+    FROM (SELECT f.request_id, i.*, q.created_at,
+                 st.quantity + CAST(SUM(i.quantity) OVER (PARTITION BY i.product_id ORDER BY f.request_id, i.line_no) AS BIGINT) AS upto
+          FROM fin f JOIN items_l i ON i.sale_id = f.sale_id JOIN rlines x ON x.request_id = f.request_id AND x.line_no = i.line_no
+          JOIN requests q ON q.request_id = f.request_id
+          JOIN stock st ON st.product_id = i.product_id AND st.variant_id IS NULL
+          WHERE f.acc)""", "stock", "sales", extra=REFUND_CTES), "S14: the ledger rows of the refunded lines")
+register("refunded_sales", lambda t: X.sales_after_refunds(t, _refunds(t)), with_views("""
+    SELECT s.id, s.sale_number, CASE WHEN bool_or(f.is_full) THEN 'refunded' ELSE any_value(s.status) END AS status,
+           COALESCE(any_value(s.notes), '') || string_agg(chr(10) || 'Refund: ' || f.reason, '' ORDER BY f.request_id) AS notes
+    FROM fin f JOIN sales s ON s.id = f.sale_id WHERE f.acc GROUP BY s.id, s.sale_number""", "sales", extra=REFUND_CTES),
+    "S14: status and notes of the sales that refunds touch")
 
 # Carts walked one by one have no SQL that is fast on whole tables (a recursive CTE carries the whole stock from cart
 # to cart): tests hold these keys against a sequential version, and that CTE, on the smallest tables.
