@@ -23,6 +23,7 @@ import re
 import string
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ SUPPORT = 3
 #: Shortest term, in characters: shorter words are function words or fragments.
 SHORTEST = 4
 #: Distinct terms a task counts before it hands them on.
-KEPT_TERMS = 400_000
+KEPT_TERMS = 100_000
 
 
 def digits(text: str) -> str:
@@ -149,7 +150,6 @@ def term_counts(docs: DataFrame, text_col: str, bits: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        known: dict[str, bool] = {}
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()),
@@ -160,15 +160,9 @@ def term_counts(docs: DataFrame, text_col: str, bits: np.ndarray) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch):
                 for text in piece.column("text").to_pylist():
-                    terms = set(map(str.lower, set(WORDS.findall(text)))) if text else set()
-                    new = [t for t in terms if t not in known]
-                    if new:
-                        if len(known) > KEPT_TERMS:
-                            known.clear()
-                            new = list(terms)
-                        hashes = np.fromiter(map(term_hash, new), np.uint64, len(new))
-                        known.update(zip(new, in_sieve(shared.value, hashes).tolist(), strict=True))
-                    counts.update(t for t in terms if known[t])
+                    terms = list(set(map(str.lower, set(WORDS.findall(text))))) if text else []
+                    hashes = np.fromiter(map(term_hash, terms), np.uint64, len(terms))
+                    counts.update(compress(terms, in_sieve(shared.value, hashes).tolist()))
                 if len(counts) > KEPT_TERMS:
                     yield out()
         yield out()
