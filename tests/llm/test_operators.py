@@ -199,12 +199,12 @@ def test_forward_sums_all_segmentations():
                 yield from ([word[:i], *rest] for rest in ways(word[i:]))
 
     for word in ("a", "ab", "abab", "babaab"):
-        exact = [sum(np.prod([model.prob[p][k] for p in w]) for w in ways(word)) for k in range(2)]
-        assert np.allclose(np.exp(model.log_word(word)), exact)
+        exact = [sum(np.prod([model.prob[vocab[p], k] for p in w]) for w in ways(word)) for k in range(2)]
+        assert np.allclose(np.exp(model.log_words([word, "a"])[0]), exact)
         weight = [0.125 ** len(w) for w in ways(word)]
         for p, i in vocab.items():
             uses = sum(x * w.count(p) for x, w in zip(weight, ways(word), strict=True)) / sum(weight)
-            assert np.isclose(language_id.expected_pieces(word, vocab).get(i, 0.0), uses)
+            assert np.isclose(language_id.expected_uses([word], np.ones(1), vocab)[i], uses)
 
 
 ODD = ["", " ", "Hello WORLD's <|endoftext|> I'll x<|startoftext|>y İΣΑΣ ΣΊΣΥΦΟΣ ﬁ é ½²٣ 日本語テスト 👩‍👩‍👧 a\x1cb\x85c d​e　f naïve '''s", "a" * 3000,
@@ -228,7 +228,7 @@ def test_bpe(spark, rows, frame):
     same(Q["op6_bpe_round"](spark, ""), expected(odd))
 
 
-def test_suffix_dedup(spark, rows, frame):
+def test_suffix_dedup(spark, rows, frame, monkeypatch):
     same(Q["op7_suffix_array_dedup"](spark, SF), brute.suffix_dedup(rows))
     r = random.Random(4)
     base = ["".join(r.choice("abcd ") for _ in range(600)) for _ in range(4)]
@@ -240,6 +240,8 @@ def test_suffix_dedup(spark, rows, frame):
         odd.append((100 + i, "".join(s)))
     frame(odd)
     same(Q["op7_suffix_array_dedup"](spark, ""), brute.suffix_dedup(odd))
+    monkeypatch.setattr(suffix_dedup, "GROUP", 3)  # larger groups by the digests of their windows
+    same(Q["op7_suffix_array_dedup"](spark, ""), brute.suffix_dedup(odd))
 
 
 def test_levels_merge_geometrically(spark):

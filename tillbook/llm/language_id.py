@@ -16,7 +16,6 @@ Rows are predicted one by one, so repeated rows get equal results. Extra columns
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections import Counter
@@ -25,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +41,7 @@ PRIOR = 0.05
 #: Words longer than this are scored in parts of this length.
 WORD_PART = 32
 #: Distinct words whose scores a worker keeps, or word counts a task gathers before it hands them on.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 #: The evidence of a text counts as that of so many words at most (for the score, not for the prediction).
 SCORE_WORDS = 20
 WORDS = re.compile(r"[^\W\d_]+")
@@ -62,65 +62,85 @@ def parts(word: str) -> list[str]:
     return [word] if len(word) <= WORD_PART else [word[i: i + WORD_PART] for i in range(0, len(word), WORD_PART)]
 
 
-def expected_pieces(word: str, vocab: dict[str, int]) -> dict[int, float]:
-    """Expected uses of each piece over the segmentations of a word, each weighted 8**-pieces.
+def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """The parts of words, those of one length at a time, with the number of the word each belongs to."""
+    found: dict[int, tuple[list[int], list[str]]] = {}
+    for i, word in enumerate(words):
+        for part in parts(word):
+            at, same = found.setdefault(len(part), ([], []))
+            at.append(i)
+            same.append(part)
+    for at, same in found.values():
+        yield np.array(at), same
+
+
+def arcs(words: list[str], vocab: dict[str, int]) -> list[tuple[int, int, np.ndarray]]:
+    """(i, j, piece of each word's characters i to j) for words of one length.
 
-    A character that is no piece may stand alone, so every word has a segmentation.
+    No piece: ``len(vocab)``; a character that is no piece may still stand alone: ``len(vocab) + 1``.
     """
-    n = len(word)
-    ahead, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-    arcs = [[(j, vocab.get(word[i:j], -1)) for j in range(i + 1, min(n, i + LONGEST) + 1)
-             if j == i + 1 or word[i:j] in vocab] for i in range(n)]
-    for i in range(n):
-        if ahead[i]:
-            for j, _ in arcs[i]:
-                ahead[j] += ahead[i] * 0.125
-    for i in range(n - 1, -1, -1):
-        back[i] = sum(back[j] for j, _ in arcs[i]) * 0.125
-    out: dict[int, float] = {}
-    for i in range(n):
-        for j, p in arcs[i]:
-            if p >= 0:
-                out[p] = out.get(p, 0.0) + ahead[i] * 0.125 * back[j] / back[0]
-    return out
+    n, get, none = len(words[0]), vocab.get, len(vocab)
+    return [(i, j, np.array([get(w[i:j], none + (j == i + 1)) for w in words]))
+            for i in range(n) for j in range(i + 1, min(n, i + LONGEST) + 1)]
+
+
+def expected_uses(words: list[str], weights: np.ndarray, vocab: dict[str, int]) -> np.ndarray:
+    """Expected uses of each piece over the segmentations of the words, each segmentation weighted 8**-pieces."""
+    width = len(vocab)
+    share = np.full(width + 2, 0.125)
+    share[width] = 0
+    out = np.zeros(width + 2)
+    for at, same in by_length(words):
+        n, m = len(same[0]), len(same)
+        ahead, back = np.zeros((n + 1, m)), np.zeros((n + 1, m))
+        ahead[0] = back[n] = 1
+        found = arcs(same, vocab)
+        for i, j, ids in found:
+            ahead[j] += ahead[i] * share[ids]
+        for i, j, ids in reversed(found):
+            back[i] += back[j] * share[ids]
+        for i, j, ids in found:
+            out += np.bincount(ids, weights[at] * ahead[i] * share[ids] * back[j] / back[0], width + 2)
+    return out[:width]
 
 
 class PieceModel:
     """Piece probabilities by language, and the forward pass over words."""
 
     def __init__(self, langs: list[str], vocab: dict[str, int], counts: np.ndarray):
-        self.langs = langs
         smooth = counts + PRIOR
         prob = smooth / smooth.sum(1, keepdims=True)
-        self.prob = {p: tuple(prob[:, i].tolist()) for p, i in vocab.items()}
-        self.alone = tuple([float(prob.min()) * 0.1] * len(langs)) if len(langs) else ()
+        alone = prob.min(initial=1.0) * 0.1
+        rest = np.array([[0.0], [alone]]).repeat(len(langs), 1)  # no piece; a character on its own
+        self.langs, self.vocab, self.prob = langs, vocab, np.concatenate([prob.T.reshape(len(vocab), len(langs)), rest])
         self.forget()
 
+    def __reduce__(self):
+        return PieceModel.of, (self.langs, self.vocab, self.prob)
+
+    @classmethod
+    def of(cls, langs: list[str], vocab: dict[str, int], prob: np.ndarray) -> PieceModel:
+        """The model with the probabilities given, without its store of word scores."""
+        model = cls.__new__(cls)
+        model.langs, model.vocab, model.prob = langs, vocab, prob
+        model.forget()
+        return model
+
     def forget(self, room: int = 0) -> None:
         """Start the store of word scores anew."""
         self.kept: dict[str, int] = {}
         self.rows = np.empty((max(KEPT_WORDS, room), len(self.langs)))
 
-    def log_word(self, word: str) -> list[float]:
-        """Log-probability of a word in each language, summed over all its segmentations."""
-        total = [0.0] * len(self.langs)
-        for part in parts(word):
-            n, get, k = len(part), self.prob.get, range(len(self.langs))
-            ahead: list[list[float]] = [[1.0] * len(self.langs)] + [[0.0] * len(self.langs) for _ in range(n)]
-            for i in range(n):
-                here = ahead[i]
-                for j in range(i + 1, min(n, i + LONGEST) + 1):
-                    p = get(part[i:j])
-                    if p is None:
-                        if j > i + 1:
-                            continue
-                        p = self.alone
-                    there = ahead[j]
-                    for x in k:
-                        there[x] += here[x] * p[x]
-            for x in k:
-                total[x] += math.log(max(ahead[n][x], 1e-300))
-        return total
+    def log_words(self, words: list[str]) -> np.ndarray:
+        """Log-probability of each word in each language, summed over all its segmentations."""
+        out = np.zeros((len(words), len(self.langs)))
+        for at, same in by_length(words):
+            ahead = np.zeros((len(same[0]) + 1, len(same), len(self.langs)))
+            ahead[0] = 1
+            for i, j, ids in arcs(same, self.vocab):
+                ahead[j] += ahead[i] * self.prob[ids]
+            np.add.at(out, at, np.log(np.maximum(ahead[-1], 1e-300)))
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         split = [words_of(t) for t in texts]
@@ -128,9 +148,10 @@ class PieceModel:
         if len(self.kept) + len(new) > len(self.rows):
             new = set().union(*split)
             self.forget(len(new))
-        for w in new:
-            self.rows[len(self.kept)] = self.log_word(w)
-            self.kept[w] = len(self.kept)
+        if new and self.langs:
+            new, known = list(new), len(self.kept)
+            self.rows[known: known + len(new)] = self.log_words(new)
+            self.kept.update(zip(new, range(known, known + len(new)), strict=True))
         langs, scores = [], []
         for ws in split:
             if not self.langs or not any(c.isalpha() for w in ws for c in w):
@@ -177,11 +198,11 @@ def learn(labelled: DataFrame, path: str = VOCABULARY) -> PieceModel:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = total.setdefault(lang, np.zeros(width))
-                for part in parts(word):
-                    for p, x in expected_pieces(part, vocab).items():
-                        row[p] += n * x
+            langs, words, n = batch.column("lang"), batch.column("word"), batch.column("n")
+            for lang in langs.unique():
+                here = pc.equal(langs, lang)
+                uses = expected_uses(words.filter(here).to_pylist(), n.filter(here).to_numpy().astype(float), vocab)
+                total[lang.as_py()] = total.get(lang.as_py(), 0) + uses
         for lang, row in total.items():
             used = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays(
@@ -204,7 +225,7 @@ def learn(labelled: DataFrame, path: str = VOCABULARY) -> PieceModel:
 def with_language(docs: DataFrame, labelled: DataFrame, text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """(row, lang_pred, score), one per input row, all its columns in ``row``; learned from ``labelled`` (text, lang)."""
     model = learn(labelled, path)
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.prob, model.alone))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     tag = uuid.uuid4().hex
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -231,8 +252,5 @@ _loaded: dict = {}
 def worker_model(tag: str, shared) -> PieceModel:
     """The broadcast model with the worker's own store of word scores, kept from task to task."""
     if _loaded.get("tag") != tag:
-        model = PieceModel.__new__(PieceModel)
-        model.langs, model.prob, model.alone = shared.value
-        model.forget()
-        _loaded.update(tag=tag, model=model)
+        _loaded.update(tag=tag, model=shared.value)
     return _loaded["model"]
