@@ -40,11 +40,12 @@ def doc_key(doc_id: Column, text: Column) -> Column:
                        F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(7), F.coalesce(text, F.lit("")), F.lit("k"))))
 
 
-def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
+def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema,
+              limit: int = PIECE_BYTES) -> DataFrame:
     """``fn`` over the Arrow batches of ``df``, a bounded piece of text at a time (see ``pieces``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit):
                 out = fn(piece)
                 if out is not None and out.num_rows:
                     yield out
@@ -88,13 +89,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def sieve(hashes: DataFrame, column: str, bits: int = SIEVE_BITS) -> np.ndarray:
     """Bitmap of ``hash mod bits`` over a column of longs: at most ``bits / 8`` bytes, for any input.
 

@@ -11,9 +11,9 @@ of times. ``SuffixFamily`` can be given further batches.
 
 The suffixes that matched are then compared whole. The windows that share an anchor make a *stretch* of text;
 a stretch that occurs twice is repeated throughout. Where different stretches have the same gram (at the edges of
-a repeat), each of their windows is looked up by a 128-bit digest. Stretches are counted before they are shuffled
-and compared once however often they occur, so copies of a passage are never gathered; the work is at most a row
-per byte of text that has matched.
+a repeat), up to ``GROUP`` of them are compared with one another around their anchors; the windows of more are each
+looked up by a 128-bit digest, so such a group is never gathered. Stretches are counted before they are shuffled
+and compared once however often they occur.
 
 NULL and empty texts have no strings. Rows that agree in id and text are two places. Extra columns are not read.
 """
@@ -34,6 +34,10 @@ LENGTH = 200
 GRAM = 40
 REACH = LENGTH - GRAM + 1
 BATCHES = 4
+#: Bytes of text handled at once: the hashes and minima of each position take some 60 times as much.
+PIECE = 1 << 19
+#: Different stretches of one key that are compared with one another in a task.
+GROUP = 4096
 _BASE = 0x9E3779B97F4A7C15
 _UPPER = np.uint64(0xFFFFFFFF00000000)
 _BYTE = np.frombuffer(hashlib.shake_128(b"bytes").digest(2048), "<u8").copy()
@@ -65,28 +69,26 @@ def least_in_reach(x: np.ndarray) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, first and last window start, key) of each anchor's run of windows; positions in ``data``.
+    """(row, first and last window start, anchor, key) of each anchor's run of windows; positions in ``data``.
 
     key: the first two bytes at the anchor, then 48 bits of the gram's hash.
     """
     n = len(data) - LENGTH + 1
-    if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    hashes = gram_hashes(data)
-    least = least_in_reach((hashes & _UPPER) | np.arange(len(hashes), dtype=np.uint64))
-    inside = np.ones(n, bool)
+    inside = np.ones(max(n, 0), bool)
     for end in off[1:].tolist():
         inside[max(0, end - LENGTH + 1): end] = False
     p = np.flatnonzero(inside)
+    if not len(p):
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    hashes = gram_hashes(data)
+    least = least_in_reach((hashes & _UPPER) | np.arange(len(hashes), dtype=np.uint64))
     at = (least[p] & ~_UPPER).astype(np.int64)
     turn = np.flatnonzero(at[1:] != at[:-1]) + 1
-    if not len(p):
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
     first, last = np.concatenate([[0], turn]), np.concatenate([turn - 1, [len(p) - 1]])
     at = at[first]
     head = (data[at].astype(np.uint64) << np.uint64(56)) | (data[at + 1].astype(np.uint64) << np.uint64(48))
     key = (head | (hashes[at] >> np.uint64(16))).view(np.int64)
-    return np.searchsorted(off, p[first], "right") - 1, p[first], p[last], key
+    return np.searchsorted(off, p[first], "right") - 1, p[first], p[last], at, key
 
 
 def digest(data: bytes) -> tuple[int, int]:
@@ -104,11 +106,11 @@ def _told(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def suffix_keys(told: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(batch, g): the key of each anchored suffix."""
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, _, _, key = stretches(*utf8(batch.column("text")))
+        row, _, _, _, key = stretches(*utf8(batch.column("text")))
         return pa.RecordBatch.from_arrays([batch.column("batch").take(pa.array(row)), pa.array(key)], ["batch", "g"])
 
     rows = told.select(F.pmod("x", F.lit(batches)).cast("int").alias("batch"), "text")
-    return per_batch(rows, fn, "batch int, g long")
+    return per_batch(rows, fn, "batch int, g long", PIECE)
 
 
 class SuffixFamily:
@@ -143,52 +145,113 @@ def matched_keys(told: DataFrame, batches: int = BATCHES) -> DataFrame:
 
 
 def matched_stretches(told: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(x, y, g, s1, s2, first, windows): stretches whose key the sieve lets pass; s: digest of the text."""
+    """(x, y, g, s, first, windows): stretches whose key the sieve lets pass; s: half a digest of the text.
+
+    A stretch is identified by g and s, 128 bits together.
+    """
     shared = told.sparkSession.sparkContext.broadcast(bits)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, off = utf8(batch.column("text"))
-        row, first, last, key = stretches(data, off)
+        row, first, last, _, key = stretches(data, off)
         keep = np.flatnonzero(in_sieve(shared.value, key.view(np.uint64)))
         row, first, last, key = row[keep], first[keep], last[keep], key[keep]
         raw = data.tobytes()
-        s = [digest(raw[a: b + LENGTH]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-        s = np.array(s, np.int64).reshape(len(s), 2)
+        s = [digest(raw[a: b + LENGTH])[0] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
         take = pa.array(row)
         return pa.RecordBatch.from_arrays(
-            [batch.column("x").take(take), batch.column("y").take(take), pa.array(key), pa.array(s[:, 0]), pa.array(s[:, 1]),
+            [batch.column("x").take(take), batch.column("y").take(take), pa.array(key), pa.array(s, pa.int64()),
              pa.array((first - off[row]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))],
-            ["x", "y", "g", "s1", "s2", "first", "windows"])
+            ["x", "y", "g", "s", "first", "windows"])
 
-    return per_batch(told.select("x", "y", "text"), fn, "x long, y long, g long, s1 long, s2 long, first int, windows int")
+    return per_batch(told.select("x", "y", "text"), fn, "x long, y long, g long, s long, first int, windows int", PIECE)
 
 
-def contested_windows(told: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(s1, s2, at, w1, w2): the windows of each distinct stretch whose key the sieve lets pass."""
+def stretch_texts(told: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(g, at, stretch): the distinct stretches whose key the sieve lets pass, by batch; at: where the anchor is."""
     shared = told.sparkSession.sparkContext.broadcast(bits)
 
-    def texts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, off = utf8(batch.column("text"))
-        _, first, last, key = stretches(data, off)
+        _, first, last, at, key = stretches(data, off)
         keep = np.flatnonzero(in_sieve(shared.value, key.view(np.uint64)))
         raw = data.tobytes()
-        found = {raw[a: b + LENGTH] for a, b in zip(first[keep].tolist(), last[keep].tolist(), strict=True)}
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], ["stretch"])
+        found = {(g, p - a, raw[a: b + LENGTH]) for g, p, a, b in zip(
+            key[keep].tolist(), at[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True)}
+        g, at, text = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(at, pa.int32()), pa.array(text, pa.binary())],
+                                          ["g", "at", "stretch"])
+
+    return per_batch(told.select("text"), fn, "g long, at int, stretch binary", PIECE)
 
+
+def byte_grid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts as rows of one array, filled up, and their lengths."""
+    width = max(1, *map(len, texts))
+    grid = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), np.uint8).reshape(len(texts), width)
+    return grid, np.array([len(t) for t in texts])
+
+
+def shared_length(grid: np.ndarray, size: np.ndarray, i: int) -> np.ndarray:
+    """How many bytes text ``i`` shares with each text from its beginning."""
+    differ = grid != grid[i]
+    first = np.where(differ.any(1), differ.argmax(1), grid.shape[1])
+    return np.minimum(first, np.minimum(size, size[i]))
+
+
+def runs_in_group(group: list[tuple[int, bytes]]) -> Iterator[list[tuple[int, int]]]:
+    """For each of the stretches (anchor, text) of one key: the runs of its windows that another one has too."""
+    right = byte_grid([t[a:] for a, t in group])
+    left = byte_grid([t[:a][::-1] for a, t in group])
+    for i, (a, _) in enumerate(group):
+        back_most = np.minimum(shared_length(*left, i), a)
+        back_least = np.maximum(0, LENGTH - shared_length(*right, i))
+        good = back_most >= back_least
+        good[i] = False
+        yield sorted(set(zip((a - back_most[good]).tolist(), (a - back_least[good]).tolist(), strict=True)))
+
+
+def contested_runs(told: DataFrame, contested: DataFrame) -> DataFrame:
+    """(g, s, runs): windows that different stretches of one key have in common, for keys of ``GROUP`` stretches or
+    fewer by comparing them with one another around their anchors."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+        for batch in batches:
+            g, s, runs = [], [], []
+            for key, group in zip(batch.column("g").to_pylist(), batch.column("group").to_pylist(), strict=True):
+                group = [(x["at"], x["stretch"]) for x in group]
+                for (_, text), found in zip(group, runs_in_group(group), strict=True):
+                    if found:
+                        g.append(key)
+                        s.append(digest(text)[0])
+                        runs.append([{"first": a, "last": b} for a, b in found])
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(s, pa.int64()), pa.array(runs, kind)], ["g", "s", "runs"])
+
+    few = contested.where(F.col("kinds") <= GROUP).select("g")
+    groups = (stretch_texts(told, sieve(few, "g")).join(few, "g", "left_semi")
+              .groupBy("g").agg(F.collect_set(F.struct("at", "stretch")).alias("group")))
+    return groups.mapInArrow(run, "g long, s long, runs array<struct<first int, last int>>")
+
+
+def contested_windows(told: DataFrame, contested: DataFrame) -> DataFrame:
+    """The same for keys of more stretches, which are never gathered: each window is looked up by its digest."""
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in range(0, batch.num_rows, 2000):
+            for part in range(0, batch.num_rows, 200):
                 rows = []
-                for s in batch.column("stretch").slice(part, 2000).to_pylist():
-                    mine = digest(s)
-                    rows += [(*mine, i, *digest(s[i: i + LENGTH])) for i in range(len(s) - LENGTH + 1)]
+                for g, t in zip(*(batch.column(c).slice(part, 200).to_pylist() for c in ("g", "stretch")), strict=True):
+                    mine = digest(t)[0]
+                    rows += [(g, mine, i, *digest(t[i: i + LENGTH])) for i in range(len(t) - LENGTH + 1)]
                 a = np.array(rows, np.int64).reshape(len(rows), 5)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(a[:, 2].astype(np.int32)), pa.array(a[:, 3]), pa.array(a[:, 4])],
-                    ["s1", "s2", "at", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[:, i]) if i != 2 else pa.array(a[:, 2].astype(np.int32)) for i in range(5)],
+                                                 ["g", "s", "at", "w1", "w2"])
 
-    once = per_batch(told.select("text"), texts, "stretch binary").distinct()
-    return once.mapInArrow(windows, "s1 long, s2 long, at int, w1 long, w2 long")
+    many = contested.where(F.col("kinds") > GROUP).select("g")
+    texts = stretch_texts(told, sieve(many, "g")).join(many, "g", "left_semi").select("g", "stretch").distinct()
+    each = cut(texts.mapInArrow(windows, "g long, s long, at int, w1 long, w2 long"), "windows")
+    twice = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    return (each.join(twice, ["w1", "w2"]).groupBy("g", "s").agg(F.sort_array(F.collect_list("at")).alias("at"))
+            .select("g", "s", runs_of("at").alias("runs")))
 
 
 def runs_of(numbers: str) -> Column:
@@ -205,18 +268,15 @@ def runs_of(numbers: str) -> Column:
 def repeated_windows(told: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(x, y, runs): of each document the runs (first, last) of window starts whose window occurs elsewhere too."""
     found = cut(matched_stretches(told, sieve(matched_keys(told, batches), "g")), "stretches")
-    kinds = cut(found.groupBy("g", "s1", "s2").agg(F.count("*").alias("n"), F.max("windows").alias("windows")), "stretch-kinds")
-    contested = kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g")
-    windows = cut(contested_windows(told, sieve(contested, "g")), "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    # a stretch that occurs twice is repeated throughout; of the others the windows looked up
+    kinds = cut(found.groupBy("g", "s").agg(F.count("*").alias("n"), F.max("windows").alias("windows")), "stretch-kinds")
+    contested = cut(kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1"), "contested-keys")
+    # a stretch that occurs twice is repeated throughout; of the others the windows that another stretch has
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("windows") - 1).alias("last")))
-    runs = (kinds.where("n > 1").select("s1", "s2", whole.alias("runs")).unionAll(
-        windows.join(twice, ["w1", "w2"]).groupBy("s1", "s2").agg(F.sort_array(F.collect_list("at")).alias("at"))
-        .select("s1", "s2", runs_of("at").alias("runs"))))
+    runs = (kinds.where("n > 1").select("g", "s", whole.alias("runs")).unionAll(contested_runs(told, contested))
+            .unionAll(contested_windows(told, contested)))
     shifted = F.transform("runs", lambda r: F.struct((F.col("first") + r["first"]).alias("first"),
                                                      (F.col("first") + r["last"]).alias("last")))
-    return (found.join(runs, ["s1", "s2"]).select("x", "y", shifted.alias("runs")).groupBy("x", "y")
+    return (found.join(runs, ["g", "s"]).select("x", "y", shifted.alias("runs")).groupBy("x", "y")
             .agg(F.array_sort(F.flatten(F.collect_set("runs"))).alias("runs")))
 
 
