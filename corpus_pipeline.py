@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillbook.llm import bpe, decontaminate, language_id, pii, queries, simhash
+from tillbook.llm import decontaminate, language_id, pii, queries, simhash
 from tillbook.llm.common import cut
 
 #: A document goes if its language's posterior is below this (or it has no letter).
