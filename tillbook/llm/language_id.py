@@ -40,8 +40,10 @@ LONGEST = 8
 PRIOR = 0.05
 #: Words longer than this are scored in parts of this length.
 WORD_PART = 32
-#: Distinct words whose scores a worker keeps, or word counts a task gathers before it hands them on.
-KEPT_WORDS = 200_000
+#: Distinct words whose scores a worker keeps; beyond that it starts anew.
+KEPT_WORDS = 600_000
+#: Distinct words a task counts before it hands the counts on.
+COUNTED_WORDS = 300_000
 #: The evidence of a text counts as that of so many words at most (for the score, not for the prediction).
 SCORE_WORDS = 20
 WORDS = re.compile(r"[^\W\d_]+")
@@ -182,7 +184,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
             for piece in pieces(batch):
                 for text, lang in zip(piece.column("text").to_pylist(), piece.column("lang").to_pylist(), strict=True):
                     counts.setdefault(lang, Counter()).update(words_of(text))
-                if sum(map(len, counts.values())) > KEPT_WORDS:
+                if sum(map(len, counts.values())) > COUNTED_WORDS:
                     yield from out()
         yield from out()
 
