@@ -1,17 +1,23 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms that give entities away.
 
 The base kinds (e-mail, IP address, payment card, phone) are found by pattern and check. Each distinct value is a
-protected entity e. Terms t are the words within ``NEAR`` words of an occurrence. With counts of documents,
+protected entity e. Terms t are all words of the documents that hold e, but for those inside entities. With counts
+of documents,
 
     disclosure(t, e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e))
 
-is the share of the entity's information that the term reveals: 1 if t occurs only beside e. Terms at or beyond
-``DISCLOSURE`` that stand beside e in ``SUPPORT`` different texts or more (one text is no statistic) are sanitised
-wherever they stand beside it: numbers are generalised to ``[NUMBER]``, words to ``[TERM]``, and the entities to
-the name of their kind.
+is the share of the entity's information that the term reveals: 1 if t occurs only together with e. A term at or
+beyond ``DISCLOSURE`` whose n(t, e) is no chance is sanitised wherever it stands, in all documents: numbers are
+generalised to ``[NUMBER]``, words to ``[TERM]``, and the entities to the name of their kind.
 
-N and n(t) count all rows, n(e) and n(t, e) all that hold entities. n(t) is needed for terms beside entities only:
-a fixed-size sieve drops the others before the counts are shuffled, and the join is exact.
+No chance: the chance of n(t, e) or more, were t and e independent, is bounded by Hoeffding's exp(-n D(n(t, e)/n, q))
+for hypergeometric counts, n and q being n(e) and n(t)/N or the other way round, whichever bounds it better. Times
+the pairs tested (terms times entities that two rows or more hold, and N at least) it must be ``LEVEL`` or less. One
+row that holds both has a chance of 1/N or more, so it never is enough, and such pairs are left out at once.
+
+N and n(t) count all rows, n(e) and n(t, e) all that hold entities. n(t) is needed for terms of pairs only: a
+fixed-size sieve drops the others before the counts are shuffled, and the join is exact. The same goes for the
+places of the flagged terms.
 
 NULL and empty texts have no spans. Rows that agree in id and text are one document and get one result each.
 Spans are in code points, end exclusive. Extra columns are not read.
@@ -19,6 +25,7 @@ Spans are in code points, end exclusive. Extra columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 import string
 from collections import Counter
@@ -43,11 +50,9 @@ PATTERNS = {
 LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
 WORDS = re.compile(r"\w+")
-NEAR = 8
 DISCLOSURE = 0.9
-SUPPORT = 3
-#: Shortest term, in characters: shorter words are function words or fragments.
-SHORTEST = 4
+#: Expected number of flagged pairs, over all pairs tested, that are there by chance.
+LEVEL = 0.01
 #: Distinct terms a task counts before it hands them on.
 KEPT_TERMS = 100_000
 
@@ -99,21 +104,14 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def beside(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, str, str, int, int]]:
-    """(kind, value, term, start, end) of the words within ``NEAR`` words of each entity, other entities left out."""
+def free_words(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the words outside of the entities."""
     words = [m for m in WORDS.finditer(text)]
     starts, ends = np.array([m.start() for m in words]), np.array([m.end() for m in words])
     free = np.ones(len(words), bool)
     for a, b, _, _ in spans:
         free[np.searchsorted(ends, a, "right"): np.searchsorted(starts, b)] = False
-    out = []
-    for a, b, kind, value in spans:
-        first, last = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b))
-        for i in (*range(max(0, first - NEAR), first), *range(last, min(len(words), last + NEAR))):
-            m = words[i]
-            if free[i] and m.end() - m.start() >= SHORTEST:
-                out.append((kind, value, m[0].lower(), m.start(), m.end()))
-    return out
+    return [(m[0].lower(), m.start(), m.end()) for m in compress(words, free.tolist())]
 
 
 def term_hash(term: str) -> int:
@@ -121,27 +119,25 @@ def term_hash(term: str) -> int:
 
 
 def find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, h, doc_id, base, near), one row per input row; h identifies the text."""
+    """(k, doc_id, base, terms), one row per input row; terms: the distinct free words of a text with entities."""
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        base, near = [], []
+        base, terms = [], []
         for text in batch.column("text").to_pylist():
             spans = base_spans(text) if text else []
             base.append([{"first": a, "kind": i, "last": b, "value": v} for a, b, i, v in spans])
-            near.append([{"kind": i, "value": v, "term": t, "h": np.uint64(term_hash(t)).astype(np.int64).item(), "first": a,
-                          "last": b} for i, v, t, a, b in (beside(text, spans) if spans else [])])
+            terms.append([{"term": t, "h": np.uint64(term_hash(t)).astype(np.int64).item()}
+                          for t in sorted({t for t, _, _ in free_words(text, spans)})] if spans else [])
         return pa.RecordBatch.from_arrays(
-            [batch.column("k"), batch.column("h"), batch.column("doc_id"),
+            [batch.column("k"), batch.column("doc_id"),
              pa.array(base, pa.list_(pa.struct([("first", pa.int32()), ("kind", pa.int32()), ("last", pa.int32()),
                                                 ("value", pa.string())]))),
-             pa.array(near, pa.list_(pa.struct([("kind", pa.int32()), ("value", pa.string()), ("term", pa.string()),
-                                                ("h", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])))],
-            ["k", "h", "doc_id", "base", "near"])
+             pa.array(terms, pa.list_(pa.struct([("term", pa.string()), ("h", pa.int64())])))],
+            ["k", "doc_id", "base", "terms"])
 
     text = F.col(text_col)
-    rows = docs.select(doc_key(F.col(id_col), text).alias("k"), doc_key(F.lit(None), text).alias("h"),
-                       F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    return per_batch(rows, fn, "k string, h string, doc_id long, base array<struct<first int, kind int, last int, value string>>, "
-                     "near array<struct<kind int, value string, term string, h long, first int, last int>>")
+    rows = docs.select(doc_key(F.col(id_col), text).alias("k"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    return per_batch(rows, fn, "k string, doc_id long, base array<struct<first int, kind int, last int, value string>>, "
+                     "terms array<struct<term string, h long>>")
 
 
 def term_counts(docs: DataFrame, text_col: str, bits: np.ndarray) -> DataFrame:
@@ -171,33 +167,67 @@ def term_counts(docs: DataFrame, text_col: str, bits: np.ndarray) -> DataFrame:
             .groupBy("term").agg(F.sum("n").alias("n")))
 
 
+def places(docs: DataFrame, id_col: str, text_col: str, bits: np.ndarray) -> DataFrame:
+    """(k, term, first, last) of the free words that the sieve lets pass, in all rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for k, text in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            terms = list(set(map(str.lower, set(WORDS.findall(text))))) if text else []
+            hashes = np.fromiter(map(term_hash, terms), np.uint64, len(terms))
+            here = set(compress(terms, in_sieve(shared.value, hashes).tolist()))
+            if here:
+                out += [(k, *x) for x in free_words(text, base_spans(text)) if x[0] in here]
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32()),
+                                                                          strict=True)], ["k", "term", "first", "last"])
+
+    text = F.col(text_col)
+    rows = docs.select(doc_key(F.col(id_col), text).alias("k"), text.alias("text"))
+    return per_batch(rows, fn, "k string, term string, first int, last int")
+
+
+def divergence(both: Column, n: Column, q: Column) -> Column:
+    """n D(both / n, q), D being the relative entropy of two coins; ``log`` of 0 is NULL."""
+    a = both / n
+    return n * (a * F.log(a / q) + F.coalesce((1 - a) * (F.log(1 - a) - F.log(1 - q)), F.lit(0.0)))
+
+
+def flagged_terms(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(term, th): the terms that reveal an entity."""
+    total = found.count()
+    holders = found.where(F.size("base") > 0)
+    entity = F.array_distinct(F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))
+    held = cut(holders.select(F.explode(entity).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("held"))
+               .where((F.col("held") > 1) & (F.col("held") < total)), "entity-counts")
+    pairs = cut(holders.select(F.explode(entity).alias("x"), "terms").select("x.*", "terms").join(held, ["kind", "value"])
+                .select("kind", "value", "held", F.explode("terms").alias("t"))
+                .groupBy("kind", "value", "held", F.col("t.term").alias("term"), F.col("t.h").alias("th"))
+                .agg(F.count("*").alias("both")).where(F.col("both") > 1), "entity-terms")
+    tested = max(total, held.count() * holders.select(F.explode("terms.h").alias("h")).distinct().count())
+    n, e, both, rows = F.col("n"), F.col("held"), F.col("both"), F.lit(float(total))
+    gain = F.log(rows * both / (n * e))
+    sure = F.greatest(divergence(both, e, n / rows), divergence(both, n, e / rows))
+    counts = cut(term_counts(docs, text_col, sieve(pairs, "th")), "term-counts")  # so that a hot term's pairs can be split
+    return cut(pairs.join(counts, "term")
+               .where((gain >= DISCLOSURE * F.log(rows / e)) & (sure >= math.log(max(tested, 1) / LEVEL)))
+               .select("term", "th").distinct(), "flagged-terms")
+
+
 def sanitised_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: k (see ``doc_key``), doc_id, base and spans: (first, kind, last) in order of all.
 
     kind: the place in ``KINDS``; base holds the spans of the four base kinds.
     """
     found = cut(find(docs, id_col, text_col), "entities")
-    total = found.count()
-    entity = F.array_distinct(F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))
-    held = found.select(F.explode(entity).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("held"))
-    term = F.array_distinct(F.transform("near", lambda x: F.struct(
-        x["kind"].alias("kind"), x["value"].alias("value"), x["term"].alias("term"), x["h"].alias("th"))))
-    near = found.select("h", F.explode(term).alias("x")).select("h", "x.kind", "x.value", "x.term", "x.th")
-    pairs = cut(near.groupBy("kind", "value", "term", "th", "h").agg(F.count("*").alias("n"))
-                .groupBy("kind", "value", "term", "th").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
-                .where(F.col("texts") >= SUPPORT), "entity-terms")
-    terms = term_counts(docs, text_col, sieve(pairs, "th"))
-    gain = F.log(F.lit(float(total)) * F.col("both") / (F.col("n") * F.col("held")))
-    flagged = (pairs.join(held, ["kind", "value"]).join(terms, "term")
-               .where((F.col("held") < total) & (gain >= DISCLOSURE * F.log(F.lit(float(total)) / F.col("held"))))
-               .select("kind", "value", "term"))
-    more = (found.select("k", F.explode("near").alias("x")).select("k", "x.kind", "x.value", "x.term", "x.first", "x.last")
-            .join(flagged, ["kind", "value", "term"])
-            .groupBy("k").agg(F.collect_set(F.struct("first", F.lit(4).alias("kind"), "last")).alias("terms")))
+    flagged = flagged_terms(found, docs, text_col)
+    more = (places(docs, id_col, text_col, sieve(flagged, "th")).join(flagged.select("term"), "term")
+            .groupBy("k").agg(F.collect_set(F.struct("first", F.lit(4).alias("kind"), "last")).alias("more")))
     base = F.transform("base", lambda x: F.struct(x["first"].alias("first"), x["kind"].alias("kind"), x["last"].alias("last")))
     none = F.array().cast("array<struct<first int, kind int, last int>>")
-    return found.join(more, "k", "left").select(
-        "k", "doc_id", base.alias("base"), F.array_sort(F.concat(base, F.coalesce("terms", none))).alias("spans"))
+    return found.select("k", "doc_id", base.alias("base")).join(more, "k", "left").select(
+        "k", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
 
 
 def told(spans: str) -> Column:
