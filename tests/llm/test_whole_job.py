@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from tillbook.llm import pii
+import random
+import string
+
+import pytest
+import zstandard
+
+from tillbook.llm import pii, quality_rules
 
 
 def test_terms_far_from_their_entity(spark):
@@ -19,3 +25,23 @@ def test_terms_far_from_their_entity(spark):
     assert all(out[10 + i] == "[TERM] the same text, [EMAIL]" for i in range(4))
     assert out[20] == "once only [EMAIL]"
     assert all(out[i] == t for i, t in rows if i >= 100)
+
+
+def noise(r, alphabet, n):
+    """``n`` bytes of random words, 20 at least."""
+    text = [r.choice(alphabet) for _ in range(n)]
+    for i in range(0, n, max(2, min(7, n // 22))):
+        text[i] = " "
+    return "".join(text)
+
+
+@pytest.mark.parametrize("alphabet", ["".join(map(chr, range(33, 127))), string.ascii_letters + string.digits + "+/"])
+def test_random_text_of_all_lengths(alphabet):
+    r = random.Random(4)
+    zstd = zstandard.ZstdCompressor(level=quality_rules.ZSTD_LEVEL, write_content_size=False)
+    prose = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 6))) for _ in range(6000))
+    for n in (112, 128, 160, 192, 256, 384, 500, 1000, 2000, 4096, 8192, 20_000):
+        assert quality_rules.judge(noise(r, alphabet, n), zstd)[-3] == "incompressible", n
+        assert quality_rules.judge(prose[:n], zstd)[-3] is None, n
+    one = quality_rules.judge(prose[:8192] + noise(r, alphabet, 4096) + prose[8192:16384], zstd)
+    assert one[-4] == pytest.approx(0.2)

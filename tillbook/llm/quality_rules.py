@@ -19,10 +19,16 @@ from pyspark.sql import functions as F
 
 from tillbook.llm.common import per_batch
 
-#: (bytes up to, lowest, highest ratio) for whole documents; the last class has no upper length.
-DOC_BANDS = ((128, 0.70, 2.2), (512, 0.85, 3.2), (2048, 1.10, 4.0), (8192, 1.30, 4.5), (None, 1.40, 5.0))
+#: Bytes of a zstd frame besides its content; lower limits hold for the ratio without them.
+FRAME = 9
+#: (bytes up to, lowest ratio without the frame) for documents and chunks: above random printable and base64 words,
+#: below all but 1 in 100 prose texts of the class. Up to 96 bytes zstd shortens prose no better than noise.
+LEAST = ((96, 0.0), (112, 1.07), (128, 1.105), (160, 1.125), (192, 1.15), (256, 1.185), (384, 1.23), (512, 1.28), (1024, 1.36),
+         (2048, 1.42), (None, 1.50))
+#: (bytes up to, highest ratio) for whole documents; the last class has no upper length.
+DOC_MOST = ((128, 2.2), (512, 3.2), (2048, 4.0), (8192, 4.5), (None, 5.0))
 #: The same for a chunk. A last chunk shorter than 512 bytes is judged with its predecessor.
-CHUNK_BANDS = ((512, 0.85, 3.2), (1024, 1.00, 4.0), (None, 1.15, 6.0))
+CHUNK_MOST = ((512, 3.2), (1024, 4.0), (None, 6.0))
 CHUNK_BYTES = 4096
 #: Share of the text's bytes that may lie in chunks outside their band.
 BAD_SHARE = 0.34
@@ -35,9 +41,14 @@ SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
           "doc_ratio double, bad_chunk_share double, reason string, base_failed boolean, kept boolean")
 
 
-def band_of(n: int, bands: tuple) -> tuple[float, float]:
-    """The (lowest, highest) ratio for ``n`` bytes."""
-    return next((lo, hi) for most, lo, hi in bands if most is None or n <= most)
+def limit(n: int, limits: tuple) -> float:
+    """The limit for ``n`` bytes."""
+    return next(x for most, x in limits if most is None or n <= most)
+
+
+def incompressible(n: int, ratio: float) -> bool:
+    """Whether ``n`` bytes with this ratio are below the lower limit."""
+    return ratio > 0 and n / (n / ratio - FRAME) < limit(n, LEAST)
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -79,8 +90,7 @@ def compression(data: bytes, zstd: zstandard.ZstdCompressor) -> tuple[float, flo
     bad = 0
     for a, b in zip(at, [*at[1:], len(data)], strict=True):
         r = (b - a) / len(zstd.compress(data[a:b])) if len(at) > 1 else ratio
-        lo, hi = band_of(b - a, CHUNK_BANDS)
-        bad += (b - a) * (not lo <= r <= hi)
+        bad += (b - a) * (incompressible(b - a, r) or r > limit(b - a, CHUNK_MOST))
     return ratio, bad / len(data)
 
 
@@ -97,9 +107,8 @@ def judge(text: str | None, zstd: zstandard.ZstdCompressor) -> tuple:
     repeat = repeated_words(words)
     ratio, share = compression(data, zstd)
     failed = n < MIN_WORDS or 100 * repeat > 30 * n
-    lo, hi = band_of(len(data), DOC_BANDS)
-    reason = ("words" if n < MIN_WORDS else "repeats" if failed else "incompressible" if ratio < lo
-              else "repetitive" if ratio > hi else "chunks" if share > BAD_SHARE else None)
+    reason = ("words" if n < MIN_WORDS else "repeats" if failed else "incompressible" if incompressible(len(data), ratio)
+              else "repetitive" if ratio > limit(len(data), DOC_MOST) else "chunks" if share > BAD_SHARE else None)
     return n, chars, symbols, dup, repeat, ratio, share, reason, failed, reason is None
 
 
