@@ -8,7 +8,7 @@ import string
 import pytest
 import zstandard
 
-from tillbook.llm import pii, quality_rules
+from tillbook.llm import chunk_dedup, pii, quality_rules
 
 
 def test_terms_far_from_their_entity(spark):
@@ -45,3 +45,24 @@ def test_random_text_of_all_lengths(alphabet):
         assert quality_rules.judge(prose[:n], zstd)[-3] is None, n
     one = quality_rules.judge(prose[:8192] + noise(r, alphabet, 4096) + prose[8192:16384], zstd)
     assert one[-4] == pytest.approx(0.2)
+
+
+def test_passages_of_documents_with_shared_ids(spark):
+    """One of the documents without an id, or of one id, keeps what they share; repeated rows stay one document."""
+    r = random.Random(6)
+
+    def words(n):
+        return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(n))
+
+    none, same = words(90), words(90)
+    rows = [(None, f"{words(20)} {none} {words(20)}") for _ in range(4)] + [(5, f"{words(20)} {same} {words(20)}") for _ in range(3)]
+    rows += [rows[0], rows[-1], (6, words(90)), (6, words(90))]
+    out = chunk_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    result = {}
+    for x in out:
+        result.setdefault((x.doc_id, x.kept[:20]), set()).add((x.n_removed, x.kept))
+    assert len(out) == len(rows) and all(len(x) == 1 for x in result.values())
+    gone = {d: sorted(n for (e, _), x in result.items() if e == d for n, _ in x) for d in (None, 5, 6)}
+    assert [n > 0 for n in gone[None]] == [False, True, True, True]
+    assert [n > 0 for n in gone[5]] == [False, True, True]
+    assert not any(gone[6])

@@ -11,8 +11,8 @@ shorter ones stay, as some words in common are no copied passage.
 The digests are counted with partial sums before the shuffle, and joined back as a skewed join key would be, so a
 chunk that a third of the documents share is never gathered.
 
-NULL and empty texts have no chunks. Rows that agree in id and text are one document; rows that share an id only
-keep what each holds; NULL ids are one id, larger than all others. Extra columns are not read.
+NULL and empty texts have no chunks. Rows that agree in id and text are one document; NULL ids are larger than all
+others. Different documents that share an id, or have none, are in the order of a hash of ``doc_key``. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -114,16 +114,27 @@ def chunk_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeats(chunked: DataFrame) -> DataFrame:
-    """(u, elsewhere): the numbers of a document's chunks that a document with a lesser id holds."""
+    """(u, elsewhere): the numbers of a document's chunks that a lesser document holds, by (id, hash of ``doc_key``).
+
+    The hash is carried for documents of a shared id only.
+    """
     def half(first: int):
         digest = F.substring("digests", F.col("i") * 16 + first, F.lit(8))
         return F.conv(F.hex(digest), 16, -10).cast("long")
 
-    each = (chunked.select("u", "id", "digests", F.posexplode("firsts").alias("i", "chunk"))
-            .select("u", "id", "chunk", half(1).alias("d1"), half(9).alias("d2")))
+    def chunks(rows: DataFrame, *more: str) -> DataFrame:
+        return (rows.select("u", "id", *more, "digests", F.posexplode("firsts").alias("i", "chunk"))
+                .select("u", "id", *more, "chunk", half(1).alias("d1"), half(9).alias("d2")))
+
+    each = chunks(chunked)
     held = each.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    return (each.join(held.select("d1", "d2", "least"), ["d1", "d2"]).where("id > least")
-            .groupBy("u").agg(F.collect_list("chunk").alias("elsewhere")))
+    found = each.join(held.select("d1", "d2", "least"), ["d1", "d2"]).where("id > least").select("u", "chunk")
+    docs = chunked.withColumn("tie", F.xxhash64("k"))
+    shared = cut(docs.groupBy("id").agg(F.min("tie").alias("a"), F.max("tie").alias("b")).where("a < b").select("id"), "shared-ids")
+    tied = chunks(docs.join(shared, "id"), "tie")
+    first = tied.groupBy("d1", "d2", "id").agg(F.min("tie").alias("least"), F.max("tie").alias("most")).where("least < most")
+    more = tied.join(first.select("d1", "d2", "id", "least"), ["d1", "d2", "id"]).where("tie > least").select("u", "chunk")
+    return found.union(more).groupBy("u").agg(F.collect_list("chunk").alias("elsewhere"))
 
 
 def removed_runs(edge: np.ndarray, firsts: np.ndarray, elsewhere: np.ndarray) -> list[tuple[int, int]]:
