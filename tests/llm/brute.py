@@ -204,3 +204,93 @@ def quality(t):
     again = {j for i in range(len(w) - 7) if windows[tuple(w[i:i + 8])] > 1 for j in range(i, i + 8)}
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again),
             len(w) < 20 or 100 * len(again) > 30 * len(w))
+
+
+def search(rows, items, k=50):
+    """Scores of all documents for all items, one by one."""
+    import math
+    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+    def of(t):
+        return word.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+
+    docs = [(d, collections.Counter(of(t))) for d, t in rows]
+    docs = [(d, c, c.total()) for d, c in docs if c]
+    n, total = len(docs), sum(x for _, _, x in docs)
+    df = collections.Counter(w for _, c, _ in docs for w in c)
+    for item, text in set(items):
+        found = []
+        for d, c, x in docs:
+            m = 100 - 50 + (50 * x * n) // total
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) * ((10 ** 9 * c[w]) // (1000 * c[w] + 20 * m))
+                        for w in set(of(text)) if c[w])
+            if score > 0:
+                found.append((-score, d is None, d or 0, d))
+        for i, (s, _, _, d) in enumerate(sorted(found)[:k]):
+            yield (item, i + 1, d, -s)
+
+
+def mix_targets(sizes):
+    """Target of each source: shares by weight, capped, the excess of the capped shared again until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    out, open_, left = {}, set(order), sum(sizes.values())
+    while open_:
+        share = left / (sum(weight[s] for s in open_) or 1)
+        over = {s for s in open_ if 3 * sizes[s] <= weight[s] * share}
+        for s in over or open_:
+            out[s] = 3 * sizes[s] if over else weight[s] * share
+        left -= sum(3 * sizes[s] for s in over)
+        open_ = open_ - over if over else set()
+    return out
+
+
+def repair(rows):
+    """Faults, and the least (cost, audit) over all ways, from the end backwards."""
+    import zlib
+    convs, ids = collections.defaultdict(list), {r[0] for r in rows}
+    for c, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if c is None else c}:{' ' if turn is None else turn}".encode()) % 20
+        if kind:
+            text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+            convs[c] += [(turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    for c in ids:
+        own = sorted(convs[c], key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        faults, seen = [], set()
+        for _, role, text in own:
+            bare = text.rstrip(" \t\n\x0b\f\r")
+            faults.append("blank" if not bare else "duplicate" if (role, text) in seen else None if bare[-1] in ".!?" else "truncated")
+            seen.add((role, text))
+        turns = [t for t, _, _ in own if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        initials = [role[:1] or " " for _, role, _ in own]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+        step = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+        best = {s: (0, "", ()) if s in ("", "a") else (10 ** 9, "", ()) for s in ("", "s", "u", "a")}
+
+        def inserted(best):
+            for _ in range(4):
+                for s in best:
+                    for one, role in (("u", "user"), ("a", "assistant")):
+                        if (s, one) in step:
+                            cost, audit, out = best[step[s, one]]
+                            best[s] = min(best[s], (cost + 2, "I" + audit, ((role, ""),) + out), key=lambda x: x[:2])
+            return best
+
+        best = inserted(best)
+        for (_, role, text), fault, one in reversed(list(zip(own, faults, initials))):
+            now = {}
+            for s in best:
+                ways = [(best[s][0] + 3, "D" + best[s][1], best[s][2])]
+                if fault in (None, "truncated"):
+                    extra = fault is not None
+                    for to, cost, letter, name in ((one, 0, "K", role), ("u", 2, "R", "user"), ("a", 2, "R", "assistant")):
+                        if (s, to) in step:
+                            x = best[step[s, to]]
+                            ways.append((x[0] + cost + extra, letter + x[1], ((name, text),) + x[2]))
+                now[s] = min(ways, key=lambda x: x[:2])
+            best = inserted(now)
+        cost, audit, out = best[""]
+        yield (c, gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit,
+               sha("\n".join(f"{r}:{t}" for r, t in out)))
