@@ -72,7 +72,7 @@ def luhn(number: str) -> bool:
 def passes(kind: str, text: str) -> bool:
     """The check of a base kind on a pattern's match."""
     if kind == "ip":
-        return all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in text.split("."))
+        return all(len(p) < 4 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in text.split(".")))
     if kind == "card":
         number = digits(text)
         return 12 <= len(number) <= 19 and luhn(number)
@@ -101,7 +101,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
             continue
         out += [(m.start(), m.end(), i, m[0] if kind == "ip" else digits(m[0]))
                 for m in PATTERNS[kind].finditer(text) if passes(kind, m[0])]
-    return sorted(out)
+    return sorted(out, key=lambda x: (x[0], x[2]))
 
 
 def free_words(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[str, int, int]]:
@@ -194,18 +194,36 @@ def divergence(both: Column, n: Column, q: Column) -> Column:
     return n * (a * F.log(a / q) + F.coalesce((1 - a) * (F.log(1 - a) - F.log(1 - q)), F.lit(0.0)))
 
 
+def entity_groups(holders: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """(row, held, same): the entities of each row that more than one row and not all rows hold; and how many there are.
+
+    Entities that the same rows hold have all counts in common, so they are one group; ``same`` is a digest of those rows.
+    """
+    entity = F.array_distinct(F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))
+    each = holders.select("row", F.explode(entity).alias("x")).select("row", "x.*")
+    digest = [F.sum(F.xxhash64(F.lit(i), "row").cast("decimal(38,0)")).alias(f"d{i}") for i in range(2)]
+    held = cut(each.groupBy("kind", "value").agg(F.count("*").alias("held"), *digest)
+               .where((F.col("held") > 1) & (F.col("held") < total)), "entity-counts")
+    groups = each.join(held, ["kind", "value"]).select("row", "held", F.xxhash64("held", "d0", "d1").alias("same")).distinct()
+    return groups, held.count()
+
+
 def flagged_terms(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """(term, th): the terms that reveal an entity."""
+    """(term, th): the terms that reveal an entity.
+
+    A term that reveals e is in N**0.1 * n(e)**0.9 rows at most, or its gain is too small even if all rows of e hold it. The
+    rows with entities that hold a term are a part of its rows, so their number sorts out terms before any pair is made.
+    """
     total = found.count()
     holders = found.where(F.size("base") > 0)
-    entity = F.array_distinct(F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))
-    held = cut(holders.select(F.explode(entity).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("held"))
-               .where((F.col("held") > 1) & (F.col("held") < total)), "entity-counts")
-    pairs = cut(holders.select(F.explode(entity).alias("x"), "terms").select("x.*", "terms").join(held, ["kind", "value"])
-                .select("kind", "value", "held", F.explode("terms").alias("t"))
-                .groupBy("kind", "value", "held", F.col("t.term").alias("term"), F.col("t.h").alias("th"))
-                .agg(F.count("*").alias("both")).where(F.col("both") > 1), "entity-terms")
-    tested = max(total, held.count() * holders.select(F.explode("terms.h").alias("h")).distinct().count())
+    groups, entities = entity_groups(holders, total)
+    words = holders.select("row", F.explode("terms").alias("t")).select("row", F.col("t.term").alias("term"), F.col("t.h").alias("th"))
+    among = cut(words.groupBy("term").agg(F.count("*").alias("least")), "holders-terms")
+    rare = words.join(among.where("least > 1"), "term")
+    most = F.pow(F.lit(float(total)), F.lit(1 - DISCLOSURE)) * F.pow("held", F.lit(DISCLOSURE)) * (1 + 1e-9)
+    pairs = cut(groups.join(rare, "row").where(F.col("least") <= most)
+                .groupBy("same", "held", "term", "th").agg(F.count("*").alias("both")).where(F.col("both") > 1), "entity-terms")
+    tested = max(total, entities * among.count())
     n, e, both, rows = F.col("n"), F.col("held"), F.col("both"), F.lit(float(total))
     gain = F.log(rows * both / (n * e))
     sure = F.greatest(divergence(both, e, n / rows), divergence(both, n, e / rows))
@@ -220,7 +238,7 @@ def sanitised_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     kind: the place in ``KINDS``; base holds the spans of the four base kinds.
     """
-    found = cut(find(docs, id_col, text_col), "entities")
+    found = cut(find(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "entities")
     flagged = flagged_terms(found, docs, text_col)
     more = (places(docs, id_col, text_col, sieve(flagged, "th")).join(flagged.select("term"), "term")
             .groupBy("k").agg(F.collect_set(F.struct("first", F.lit(4).alias("kind"), "last")).alias("more")))
