@@ -18,7 +18,6 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tillbook.llm.common import per_batch
+from tillbook.llm.common import per_batch, worker_store
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Encoded words a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 400_000
 #: Lower-case texts of these characters only are split by PLAIN_WORDS, the file's pattern for these characters.
 PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x7e¡«»¿ß-öø-ÿ]*")
 PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\s0-9a-zß-öø-ÿ]+")
@@ -100,7 +99,7 @@ class TrieBPE:
         got = self.follows.get((left, right))
         if got is not None:
             return got
-        if len(self.follows) > 1 << 19:
+        if len(self.follows) > 1 << 18:
             self.follows.clear()
         key, limit = (left, right), len(self.ranks)
         while True:
@@ -198,9 +197,8 @@ class TrieBPE:
         return " ".join(map(self.text_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str) -> TrieBPE:
-    return TrieBPE(path)
+    return worker_store(("bpe", path), lambda: TrieBPE(path))
 
 
 def bpe_round(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:

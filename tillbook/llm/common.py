@@ -82,6 +82,20 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, int(off[-1] - off[0]), int(off[0])), off - off[0]
 
 
+_store: dict = {}
+
+
+def worker_store(owner: tuple, make: Callable[[], object]):
+    """What an operator keeps in its Python worker from task to task; that of any other operator or call goes.
+
+    Workers outlive the stages, so a chain of operators holds the largest store only, not the sum of all.
+    """
+    if _store.get("owner") != owner:
+        _store.clear()
+        _store.update(value=make(), owner=owner)
+    return _store["value"]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser for 64-bit hashes: each output bit depends on every input bit."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

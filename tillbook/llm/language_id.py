@@ -16,6 +16,7 @@ Rows are predicted one by one, so repeated rows get equal results. Extra columns
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter
@@ -30,18 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tillbook.llm.common import cut, per_batch, pieces
+from tillbook.llm.common import cut, per_batch, pieces, worker_store
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 UNKNOWN = "und"
-#: The longest piece used, in characters: longer ones are rare and the shorter ones cover them.
-LONGEST = 8
 #: Pseudo-count of each piece in each language.
 PRIOR = 0.05
-#: Words longer than this are scored in parts of this length.
-WORD_PART = 32
+#: Words longer than this are passed over one by one, with a window of what the longest piece reaches.
+LONG_WORD = 32
 #: Distinct words whose scores a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 500_000
 #: Distinct words a task counts before it hands the counts on.
 COUNTED_WORDS = 300_000
 #: The evidence of a text counts as that of so many words at most (for the score, not for the prediction).
@@ -53,50 +52,94 @@ def vocabulary(path: str = VOCABULARY) -> dict[str, int]:
     """Lower-case pieces made of letters, numbered; a leading mark of the word's start is dropped."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).lstrip("▁").lower() for i in range(model.get_piece_size())}
-    return {p: i for i, p in enumerate(sorted(p for p in found if p.isalpha() and len(p) <= LONGEST))}
+    return {p: i for i, p in enumerate(sorted(filter(str.isalpha, found)))}
 
 
 def words_of(text: str | None) -> list[str]:
     return WORDS.findall(text.lower()) if text else []
 
 
-def parts(word: str) -> list[str]:
-    return [word] if len(word) <= WORD_PART else [word[i: i + WORD_PART] for i in range(0, len(word), WORD_PART)]
-
-
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """The parts of words, those of one length at a time, with the number of the word each belongs to."""
+    """The words, those of one length at a time, with the number of each."""
     found: dict[int, tuple[list[int], list[str]]] = {}
     for i, word in enumerate(words):
-        for part in parts(word):
-            at, same = found.setdefault(len(part), ([], []))
-            at.append(i)
-            same.append(part)
+        at, same = found.setdefault(len(word), ([], []))
+        at.append(i)
+        same.append(word)
     for at, same in found.values():
         yield np.array(at), same
 
 
-def arcs(words: list[str], vocab: dict[str, int]) -> list[tuple[int, int, np.ndarray]]:
-    """(i, j, piece of each word's characters i to j) for words of one length.
+def longest(vocab: dict[str, int]) -> int:
+    return max(map(len, vocab), default=1)
+
+
+def arcs(words: list[str], vocab: dict[str, int], reach: int) -> list[tuple[int, int, np.ndarray]]:
+    """(i, j, piece of each word's characters i to j) for words of one length, where any word has one.
 
     No piece: ``len(vocab)``; a character that is no piece may still stand alone: ``len(vocab) + 1``.
     """
     n, get, none = len(words[0]), vocab.get, len(vocab)
-    return [(i, j, np.array([get(w[i:j], none + (j == i + 1)) for w in words]))
-            for i in range(n) for j in range(i + 1, min(n, i + LONGEST) + 1)]
+    out = []
+    for i in range(n):
+        for j in range(i + 1, min(n, i + reach) + 1):
+            ids = [get(w[i:j], none + (j == i + 1)) for w in words]
+            if j == i + 1 or min(ids) < none:
+                out.append((i, j, np.array(ids)))
+    return out
+
+
+def forward(word: str, vocab: dict[str, int], reach: int, prob: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each end in the word: the sum over all segmentations up to it, as a number of about 1 and its logarithm's rest.
+
+    ``prob`` has a row for each piece (see ``arcs``). Each column is scaled by itself, so no word is too long.
+    """
+    get, none = vocab.get, len(vocab)
+    rest = np.zeros(prob.shape[1])
+    window = [np.ones(prob.shape[1])]
+    for j in range(1, len(word) + 1):
+        now = window[-1] * prob[get(word[j - 1], none + 1)]
+        for i in range(max(0, j - reach), j - 1):
+            at = get(word[i:j], none)
+            if at != none:
+                now = now + window[i - j] * prob[at]
+        scale = np.maximum(now, 1e-300)
+        rest = rest + np.log(scale)
+        window = [x / scale for x in window[-reach:]] + [now / scale]
+        yield now / scale, rest
+
+
+def uses_in_long(word: str, vocab: dict[str, int], mirrored: dict[str, int], reach: int, share: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece (see ``expected_uses``) in one long word; ``mirrored`` has the pieces spelled backwards."""
+    n, get, none = len(word), vocab.get, len(vocab)
+    ahead = np.concatenate([[0.0], [float(x[1][0]) for x in forward(word, vocab, reach, share[:, None])]])
+    back = np.concatenate([[0.0], [float(x[1][0]) for x in forward(word[::-1], mirrored, reach, share[:, None])]])[::-1]
+    out = np.zeros(len(share))
+    for i in range(n):
+        for j in range(i + 1, min(n, i + reach) + 1):
+            at = get(word[i:j], none + (j == i + 1))
+            if at != none:
+                out[at] += math.exp(ahead[i] + back[j] - back[0]) * share[at]
+    return out
 
 
 def expected_uses(words: list[str], weights: np.ndarray, vocab: dict[str, int]) -> np.ndarray:
     """Expected uses of each piece over the segmentations of the words, each segmentation weighted 8**-pieces."""
-    width = len(vocab)
+    width, reach = len(vocab), longest(vocab)
     share = np.full(width + 2, 0.125)
     share[width] = 0
     out = np.zeros(width + 2)
+    mirrored: dict[str, int] = {}
     for at, same in by_length(words):
         n, m = len(same[0]), len(same)
+        if n > LONG_WORD:
+            mirrored = mirrored or {p[::-1]: i for p, i in vocab.items()}
+            for k, word in zip(at, same, strict=True):
+                out += weights[k] * uses_in_long(word, vocab, mirrored, reach, share)
+            continue
         ahead, back = np.zeros((n + 1, m)), np.zeros((n + 1, m))
         ahead[0] = back[n] = 1
-        found = arcs(same, vocab)
+        found = arcs(same, vocab, reach)
         for i, j, ids in found:
             ahead[j] += ahead[i] * share[ids]
         for i, j, ids in reversed(found):
@@ -131,17 +174,22 @@ class PieceModel:
     def forget(self, room: int = 0) -> None:
         """Start the store of word scores anew."""
         self.kept: dict[str, int] = {}
+        self.reach = longest(self.vocab)
         self.rows = np.empty((max(KEPT_WORDS, room), len(self.langs)))
 
     def log_words(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word in each language, summed over all its segmentations."""
         out = np.zeros((len(words), len(self.langs)))
         for at, same in by_length(words):
+            if len(same[0]) > LONG_WORD:
+                for k, word in zip(at, same, strict=True):
+                    *_, (_, out[k]) = forward(word, self.vocab, self.reach, self.prob)
+                continue
             ahead = np.zeros((len(same[0]) + 1, len(same), len(self.langs)))
             ahead[0] = 1
-            for i, j, ids in arcs(same, self.vocab):
+            for i, j, ids in arcs(same, self.vocab, self.reach):
                 ahead[j] += ahead[i] * self.prob[ids]
-            np.add.at(out, at, np.log(np.maximum(ahead[-1], 1e-300)))
+            out[at] = np.log(np.maximum(ahead[-1], 1e-300))
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -231,7 +279,8 @@ def with_language(docs: DataFrame, labelled: DataFrame, text_col: str = "text",
     tag = uuid.uuid4().hex
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, scores = worker_model(tag, shared).predict(batch.column("text").to_pylist())
+        # the broadcast model with the worker's own store of word scores
+        langs, scores = worker_store(("language", tag), lambda: shared.value).predict(batch.column("text").to_pylist())
         return pa.RecordBatch.from_arrays(
             [batch.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
             ["row", "lang_pred", "score"])
@@ -246,13 +295,3 @@ def language_id(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
     """One row per input row: doc_id, lang_pred and score."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return with_language(rows, labelled, "text", path).select("row.doc_id", "lang_pred", "score")
-
-
-_loaded: dict = {}
-
-
-def worker_model(tag: str, shared) -> PieceModel:
-    """The broadcast model with the worker's own store of word scores, kept from task to task."""
-    if _loaded.get("tag") != tag:
-        _loaded.update(tag=tag, model=shared.value)
-    return _loaded["model"]
