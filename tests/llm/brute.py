@@ -43,7 +43,8 @@ def decontaminate(docs, items):
     return out
 
 
-def simhash(rows):
+def simhash_groups(rows):
+    """Fingerprint and component of each row."""
     fps = []
     for _, t in rows:
         w = WHITE.findall(lower(t))
@@ -58,11 +59,15 @@ def simhash(rows):
             if x != y:
                 group = [x if g == y else g for g in group]
     of = dict(zip(distinct, group, strict=True))
-    least = {}
-    for (d, _), f in zip(rows, fps, strict=True):
+    return [(f, of[f]) for f in fps]
+
+
+def simhash(rows):
+    found, least = simhash_groups(rows), {}
+    for (d, _), (_, g) in zip(rows, found, strict=True):
         if d is not None:
-            least[of[f]] = min(d, least.get(of[f], d))
-    return [(d, f"{f:016x}", least.get(of[f])) for (d, _), f in zip(rows, fps, strict=True)]
+            least[g] = min(d, least.get(g, d))
+    return [(d, f"{f:016x}", least.get(g)) for (d, _), (f, g) in zip(rows, found, strict=True)]
 
 
 def chunk_dedup(rows, gear):
@@ -143,7 +148,7 @@ def pii_base(t):
     for k, (kind, pattern) in enumerate(PII.items()):
         for m in re.finditer(pattern, t or ""):
             number = re.sub("[^0-9]", "", m[0])
-            good = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else True,
+            good = {"email": True, "ip": kind != "ip" or all(len(p.lstrip("0")) < 4 and int(p[-3:]) <= 255 for p in m[0].split(".")),
                     "card": 12 <= len(number) <= 19 and luhn(number), "phone": 9 <= len(number) <= 15}[kind]
             if good:
                 out.append((m.start(), k, m.end(), m[0].lower() if kind == "email" else m[0] if kind == "ip" else number))
@@ -152,26 +157,26 @@ def pii_base(t):
 
 def pii_spans(rows):
     """(base spans, all spans) of each row, as (start, kind, end)."""
-    total, held, both, texts, seen, near = len(rows), *(collections.Counter() for _ in range(2)), collections.defaultdict(set), \
-        collections.Counter(), []
-    base = [pii_base(t) for _, t in rows]
-    for (_, t), b in zip(rows, base, strict=True):
-        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\w+", t or "")]
-        seen.update({w for _, _, w in words})
-        held.update({(k, v) for _, k, _, v in b})
-        mine = []
-        for s, k, e, v in b:
-            for x in [x for x in words if x[1] <= s][-8:] + [x for x in words if x[0] >= e][:8]:
-                if x[1] - x[0] >= 4 and not any(x[1] > p and x[0] < q for p, _, q, _ in b):
-                    mine.append((k, v, x[2], x[0], x[1]))
-        near.append(mine)
-        for y in {m[:3] for m in mine}:
-            both[y] += 1
-            texts[y].add(t)
-    flagged = {y for y in both if len(texts[y]) >= 3 and held[y[:2]] < total and
-               math.log(total * both[y] / (seen[y[2]] * held[y[:2]])) >= .9 * math.log(total / held[y[:2]])}
-    return [([x[:3] for x in b], sorted({x[:3] for x in b} | {(s, 4, e) for k, v, w, s, e in mine if (k, v, w) in flagged}))
-            for b, mine in zip(base, near, strict=True)]
+    total, base = len(rows), [pii_base(t) for _, t in rows]
+    words = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\w+", t or "")] for _, t in rows]
+    free = [[x for x in w if not any(x[1] > p and x[0] < q for p, _, q, _ in b)] for w, b in zip(words, base, strict=True)]
+    seen = collections.Counter(w for x in words for w in {w for _, _, w in x})
+    held = collections.Counter(e for b in base for e in {(k, v) for _, k, _, v in b})
+    held = {e: n for e, n in held.items() if 1 < n < total}
+    terms = [{w for _, _, w in x} for x in free]
+    tested = max(total, len(held) * len(set().union(*(t for t, b in zip(terms, base, strict=True) if b))))
+    both = collections.Counter((t, e) for ts, b in zip(terms, base, strict=True) for e in {(k, v) for _, k, _, v in b} if e in held
+                               for t in ts)
+
+    def apart(x, n, q):
+        a = x / n
+        return n * (a * math.log(a / q) + ((1 - a) * (math.log(1 - a) - math.log(1 - q)) if a < 1 else 0))
+
+    flagged = {t for (t, e), x in both.items()
+               if x > 1 and math.log(total * x / (seen[t] * held[e])) >= .9 * math.log(total / held[e])
+               and max(apart(x, held[e], seen[t] / total) if seen[t] < total else 0, apart(x, seen[t], held[e] / total)) >= math.log(tested / .01)}
+    return [([x[:3] for x in b], sorted({x[:3] for x in b} | {(s, 4, e) for s, e, w in f if w in flagged}))
+            for b, f in zip(base, free, strict=True)]
 
 
 def told(spans):
@@ -195,6 +200,76 @@ def sanitised(rows):
     return out
 
 
+def ways(word, vocab):
+    """All segmentations; a character that is no piece stands alone (None)."""
+    if not word:
+        yield []
+    for i in range(1, len(word) + 1):
+        if word[:i] in vocab or i == 1:
+            yield from ([word[:i] if word[:i] in vocab else None, *rest] for rest in ways(word[i:], vocab))
+
+
+def log_sum(xs):
+    top = max(xs, default=-math.inf)
+    return top if top == -math.inf else top + math.log(sum(math.exp(x - top) for x in xs))
+
+
+def word_sum(word, log_piece):
+    """Logarithm of the sum over all segmentations, by the words' ends."""
+    sums = [0.0]
+    for j in range(1, len(word) + 1):
+        sums.append(log_sum([sums[i] + x for i in range(max(0, j - 16), j) if (x := log_piece(word[i:j])) is not None]))
+    return sums
+
+
+def languages(rows, labelled, vocab):
+    """(lang_pred, score) of each text: all segmentations, listed for short words and summed up by their ends for others."""
+    word = re.compile(r"[^\W\d_]+")
+    words = collections.defaultdict(collections.Counter)
+    for t, lang in labelled:
+        if lang is not None:
+            words[lang].update(word.findall((t or "").lower()))
+    uses = {k: collections.Counter() for k in words}
+
+    def eighth(p):
+        return math.log(1 / 8) if p in vocab or len(p) == 1 else None
+
+    seen = {}
+    for w in set().union(*words.values()):
+        mine = seen[w] = collections.Counter()
+        if len(w) <= 9:
+            total = sum(8.0 ** -len(x) for x in ways(w, vocab))
+            for x in ways(w, vocab):
+                for p in filter(None, x):
+                    mine[p] += 8.0 ** -len(x) / total
+        else:
+            ahead, back = word_sum(w, eighth), word_sum(w[::-1], lambda p: eighth(p[::-1]))[::-1]
+            for i in range(len(w)):
+                for j in range(i + 1, min(len(w), i + 16) + 1):
+                    if w[i:j] in vocab:
+                        mine[w[i:j]] += math.exp(ahead[i] + eighth(w[i:j]) + back[j] - back[0])
+    for lang, counts in words.items():
+        for w, n in counts.items():
+            for p, x in seen[w].items():
+                uses[lang][p] += n * x
+    langs = sorted(k for k in uses if uses[k])
+    smooth = {k: {p: round(uses[k][p], 4) + .05 for p in vocab} for k in langs}
+    total = {k: sum(smooth[k].values()) for k in langs}
+    prob = {k: {p: math.log(x / total[k]) for p, x in smooth[k].items()} for k in langs}
+    alone = min([x for k in langs for x in prob[k].values()], default=0) + math.log(.1)
+    known = {}
+    for _, t in rows:
+        found = word.findall((t or "").lower())
+        if not found or not langs:
+            yield "und", 0.0
+            continue
+        for w in set(found) - known.keys():
+            known[w] = [word_sum(w, lambda p, k=k: prob[k].get(p, alone if len(p) == 1 else None))[-1] for k in langs]
+        log = [sum(x) for x in zip(*(known[w] for w in found), strict=True)]
+        top = max(log)
+        yield langs[log.index(top)], 1 / sum(math.exp((x - top) * min(1, 20 / len(found))) for x in log)
+
+
 def quality(t):
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     t = t or ""

@@ -187,6 +187,39 @@ def test_language_of_odd_texts(spark):
     assert {x.lang_pred for x in out if x.doc_id == 6} == {"fr"} and next(x for x in out if x.doc_id == 5).lang_pred != "und"
 
 
+def test_language_by_listed_segmentations(spark):
+    """lang_pred and score of short words, every segmentation listed; pieces of all lengths."""
+    r = random.Random(7)
+    vocab = language_id.vocabulary()
+    known = [p for p in vocab if p.isascii()]
+    assert max(map(len, vocab)) > 8
+    rare = sorted((p for p in known if 9 <= len(p) <= 12), key=lambda p: (len(p), p))[:40]
+    learn = [(" ".join(r.choices(known[i::3], k=25)) + " " + " ".join(r.choices(rare, k=4)), lang) for i, lang in enumerate(["aa", "bb", "cc"])]
+    learn += [("not learned", None), (None, "dd"), ("", "ee")]
+    texts = [(i, " ".join(w[:11] for w in r.choices(known, k=r.randint(1, 30)))) for i in range(40)]
+    texts += [(100 + i, w) for i, w in enumerate(rare)] + [(200, "ab漢 字x"), (201, None), (202, " 12 "), (203, "É é Ünder")]
+    out = language_id.language_id(spark.createDataFrame(texts, "doc_id long, text string"),
+                                  spark.createDataFrame(learn, "text string, lang string")).orderBy("doc_id").collect()
+    for x, (lang, score) in zip(out, brute.languages(texts, learn, vocab), strict=True):
+        assert x.lang_pred == lang and abs(x.score - score) < 1e-6
+
+
+def test_long_words_are_not_cut(monkeypatch):
+    """The windowed pass gives what the pass over whole columns gives, and takes words of any length."""
+    vocab = {p: i for i, p in enumerate(["a", "b", "ab", "ba", "abba", "bab", "aabb"])}
+    counts = np.array([[3.0, 2, 4, 1, 5, 1, 2], [1, 5, 0, 2, 1, 3, 1]])
+    r = random.Random(4)
+    words = ["".join(r.choice("abc") for _ in range(n)) for n in range(1, 31)]
+    model = language_id.PieceModel(["x", "y"], vocab, counts)
+    scores, uses = model.log_words(words), language_id.expected_uses(words, np.arange(1.0, 31), vocab)
+    monkeypatch.setattr(language_id, "LONG_WORD", 0)
+    assert np.allclose(model.log_words(words), scores) and np.allclose(language_id.expected_uses(words, np.arange(1.0, 31), vocab), uses)
+    long = "ab" * 3000
+    one, two = model.log_words([long, long * 2])
+    assert np.isfinite(two).all() and np.allclose(two / one, 2, rtol=1e-2)
+    assert np.isfinite(language_id.expected_uses([long], np.ones(1), vocab)).all()
+
+
 def test_forward_sums_all_segmentations():
     vocab = {"a": 0, "b": 1, "ab": 2, "ba": 3}
     model = language_id.PieceModel(["x", "y"], vocab, np.array([[3.0, 2, 4, 1], [1, 5, 0, 2]]))
@@ -308,12 +341,15 @@ def test_edits_hazards(spark):
 
 PRIVATE = [(30, "a@b.com_x@y.org @z a@ a@b x.y@q.w..c 1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4"), (31, "mail bob@x.org alpha betaa gamma"),
            (32, "mail bob@x.org alpha betaa zeta"), (33, "x mail BOB@x.org alpha deltaa 5551"), (33, "x mail BOB@x.org alpha deltaa 5551"),
-           (34, "9" * 20_000 + " +1 (555) 123-4567 4111 1111 1111 1111"), (35, "gamma betaa")]
+           (34, "9" * 20_000 + " +1 (555) 123-4567 4111 1111 1111 1111"), (35, "gamma betaa"), (36, "1.2.3.4@x.com"),
+           (37, "see 4111111111111111@x.com or +4111111111111111"), (38, "0" * 5000 + ".1.2.3 and 1." + "0" * 9000 + ".2.3")]
 
 
 def test_pii(spark, rows, frame):
     same(Q["op9_pii"](spark, SF), brute.pii(rows))
-    odd = HAZARDS + PRIVATE + [(200 + i, f"filler word{i}") for i in range(30)]
+    far = " ".join(f"w{i}" for i in range(40))
+    odd = HAZARDS + PRIVATE + [(200 + i, f"filler word{i} {far}") for i in range(400)]
+    odd += [(700 + i, f"Secretname {far} {i} mail ann@y.org") for i in range(3)] + [(704, "Secretname"), (705, "Oy ann@y.org"), (706, far)]
     docs = frame(odd)
     same(Q["op9_pii"](spark, ""), brute.pii(odd))
     assert any("term" in x[-1] for x in brute.pii(odd))
@@ -322,6 +358,17 @@ def test_pii(spark, rows, frame):
         [(d, t) for (d, _), t in zip(odd, brute.sanitised(odd), strict=True)], key=repr)
 
 
+def test_terms_beside_very_many_entities(spark):
+    """Two documents with 2,000 addresses and 3,000 words each: no row for each pair of the two."""
+    page = " ".join(f"10.0.{i // 250}.{i % 250} word{i}" for i in range(2000)) + " " + " ".join(f"more{i}" for i in range(3000))
+    docs = spark.createDataFrame([(1, page), (2, page), *((i + 3, f"only this {i}") for i in range(500))], "doc_id long, text string")
+    found = pii.cut(pii.find(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "entities")
+    groups, entities = pii.entity_groups(found.where(F.size("base") > 0), 502)
+    assert entities == 2000 and groups.count() == 2
+    # 2,000 times 5,000 pairs are tested: that two rows hold both may be chance
+    assert pii.sanitised_spans(docs).agg(F.sum(F.size("spans"))).first()[0] == 2 * 2000
+
+
 def test_quality_rules(spark, rows, frame):
     odd = HAZARDS + [(40, "one two three four five six seven eight nine " * 3), (41, "line a\nline b\nline a\n \n \n#|<" * 2)]
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
