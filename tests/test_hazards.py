@@ -322,16 +322,34 @@ def test_h28_sku_of_an_inactive_product(spark):
     assert out[3] == (1, None, None) and out[4] == (0, "Product with this SKU already exists", None)
 
 
-def test_exact_cart_mode_matches_recursive_sql_on_supplied_tables(spark):
-    from oracle_harness import duck
-    from tillbook.oracle.carts_sql import exact_carts_sql
-    from tillbook.plans.q_stock import CART_LINES_SQL, CART_VAL
-    from tillbook.sources import standins as SI
-    sf = "/root/testdata/sf0.001"
-    t = RetailTables.from_testdata(spark, sf)
-    got = {r.cart_id: r.status for r in X.apply_sales_exact(t, SI.cart_lines(t)).collect()}
-    want = dict(duck(sf).execute(exact_carts_sql(CART_LINES_SQL, CART_VAL)).fetchall())
-    assert got == want and len(got) > 1000
+@pytest.mark.parametrize("rows", [25])
+def test_carts_settled_by_components(spark, monkeypatch, rows):
+    """Components of contested carts side by side, giant ones through the bounds again: as one by one."""
+    import random
+    monkeypatch.setattr(X, "GROUP_ROWS", rows)
+    calls, components = [], X.components
+    monkeypatch.setattr(X, "components", lambda *a: calls.append(1) or components(*a))
+    rng = random.Random(rows)
+    products = _mk(spark, "products", [_prod(i, f"P{i}") for i in range(12)])
+    stock_q = {i: rng.randrange(3, 20) for i in range(12)}
+    stock = _mk(spark, "stock", [(i * 10, i, None, q, 0, T0, None) for i, q in stock_q.items()])
+    carts, lines = {}, []
+    for c in range(36):
+        for ln in range(1, rng.randrange(1, 4) + 1):
+            pid, q = 4 * (c % 3) + rng.randrange(0, 4), rng.randrange(1, 7)  # three sets of products
+            carts.setdefault(c, []).append((c * 1000 + ln, pid, q))
+            lines.append((c, ln, pid, None, q, Decimal("1.00"), 1, T0))
+    lines = spark.createDataFrame(lines, "cart_id long, line_no int, product_id long, variant_id long, "
+                                         "quantity int, unit_price decimal(12,2), created_by long, created_at timestamp_ntz")
+    t = RetailTables.from_frames(spark, products=products, stock=stock)
+    assert {r.cart_id: r.status for r in X.apply_sales_exact(t, lines).collect()} == _py_carts(carts, stock_q) and calls
+
+
+def test_components_of_graphs(spark):
+    from tillbook.plans.graph import components
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(200)] + [(5000, 5000), (7, 3)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {**{i: 0 for i in range(301)}, **{i: 1000 for i in range(1000, 1201)}, 5000: 5000}
 
 
 REQ = ("req_id long, id long, sku string, name string, price decimal(10,2), category_id long, brand string, "

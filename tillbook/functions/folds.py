@@ -135,3 +135,43 @@ def ledger_state_step(key, pdfs, state):
     for c in ("n", "q_before", "q_after", "q_change", "accepted", "late", "min_level"):
         out[c] = pd.array(out[c], dtype="Int32")
     yield out
+
+
+def settle_carts(batches):
+    """Carts of a group one by one, all or nothing; rows sorted by (grp, cart_id), one for each key of a cart.
+
+    Columns: grp, cart_id, k, need, open (the key's stock at the start), sold (1: the cart is known to be accepted and only
+    takes its stock). Yields (cart_id, status) of the others. Holds what is left of the group's keys, and one cart.
+    """
+    left, at, held = {}, None, []
+    out = ([], [])
+
+    def frame():
+        return pd.DataFrame({"cart_id": np.asarray(out[0], np.int64), "status": np.asarray(out[1], object)})
+
+    def close():
+        if not held:
+            return
+        sold = held[0][3]
+        fits = sold or all(left.setdefault(k, o) >= n for k, n, o, _ in held)
+        if fits:
+            for k, n, o, _ in held:
+                left[k] = left.get(k, o) - n
+        if not sold:
+            out[0].append(at[1])
+            out[1].append("accepted" if fits else "rejected")
+        held.clear()
+
+    for pdf in batches:
+        for grp, cart, *row in zip(*(pdf[c].tolist() for c in ("grp", "cart_id", "k", "need", "open", "sold"))):
+            if at != (grp, cart):
+                close()
+                if at is None or at[0] != grp:
+                    left.clear()
+                at = (grp, cart)
+            held.append(row)
+        yield frame()
+        out[0].clear()
+        out[1].clear()
+    close()
+    yield frame()

@@ -11,14 +11,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillbook.functions import folds
 from tillbook.operators.ledger import KEYS, _keyed, stock_ledger, stock_ledger_adjust_only
+from tillbook.plans.graph import components
 from tillbook.plans.scans import keyed_scan, keyed_scans
+from tillbook.session import checkpoint_dir
 from tillbook.sources.views import RetailTables
 
 ADJUST_TYPES = ("in", "out", "adjustment")
+#: Rows (carts times keys) of one component settled in one task.
+GROUP_ROWS = 1 << 20
 
 
 def _validate_stock_requests(t: RetailTables, reqs: DataFrame) -> DataFrame:
@@ -90,7 +95,6 @@ def ack_outcomes(alerts: DataFrame, acks: DataFrame) -> DataFrame:
 
 def _in_sequence(df: DataFrame, *order: str) -> DataFrame:
     """``seq``: unique longs that ascend in ``order`` (a range partition's number, then the place in it)."""
-    from tillbook.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     return ranged.withColumn("seq", F.monotonically_increasing_id()).checkpoint(eager=True)
@@ -265,48 +269,76 @@ def stock_after_results(t: RetailTables, results: DataFrame) -> DataFrame:
                     "reserved_quantity", "last_updated", "updated_by")
 
 
-def apply_sales_exact(t: RetailTables, lines: DataFrame) -> DataFrame:
-    """S13, which carts are sold: a cart is all-or-nothing, carts are processed in the order of their ids.
+def _checked_lines(t: RetailTables, lines: DataFrame) -> DataFrame:
+    """The lines with their ``reason`` and ``_bad`` = 1 for all lines of a cart that has one refused."""
+    checkpoint_dir(t.spark)
+    v = _validate_stock_requests(t, lines)
+    bad = v.groupBy("cart_id").agg(F.max(F.col("reason").isNotNull().cast("int")).alias("_bad"))
+    return v.join(bad, "cart_id").checkpoint(eager=True)
 
-    A cart fits when, for each (product, variant), its total quantity ``need`` is at most
-    the stock at its turn. Only sales are involved, so that stock lies between
 
-    * an upper bound: opening − needs of the earlier *accepted* carts, and
-    * a lower bound: opening − needs of all earlier carts not yet rejected.
+def _by_bounds(rows: DataFrame) -> DataFrame:
+    """Carts decided by the bounds of the stock at their turn: (cart_id, status).
 
-    Each round computes both bounds for every (cart, key) as prefix sums over carts in
-    order (two-level keyed scans — no fold, no Python): ``need > upper`` anywhere rejects
-    the cart, ``need <= lower`` everywhere accepts it. The earliest undecided cart has
-    equal bounds, so every round decides at least one cart per connected set of carts.
-    Rounds run until none is undecided; each works on the rows that still matter (undecided
-    carts, and accepted ones on their keys) and checkpoints them. Static failures
-    (unknown/inactive product, no stock row) reject the cart up front. Returns cart_id,
-    status (accepted / rejected).
+    Upper bound: opening less the needs of the earlier accepted carts; lower bound: less those of all earlier ones.
     """
-    from tillbook.session import checkpoint_dir
-    checkpoint_dir(t.spark)
-    v = _validate_stock_requests(t, lines)
-    bad = v.groupBy("cart_id").agg(F.max(F.col("reason").isNotNull().cast("int")).alias("_bad")).checkpoint(eager=True)
-    decided = [bad.filter("_bad = 1").select("cart_id", F.lit("rejected").alias("status"))]
+    x = keyed_scans(rows, KEYS, "cart_id", [(F.col("_need") * F.col("_sold"), "sum", "_sold_before", True),
+                                            ("_need", "sum", "_all_before", True)])
+    upper = F.col("_open") - F.coalesce(F.col("_sold_before"), F.lit(0))
+    lower = F.col("_open") - F.coalesce(F.col("_all_before"), F.lit(0))
+    new = x.filter("_sold = 0").groupBy("cart_id").agg(
+        F.max((F.col("_need") > upper).cast("int")).alias("_fail"), F.min((F.col("_need") <= lower).cast("int")).alias("_fit"))
+    return new.filter("_fail = 1 or _fit = 1").select(
+        "cart_id", F.when(F.col("_fail") == 1, F.lit("rejected")).otherwise(F.lit("accepted")).alias("status"))
+
+
+def _one_by_one(rows: DataFrame, group: Column) -> DataFrame:
+    """The undecided carts of ``rows``, each group's in order in one task: (cart_id, status)."""
+    x = rows.select(group.alias("grp"), "cart_id", F.concat_ws(":", *KEYS).alias("k"), F.col("_need").alias("need"),
+                    F.col("_open").alias("open"), F.col("_sold").alias("sold"))
+    return x.repartition("grp").sortWithinPartitions("grp", "cart_id").mapInPandas(folds.settle_carts, "cart_id long, status string")
+
+
+def _settled_carts(t: RetailTables, checked: DataFrame) -> DataFrame:
+    """(cart_id, status) of ``_checked_lines``; see ``apply_sales_exact``."""
+    decided = [checked.filter("_bad = 1").select("cart_id", F.lit("rejected").alias("status")).distinct()]
     stock = _keyed(t.stock).select(*KEYS, F.col("quantity").cast("bigint").alias("_open"))
-    rows = (_keyed(v.join(bad.filter("_bad = 0"), "cart_id", "left_semi")).groupBy("cart_id", *KEYS)
-            .agg(F.sum("quantity").cast("bigint").alias("_need")).join(stock, KEYS).withColumn("_sold", F.lit(0)))
-    rows = rows.checkpoint(eager=True)
-    while not rows.filter("_sold = 0").isEmpty():
-        x = keyed_scans(rows, KEYS, "cart_id", [(F.col("_need") * F.col("_sold"), "sum", "_sold_before", True),
-                                                ("_need", "sum", "_all_before", True)])
-        upper = F.col("_open") - F.coalesce(F.col("_sold_before"), F.lit(0))
-        lower = F.col("_open") - F.coalesce(F.col("_all_before"), F.lit(0))
-        new = x.filter("_sold = 0").groupBy("cart_id").agg(
-            F.max((F.col("_need") > upper).cast("int")).alias("_fail"), F.min((F.col("_need") <= lower).cast("int")).alias("_fit"))
-        new = new.filter("_fail = 1 or _fit = 1").select(
-            "cart_id", F.when(F.col("_fail") == 1, F.lit("rejected")).otherwise(F.lit("accepted")).alias("status")).checkpoint(eager=True)
+    rows = (_keyed(checked.filter("_bad = 0")).groupBy("cart_id", *KEYS)
+            .agg(F.sum("quantity").cast("bigint").alias("_need")).join(stock, KEYS).withColumn("_sold", F.lit(0))).checkpoint(eager=True)
+    while True:
+        new = _by_bounds(rows).checkpoint(eager=True)
         decided.append(new)
         rows = (rows.join(new, "cart_id", "left").filter("status is null or status = 'accepted'")
                 .withColumn("_sold", F.when(F.col("status") == "accepted", 1).otherwise(F.col("_sold"))).drop("status"))
         waiting = rows.filter("_sold = 0").select(*KEYS).distinct()
         rows = rows.join(waiting, KEYS, "left_semi").checkpoint(eager=True)
-    return reduce(DataFrame.unionByName, decided)
+        n = rows.filter("_sold = 0").count()
+        if n <= GROUP_ROWS:
+            if n:
+                decided.append(_one_by_one(rows, F.lit(0)).checkpoint(eager=True))
+            return reduce(DataFrame.unionByName, decided)
+        # what one cart does to another goes through the keys they share: the components are independent
+        key = F.concat_ws(":", F.lit("k"), *KEYS)
+        links = rows.filter("_sold = 0").select(F.concat_ws(":", F.lit("c"), "cart_id").alias("a"), key.alias("b"))
+        groups = components(links, "a", "b").filter(F.col("node").startswith("k:"))
+        rows = rows.join(groups.select(F.col("node").alias("_key"), F.col("root").alias("_group")), key == F.col("_key")).drop("_key")
+        size = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_size"))
+        rows = rows.join(size, "_group").checkpoint(eager=True)
+        decided.append(_one_by_one(rows.filter(F.col("_size") <= GROUP_ROWS), F.col("_group")).checkpoint(eager=True))
+        rows = rows.filter(F.col("_size") > GROUP_ROWS).drop("_group", "_size").checkpoint(eager=True)
+
+
+def apply_sales_exact(t: RetailTables, lines: DataFrame) -> DataFrame:
+    """S13, which carts are sold: a cart is all-or-nothing, carts are processed in the order of their ids.
+
+    A cart fits when, for each (product, variant), its total quantity ``need`` is at most the stock at its turn. Only
+    sales are involved, so bounds of that stock (``_by_bounds``: prefix sums over the carts, no Python) decide most
+    carts at once. The carts left over and the keys they contest form a graph; its components do not touch each other and are
+    settled at the same time, the carts of each one in order (``_one_by_one``). A component of more than ``GROUP_ROWS`` rows goes
+    through the bounds again, which now know more, and falls apart; the earliest open cart is always decided. Static
+    failures (unknown/inactive product, no stock row) reject a cart up front. Returns cart_id, status (accepted / rejected).
+    """
+    return _settled_carts(t, _checked_lines(t, lines))
 
 
 def post_sales(t: RetailTables, lines: DataFrame) -> DataFrame:
@@ -315,10 +347,10 @@ def post_sales(t: RetailTables, lines: DataFrame) -> DataFrame:
     ``lines`` as for ``apply_sales``. Feeds ``sale_replay_rows`` / ``_items`` / ``_movements``, ``stock_after_sales`` and
     ``alerts_after_sales``; a refused cart leaves nothing in any of them.
     """
-    status = apply_sales_exact(t, lines).checkpoint(eager=True)
-    v = _validate_stock_requests(t, lines).join(status, "cart_id")
+    checked = _checked_lines(t, lines)
+    v = checked.join(_settled_carts(t, checked), "cart_id").checkpoint(eager=True)
     sold = _keyed(v.filter(F.col("status") == "accepted"))
-    sold = keyed_scan(sold.checkpoint(eager=True), KEYS, ["cart_id", "line_no"], F.col("quantity").cast("bigint"), "sum", "_so_far")
+    sold = keyed_scan(sold, KEYS, ["cart_id", "line_no"], F.col("quantity").cast("bigint"), "sum", "_so_far")
     stock = _keyed(t.stock).select(*KEYS, F.col("quantity").cast("bigint").alias("_open"))
     after = F.col("_open") - F.col("_so_far")
     sold = sold.join(stock, KEYS).select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tillbook.operators import changes as X
 from tillbook.operators import stock as K
+from tillbook.oracle.carts_sql import carts_ctes
 from tillbook.oracle.ledger_sql import ALERTS_CTES, MOVEMENTS_CTES, ledger_ctes
 from tillbook.oracle.views_sql import with_views
 from tillbook.plans.registry import register
@@ -260,9 +261,16 @@ register("refunded_sales", lambda t: X.sales_after_refunds(t, _refunds(t)), with
     FROM fin f JOIN sales s ON s.id = f.sale_id WHERE f.acc GROUP BY s.id, s.sale_number""", "sales", extra=REFUND_CTES),
     "S14: status and notes of the sales that refunds touch")
 
-# Carts walked one by one have no SQL that is fast on whole tables (a recursive CTE carries the whole stock from cart
-# to cart): tests hold these keys against a sequential version, and that CTE, on the smallest tables.
-register("apply_sales_exact", lambda t: X.apply_sales_exact(t, SI.cart_lines(t)), None,
+_CARTS = {"cart_lines": CART_LINES_SQL, "cart_val": CART_VAL, **carts_ctes()}
+
+
+def _carts_sql(select, **more):
+    return with_views(select, "sale_items", "sales", "products", "stock", *more.pop("views", ()), extra={**_CARTS, **more})
+
+
+register("apply_sales_exact", lambda t: X.apply_sales_exact(t, SI.cart_lines(t)), _carts_sql("""
+    SELECT b.cart_id, CASE WHEN w.ok THEN 'accepted' ELSE 'rejected' END AS status
+    FROM cart_bad b LEFT JOIN cart_needs n ON n.cart_id = b.cart_id LEFT JOIN cart_walk w ON w.c = n.c"""),
          "S13: every sale replayed all-or-nothing against the stock table; the outcome of each cart")
 
 
@@ -270,10 +278,32 @@ def _posted(t, make):
     return make(X.post_sales(t, SI.cart_lines(t)))
 
 
-register("post_sales", lambda t: _posted(t, lambda p: X.sale_replay_rows(p, SI.cart_headers(t))), None,
-         "S13: the sales rows of the carts sold")
-register("post_sales_items", lambda t: _posted(t, X.sale_replay_items), None, "S13: their items")
-register("post_sales_movements", lambda t: _posted(t, lambda p: X.sale_replay_movements(p, SI.cart_headers(t))), None,
-         "S13: their ledger rows")
-register("post_sales_stock", lambda t: _posted(t, lambda p: X.stock_after_sales(t, p)), None, "S13: the stock after them")
-register("post_sales_alerts", lambda t: _posted(t, lambda p: X.alerts_after_sales(t, p)), None, "S13: the alerts they raise")
+register("post_sales", lambda t: _posted(t, lambda p: X.sale_replay_rows(p, SI.cart_headers(t))), _carts_sql("""
+    SELECT s.id, s.sale_number, CAST(x.subtotal - s.discount_amount + s.tax_amount AS DECIMAL(12,2)) AS total_amount,
+           CAST(s.tax_amount AS DECIMAL(12,2)) AS tax_amount, CAST(s.discount_amount AS DECIMAL(12,2)) AS discount_amount,
+           s.payment_method, 'completed' AS status, s.cashier_id, s.customer_name, s.notes, s.created_at
+    FROM sales s JOIN (SELECT cart_id, SUM(quantity * unit_price) AS subtotal FROM cart_sold GROUP BY cart_id) x
+      ON x.cart_id = s.id"""), "S13: the sales rows of the carts sold")
+register("post_sales_items", lambda t: _posted(t, X.sale_replay_items), _carts_sql("""
+    SELECT cart_id AS sale_id, line_no, product_id, variant_id, quantity, unit_price,
+           CAST(quantity * unit_price AS DECIMAL(12,2)) AS total_price, CAST(0 AS DECIMAL(12,2)) AS discount_amount
+    FROM cart_sold"""), "S13: their items")
+register("post_sales_movements", lambda t: _posted(t, lambda p: X.sale_replay_movements(p, SI.cart_headers(t))), _carts_sql("""
+    SELECT x.product_id, x.variant_id, 'sale' AS movement_type, -x.quantity AS quantity_change,
+           x.after + x.quantity AS quantity_before, x.after AS quantity_after, x.cart_id AS reference_id, x.line_no,
+           'sale' AS reference_type, 'Sale ' || s.sale_number AS notes, s.cashier_id AS created_by, s.created_at
+    FROM cart_sold x LEFT JOIN sales s ON s.id = x.cart_id"""), "S13: their ledger rows")
+register("post_sales_stock", lambda t: _posted(t, lambda p: X.stock_after_sales(t, p)), _carts_sql("""
+    SELECT st.id, st.product_id, st.variant_id, st.quantity - COALESCE(x.less, 0) AS quantity, st.reserved_quantity
+    FROM stock st LEFT JOIN (SELECT product_id, variant_id, CAST(SUM(quantity) AS BIGINT) AS less FROM cart_sold
+                             GROUP BY product_id, variant_id) x
+      ON x.product_id = st.product_id AND x.variant_id IS NOT DISTINCT FROM st.variant_id"""), "S13: the stock after them")
+register("post_sales_alerts", lambda t: _posted(t, lambda p: X.alerts_after_sales(t, p)), _carts_sql("""
+    SELECT product_id, variant_id, after AS current_stock, min_stock_level, 'active' AS alert_status, cart_id AS sale_id, line_no
+    FROM (SELECT x.*, p.min_stock_level, ROW_NUMBER() OVER (PARTITION BY x.product_id, x.variant_id
+                                                            ORDER BY x.cart_id, x.line_no) AS nth
+          FROM cart_sold x JOIN products p ON p.id = x.product_id
+          WHERE x.after <= p.min_stock_level AND NOT EXISTS (
+              SELECT 1 FROM low_stock_alerts a WHERE a.alert_status = 'active' AND a.product_id = x.product_id
+              AND a.variant_id IS NOT DISTINCT FROM x.variant_id))
+    WHERE nth = 1""", views=("stock_ops",), **ALERTS_CTES), "S13: the alerts they raise")
