@@ -399,3 +399,60 @@ def test_deep_chain_and_cycle_of_categories(spark):
     assert tree[120] == (1, 119) and tree[900] == (0, None)
     moves = spark.createDataFrame([(1, 1, "c1", 120), (2, 120, "c120", 1)], "req_id long, id long, name string, parent_id long")
     assert {r.req_id: r.reason for r in C.category_reparent_check(t, moves).collect()} == {1: "Cannot create circular reference", 2: None}
+
+
+def _one_by_one(products, reqs, mode):
+    """Catalogue requests checked one after the other against the rows as they then are."""
+    rows, out = {p[0]: [p[1], p[2]] for p in products}, {}
+    for req, pid, sku, bar in sorted(reqs):
+        taken = next((k for k, v, i in (("SKU", sku, 0), ("barcode", bar, 1))
+                      if v is not None and any(r[i] == v for j, r in rows.items() if mode == "insert" or j != pid)), None)
+        if mode == "update" and pid not in rows:
+            out[req] = "Product not found"
+        elif taken:
+            out[req] = f"Product with this {taken} already exists"
+        else:
+            out[req] = None
+            rows[pid] = [sku, bar]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_batches_equal_requests_one_by_one(spark, seed):
+    """Random updates that take and give up SKUs and barcodes, of one product several times."""
+    import random
+    r = random.Random(seed)
+    products = [(i, f"S{i}", r.choice([None, f"{i}"])) for i in range(8)]
+    table = _mk(spark, "products", [(*_prod(i, sku)[:2], bar, *_prod(i, sku)[3:]) for i, sku, bar in products])
+    t = RetailTables.from_frames(spark, products=table, categories=_mk(spark, "categories", []))
+    reqs = [(q, r.randrange(10), f"S{r.randrange(12)}", r.choice([None, f"{r.randrange(12)}"])) for q in range(40)]
+    got = {x.req_id: x.reason for x in C.catalog_check(t, _reqs(spark, *reqs), "update").collect()}
+    assert got == _one_by_one(products, reqs, "update") and 3 < sum(v is None for v in got.values()) < 36
+    new = [(q, 100 + q, f"S{r.randrange(30)}", r.choice([None, f"{r.randrange(30)}"])) for q in range(30)]
+    got = {x.req_id: x.reason for x in C.catalog_check(t, _reqs(spark, *new), "insert").collect()}
+    assert got == _one_by_one(products, new, "insert")
+
+
+def test_a_key_between_two_updates_of_one_product(spark):
+    """The third product is seen although an earlier request of the same product claims the key; a freed SKU can be taken."""
+    products = _mk(spark, "products", [_prod(5, "E"), _prod(6, "F"), (9, "I", "77", *_prod(9, "I")[3:])])
+    t = RetailTables.from_frames(spark, products=products, categories=_mk(spark, "categories", []))
+    reqs = _reqs(spark, (0, 9, "I", "B"), (1, 5, "K", "B"), (2, 6, "K", None), (3, 5, "K", None), (4, 5, "F", "77"))
+    out = {r.req_id: r.reason for r in C.catalog_check(t, reqs, "update").collect()}
+    assert out == {0: None, 1: "Product with this barcode already exists", 2: None, 3: "Product with this SKU already exists", 4: None}
+
+
+def test_user_patches_are_normalised(spark):
+    users = _mk(spark, "users", [(i, f"user{i}", f"U{i}@x.io", "cashier", "A", "B", 1, T0, T0) for i in (1, 2, 3)])
+    t = RetailTables.from_frames(spark, users=users)
+    nul = None
+    patches = spark.createDataFrame([(1, 1, 9, nul, " U2@X.IO", nul, nul, nul, nul), (2, 2, 9, nul, "u2@x.io", nul, nul, nul, nul),
+                                     (3, 3, 9, " third ", "New@X.io", nul, " Q ", nul, nul), (4, 1, 9, "user3", nul, nul, nul, nul, nul)],
+                                    "req_id long, id long, actor_id long, username string, email string, role string, "
+                                    "first_name string, last_name string, is_active int")
+    out = {r.req_id: (r.reason, r.username, r.email, r.first_name) for r in C.user_partial_update(t, patches).collect()}
+    assert out[1][0] == "Email already exists" and out[2][0] is None
+    assert out[3] == (None, "third", "new@x.io", "Q") and out[4][0] is None
+    again = spark.createDataFrame([(1, 1, 9, "one", nul, nul, nul, nul, nul), (2, 1, 9, nul, nul, nul, "Z", nul, nul),
+                                   (3, 2, 9, "one", nul, nul, nul, nul, nul), (4, 2, 9, "user1", nul, nul, nul, nul, nul)], patches.schema)
+    assert [r.ok for r in C.user_partial_update(t, again).orderBy("req_id").collect()] == [1, 1, 0, 1]

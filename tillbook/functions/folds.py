@@ -137,6 +137,45 @@ def ledger_state_step(key, pdfs, state):
     yield out
 
 
+ALWAYS, CHANGED, KEEP = 1, 2, 3
+
+
+def settle_requests(batches):
+    """Requests of a group one by one; rows sorted by (grp, req_id).
+
+    Columns: grp, req_id, id, alive (0: refused by a check that does not depend on the others), late (1: refused by a check
+    that comes after the keys'), and arrays with one place for each kind of key: claim (the key asked for), old (the key
+    the row of this id holds in the table), test (0: no check), held (how many rows of the table hold the claimed key). A key is
+    refused if a row of another id holds it at that time; an accepted request gives up its old keys for the new. Yields
+    (req_id, clash): the place of the first key refused, -1 if none. Holds the keys of the group that have changed hands.
+    """
+    more, keys, at = {}, {}, None
+    for pdf in batches:
+        ids, clashes = [], []
+        for grp, req, who, alive, late, claim, old, test, held in zip(*(
+                pdf[c].tolist() for c in ("grp", "req_id", "id", "alive", "late", "claim", "old", "test", "held"))):
+            if grp != at:
+                at = grp
+                more.clear()
+                keys.clear()
+            own = keys.get(who) or list(old)
+            bad = -1
+            if alive:
+                claim = [own[i] if test[i] == KEEP else c for i, c in enumerate(claim)]
+                bad = next((i for i, c in enumerate(claim) if c is not None and (test[i] == ALWAYS or test[i] == CHANGED and own[i] != c)
+                            and held[i] + more.get((i, c), 0) - (own[i] == c) > 0), -1)
+                if bad < 0 and not late:
+                    for i, c in enumerate(claim):
+                        if own[i] != c:
+                            for key, n in ((own[i], -1), (c, 1)):
+                                if key is not None:
+                                    more[i, key] = more.get((i, key), 0) + n
+                    keys[who] = claim
+            ids.append(req)
+            clashes.append(bad)
+        yield pd.DataFrame({"req_id": np.asarray(ids, np.int64), "clash": np.asarray(clashes, np.int32)})
+
+
 def settle_carts(batches):
     """Carts of a group one by one, all or nothing; rows sorted by (grp, cart_id), one for each key of a cart.
 

@@ -13,13 +13,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillbook.functions import folds
+from tillbook.plans.graph import components
 from tillbook.session import checkpoint_dir
 from tillbook.sources.schemas import ROLES
 from tillbook.sources.views import RetailTables
 
+cloudpickle.register_pickle_by_value(folds)
+
 # Fixed value: a plain e-mail shape (approximation of the reference's validator).
 EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
@@ -53,34 +58,46 @@ def _exists_other(prefix: str, self_id: Column | None) -> Column:
     return F.coalesce((n > 1) | ((n == 1) & ~lo.eqNullSafe(self_id)), F.lit(False))
 
 
-def _settle(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """``_clash``: the first key that an earlier *accepted* request of another id holds; NULL = accepted or ``_pre`` failed.
+def _settle(df: DataFrame, kinds: dict[str, tuple[Column, Column, Column, DataFrame]]) -> DataFrame:
+    """``_clash``: the first kind of key that a row of another id holds when the request comes; NULL = none.
 
-    ``df``: req_id, id, _pre (reason of the checks against the tables; NULL = passed). As if the requests came one
-    by one: a request refused for one key blocks no other by its second key. In each round a request with no
-    earlier live rival on any key is accepted, and one with an accepted rival is refused; the earliest open request
-    is always decided. Keys are NULL where a request claims none.
+    ``df``: req_id (unique), id, _pre (reason of the checks before the keys'; NULL = passed) and _post (of those after). Each
+    kind has the key claimed, the key that the row of this id holds now, when to check it, and the table's (key, n) with
+    n rows holding each key. As if the requests came one by one: a refused one blocks no other, an accepted one gives its
+    old keys up. Requests that touch a common key, claimed or given up, or a common id are linked; the components of these links
+    do not touch each other, and each is settled in order in one task, holding the keys that have changed hands.
     """
     checkpoint_dir(df.sparkSession)
-    x = df.select("*", *[c.alias(f"_key_{k}") for k, c in keys.items()],
-                  F.when(F.col("_pre").isNotNull(), F.lit("refused")).alias("_state"),
-                  F.lit(None).cast("string").alias("_clash")).checkpoint(eager=True)
-    while not x.filter(F.col("_state").isNull()).isEmpty():
-        y, free, clash = x, F.lit(True), F.lit(None).cast("string")
-        for k in keys:
-            key = f"_key_{k}"
-            live = F.struct("req_id", "id")
-            firsts = x.filter(F.col(key).isNotNull() & (F.coalesce("_state", F.lit("")) != "refused")).groupBy(key).agg(
-                F.min(live).alias("_live"), F.min(F.when(F.col("_state") == "accepted", live)).alias("_held"))
-            y = y.join(firsts.withColumnsRenamed({"_live": f"_live_{k}", "_held": f"_held_{k}"}), key, "left")
-            rival = lambda s: ((F.col(f"{s}.req_id") < F.col("req_id")) & (F.col(f"{s}.id") != F.col("id")))
-            free = free & ~F.coalesce(rival(f"_live_{k}"), F.lit(False))
-            clash = F.coalesce(clash, F.when(rival(f"_held_{k}"), F.lit(k)))
-        new = F.when(clash.isNotNull(), "refused").when(free, "accepted")
-        x = y.select(*[c for c in x.columns if c not in ("_state", "_clash")],
-                     F.coalesce("_state", new).alias("_state"),
-                     F.when(F.col("_state").isNull(), clash).otherwise(F.col("_clash")).alias("_clash")).checkpoint(eager=True)
-    return x
+    x = df
+    for i, (claim, old, test, held) in enumerate(kinds.values()):
+        held = held.select(F.col(held.columns[0]).alias("_key"), F.col(held.columns[1]).alias(f"_n{i}")).filter("_key is not null")
+        x = x.withColumns({f"_c{i}": claim.cast("string"), f"_o{i}": old.cast("string"), f"_t{i}": test})
+        x = x.join(held, F.col(f"_c{i}") == F.col("_key"), "left").drop("_key")
+    x = x.checkpoint(eager=True)
+    places = range(len(kinds))
+    touched = F.array(*(F.concat(F.lit(f"{i}:"), F.col(f"_{c}{i}")) for i in places for c in "co"), F.concat(F.lit("id:"), F.col("id").cast("string")))
+    request = F.concat(F.lit("r:"), F.col("req_id").cast("string"))
+    links = x.filter("_pre is null").select(request.alias("a"), F.explode(F.array_distinct(F.filter(touched, lambda c: c.isNotNull()))).alias("b"))
+    links = links.join(links.groupBy("b").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1"), "b").checkpoint(eager=True)
+    if not links.isEmpty():
+        x = x.join(components(links, "a", "b").select(F.col("node").alias("_r"), F.col("root").alias("_grp")), F.col("_r") == request, "left").drop("_r")
+    else:
+        x = x.withColumn("_grp", F.lit(None).cast("string"))
+
+    def each(c: str, default=None) -> Column:
+        return F.array(*(F.col(f"_{c}{i}") if default is None else F.coalesce(f"_{c}{i}", F.lit(default)) for i in places))
+
+    rows = x.select(F.coalesce("_grp", request).alias("grp"), "req_id", "id", F.col("_pre").isNull().cast("int").alias("alive"),
+                    F.col("_post").isNotNull().cast("int").alias("late"), each("c").alias("claim"), each("o").alias("old"),
+                    each("t").alias("test"), each("n", 0).alias("held"))
+    out = rows.repartition("grp").sortWithinPartitions("grp", "req_id").mapInPandas(folds.settle_requests, "req_id long, clash int")
+    name = F.array(*map(F.lit, kinds))
+    out = out.select("req_id", F.when(F.col("clash") >= 0, F.get(name, F.col("clash"))).alias("_clash"))
+    return x.select(*df.columns).join(out, "req_id").checkpoint(eager=True)
+
+
+def _holders(df: DataFrame, key: Column) -> DataFrame:
+    return df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _finish(df: DataFrame, reason: Column, *cols: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -108,18 +125,18 @@ def catalog_check(t: RetailTables, incoming: DataFrame, mode: str = "insert") ->
     cats = t.categories.filter(F.col("is_active") == 1).select(F.col("id").alias("_cat"))
     x = x.join(cats, F.col("category_id") == F.col("_cat"), "left")
     self_id = F.col("id") if mode == "update" else None
-    checks = [("Validation failed", _blank("sku") | _blank("name") | F.col("price").isNull() | (F.col("price") < 0)
-               | (F.col("cost") < 0) | (F.col("min_stock_level") < 0))]
+    pre = [("Validation failed", _blank("sku") | _blank("name") | F.col("price").isNull() | (F.col("price") < 0)
+            | (F.col("cost") < 0) | (F.col("min_stock_level") < 0))]
+    x = x.join(act.select(F.col("id").alias("_pid"), F.col("sku").alias("_old_sku"), F.col("barcode").alias("_old_barcode")),
+               (F.col("id") == F.col("_pid")) & F.lit(mode == "update"), "left")
     if mode == "update":
-        x = x.join(act.select(F.col("id").alias("_pid")), F.col("id") == F.col("_pid"), "left")
-        checks.append(("Product not found", F.col("_pid").isNull()))
-    checks += [("Product with this SKU already exists", _exists_other("_sa", self_id)),
-               ("Product with this barcode already exists", F.col("barcode").isNotNull() & _exists_other("_ba", self_id)),
-               ("Category not found", _truthy_id("category_id") & F.col("_cat").isNull())]
-    # new products have ids of their own; updates of one product are no rivals
-    x = _settle(x.withColumn("_pre", first_failure(checks)), {"SKU": F.col("sku"), "barcode": F.col("barcode")})
+        pre.append(("Product not found", F.col("_pid").isNull()))
+    post = [("Category not found", _truthy_id("category_id") & F.col("_cat").isNull())]
+    x = _settle(x.withColumn("_pre", first_failure(pre)).withColumn("_post", first_failure(post)), {
+        "SKU": (F.col("sku"), F.col("_old_sku"), F.lit(folds.ALWAYS), _holders(act, F.col("sku"))),
+        "barcode": (F.col("barcode"), F.col("_old_barcode"), F.lit(folds.ALWAYS), _holders(act, F.col("barcode")))})
     x = x.withColumn("_reason", F.coalesce("_pre", F.when(F.col("_clash").isNotNull(), F.format_string(
-        "Product with this %s already exists", "_clash"))))
+        "Product with this %s already exists", "_clash")), "_post"))
     warn = F.when(F.col("_reason").isNull() & ~_exists_other("_sa", self_id) & _exists_other("_sx", self_id),
                   F.lit("SKU is used by an inactive product"))
     return _finish(x.withColumn("warning", warn), F.col("_reason"), "id", "sku", keep=("warning",))
@@ -190,10 +207,12 @@ def products_after_delete(t: RetailTables, results: DataFrame) -> tuple[DataFram
 
 
 # ---------------------------------------------------------------------- categories
-def _sibling_stats(t: RetailTables) -> DataFrame:
-    act = t.categories.filter(F.col("is_active") == 1)
-    return act.groupBy(F.col("name").alias("_sname"), F.col("parent_id").alias("_spar")).agg(
-        F.count(F.lit(1)).alias("_sib_n"), F.min("id").alias("_sib_min"), F.max("id").alias("_sib_max"))
+SAME_LEVEL = "Category with this name already exists at this level"
+
+
+def _place() -> Column:
+    """What no two active categories may share: parent (NULL: the roots) and name."""
+    return F.concat_ws(":", F.coalesce(F.col("parent_id"), F.lit(-1)).cast("string"), "name")
 
 
 def category_insert_check(t: RetailTables, incoming: DataFrame) -> DataFrame:
@@ -202,15 +221,13 @@ def category_insert_check(t: RetailTables, incoming: DataFrame) -> DataFrame:
     x = incoming.withColumn("name", F.trim("name")).withColumn(
         "parent_id", F.when(_truthy_id("parent_id"), F.col("parent_id")))
     act = t.categories.filter(F.col("is_active") == 1).select(F.col("id").alias("_par"))
-    sib = _sibling_stats(t)
     x = x.join(act, F.col("parent_id") == F.col("_par"), "left")
-    x = x.join(sib, (F.col("name") == F.col("_sname")) & F.col("parent_id").eqNullSafe(F.col("_spar")), "left")
     pre = first_failure([("Validation failed", _blank("name")),
-                         ("Parent category not found", F.col("parent_id").isNotNull() & F.col("_par").isNull()),
-                         ("Category with this name already exists at this level", F.col("_sib_n") > 0)])
-    place = F.concat_ws(":", F.coalesce(F.col("parent_id"), F.lit(-1)).cast("string"), "name")
-    x = _settle(x.withColumn("_pre", pre).withColumn("id", F.col("req_id")), {"name": place})
-    reason = F.coalesce("_pre", F.when(F.col("_clash").isNotNull(), F.lit("Category with this name already exists at this level")))
+                         ("Parent category not found", F.col("parent_id").isNotNull() & F.col("_par").isNull())])
+    none = F.lit(None).cast("string")
+    x = _settle(x.withColumn("_pre", pre).withColumn("_post", none).withColumn("id", F.concat(F.lit("new "), F.col("req_id").cast("string"))), {
+        "name": (_place(), none, F.lit(folds.ALWAYS), _holders(t.categories.filter(F.col("is_active") == 1), _place()))})
+    reason = F.coalesce("_pre", F.when(F.col("_clash").isNotNull(), F.lit(SAME_LEVEL)))
     return _finish(x, reason, "name", "parent_id")
 
 
@@ -221,25 +238,22 @@ def category_reparent_check(t: RetailTables, requests: DataFrame) -> DataFrame:
     x = requests.withColumn("name", F.trim("name")).withColumn(
         "parent_id", F.when(_truthy_id("parent_id"), F.col("parent_id")))
     act = t.categories.filter(F.col("is_active") == 1)
-    x = x.join(act.select(F.col("id").alias("_self")), F.col("id") == F.col("_self"), "left")
+    x = x.join(act.select(F.col("id").alias("_self"), _place().alias("_old")), F.col("id") == F.col("_self"), "left")
     x = x.join(act.select(F.col("id").alias("_par")), F.col("parent_id") == F.col("_par"), "left")
     below = _walk_up(x.filter(F.col("parent_id").isNotNull()).select("req_id", F.col("id").alias("start"),
                                                                      F.col("parent_id").alias("cur"), F.lit(None).cast("bigint").alias("late")),
                      act.select("id", "parent_id", F.lit(None).cast("bigint").alias("by")))
     cyc = below.select("req_id").distinct().withColumn("_cycle", F.lit(1))
     x = x.join(cyc, "req_id", "left")
-    x = x.join(_sibling_stats(t), (F.col("name") == F.col("_sname")) & F.col("parent_id").eqNullSafe(F.col("_spar")),
-               "left")
     reason = first_failure([
         ("Validation failed", _blank("name")),
         ("Category not found", F.col("_self").isNull()),
         ("Category cannot be its own parent", F.col("parent_id") == F.col("id")),
         ("Parent category not found", F.col("parent_id").isNotNull() & F.col("_par").isNull()),
-        ("Cannot create circular reference", F.col("_cycle") == 1),
-        ("Category with this name already exists at this level", _exists_other("_sib", F.col("id")))])
-    place = F.concat_ws(":", F.coalesce(F.col("parent_id"), F.lit(-1)).cast("string"), "name")
-    x = _settle(x.withColumn("_pre", reason), {"name": place})
-    reason = F.coalesce("_pre", F.when(F.col("_clash").isNotNull(), F.lit("Category with this name already exists at this level")))
+        ("Cannot create circular reference", F.col("_cycle") == 1)])
+    x = _settle(x.withColumn("_pre", reason).withColumn("_post", F.lit(None).cast("string")), {
+        "name": (_place(), F.col("_old"), F.lit(folds.ALWAYS), _holders(act, _place()))})
+    reason = F.coalesce("_pre", F.when(F.col("_clash").isNotNull(), F.lit(SAME_LEVEL)))
     out = _finish(x, reason, "id", "name", "parent_id").checkpoint(eager=True)
     while True:  # moves that are fine alone may close a circle together: the latest of a circle is refused
         moved = out.filter("ok = 1").groupBy("id").agg(F.max(F.struct("req_id", "parent_id")).alias("m")).select(
@@ -298,15 +312,14 @@ def user_insert_check(t: RetailTables, incoming: DataFrame) -> DataFrame:
     username and e-mail unique over all users and within the batch."""
     u = t.users
     x = incoming.withColumn("username", F.trim("username")).withColumn("email", F.lower(F.trim("email")))
-    un = u.groupBy(F.col("username").alias("_u")).agg(F.count(F.lit(1)).alias("_un"))
-    em = u.groupBy(F.lower(F.col("email")).alias("_e")).agg(F.count(F.lit(1)).alias("_en"))
-    x = x.join(un, F.col("username") == F.col("_u"), "left").join(em, F.col("email") == F.col("_e"), "left")
     bad = (_blank("username") | (F.length("username") < 3) | ~F.coalesce(F.col("email").rlike(EMAIL_PATTERN), F.lit(False))
            | F.col("password").isNull() | (F.length("password") < 6) | ~F.col("role").isin(*ROLES)
            | F.col("role").isNull() | _blank("first_name") | _blank("last_name"))
-    pre = first_failure([("Validation failed", bad), ("Username already exists", F.col("_un") > 0),
-                         ("Email already exists", F.col("_en") > 0)])
-    x = _settle(x.withColumn("_pre", pre).withColumn("id", F.col("req_id")), {"Username": F.col("username"), "Email": F.col("email")})
+    none = F.lit(None).cast("string")
+    x = x.withColumn("_pre", first_failure([("Validation failed", bad)])).withColumn("_post", none)
+    x = _settle(x.withColumn("id", F.concat(F.lit("new "), F.col("req_id").cast("string"))), {
+        "Username": (F.col("username"), none, F.lit(folds.ALWAYS), _holders(u, F.col("username"))),
+        "Email": (F.col("email"), none, F.lit(folds.ALWAYS), _holders(u, F.lower("email")))})
     reason = F.coalesce("_pre", F.when(F.col("_clash").isNotNull(), F.format_string("%s already exists", "_clash")))
     return _finish(x, reason, "username", "email")
 
@@ -321,12 +334,11 @@ def user_partial_update(t: RetailTables, patches: DataFrame) -> DataFrame:
     must not belong to another user. Returns outcome plus the resulting field values.
     """
     u = t.users.select("id", *[F.col(c).alias(f"_old_{c}") for c in PATCH_FIELDS])
-    x = patches.join(u, "id", "left")
-    un = t.users.groupBy(F.col("username").alias("_u")).agg(F.count(F.lit(1)).alias("_un"))
-    em = t.users.groupBy(F.col("email").alias("_e")).agg(F.count(F.lit(1)).alias("_en"))
-    x = x.join(un, F.col("username") == F.col("_u"), "left").join(em, F.col("email") == F.col("_e"), "left")
-    changed_u = F.col("username").isNotNull() & (F.col("username") != F.col("_old_username"))
-    changed_e = F.col("email").isNotNull() & (F.col("email") != F.col("_old_email"))
+    x = patches.withColumns({c: F.trim(c) for c in ("username", "first_name", "last_name")} | {"email": F.lower(F.trim("email"))}).join(u, "id", "left")
+
+    def asked(c: str) -> Column:
+        return F.when(F.col(c).isNull(), folds.KEEP).otherwise(folds.CHANGED)
+
     bad = ((F.col("username").isNotNull() & (F.length(F.trim("username")) < 3))
            | (F.col("email").isNotNull() & ~F.col("email").rlike(EMAIL_PATTERN))
            | (F.col("role").isNotNull() & ~F.col("role").isin(*ROLES))
@@ -335,13 +347,12 @@ def user_partial_update(t: RetailTables, patches: DataFrame) -> DataFrame:
     reason = first_failure([
         ("Validation failed", bad),
         ("User not found", F.col("_old_username").isNull()),
-        ("You cannot deactivate your own account", (F.col("actor_id") == F.col("id")) & (F.col("is_active") == 0)),
-        ("Username already exists", changed_u & (F.col("_un") > 0)),
-        ("Email already exists", changed_e & (F.col("_en") > 0)),
-        ("No fields to update", reduce(lambda a, b: a & b, [F.col(c).isNull() for c in PATCH_FIELDS]))])
-    x = _settle(x.withColumn("_pre", reason), {"Username": F.when(changed_u, F.col("username")),
-                                               "Email": F.when(changed_e, F.col("email"))})
-    reason = F.coalesce("_pre", F.when(F.col("_clash").isNotNull(), F.format_string("%s already exists", "_clash")))
+        ("You cannot deactivate your own account", (F.col("actor_id") == F.col("id")) & (F.col("is_active") == 0))])
+    empty = first_failure([("No fields to update", reduce(lambda a, b: a & b, [F.col(c).isNull() for c in PATCH_FIELDS]))])
+    x = _settle(x.withColumn("_pre", reason).withColumn("_post", empty), {
+        "Username": (F.col("username"), F.col("_old_username"), asked("username"), _holders(t.users, F.col("username"))),
+        "Email": (F.col("email"), F.lower("_old_email"), asked("email"), _holders(t.users, F.lower("email")))})
+    reason = F.coalesce("_pre", F.when(F.col("_clash").isNotNull(), F.format_string("%s already exists", "_clash")), "_post")
     new_vals = [F.when(reason.isNull(), F.coalesce(F.col(c), F.col(f"_old_{c}"))).otherwise(F.col(f"_old_{c}"))
                 .alias(c) for c in PATCH_FIELDS]
     return x.select("req_id", "id", reason.alias("reason"), reason.isNull().cast("int").alias("ok"), *new_vals)

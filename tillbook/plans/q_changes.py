@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions.periods import AS_OF
 from tillbook.operators import checks as C
+from tillbook.oracle.batch_sql import batch_walk
 from tillbook.oracle.views_sql import with_views
 from tillbook.plans.registry import register
 from tillbook.sources import standins as SI
@@ -14,7 +15,10 @@ NOW = f"{AS_OF.isoformat()} 00:00:00"
 REQ_COLS = "sku, name, price, category_id, brand, unit_size, cost, min_stock_level, barcode, description"
 RELIST_SQL = f"""SELECT p.id AS req_id, p.id + (SELECT MAX(id) + 1 FROM products) AS id, {REQ_COLS}
                  FROM products p WHERE p.is_active = 0"""
-UPDATE_REQ_SQL = f"SELECT id AS req_id, id, {REQ_COLS} FROM products"
+UPDATE_REQ_SQL = f"""SELECT p.id AS req_id, p.id, {REQ_COLS.replace('sku', 'p.sku', 1).replace('barcode', 'p.barcode')} FROM (
+    SELECT p.* REPLACE (CASE WHEN p.id % 7 = 3 THEN n.sku WHEN p.id % 7 = 4 THEN 'N-' || p.sku WHEN p.id % 7 = 5 THEN b.sku ELSE p.sku END AS sku,
+                        CASE WHEN p.id % 11 = 2 THEN n.barcode ELSE p.barcode END AS barcode)
+    FROM products p LEFT JOIN products n ON n.id = p.id + 1 LEFT JOIN products b ON b.id = p.id - 1) p"""
 
 
 def _catalog_check_ctes(mode: str) -> dict[str, str]:
@@ -28,25 +32,20 @@ def _catalog_check_ctes(mode: str) -> dict[str, str]:
                    CASE WHEN trim(i.sku) IS NULL OR trim(i.sku) = '' OR trim(i.name) IS NULL OR trim(i.name) = ''
                              OR i.price IS NULL OR i.price < 0 OR i.cost < 0 OR i.min_stock_level < 0
                         THEN 'Validation failed'
-                        {not_found}
-                        WHEN EXISTS (SELECT 1 FROM products a WHERE a.is_active = 1 AND a.sku = trim(i.sku) {other})
-                        THEN 'Product with this SKU already exists'
-                        WHEN NULLIF(trim(i.barcode), '') IS NOT NULL AND EXISTS (
-                             SELECT 1 FROM products a WHERE a.is_active = 1 AND a.barcode = NULLIF(trim(i.barcode), '') {other})
-                        THEN 'Product with this barcode already exists'
-                        WHEN i.category_id IS NOT NULL AND i.category_id <> 0 AND NOT EXISTS (
+                        {not_found} END AS pre,
+                   CASE WHEN i.category_id IS NOT NULL AND i.category_id <> 0 AND NOT EXISTS (
                              SELECT 1 FROM categories c WHERE c.is_active = 1 AND c.id = i.category_id)
-                        THEN 'Category not found' END AS pre,
+                        THEN 'Category not found' END AS post,
                    EXISTS (SELECT 1 FROM products a WHERE a.is_active = 1 AND a.sku = trim(i.sku) {other}) AS sa,
                    EXISTS (SELECT 1 FROM products a WHERE a.sku = trim(i.sku) {other}) AS sx
             FROM inc i""",
+        "holders": "SELECT id, sku AS k0, barcode AS k1 FROM products WHERE is_active = 1",
+        "claims": "SELECT req_id, id, pre IS NULL AS alive, post IS NOT NULL AS late, sku AS k0, bar AS k1 FROM cx",
+        **batch_walk(2, new_rows=mode == "insert"),
         "cd": """
-            SELECT *, COALESCE(pre,
-                CASE WHEN req_id > MIN(CASE WHEN pre IS NULL THEN req_id END) OVER (PARTITION BY sku)
-                     THEN 'Product with this SKU already exists'
-                     WHEN bar IS NOT NULL AND req_id > MIN(CASE WHEN pre IS NULL THEN req_id END) OVER (PARTITION BY bar)
-                     THEN 'Product with this barcode already exists' END) AS reason
-            FROM cx""",
+            SELECT cx.*, COALESCE(pre, CASE w.clash WHEN 0 THEN 'Product with this SKU already exists'
+                                                    WHEN 1 THEN 'Product with this barcode already exists' END, post) AS reason
+            FROM cx JOIN walk w ON w.req_id = cx.req_id""",
         "checked": """
             SELECT req_id, id, sku, reason, CAST(reason IS NULL AS INTEGER) AS ok,
                    CASE WHEN reason IS NULL AND NOT sa AND sx THEN 'SKU is used by an inactive product' END AS warning
@@ -64,7 +63,7 @@ register("catalog_upsert_check", lambda t: _check(t, "insert")[1],
          "P7 create form: every inactive product listed again under a new id")
 register("catalog_update_check", lambda t: _check(t, "update")[1],
          with_views("SELECT * FROM checked", "products", "categories", extra=_catalog_check_ctes("update")),
-         "P7 update form: every product re-submitted")
+         "P7 update form: every product re-submitted, some under the SKU or barcode of a neighbour")
 
 PRODUCT_ROW_SQL = f"""
     SELECT i.id, trim(i.sku) AS sku, NULLIF(trim(i.barcode), '') AS barcode, trim(i.name) AS name,
@@ -143,7 +142,10 @@ CLOSURE_SQL = """
     ) SELECT ancestor_id, descendant_id FROM r"""
 register("category_reparent_check", lambda t: C.category_reparent_check(t, SI.category_reparent_requests(t)),
          with_views("""
-    SELECT req_id, id, name, parent_id, reason, CAST(reason IS NULL AS INTEGER) AS ok FROM (
+    SELECT s.req_id, id, name, parent_id, COALESCE(pre, CASE WHEN w.clash = 0 THEN 'Category with this name already exists at this level' END)
+             AS reason, CAST(pre IS NULL AND w.clash IS NULL AS INTEGER) AS ok
+    FROM submitted s JOIN walk w ON w.req_id = s.req_id""",
+    "categories", extra={"clo": CLOSURE_SQL, "submitted": """
         SELECT i.*,
                CASE WHEN i.name IS NULL OR i.name = '' THEN 'Validation failed'
                     WHEN NOT EXISTS (SELECT 1 FROM categories c WHERE c.is_active = 1 AND c.id = i.id)
@@ -153,15 +155,14 @@ register("category_reparent_check", lambda t: C.category_reparent_check(t, SI.ca
                          SELECT 1 FROM categories c WHERE c.is_active = 1 AND c.id = i.parent_id)
                     THEN 'Parent category not found'
                     WHEN EXISTS (SELECT 1 FROM clo WHERE clo.ancestor_id = i.id AND clo.descendant_id = i.parent_id)
-                    THEN 'Cannot create circular reference'
-                    WHEN EXISTS (SELECT 1 FROM categories c WHERE c.is_active = 1 AND c.name = i.name
-                                 AND c.parent_id IS NOT DISTINCT FROM i.parent_id AND c.id <> i.id)
-                    THEN 'Category with this name already exists at this level' END AS reason
+                    THEN 'Cannot create circular reference' END AS pre
         FROM (SELECT c.id AS req_id, c.id, trim(c.name) AS name,
                      CASE WHEN c.parent_id IS NULL THEN k.lowest ELSE c.parent_id % 6 + 1 END AS parent_id
               FROM categories c LEFT JOIN (SELECT parent_id, MIN(id) AS lowest FROM categories
-                                           WHERE parent_id IS NOT NULL GROUP BY parent_id) k ON k.parent_id = c.id) i)""",
-    "categories", extra={"clo": CLOSURE_SQL}), "C6: roots under their own child, children to the next root")
+                                           WHERE parent_id IS NOT NULL GROUP BY parent_id) k ON k.parent_id = c.id) i""",
+        "holders": "SELECT id, concat_ws(':', COALESCE(parent_id, -1), name) AS k0 FROM categories WHERE is_active = 1",
+        "claims": """SELECT req_id, id, pre IS NULL AS alive, FALSE AS late, concat_ws(':', COALESCE(parent_id, -1), name) AS k0
+                     FROM submitted""", **batch_walk(1)}), "C6: roots under their own child, children to the next root")
 
 register("category_soft_delete", lambda t: C.category_soft_delete(t, SI.category_delete_requests(t)), with_views("""
     SELECT req_id, id, reason, CAST(reason IS NULL AS INTEGER) AS ok FROM (

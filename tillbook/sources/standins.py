@@ -53,8 +53,17 @@ def catalog_relist_requests(t: RetailTables) -> DataFrame:
 
 
 def catalog_update_requests(t: RetailTables) -> DataFrame:
-    """Full-row update requests: every product re-submitted with its current values."""
-    return t.products.select(F.col("id").alias("req_id"), "id", *PRODUCT_REQ_COLS)
+    """Full-row update requests: every product re-submitted; some under the SKU or barcode of the product after or before them,
+    which may have given it up by then, and some under a new SKU."""
+    p = t.products
+    after = p.select((F.col("id") - 1).alias("id"), F.col("sku").alias("_sku_after"), F.col("barcode").alias("_barcode_after"))
+    before = p.select((F.col("id") + 1).alias("id"), F.col("sku").alias("_sku_before"))
+    nth = F.col("id") % 7
+    sku = (F.when(nth == 3, F.col("_sku_after")).when(nth == 4, F.concat(F.lit("N-"), "sku")).when(nth == 5, F.col("_sku_before"))
+           .otherwise(F.col("sku")))
+    barcode = F.when(F.col("id") % 11 == 2, F.col("_barcode_after")).otherwise(F.col("barcode"))
+    x = p.join(after, "id", "left").join(before, "id", "left").withColumns({"sku": sku, "barcode": barcode})
+    return x.select(F.col("id").alias("req_id"), "id", *PRODUCT_REQ_COLS)
 
 
 def product_delete_requests(t: RetailTables) -> DataFrame:
