@@ -218,3 +218,21 @@ def test_a_hot_product_with_many_sales(spark):
         q = q + k if op == "in" else q - k if q >= k else q
         want.append(q)
     assert len(got) == n and got["q_after"].tolist() == want and 0 < got["accepted"].sum() < n
+
+
+@pytest.mark.parametrize("seed,adjustments", [(1, True), (2, False), (3, False)])
+def test_hot_keys_are_folded_in_chunks(spark, monkeypatch, seed, adjustments):
+    """A key with 40 % of all ops, cut into chunks over tasks, equals the fold row by row."""
+    import random
+    from tillbook.operators import ledger as L
+    r = random.Random(seed)
+    kinds = ["in", "out", "sale", "sale", "return", "sale"] + ["adjustment"] * (adjustments and r.random() < 2)
+    rows = [(i, 1 if r.random() < .4 else r.randrange(2, 12), None if i % 3 else 7, r.choice(kinds) if i % 9 else "in", r.randrange(0, 30), 1, None)
+            for i in range(900)]
+    ops = spark.createDataFrame(rows, "seq long, product_id long, variant_id long, op string, n int, created_by long, created_at timestamp_ntz")
+    stock = spark.createDataFrame([(1, None, 50), (1, 7, 9), (2, None, 4)], "product_id long, variant_id long, quantity int")
+    t = RetailTables.from_frames(spark)
+    args = dict(ops=ops, opening=stock, chunk_width=40, has_adjustments=adjustments)
+    plain = sorted(map(tuple, L.stock_ledger(t, **args).collect()))
+    monkeypatch.setattr(L, "HOT_OPS", 60)
+    assert sorted(map(tuple, L.stock_ledger(t, **args).collect())) == plain and len(plain) == 900

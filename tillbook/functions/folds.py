@@ -49,16 +49,17 @@ def fold_sorted_batches(batches):
         n = pdf["n"].tolist()
         role = pdf["_role"].tolist()
         opening = pdf["opening"].tolist()
+        chunk = pdf["chunk"].tolist() if "chunk" in pdf else None  # given: opening is the quantity before the chunk
         m = len(pid)
         before = [0] * m
         after = [0] * m
         acc = [1] * m
         keep = [True] * m
         for i in range(m):
-            key = (pid[i], vk[i], seg[i])
+            key = (pid[i], vk[i], seg[i], chunk and chunk[i])
             if key != cur:
                 cur = key
-                q = int(opening[i]) if seg[i] == 0 else None
+                q = int(opening[i]) if seg[i] == 0 or chunk else None
             if role[i] == RESET:
                 q, keep[i] = int(n[i]), False
                 continue
@@ -78,6 +79,73 @@ def fold_sorted_batches(batches):
         yield out[np.asarray(keep)]
 
 
+FAR = 1 << 60
+
+
+def fold_chunks(batches):
+    """What each chunk of ops does to the quantity before it; rows sorted by (product_id, _vk, seg, chunk, seq).
+
+    Folded from ``start``. Yields a row per chunk: from any quantity in lo..hi all sales and floors turn out as they did from
+    ``start``, and the quantity after is ``value`` (fixed = 1), or the quantity before plus ``value`` (fixed = 0).
+    """
+    cur, out = None, []
+
+    def row():
+        return (*cur, lo, hi, int(fixed), q if fixed else d)
+
+    for pdf in batches:
+        for *key, op, n, role, start in zip(*(pdf[c].tolist() for c in ("product_id", "_vk", "seg", "chunk", "op", "n", "_role", "start"))):
+            if key != cur:
+                if cur is not None:
+                    out.append(row())
+                cur, q, d, lo, hi, fixed = key, int(start), 0, 0, FAR, False
+            n = int(n)
+            if role == RESET:
+                q, fixed = n, True
+            elif role == PROBE:
+                continue
+            elif fixed:
+                q, _ = apply_op(q, op, n)
+            else:
+                # the quantity is the one before the chunk plus d
+                if op == "sale":
+                    if q >= n:
+                        lo = max(lo, n - d)
+                    else:
+                        hi = min(hi, n - d - 1)
+                elif op == "out":
+                    if q > n:
+                        lo = max(lo, n - d + 1)
+                    else:
+                        hi, fixed = min(hi, n - d), True
+                after, _ = apply_op(q, op, n)
+                d += after - q
+                q = after
+        yield pd.DataFrame(out, columns=["product_id", "_vk", "seg", "chunk", "lo", "hi", "fixed", "value"]).astype("int64")
+        out = []
+    if cur is not None:
+        yield pd.DataFrame([row()], columns=["product_id", "_vk", "seg", "chunk", "lo", "hi", "fixed", "value"]).astype("int64")
+
+
+def chain_chunks(batches):
+    """The quantity before each chunk, from the chunks before it; rows sorted by (product_id, _vk, seg, chunk).
+
+    ``redo`` = 1 where it leaves the chunk's lo..hi: then what follows in the segment is a guess, until that chunk is folded again.
+    """
+    cur, q = None, 0
+    for pdf in batches:
+        starts, redo = [], []
+        for *key, start, lo, hi, fixed, value in zip(*(pdf[c].tolist() for c in ("product_id", "_vk", "seg", "start", "lo", "hi", "fixed", "value"))):
+            if key != cur:
+                cur, q = key, start
+            starts.append(q)
+            redo.append(int(not lo <= q <= hi))
+            q = value if fixed else max(0, q + value)
+        out = pdf[["product_id", "_vk", "seg", "chunk"]].copy()
+        out["start"], out["redo"] = np.asarray(starts, np.int64), np.asarray(redo, np.int64)
+        yield out
+
+
 def _signal(op: str, accepted: int, after: int, min_level) -> int | None:
     """Alert signal of one ledger row: 1 at/below minimum, 0 above (ops that may resolve), None = no effect."""
     if min_level is None or min_level != min_level:  # missing product

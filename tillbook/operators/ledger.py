@@ -33,18 +33,21 @@ Plans
 from __future__ import annotations
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillbook.functions import folds
 from tillbook.plans.scans import DEFAULT_CHUNK_WIDTH, keyed_scan, keyed_walk
+from tillbook.session import checkpoint_dir
 from tillbook.sources.views import RetailTables
 
 cloudpickle.register_pickle_by_value(folds)  # executors need no installed copy
 
 KEYS = ["product_id", "_vk"]  # _vk = variant_id with NULL mapped to -1 (non-null key for shuffles)
 NO_VARIANT = -1
+#: A (product, variant) with more ops than this is folded in chunks.
+HOT_OPS = 1 << 18
 
 LEDGER_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("product_id", T.LongType()),
@@ -99,23 +102,62 @@ def stock_ledger(t: RetailTables, ops: DataFrame | None = None, opening: DataFra
     ``has_adjustments=False`` declares that ``ops`` holds no ``adjustment`` rows (e.g. a
     sale replay): the whole key is one segment and the segment scan is skipped.
     Whether a sale is refused depends on all before it, so the ops between two adjustments
-    of one (product, variant) are folded one after the other, as a stream: the task's memory
-    doesn't grow with them, its time does.
+    of one (product, variant) are folded one after the other, as a stream; a (product, variant) with
+    more than ``HOT_OPS`` ops is folded in chunks side by side (``_folded_in_chunks``).
     """
-    ops = t.stock_ops if ops is None else ops
-    x = _with_opening(_keyed(ops), opening)
-    if has_adjustments:
-        x = _split_adjustments(_segments(x, chunk_width))
-    else:
-        x = x.withColumn("seg", F.lit(0).cast("bigint")).withColumn("_role", F.lit(0))
-    x = x.select("seq", "product_id", "variant_id", "_vk", "seg", "_role", "op", "n", "created_by", "created_at",
-                 "opening")
+    ops = _keyed(t.stock_ops if ops is None else ops)
+    hot = ops.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_OPS).select(*KEYS)
+    some = not hot.isEmpty()
+
+    def rows(ops: DataFrame) -> DataFrame:
+        x = _with_opening(ops, opening)
+        if has_adjustments:
+            x = _split_adjustments(_segments(x, chunk_width))
+        else:
+            x = x.withColumn("seg", F.lit(0).cast("bigint")).withColumn("_role", F.lit(0))
+        return x.select("seq", "product_id", "variant_id", "_vk", "seg", "_role", "op", "n", "created_by", "created_at", "opening")
+
     # hash by group (no fixed count: AQE sizes the partitions from the shuffle statistics)
-    led = (x.repartition("product_id", "_vk", "seg").sortWithinPartitions("product_id", "_vk", "seg", "seq")
-           .mapInPandas(folds.fold_sorted_batches, LEDGER_SCHEMA))
+    led = (rows(ops.join(hot, KEYS, "left_anti") if some else ops).repartition("product_id", "_vk", "seg")
+           .sortWithinPartitions("product_id", "_vk", "seg", "seq").mapInPandas(folds.fold_sorted_batches, LEDGER_SCHEMA))
+    if some:
+        led = led.unionByName(_folded_in_chunks(rows(ops.join(hot, KEYS, "left_semi")), chunk_width))
     return _finish(led)
 
 
+def _folded_in_chunks(x: DataFrame, chunk_width: int) -> DataFrame:
+    """The fold of keys with very many ops, their chunks (ranges of ``seq``) side by side.
+
+    Every chunk is folded from a guess of the quantity before it, which gives the interval of quantities from which all turns out the
+    same, and what becomes of them. Along the chunks (a row each, read as a stream) the true quantities follow as long as they
+    stay in the intervals. Chunks they leave are folded again from there; each round settles one more chunk of a segment at
+    least, in general all whose quantity was guessed by then. The last pass folds all chunks from what is known.
+    """
+    checkpoint_dir(x.sparkSession)
+    group = [*KEYS, "seg", "chunk"]
+    x = x.withColumn("chunk", F.floor(F.col("seq") / F.lit(chunk_width)).cast("bigint")).checkpoint(eager=True)
+    sign = F.when(F.col("op").isin("in", "return"), 1).when(F.col("op").isin("out", "sale"), -1).otherwise(0)
+    chunks = x.groupBy(*group).agg(F.sum(F.when(F.col("_role") == 0, sign * F.col("n")).otherwise(0)).alias("_t"),
+                                   F.max(F.when(F.col("_role") == folds.RESET, F.col("n"))).alias("_set"), F.max("opening").alias("_open"))
+    segment = Window.partitionBy(*KEYS, "seg")
+    base = F.coalesce(F.max("_set").over(segment), F.col("_open")).cast("bigint")
+    before = F.coalesce(F.sum("_t").over(segment.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = chunks.select(*group, F.greatest(F.lit(0), base + before).cast("bigint").alias("start"))
+    known = known.withColumn("redo", F.lit(1)).checkpoint(eager=True)
+    done = None
+    kinds = "product_id long, _vk long, seg long, chunk long"
+    while True:
+        rows = x.join(known.filter("redo = 1").select(*group, "start"), group).repartition(*group).sortWithinPartitions(*group, "seq")
+        new = rows.mapInPandas(folds.fold_chunks, f"{kinds}, lo long, hi long, fixed long, value long").checkpoint(eager=True)
+        done = new if done is None else done.join(new, group, "left_anti").unionByName(new)
+        along = known.select(*group, "start").join(done, group).repartition(*KEYS, "seg").sortWithinPartitions(*group)
+        known = along.mapInPandas(folds.chain_chunks, f"{kinds}, start long, redo long").checkpoint(eager=True)
+        if known.filter("redo = 1").isEmpty():
+            break
+    rows = x.drop("opening").join(known.select(*group, F.col("start").alias("opening")), group)
+    return (rows.repartition(*group).sortWithinPartitions(*group, "seq").mapInPandas(folds.fold_sorted_batches, LEDGER_SCHEMA))
+
+
 def stock_ledger_adjust_only(t: RetailTables, ops: DataFrame | None = None, opening: DataFrame | None = None,
                              chunk_width: int = DEFAULT_CHUNK_WIDTH) -> DataFrame:
     """L1w: the ledger of in / out / adjustment / return ops in pure window form (sales rejected up front)."""
