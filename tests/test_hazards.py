@@ -401,6 +401,21 @@ def test_deep_chain_and_cycle_of_categories(spark):
     assert {r.req_id: r.reason for r in C.category_reparent_check(t, moves).collect()} == {1: "Cannot create circular reference", 2: None}
 
 
+def test_very_deep_chain_takes_a_round_for_each_doubling(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from tillbook.plans.graph import lifted, lineage, rings
+    n, calls, checkpoint = 10_000, [], DataFrame.checkpoint
+    links = spark.range(n).selectExpr("id", "nullif(id - 1, -1) as parent", "'x' as name")
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a, **k: calls.append(1) or checkpoint(self, *a, **k))
+    deepest = lineage(links).filter("depth = 9999").first()
+    assert (deepest.id, deepest.top, len(deepest.names), deepest.ended) == (9999, 0, n, 1) and len(calls) <= 15
+    starts = spark.createDataFrame([(9999, 9999), (9999, 1), (70, 64), (5, 0)], "node long, up long")
+    assert {(r.up, r.node) for r in lifted(starts, links).collect()} == {(9999, 0), (1, 9998), (64, 6), (0, 5)}
+    round_trip = spark.createDataFrame([(1, 2, 5), (2, 3, None), (3, 1, 9), (4, 1, 70), (6, 6, None), (7, None, 1)], "id long, parent long, by long")
+    assert {(r.id, r.by) for r in rings(round_trip, "by").collect()} == {(1, 9), (2, 9), (3, 9), (6, None)}
+
+
 def _one_by_one(products, reqs, mode):
     """Catalogue requests checked one after the other against the rows as they then are."""
     rows, out = {p[0]: [p[1], p[2]] for p in products}, {}

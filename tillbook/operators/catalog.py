@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillbook.functions.exprs import all_of, contains_any, full_name, is_low, money
 from tillbook.operators.dashboard import products_with_stock
+from tillbook.plans.graph import lineage
 from tillbook.session import checkpoint_dir
 from tillbook.sources.views import RetailTables
 
@@ -142,34 +141,18 @@ def category_tree(t: RetailTables) -> DataFrame:
 
     A category is in the tree when every ancestor is active and the chain ends at a
     root (the reference's builder drops children whose parent is missing from the
-    active set, H29). Depth and path come from a descent from the roots, a level at a time; the
+    active set, H29). Depth and path come from path doubling (``lineage``); the
     nested ``children`` arrays of the reference are not materialised (unbounded groups).
     """
     rows = _category_rows(t)
     act = t.categories.filter(F.col("is_active") == 1)
-    roots = act.filter(F.col("parent_id").isNull()).select(
-        F.col("id").alias("root_id"), "id", F.lit(0).alias("depth"), F.array("id").alias("seen"), F.array("name").alias("names"))
-    kids = act.select(F.col("parent_id").alias("_up"), F.col("id").alias("_kid"), F.col("name").alias("_name"))
-    reach = _levels(roots, lambda w: w.join(kids, F.col("id") == F.col("_up")).filter(~F.array_contains("seen", F.col("_kid"))).select(
-        "root_id", F.col("_kid").alias("id"), (F.col("depth") + 1).alias("depth"), F.array_append("seen", F.col("_kid")).alias("seen"),
-        F.array_append("names", F.col("_name")).alias("names")))
+    reach = lineage(act.select("id", F.col("parent_id").alias("parent"), "name")).filter("ended = 1").select(
+        "id", F.col("top").alias("root_id"), "depth", "names")
     j = rows.join(reach, "id", "left")
     return j.select(*rows.columns, F.col("root_id").isNotNull().cast("int").alias("in_tree"), "root_id", "depth",
                     F.array_join("names", " > ").alias("path"))
 
 
-def _levels(first: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``first`` and what ``step`` makes of it, again and again until nothing comes; each level is checkpointed.
-
-    One join a level, without a limit on levels or rows.
-    """
-    checkpoint_dir(first.sparkSession)
-    levels = [first.checkpoint(eager=True)]
-    while not levels[-1].isEmpty():
-        levels.append(step(levels[-1]).checkpoint(eager=True))
-    return reduce(DataFrame.unionByName, levels)
-
-
 def categories_flat(t: RetailTables) -> DataFrame:
     """Active categories with ``parent > child`` display names."""
     c = t.categories.filter(F.col("is_active") == 1)
@@ -189,8 +172,8 @@ def subcategories(t: RetailTables) -> DataFrame:
 def category_descendants(t: RetailTables, include_self: bool = False) -> DataFrame:
     """Every (ancestor, active descendant) pair with depth and the path of names.
 
-    Descent follows active children only (as the reference's breadth-first helper), a level
-    at a time; a cycle in the data stops where it meets its own path. ``include_self`` adds
+    Descent follows active children only (as the reference's breadth-first helper), twice as far
+    from round to round; a cycle in the data stops where it meets its own path. ``include_self`` adds
     (id, id, 0) for every active category.
     """
     c = t.categories
@@ -201,10 +184,20 @@ def category_descendants(t: RetailTables, include_self: bool = False) -> DataFra
     first = kids.join(names, "_up", "left").select(
         F.col("_up").alias("ancestor_id"), F.col("_kid").alias("descendant_id"), F.lit(1).alias("depth"),
         F.array("_up", "_kid").alias("path"), F.array("_up_name", "_name").alias("path_names"))
-    pairs = _levels(first, lambda w: w.join(kids, F.col("descendant_id") == F.col("_up")).filter(
-        ~F.array_contains("path", F.col("_kid"))).select(
-        "ancestor_id", F.col("_kid").alias("descendant_id"), (F.col("depth") + 1).alias("depth"),
-        F.array_append("path", F.col("_kid")).alias("path"), F.array_append("path_names", F.col("_name")).alias("path_names")))
+    checkpoint_dir(t.spark)
+    pairs, edge, reach = first.checkpoint(eager=True), None, 1
+    edge = pairs
+    while not edge.isEmpty():
+        # paths of ``reach`` links, each followed by one of up to as many
+        on = pairs.select(F.col("ancestor_id").alias("_up"), F.col("descendant_id").alias("_kid"), F.col("depth").alias("_depth"),
+                          F.col("path").alias("_path"), F.col("path_names").alias("_names"))
+        new = edge.join(on, F.col("descendant_id") == F.col("_up")).select(
+            "ancestor_id", F.col("_kid").alias("descendant_id"), (F.col("depth") + F.col("_depth")).alias("depth"),
+            F.concat("path", F.slice("_path", 2, F.size("_path"))).alias("path"),
+            F.concat("path_names", F.slice("_names", 2, F.size("_names"))).alias("path_names"))
+        new = new.filter(F.size(F.array_distinct("path")) == F.size("path")).checkpoint(eager=True)
+        reach *= 2
+        pairs, edge = pairs.unionByName(new), new.filter(F.col("depth") == reach)
     if not include_self:
         return pairs
     return pairs.unionByName(act.select(F.col("id").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.lit(0).alias("depth"),

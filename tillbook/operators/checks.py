@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions import folds
-from tillbook.plans.graph import components
+from tillbook.plans.graph import components, lifted, lineage, rings
 from tillbook.session import checkpoint_dir
 from tillbook.sources.schemas import ROLES
 from tillbook.sources.views import RetailTables
@@ -240,9 +240,7 @@ def category_reparent_check(t: RetailTables, requests: DataFrame) -> DataFrame:
     act = t.categories.filter(F.col("is_active") == 1)
     x = x.join(act.select(F.col("id").alias("_self"), _place().alias("_old")), F.col("id") == F.col("_self"), "left")
     x = x.join(act.select(F.col("id").alias("_par")), F.col("parent_id") == F.col("_par"), "left")
-    below = _walk_up(x.filter(F.col("parent_id").isNotNull()).select("req_id", F.col("id").alias("start"),
-                                                                     F.col("parent_id").alias("cur"), F.lit(None).cast("bigint").alias("late")),
-                     act.select("id", "parent_id", F.lit(None).cast("bigint").alias("by")))
+    below = _below_itself(x.filter(F.col("parent_id").isNotNull()).select("req_id", "id", "parent_id"), act.select("id", "parent_id", "name"))
     cyc = below.select("req_id").distinct().withColumn("_cycle", F.lit(1))
     x = x.join(cyc, "req_id", "left")
     reason = first_failure([
@@ -261,9 +259,8 @@ def category_reparent_check(t: RetailTables, requests: DataFrame) -> DataFrame:
         edges = act.select("id", "parent_id").join(moved, "id", "left").select(
             "id", F.when(F.col("by").isNotNull(), F.col("_new")).otherwise(F.col("parent_id")).alias("parent_id"), "by")
         edges = edges.checkpoint(eager=True)
-        circles = _walk_up(edges.filter("by is not null").select(F.col("by").alias("req_id"), F.col("id").alias("start"),
-                                                                 F.col("parent_id").alias("cur"), F.col("by").alias("late")), edges)
-        last = circles.select(F.col("late").alias("req_id")).distinct().withColumn("_late", F.lit(1)).checkpoint(eager=True)
+        circles = rings(edges.select("id", F.col("parent_id").alias("parent"), "by"), "by")
+        last = circles.filter("by is not null").select(F.col("by").alias("req_id")).distinct().withColumn("_late", F.lit(1)).checkpoint(eager=True)
         if last.isEmpty():
             return out
         hit = F.col("_late") == 1
@@ -272,22 +269,27 @@ def category_reparent_check(t: RetailTables, requests: DataFrame) -> DataFrame:
             F.when(hit, 0).otherwise(F.col("ok")).alias("ok")).checkpoint(eager=True)
 
 
-def _walk_up(starts: DataFrame, edges: DataFrame) -> DataFrame:
-    """The walks (req_id, late) that come back to ``start`` when parents are followed from ``cur``.
+def _below_itself(moves: DataFrame, act: DataFrame) -> DataFrame:
+    """The moves (req_id, id, parent_id) whose new parent is the category itself or lies below it, among active ones.
 
-    ``starts``: req_id, start, cur, late; ``edges``: id, parent_id, by of active categories. ``late`` grows to the
-    largest ``by`` passed. A join a level; a walk that runs into a circle without its start ends there.
+    The parent is lifted by the difference of the depths, with a join for each power of two. Only moves to categories that hang on a
+    circle, which have no depth, are followed a level at a time.
     """
-    checkpoint_dir(starts.sparkSession)
-    w = starts.withColumn("seen", F.array("start")).checkpoint(eager=True)
-    back = [w.filter("cur = start")]
-    up = edges.select(F.col("id").alias("cur"), F.col("parent_id").alias("_next"), F.col("by").alias("_by"))
+    links = act.select("id", F.col("parent_id").alias("parent"))
+    depth = lineage(links.withColumn("name", F.lit(None).cast("string"))).select("id", "depth").checkpoint(eager=True)
+    of = lambda c: depth.select(F.col("id").alias(c), F.col("depth").alias(f"_{c}"))
+    x = moves.join(of("id"), "id", "left").join(of("parent_id"), "parent_id", "left")
+    known = x.filter("_id is not null and _parent_id >= _id").select(
+        F.col("parent_id").alias("node"), (F.col("_parent_id") - F.col("_id")).cast("bigint").alias("up"), "req_id", "id")
+    hits = lifted(known, links).filter("node = id").select("req_id")
+    w = x.filter("_parent_id is null").select("req_id", "id", F.col("parent_id").alias("cur"), F.array().cast("array<bigint>").alias("seen"))
+    w, found = w.checkpoint(eager=True), [hits]
     while not w.isEmpty():
-        w = w.filter("cur <> start").filter(~F.array_contains("seen", F.col("cur"))).join(up, "cur").filter("_next is not null").select(
-            "req_id", "start", F.col("_next").alias("cur"), F.greatest("late", "_by").alias("late"),
-            F.array_append("seen", F.col("cur")).alias("seen")).checkpoint(eager=True)
-        back.append(w.filter("cur = start"))
-    return reduce(DataFrame.unionByName, back).select("req_id", "late")
+        found.append(w.filter("cur = id").select("req_id"))
+        w = w.filter("cur <> id").filter(~F.array_contains("seen", F.col("cur"))).join(
+            links.select(F.col("id").alias("cur"), "parent"), "cur").filter("parent is not null").select(
+            "req_id", "id", F.col("parent").alias("cur"), F.array_append("seen", F.col("cur")).alias("seen")).checkpoint(eager=True)
+    return reduce(DataFrame.unionByName, found)
 
 
 def category_soft_delete(t: RetailTables, requests: DataFrame) -> DataFrame:
