@@ -471,3 +471,27 @@ def test_user_patches_are_normalised(spark):
     again = spark.createDataFrame([(1, 1, 9, "one", nul, nul, nul, nul, nul), (2, 1, 9, nul, nul, nul, "Z", nul, nul),
                                    (3, 2, 9, "one", nul, nul, nul, nul, nul), (4, 2, 9, "user1", nul, nul, nul, nul, nul)], patches.schema)
     assert [r.ok for r in C.user_partial_update(t, again).orderBy("req_id").collect()] == [1, 1, 0, 1]
+
+
+def test_delete_closure(spark):
+    """Cascades through variants, keys cleared, rows that block, and blocks that follow from a refusal."""
+    from tillbook.operators import quality as Q
+    products = _mk(spark, "products", [_prod(i, f"P{i}", cat=c) for i, c in ((1, 10), (2, 11), (3, None), (4, 11))])
+    variants = _mk(spark, "product_variants", [(21, 2, "v", "x", None, Decimal(0), 1, T0), (41, 4, "v", "x", None, Decimal(0), 1, T0)])
+    sales = _mk(spark, "sales", [(i, f"S{i}", Decimal(1), Decimal(0), Decimal(0), "cash", "completed", u, None, None, T0) for i, u in ((1, 7), (2, 8), (3, None))])
+    items = _mk(spark, "sale_items", [(1, 1, None, 1, Decimal(1), Decimal(1), Decimal(0), T0), (2, 9, 21, 1, Decimal(1), Decimal(1), Decimal(0), T0)])
+    stock = _mk(spark, "stock", [(100, 1, None, 5, 0, T0, None), (101, 4, 41, 5, 0, T0, 8), (102, 3, None, 1, 0, T0, 9)])
+    cats = _mk(spark, "categories", [(10, "a", None, None, 1, T0, T0), (11, "b", None, 10, 1, T0, T0)])
+    users = _mk(spark, "users", [(i, f"u{i}", f"u{i}@x.io", "cashier", "A", "B", 1, T0, T0) for i in (7, 8, 9)])
+    empty = {n: _mk(spark, n, []) for n in ("stock_movements", "low_stock_alerts")}
+    t = RetailTables.from_frames(spark, products=products, product_variants=variants, sales=sales, sale_items=items, stock=stock,
+                                 categories=cats, users=users, **empty)
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    d = Q.DeleteClosure(t, {"products": ids(1, 2, 4, 77), "sales": ids(1), "categories": ids(10), "users": ids(7, 8, 9)})
+    # product 2 goes not: its variant is in sale 2, which stays; user 8 has sale 2, user 9 the stock of product 3
+    assert {(r.table_name, r.id): r.ok for r in d.outcomes().collect()} == {
+        ("products", 1): 1, ("products", 2): 0, ("products", 4): 1, ("sales", 1): 1, ("categories", 10): 1, ("users", 7): 1, ("users", 8): 0, ("users", 9): 0}
+    assert {(r.id, r.category_id) for r in d.after("products").collect()} == {(2, 11), (3, None)}
+    assert {(r.id, r.parent_id) for r in d.after("categories").collect()} == {(11, None)}
+    assert [r.id for r in d.after("stock").collect()] == [102] and [r.id for r in d.after("product_variants").collect()] == [21]
+    assert [r.sale_id for r in d.after("sale_items").collect()] == [2]

@@ -199,13 +199,19 @@ def product_soft_delete(t: RetailTables, requests: DataFrame) -> DataFrame:
 def products_after_delete(t: RetailTables, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """P10 apply: products and variants with ``is_active = 0`` for accepted deletions (cascade to variants)."""
     gone = results.filter(F.col("ok") == 1).select(F.col("product_id").alias("_gone")).distinct()
-    p = t.products.join(gone, F.col("id") == F.col("_gone"), "left")
-    p = p.withColumn("is_active", F.when(F.col("_gone").isNotNull(), F.lit(0)).otherwise(F.col("is_active"))).drop("_gone")
+    p = deactivated(t.products, results, "product_id")
     v = t.product_variants.join(gone, F.col("product_id") == F.col("_gone"), "left")
     v = v.withColumn("is_active", F.when(F.col("_gone").isNotNull(), F.lit(0)).otherwise(F.col("is_active"))).drop("_gone")
     return p, v
 
 
+def deactivated(table: DataFrame, results: DataFrame, id_col: str = "id") -> DataFrame:
+    """C7 / U5 apply: the table with ``is_active = 0`` for the accepted requests' rows."""
+    gone = results.filter(F.col("ok") == 1).select(F.col(id_col).alias("_gone")).distinct()
+    x = table.join(gone, F.col("id") == F.col("_gone"), "left")
+    return x.withColumn("is_active", F.when(F.col("_gone").isNotNull(), F.lit(0)).otherwise(F.col("is_active"))).drop("_gone")
+
+
 # ---------------------------------------------------------------------- categories
 SAME_LEVEL = "Category with this name already exists at this level"
 

@@ -263,8 +263,9 @@ def alerts_table(events: DataFrame) -> DataFrame:
         "created_at")
 
 
-def ledger_consistency(ledger_rows: DataFrame, chunk_width: int = DEFAULT_CHUNK_WIDTH) -> DataFrame:
-    """L4: violations of before + change = after, and of after(i) = before(i+1) per key.
+def ledger_consistency(ledger_rows: DataFrame, chunk_width: int = DEFAULT_CHUNK_WIDTH, stock: DataFrame | None = None) -> DataFrame:
+    """L4: violations of before + change = after, of after(i) = before(i+1) per key, and (with ``stock``) of
+    last after = the stock's quantity, per key that has both.
 
     ``ledger_rows`` in ``stock_movements`` shape. The successor of a row is found by
     its rank within the key (a two-level count scan) and an equi-join on (key, rank).
@@ -278,4 +279,9 @@ def ledger_consistency(ledger_rows: DataFrame, chunk_width: int = DEFAULT_CHUNK_
     a = arith.agg(F.count(F.lit(1)).alias("violations")).select(F.lit("before_plus_change").alias("check"), "violations")
     c = chain.agg(F.count(F.lit(1)).alias("violations")).select(F.lit("after_equals_next_before").alias("check"),
                                                                  "violations")
-    return a.unionByName(c)
+    if stock is None:
+        return a.unionByName(c)
+    last = m.groupBy(*KEYS).agg(F.max_by("quantity_after", "id").alias("_last"))
+    off = last.join(_keyed(stock).select(*KEYS, "quantity"), KEYS).filter(F.col("_last") != F.col("quantity"))
+    s = off.agg(F.count(F.lit(1)).alias("violations")).select(F.lit("last_after_equals_stock").alias("check"), "violations")
+    return a.unionByName(c).unionByName(s)

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillbook.session import checkpoint_dir
 from tillbook.sources.schemas import ALERT_STATUSES, MOVEMENT_TYPES, ROLES, SALE_STATUSES
 from tillbook.sources.views import RetailTables
 
@@ -119,6 +120,90 @@ def fk_delete_effects(t: RetailTables, deleted: dict[str, DataFrame]) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Tables whose rows others refer to; rows of the rest only go with them.
+PARENTS = tuple(dict.fromkeys(parent for _c, _k, parent, _r in FOREIGN_KEYS))
+
+
+class DeleteClosure:
+    """Q4: physical deletes with all that follows from them.
+
+    ``requested``: ids by table. They are deleted together: rows that refer to a deleted one by a CASCADE key go too, and so
+    on (semi-naive: each round starts from the rows of the last one); SET NULL keys are cleared; a row that stays and refers to a deleted
+    one by a NO ACTION key blocks all requested rows from which that one follows. What a refused row would have taken along stays,
+    and may block others, so this is repeated until nothing more is refused: the largest part of the request that can go.
+    """
+
+    def __init__(self, t: RetailTables, requested: dict[str, DataFrame]):
+        checkpoint_dir(t.spark)
+        self.t = t
+        asked = [_table(t, name).select("id").join(ids.select("id").distinct(), "id", "left_semi").select(
+            F.lit(name).alias("table_name"), "id", F.lit(name).alias("origin_table"), F.col("id").alias("origin_id"))
+            for name, ids in requested.items()]
+        self.asked = reduce(DataFrame.unionByName, asked).checkpoint(eager=True)
+        self.rows = self._grown(self.asked)
+        while True:
+            blocked = self._blocked().checkpoint(eager=True)
+            if blocked.isEmpty():
+                break
+            self.rows = self.rows.join(blocked, ["origin_table", "origin_id"], "left_anti").select(*self.rows.columns).checkpoint(eager=True)
+
+    def _grown(self, rows: DataFrame) -> DataFrame:
+        new = rows
+        while True:
+            more = [new.filter(F.col("table_name") == parent).select(F.col("id").alias(col), "origin_table", "origin_id")
+                    .join(_table(self.t, child).select(col, "id"), col).select(F.lit(child).alias("table_name"), "id", "origin_table", "origin_id")
+                    for child, col, parent, rule in FOREIGN_KEYS if rule == "CASCADE" and child in PARENTS]
+            new = reduce(DataFrame.unionByName, more).distinct().join(rows, rows.columns, "left_anti").checkpoint(eager=True)
+            if new.isEmpty():
+                return rows
+            rows = rows.unionByName(new)
+
+    def ids(self, table: str, name: str) -> DataFrame:
+        """Ids of the deleted rows of a table, as column ``name``."""
+        return self.rows.filter(F.col("table_name") == table).select(F.col("id").alias(name)).distinct()
+
+    def _staying(self, table: str) -> DataFrame:
+        x = _table(self.t, table)
+        if table in PARENTS:
+            x = x.join(self.ids(table, "id"), "id", "left_anti").select(*x.columns)
+        for child, col, parent, rule in FOREIGN_KEYS:
+            if child == table and rule == "CASCADE":
+                x = x.join(self.ids(parent, col), col, "left_anti").select(*x.columns)
+        return x
+
+    def _blocked(self) -> DataFrame:
+        parts = []
+        for child, col, parent, rule in FOREIGN_KEYS:
+            if rule == "NO ACTION":
+                held = self._staying(child).select(F.col(col).alias("id")).filter("id is not null").distinct()
+                parts.append(self.rows.filter(F.col("table_name") == parent).join(held, "id", "left_semi").select("origin_table", "origin_id"))
+        return reduce(DataFrame.unionByName, parts).distinct()
+
+    def outcomes(self) -> DataFrame:
+        """(table_name, id, ok) for the requested rows that exist."""
+        gone = self.rows.select("origin_table", "origin_id").distinct().withColumn("_gone", F.lit(1))
+        x = self.asked.join(gone, ["origin_table", "origin_id"], "left")
+        return x.select("table_name", "id", F.coalesce("_gone", F.lit(0)).alias("ok"))
+
+    def after(self, table: str) -> DataFrame:
+        """The table after the deletes: the rows that stay, with cleared keys."""
+        x = self._staying(table)
+        for child, col, parent, rule in FOREIGN_KEYS:
+            if child == table and rule == "SET NULL":
+                x = x.join(self.ids(parent, "_gone"), F.col(col) == F.col("_gone"), "left")
+                x = x.withColumn(col, F.when(F.col("_gone").isNull(), F.col(col))).drop("_gone")
+        return x
+
+    def sizes(self) -> DataFrame:
+        """(table_name, rows_left, rows_deleted) of every table."""
+        def one(name: str) -> DataFrame:
+            n = self.after(name).agg(F.count(F.lit(1)).alias("rows_left"))
+            all_rows = _table(self.t, name).agg(F.count(F.lit(1)).alias("_all"))
+            both = n.withColumn("k", F.lit(1)).join(all_rows.withColumn("k", F.lit(1)), "k")
+            return both.select(F.lit(name).alias("table_name"), "rows_left", (F.col("_all") - F.col("rows_left")).alias("rows_deleted"))
+        return reduce(DataFrame.unionByName, map(one, dict.fromkeys([*PARENTS, *(c for c, *_ in FOREIGN_KEYS)])))
+
+
 # The reference's seed rows (initial admin and cashier, category tree, five products).
 SEED_USERS = (("admin", "admin@retailstore.com", "admin", "System", "Administrator"),
               ("cashier", "cashier@retailstore.com", "cashier", "John", "Cashier"))

@@ -215,3 +215,25 @@ register("user_soft_delete", lambda t: C.user_soft_delete(t, SI.user_delete_requ
         FROM users u LEFT JOIN (SELECT cashier_id, COUNT(*) AS n FROM sales WHERE cashier_id IS NOT NULL
                                 GROUP BY cashier_id) n ON n.cashier_id = u.id)""", "users", "sales"),
     "U5: user 0 deletes every user")
+
+
+register("products_after_soft_delete", lambda t: C.products_after_delete(t, C.product_soft_delete(t, SI.product_delete_requests(t)))[0].select(
+    "id", "sku", "is_active"), with_views("""
+    SELECT id, sku, CASE WHEN id IN (SELECT product_id FROM sale_items) THEN is_active ELSE 0 END AS is_active FROM products""",
+    "products", "sale_items"), "P10: the products after the deletions")
+register("variants_after_soft_delete", lambda t: C.products_after_delete(t, C.product_soft_delete(t, SI.product_delete_requests(t)))[1].select(
+    "id", "product_id", "is_active"), with_views("""
+    SELECT v.id, v.product_id, CASE WHEN p.is_active = 1 AND p.id NOT IN (SELECT product_id FROM sale_items) THEN 0 ELSE v.is_active END AS is_active
+    FROM product_variants v LEFT JOIN products p ON p.id = v.product_id""", "products", "product_variants", "sale_items"),
+    "P10: the variants after the deletions")
+register("categories_after_soft_delete", lambda t: C.deactivated(t.categories, C.category_soft_delete(t, SI.category_delete_requests(t))).select(
+    "id", "name", "is_active"), with_views("""
+    SELECT c.id, c.name, CASE WHEN EXISTS (SELECT 1 FROM products p WHERE p.is_active = 1 AND p.category_id = c.id)
+                                OR EXISTS (SELECT 1 FROM categories k WHERE k.is_active = 1 AND k.parent_id = c.id)
+                              THEN c.is_active ELSE 0 END AS is_active FROM categories c""", "categories", "products"),
+    "C7: the categories after the deletions")
+register("users_after_soft_delete", lambda t: C.deactivated(t.users, C.user_soft_delete(t, SI.user_delete_requests(t))).select(
+    "id", "username", "is_active"), with_views("""
+    SELECT u.id, u.username, CASE WHEN u.id = 0 OR u.id IN (SELECT cashier_id FROM sales WHERE cashier_id IS NOT NULL)
+                                  THEN u.is_active ELSE 0 END AS is_active FROM users u""", "users", "sales"),
+    "U5: the users after the deletions")

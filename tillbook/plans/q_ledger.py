@@ -34,14 +34,18 @@ register("stock_on_hand", lambda t: L.stock_on_hand(t.ledger), with_views("""
 register("low_stock_alerts", lambda t: L.alerts_table(L.low_stock_alert_events(t)), with_views("SELECT * FROM low_stock_alerts",
                                                                       "stock_ops", "products", extra=ALERTS_CTES),
          "L3: alerts raised/resolved along the ledger, minimum from the product")
-register("ledger_consistency", lambda t: L.ledger_consistency(t.stock_movements), with_views("""
+register("ledger_consistency", lambda t: L.ledger_consistency(t.stock_movements, stock=t.stock), with_views("""
     SELECT 'before_plus_change' AS "check", COUNT(*) AS violations FROM stock_movements
     WHERE quantity_before + quantity_change <> quantity_after
     UNION ALL
     SELECT 'after_equals_next_before', COUNT(*) FROM (
         SELECT quantity_after, LEAD(quantity_before) OVER (PARTITION BY product_id, variant_id ORDER BY id) AS nb
-        FROM stock_movements) WHERE nb IS NOT NULL AND nb <> quantity_after""", "stock_ops", extra=MOVEMENTS_CTES),
-    "L4")
+        FROM stock_movements) WHERE nb IS NOT NULL AND nb <> quantity_after
+    UNION ALL
+    SELECT 'last_after_equals_stock', COUNT(*) FROM (
+        SELECT product_id, variant_id, arg_max(quantity_after, id) AS q FROM stock_movements GROUP BY product_id, variant_id) l
+    JOIN stock s ON s.product_id = l.product_id AND s.variant_id IS NOT DISTINCT FROM l.variant_id WHERE s.quantity <> l.q""",
+    "stock", "stock_ops", extra=MOVEMENTS_CTES), "L4")
 
 # Streaming twins: for events in sequence order the stream equals the batch fold, so the
 # batch oracle applies.

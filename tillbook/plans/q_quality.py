@@ -115,3 +115,37 @@ register("fk_delete_effects", _delete_effects, _delete_sql(),
          "Q4: effects of physically deleting the inactive categories and products")
 register("seed_insert_if_absent", lambda t: Q.seed_plan(t), _seed_sql(),
          "Q5: the reference's seed merged into the current tables (insert if absent, names → ids)")
+
+
+def _closure(t):
+    return Q.DeleteClosure(t, {"categories": t.categories.filter(F.col("is_active") == 0),
+                               "products": t.products.filter(F.col("is_active") == 0), "sales": t.sales.filter(F.col("id") % 3 == 0)})
+
+
+# A sold product can go only with all the sales that hold it; categories and sales always can.
+GONE = {
+    "gone_sales": "SELECT id FROM sales WHERE id % 3 = 0",
+    "gone_categories": "SELECT id FROM categories WHERE is_active = 0",
+    "sold": """SELECT COALESCE(v.product_id, si.product_id) AS product_id FROM sale_items si LEFT JOIN product_variants v ON v.id = si.variant_id
+               WHERE si.sale_id NOT IN (SELECT id FROM gone_sales)
+               UNION SELECT product_id FROM sale_items WHERE sale_id NOT IN (SELECT id FROM gone_sales)""",
+    "gone_products": "SELECT id FROM products WHERE is_active = 0 AND id NOT IN (SELECT product_id FROM sold)",
+    "gone_variants": "SELECT id FROM product_variants WHERE product_id IN (SELECT id FROM gone_products)",
+}
+_LEFT = {"users": "TRUE", "categories": "id NOT IN (SELECT id FROM gone_categories)", "products": "id NOT IN (SELECT id FROM gone_products)",
+         "sales": "id NOT IN (SELECT id FROM gone_sales)", "sale_items": "sale_id NOT IN (SELECT id FROM gone_sales)",
+         **dict.fromkeys(("product_variants", "stock", "stock_movements", "low_stock_alerts"), "product_id NOT IN (SELECT id FROM gone_products)")}
+register("fk_delete_outcomes", lambda t: _closure(t).outcomes(), with_views("""
+    SELECT 'categories' AS table_name, id, 1 AS ok FROM gone_categories
+    UNION ALL SELECT 'sales', id, 1 FROM gone_sales
+    UNION ALL SELECT 'products', id, CAST(id IN (SELECT id FROM gone_products) AS INTEGER) FROM products WHERE is_active = 0""",
+    *ALL_VIEWS, extra=GONE), "Q4: which of the inactive categories and products and a third of the sales can be deleted")
+register("fk_tables_after_delete", lambda t: _closure(t).sizes(), with_views("\nUNION ALL\n".join(
+    f"SELECT '{name}' AS table_name, COUNT(*) FILTER (WHERE {cond}) AS rows_left, COUNT(*) FILTER (WHERE NOT ({cond})) AS rows_deleted FROM {name}"
+    for name, cond in _LEFT.items()), *ALL_VIEWS, extra={**LEDGER_EXTRA, **GONE}), "Q4: all tables after these deletes and what follows from them")
+register("fk_products_after_delete", lambda t: _closure(t).after("products").select("id", "sku", "category_id"), with_views("""
+    SELECT id, sku, CASE WHEN category_id NOT IN (SELECT id FROM gone_categories) THEN category_id END AS category_id
+    FROM products WHERE id NOT IN (SELECT id FROM gone_products)""", *ALL_VIEWS, extra=GONE), "Q4: the products left, their keys cleared")
+register("fk_categories_after_delete", lambda t: _closure(t).after("categories").select("id", "name", "parent_id"), with_views("""
+    SELECT id, name, CASE WHEN parent_id NOT IN (SELECT id FROM gone_categories) THEN parent_id END AS parent_id
+    FROM categories WHERE id NOT IN (SELECT id FROM gone_categories)""", *ALL_VIEWS, extra=GONE), "Q4: the categories left, their keys cleared")
