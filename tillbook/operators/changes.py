@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillbook.functions import folds
-from tillbook.operators.ledger import KEYS, _keyed, stock_ledger, stock_ledger_adjust_only
+from tillbook.operators.ledger import KEYS, _keyed, alerts_table, low_stock_alert_events, stock_ledger, stock_ledger_adjust_only
 from tillbook.plans.graph import components
 from tillbook.plans.scans import keyed_scan, keyed_scans
 from tillbook.session import checkpoint_dir
@@ -60,6 +60,32 @@ def adjust_results(t: RetailTables, adjustments: DataFrame, min_quantity: int =
                       F.col("reason").alias("error"), "quantity_change", "previous_quantity", "new_quantity")
 
 
+def adjust_movements(adjustments: DataFrame, results: DataFrame) -> DataFrame:
+    """K6 / K7 output: the ledger rows of the successful adjustments (``seq`` orders and identifies them)."""
+    who = adjustments.select("seq", "created_by", "created_at")
+    return results.filter(F.col("status") == "success").join(who, "seq").select(
+        "seq", "product_id", "variant_id", F.col("adjustment_type").alias("movement_type"), "quantity_change",
+        F.col("previous_quantity").alias("quantity_before"), F.col("new_quantity").alias("quantity_after"), "created_by", "created_at")
+
+
+def adjust_alert_events(t: RetailTables, movements: DataFrame) -> DataFrame:
+    """K6 / K7 output: adjustments that raise an alert (at or below the minimum, none active) or resolve the active one (above)."""
+    led = movements.select("seq", "product_id", "variant_id", F.col("movement_type").alias("op"), F.col("quantity_after").alias("q_after"),
+                           F.lit(1).alias("accepted"), "created_by", "created_at")
+    active = t.low_stock_alerts.filter(F.col("alert_status") == "active").select("product_id", "variant_id").distinct()
+    return low_stock_alert_events(t, led, initially_active=active)
+
+
+def alerts_after_adjust(t: RetailTables, events: DataFrame) -> DataFrame:
+    """K6 / K7 output: the alert table after the adjustments; ``raised_by``: the adjustment that raised a new one (NULL: an old alert)."""
+    resolved = _keyed(events.filter(F.col("event") == "resolve")).select(*KEYS, F.lit(1).alias("_done")).distinct()
+    cols = ["id", "product_id", "variant_id", "current_stock", "min_stock_level", "alert_status"]
+    old = _keyed(t.low_stock_alerts).join(resolved, KEYS, "left").withColumn(
+        "alert_status", F.when((F.col("alert_status") == "active") & (F.col("_done") == 1), "resolved").otherwise(F.col("alert_status")))
+    new = alerts_table(events).withColumn("raised_by", F.col("id")).withColumn("id", F.lit(None).cast("bigint"))
+    return old.select(*cols, F.lit(None).cast("bigint").alias("raised_by")).unionByName(new.select(*cols, "raised_by"))
+
+
 def adjust_summary(results: DataFrame) -> DataFrame:
     """K7 summary: total / successful / failed."""
     return results.agg(F.count(F.lit(1)).alias("total"),

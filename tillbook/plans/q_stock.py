@@ -152,6 +152,49 @@ register("stock_after_adjust", _after_adjust, with_views("""
       ON h.product_id = s.product_id AND h.variant_id IS NOT DISTINCT FROM s.variant_id""",
     "products", "stock", "stock_ops", extra=_adjust_ctes(0)), "K10 after the bulk adjustment (L2 merge)")
 
+
+def _adjusted(t, least, make):
+    reqs = SI.adjustment_requests(t)
+    return make(X.adjust_movements(reqs, X.adjust_results(t, reqs, min_quantity=least)))
+
+
+def _adjusted_ctes(least: int) -> dict[str, str]:
+    """The adjustments' ledger as ``adj_ledger`` and their alert events as ``adj_ev``, beside the alerts there were."""
+    own = _adjust_ctes(least)
+    return {**ALERTS_CTES, "adj_val": own["adj_val"], "adj_ok": own["adj_ok"], "adj_n": own["ops_n"],
+            "adj_ledger": own["ledger"].replace("ops_n", "adj_n"),
+            "adj_ev": """
+                SELECT *, CASE WHEN low = 1 AND before = 0 THEN 'raise' WHEN low = 0 AND before = 1 THEN 'resolve' END AS event
+                FROM (SELECT *, COALESCE(LAG(low) OVER (PARTITION BY product_id, variant_id ORDER BY seq), was) AS before
+                      FROM (SELECT l.*, p.min_stock_level AS min_level, CAST(l.q_after <= p.min_stock_level AS INTEGER) AS low,
+                                   CAST(EXISTS (SELECT 1 FROM low_stock_alerts a WHERE a.alert_status = 'active'
+                                                AND a.product_id = l.product_id AND a.variant_id IS NOT DISTINCT FROM l.variant_id) AS INTEGER) AS was
+                            FROM adj_ledger l JOIN products p ON p.id = l.product_id))"""}
+
+
+ADJUST_VIEWS = ("products", "stock", "stock_ops")
+for _least, _name in ((1, "stock_adjust"), (0, "bulk_adjust")):
+    _row = "K6" if _least else "K7"
+    register(f"{_name}_movements", lambda t, n=_least: _adjusted(t, n, lambda m: m), with_views("""
+        SELECT seq, product_id, variant_id, op AS movement_type, CAST(q_after - q_before AS INTEGER) AS quantity_change,
+               q_before AS quantity_before, q_after AS quantity_after, created_by, created_at FROM adj_ledger""",
+        *ADJUST_VIEWS, extra=_adjusted_ctes(_least)), f"{_row}: the ledger rows of the adjustments")
+    register(f"{_name}_alert_events", lambda t, n=_least: _adjusted(t, n, lambda m: X.adjust_alert_events(t, m)), with_views("""
+        SELECT seq, product_id, variant_id, op, q_after, min_level, event, created_by, created_at FROM adj_ev WHERE event IS NOT NULL""",
+        *ADJUST_VIEWS, extra=_adjusted_ctes(_least)), f"{_row}: alerts the adjustments raise and resolve")
+    register(f"{_name}_alerts", lambda t, n=_least: _adjusted(t, n, lambda m: X.alerts_after_adjust(t, X.adjust_alert_events(t, m))), with_views("""
+        SELECT a.id, a.product_id, a.variant_id, a.current_stock, a.min_stock_level,
+               CASE WHEN a.alert_status = 'active' AND EXISTS (
+                        SELECT 1 FROM adj_ev e WHERE e.event = 'resolve' AND e.product_id = a.product_id
+                        AND e.variant_id IS NOT DISTINCT FROM a.variant_id) THEN 'resolved' ELSE a.alert_status END AS alert_status,
+               CAST(NULL AS BIGINT) AS raised_by
+        FROM low_stock_alerts a
+        UNION ALL
+        SELECT NULL, e.product_id, e.variant_id, e.q_after, e.min_level,
+               CASE WHEN e.seq = MAX(e.seq) OVER (PARTITION BY e.product_id, e.variant_id) THEN 'active' ELSE 'resolved' END AS alert_status, e.seq
+        FROM adj_ev e WHERE e.event IS NOT NULL QUALIFY e.event = 'raise'""",
+        *ADJUST_VIEWS, extra=_adjusted_ctes(_least)), f"{_row}: the alert table after the adjustments")
+
 ITEMS_SQL = """
     SELECT l_orderkey AS sale_id, CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity,
                                        l_extendedprice, l_returnflag, l_shipdate) AS INTEGER) AS line_no,
