@@ -10,7 +10,7 @@ import time
 
 import pandas as pd
 import pytest
-from pyspark.sql import Window
+from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
 from tillbook.operators import ledger as L
@@ -236,3 +236,27 @@ def test_hot_keys_are_folded_in_chunks(spark, monkeypatch, seed, adjustments):
     plain = sorted(map(tuple, L.stock_ledger(t, **args).collect()))
     monkeypatch.setattr(L, "HOT_OPS", 60)
     assert sorted(map(tuple, L.stock_ledger(t, **args).collect())) == plain and len(plain) == 900
+
+
+def test_alert_table_kept_by_a_stream(spark, tmp_path):
+    """Batches merged one by one equal the batch job; a batch that comes again changes nothing; late rows come out."""
+    rows = _ops(random.Random(6), 240, 6)
+    names = "seq long, product_id long, variant_id long, op string, n int, created_by long, created_at timestamp_ntz"
+    t = RetailTables.from_frames(spark)
+    for i in range(3):
+        spark.createDataFrame(rows[i * 80:(i + 1) * 80], names).coalesce(1).write.mode("append").parquet(str(tmp_path / "ops"))
+        time.sleep(1.1)  # files are taken by their time
+    ops = spark.readStream.schema(RETAIL_SCHEMAS["stock_ops"]).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ops"))
+    table = LS.AlertTable(t, str(tmp_path / "alerts"))
+    merge, seen = table.merge, []
+    table.merge = lambda df, b: (seen.append((df.collect(), b)), merge(df, b))[1]
+    table.follow(LS.ledger_stream(t, ops, min_level=20))
+    batch = L.alerts_table(L.low_stock_alert_events(t, L.stock_ledger(t, ops=spark.createDataFrame(rows, names)), min_level=20))
+    expected = sorted(map(repr, batch.collect()))
+    assert sorted(map(repr, table.read().collect())) == expected and len(seen) >= 3 and len(expected) > 5
+    last, number = [x for x in seen if x[0]][-1]
+    if number == seen[-1][1]:
+        merge(spark.createDataFrame(last, LS.OUT_SCHEMA), number)
+        assert sorted(map(repr, table.read().collect())) == expected
+    late = spark.createDataFrame([Row(**{**last[0].asDict(), "late": 1})], LS.OUT_SCHEMA)
+    assert [r.seq for r in LS.late_ops(late).collect()] == [last[0].seq]

@@ -59,3 +59,5 @@ register("stream_low_stock_alerts", lambda t: LS.stream_low_stock_alerts(t),
          with_views("""SELECT seq, product_id, variant_id, op, q_after, min_level, event, created_by, created_at
                        FROM alert_ev WHERE event IS NOT NULL""", "stock_ops", "products", extra=_AC),
          "L3 as Structured Streaming")
+register("stream_alert_table", lambda t: LS.stream_alert_table(t), with_views("SELECT * FROM low_stock_alerts", "stock_ops", "products", extra=_AC),
+         "L3: the alert table kept by the stream (foreachBatch merges into snapshots)")

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tillbook.functions import folds
+from tillbook.operators.ledger import KEYS, NO_VARIANT, _keyed, alerts_table
 from tillbook.session import checkpoint_dir
 from tillbook.sources.base import BASE_SCHEMAS
 from tillbook.sources.schemas import RETAIL_SCHEMAS
@@ -98,6 +99,57 @@ def run_to_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(OUT_SCHEMA).parquet(f"{run}/out")
 
 
+class AlertTable:
+    """The alert table kept up to date by a stream of ledger rows with their alert events (``ledger_stream``).
+
+    Each micro-batch is merged into the last snapshot and written as the next one. Two folders take turns by batch number, and a
+    batch counts once its number is noted, so a batch that fails, or comes again, finds its predecessor unchanged and
+    writes the same result. ``root`` is a folder in shared storage.
+    """
+
+    def __init__(self, t: RetailTables, root: str):
+        self.spark, self.root = t.spark, root.rstrip("/")
+
+    def _slot(self, batch: int) -> str:
+        return f"{self.root}/alerts-{batch % 2}"
+
+    def merge(self, rows: DataFrame, batch: int) -> None:
+        """``foreachBatch`` body."""
+        events = rows.filter(F.col("event").isNotNull() & (F.col("late") == 0)).select(
+            "seq", "product_id", "variant_id", "q_after", "min_level", "event", "created_at")
+        new = alerts_table(events)
+        if batch:
+            # raise and resolve alternate: the first event after an active alert resolves it
+            hit = events.select("product_id", F.coalesce("variant_id", F.lit(NO_VARIANT)).alias("_vk"), F.lit(1).alias("_hit")).distinct()
+            old = _keyed(self.spark.read.schema(RETAIL_SCHEMAS["low_stock_alerts"]).parquet(self._slot(batch - 1))).join(
+                hit, KEYS, "left").withColumn("alert_status", F.when((F.col("_hit") == 1) & (F.col("alert_status") == "active"), "resolved")
+                                              .otherwise(F.col("alert_status")))
+            new = old.select(*new.columns).unionByName(new)
+        new.write.mode("overwrite").parquet(self._slot(batch))
+        self.spark.createDataFrame([(batch,)], "batch long").write.mode("append").parquet(f"{self.root}/merged")
+
+    def follow(self, ledger: DataFrame) -> None:
+        """Merge all that the stream has by now; a later call goes on from there."""
+        (ledger.writeStream.foreachBatch(self.merge).option("checkpointLocation", f"{self.root}/progress")
+         .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+
+    def read(self) -> DataFrame:
+        last = self.spark.read.schema("batch long").parquet(f"{self.root}/merged").agg(F.max("batch")).first()[0]
+        return self.spark.read.schema(RETAIL_SCHEMAS["low_stock_alerts"]).parquet(self._slot(last))
+
+
+def stream_alert_table(t: RetailTables) -> DataFrame:
+    """The alert table that the stream of all stock ops leaves."""
+    table = AlertTable(t, f"{checkpoint_dir(t.spark).rstrip('/')}/streams/alert-table-{uuid.uuid4().hex[:10]}")
+    table.follow(ledger_stream(t, stock_ops_stream(t)))
+    return table.read()
+
+
+def late_ops(out: DataFrame) -> DataFrame:
+    """The rows of a stream's output that came after a later op of their key had been folded: without effect, for a second look."""
+    return out.filter(F.col("late") == 1).select("seq", "product_id", "variant_id", "op", "n", "created_by", "created_at")
+
+
 def stream_stock_ledger(t: RetailTables) -> DataFrame:
     """The stream's ledger rows (in-order rows only), in the batch ledger's columns."""
     out = run_to_table(ledger_stream(t, stock_ops_stream(t)), "ledger")
