@@ -233,8 +233,12 @@ def contested_runs(told: DataFrame, contested: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "g long, s long, runs array<struct<first int, last int>>")
 
 
-def contested_windows(told: DataFrame, contested: DataFrame) -> DataFrame:
-    """The same for keys of more stretches, which are never gathered: each window is looked up by its digest."""
+def contested_windows(told: DataFrame, contested: DataFrame) -> DataFrame | None:
+    """The same for keys of more stretches, which are never gathered: each window is looked up by its digest. None without any."""
+    many = contested.where(F.col("kinds") > GROUP).select("g")
+    if many.isEmpty():
+        return None
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in range(0, batch.num_rows, 200):
@@ -246,7 +250,6 @@ def contested_windows(told: DataFrame, contested: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a[:, i]) if i != 2 else pa.array(a[:, 2].astype(np.int32)) for i in range(5)],
                                                  ["g", "s", "at", "w1", "w2"])
 
-    many = contested.where(F.col("kinds") > GROUP).select("g")
     texts = stretch_texts(told, sieve(many, "g")).join(many, "g", "left_semi").select("g", "stretch").distinct()
     each = cut(texts.mapInArrow(windows, "g long, s long, at int, w1 long, w2 long"), "windows")
     twice = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
@@ -272,8 +275,9 @@ def repeated_windows(told: DataFrame, batches: int = BATCHES) -> DataFrame:
     contested = cut(kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1"), "contested-keys")
     # a stretch that occurs twice is repeated throughout; of the others the windows that another stretch has
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("windows") - 1).alias("last")))
-    runs = (kinds.where("n > 1").select("g", "s", whole.alias("runs")).unionAll(contested_runs(told, contested))
-            .unionAll(contested_windows(told, contested)))
+    runs = kinds.where("n > 1").select("g", "s", whole.alias("runs")).unionAll(contested_runs(told, contested))
+    windows = contested_windows(told, contested)
+    runs = runs if windows is None else runs.unionAll(windows)
     shifted = F.transform("runs", lambda r: F.struct((F.col("first") + r["first"]).alias("first"),
                                                      (F.col("first") + r["last"]).alias("last")))
     return (found.join(runs, ["g", "s"]).select("x", "y", shifted.alias("runs")).groupBy("x", "y")
