@@ -396,5 +396,5 @@ def test_compression_bands():
 
 @pytest.mark.parametrize("name", list(Q))
 def test_empty_tables(spark, frame, name):
-    frame([], {"benchmark": ([], "item_id long, text string")})
+    frame([], {"benchmark": ([], "item_id long, text string"), "conversations": ([], "conv_id long, turn long, role string, text string")})
     assert Q[name](spark, "").collect() == []
