@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tillbook.functions import folds
 from tillbook.plans.graph import components, lifted, lineage, rings
+from tillbook.plans.ids import allocate_ids
 from tillbook.session import checkpoint_dir
 from tillbook.sources.schemas import ROLES
 from tillbook.sources.views import RetailTables
@@ -164,11 +165,9 @@ def catalog_insert(t: RetailTables, incoming: DataFrame, checked: DataFrame, now
                                                       "brand", "unit_size", "price", "cost", "min_stock_level")],
                                         F.lit(None).cast("string").alias("image_url"), F.lit(1).alias("is_active"),
                                         "created_at", "updated_at")
-    stock = rows.select((F.col("id") * 10).alias("id"), F.col("id").alias("product_id"),
-                        F.lit(None).cast("bigint").alias("variant_id"), F.lit(0).alias("quantity"),
-                        F.lit(0).alias("reserved_quantity"), ts.alias("last_updated"),
-                        F.lit(None).cast("bigint").alias("updated_by"))
-    return rows, stock
+    held = rows.select(F.col("id").alias("product_id"), F.lit(None).cast("bigint").alias("variant_id"), F.lit(0).alias("quantity"),
+                       F.lit(0).alias("reserved_quantity"), ts.alias("last_updated"), F.lit(None).cast("bigint").alias("updated_by"))
+    return rows, allocate_ids(held, t.stock, "product_id")
 
 
 def catalog_update(t: RetailTables, incoming: DataFrame, checked: DataFrame, now: str) -> DataFrame:

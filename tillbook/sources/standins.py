@@ -110,3 +110,42 @@ def cart_headers(t: RetailTables) -> DataFrame:
     """Cart headers for the sale replay: every sale's own header fields."""
     return t.sales.select(F.col("id").alias("cart_id"), "sale_number", "payment_method", "cashier_id", "customer_name",
                           "discount_amount", "tax_amount", "notes", "created_at")
+
+
+def new_user_requests(t: RetailTables) -> DataFrame:
+    """Every user's namesake as a new user, and then another with the same e-mail in capitals."""
+    u = t.users
+
+    def each(nth: int, suffix: str, email) -> DataFrame:
+        return u.select((F.col("id") * 2 + nth).alias("req_id"), F.concat(F.lit(" "), "username", F.lit(suffix)).alias("username"),
+                        email.alias("email"), F.col("username").alias("password"), "role", "first_name", "last_name")
+    fresh = F.concat(F.lit("new."), "email")
+    return each(0, "_2", fresh).unionByName(each(1, "_3", F.upper(fresh)))
+
+
+def import_rows(t: RetailTables) -> dict[str, DataFrame]:
+    """Rows to import (``inserts.SeedMerge``), ``ord`` from 1,000 on: categories again and below others, products again and under new
+    SKUs, some twice, users again and under new names."""
+    c, p, u = t.categories, t.products, t.users
+    top = c.filter(F.col("parent_id").isNull()).select(F.col("id").alias("_top"), F.col("name").alias("parent_name"))
+    own = c.join(top, F.col("parent_id") == F.col("_top"), "left")
+    nul = F.lit(None).cast("string")
+    at = lambda nth: (F.lit(1000) + F.col("id") * 10 + nth).cast("bigint").alias("ord")
+    cats = own.select(at(0), "name", "description", "parent_name").unionByName(
+        own.select(at(1), F.concat(F.lit("Import "), "name").alias("name"), nul.alias("description"), nul.alias("parent_name"))).unionByName(
+        own.select(at(2), "name", F.lit("imported").alias("description"), F.concat(F.lit("Import "), "parent_name").alias("parent_name")))
+    named = p.join(c.select(F.col("id").alias("category_id"), F.col("name").alias("_cat")), "category_id", "left")
+
+    def product(nth: int, sku, quantity) -> DataFrame:
+        return named.select(at(nth), sku.alias("sku"), "barcode", "name", F.concat(F.lit("Import "), "_cat").alias("category"), "brand",
+                            F.col("price").cast("string").alias("price"), F.col("cost").cast("string").alias("cost"), "min_stock_level",
+                            quantity.cast("int").alias("quantity"))
+    again = F.concat(F.lit("IMP"), (F.col("id") % 1000 * 2).cast("string"))  # ids a thousand apart share a SKU
+    prods = product(0, F.col("sku"), F.lit(1)).unionByName(product(1, again, F.col("id") % 90)).unionByName(product(2, again, F.lit(7)))
+
+    def user(nth: int, name, email) -> DataFrame:
+        return u.select(at(nth), name.alias("username"), email.alias("email"), "role", "first_name", "last_name")
+    users = user(0, F.col("username"), F.concat(F.lit("x."), "email")).unionByName(
+        user(1, F.concat("username", F.lit("_i")), F.concat(F.lit("i."), "email"))).unionByName(
+        user(2, F.concat("username", F.lit("_j")), F.concat(F.lit("i."), "email")))
+    return {"users": users, "categories": cats, "products": prods}
