@@ -260,3 +260,25 @@ def test_alert_table_kept_by_a_stream(spark, tmp_path):
         assert sorted(map(repr, table.read().collect())) == expected
     late = spark.createDataFrame([Row(**{**last[0].asDict(), "late": 1})], LS.OUT_SCHEMA)
     assert [r.seq for r in LS.late_ops(late).collect()] == [last[0].seq]
+
+
+def test_a_reversed_log_is_put_in_order(spark, tmp_path):
+    """Files in reversed order equal the batch fold; rows later than the delay come out as late, without effect."""
+    rows = [(*r[:-1], T0 + dt.timedelta(seconds=i)) for i, r in enumerate(_ops(random.Random(8), 120, 4, hot=True))]
+    names = "seq long, product_id long, variant_id long, op string, n int, created_by long, created_at timestamp_ntz"
+    end = (1 << 62, -1, None, "in", 0, 0, T0 + dt.timedelta(days=1))
+    straggler = (rows[3][0] - 1, rows[3][1], rows[3][2], "in", 9, 0, rows[3][-1])
+    after = ((1 << 62) + 1, *end[1:])  # by its batch, the stream's time is that of the one before
+    for i, part in enumerate([rows[90:], rows[60:90], rows[30:60], rows[:30], [end], [after], [straggler]]):
+        spark.createDataFrame(part, names).coalesce(1).write.mode("append").parquet(str(tmp_path / "log" / str(i)))
+        time.sleep(0.05)
+    log = spark.readStream.schema(RETAIL_SCHEMAS["stock_ops"]).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log" / "*"))
+    out = LS.run_to_table(LS.reordered_ledger_stream(RetailTables.from_frames(spark), log, 3_600_000, min_level=20), "reversed", LS.ROCKSDB)
+    got = out.filter("product_id >= 0").collect()
+    want = _py_fold(rows, {})
+    assert {r.seq: (r.q_before, r.q_after, r.accepted) for r in got if r.late == 0} == want
+    assert [r.seq for r in LS.late_ops(out).collect()] == [straggler[0]]
+    t = RetailTables.from_frames(spark)
+    batch = L.low_stock_alert_events(t, L.stock_ledger(t, ops=spark.createDataFrame(rows, names)), min_level=20)
+    assert {(r.seq, r.event) for r in got if r.event} == {(r.seq, r.event) for r in batch.collect()}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != LS.ROCKSDB

@@ -61,3 +61,6 @@ register("stream_low_stock_alerts", lambda t: LS.stream_low_stock_alerts(t),
          "L3 as Structured Streaming")
 register("stream_alert_table", lambda t: LS.stream_alert_table(t), with_views("SELECT * FROM low_stock_alerts", "stock_ops", "products", extra=_AC),
          "L3: the alert table kept by the stream (foreachBatch merges into snapshots)")
+register("stream_reordered_ledger", lambda t: LS.stream_reordered_ledger(t),
+         with_views(f"SELECT {LEDGER_COLS} FROM ledger", "stock_ops", extra=LEDGER_CTES),
+         "L1 from a log whose files come in the wrong order (transformWithState: rows wait in state until they are due)")
