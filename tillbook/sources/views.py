@@ -12,6 +12,7 @@ All frames are lazy; nothing is cached implicitly.
 
 from __future__ import annotations
 
+import copy
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,6 +122,12 @@ class RetailTables:
             w.mode("overwrite").parquet(f"{root}/{n}")
         return RetailTables.from_parquet(self.spark, root)
 
+    def replaced(self, **frames: DataFrame) -> "RetailTables":
+        """The same bundle with some tables in place of its own (e.g. the rows an index found)."""
+        other = copy.copy(self)
+        other.__dict__.update(frames)
+        return other
+
     def base(self, name: str) -> DataFrame:
         return self._base[name]
 
