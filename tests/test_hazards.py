@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from decimal import Decimal
 
 import pytest
@@ -136,6 +137,23 @@ def test_k9_acknowledge(spark):
     res = sorted((r.alert_id, r.user_id, r.result) for r in X.ack_outcomes(alerts, acks).collect())
     assert [x[2] for x in res] == ["acknowledged", "not found or already acknowledged",
                                    "not found or already acknowledged", "not found or already acknowledged"]
+    twice = acks.filter("alert_id = 1 and user_id = 3").unionByName(acks.filter("alert_id = 1 and user_id = 3"))
+    assert sorted(r.result for r in X.ack_outcomes(alerts, twice).collect()) == ["acknowledged", "not found or already acknowledged"]
+
+
+def test_s5_documents(spark):
+    """Parts of a long sale, a sale without lines, and a line whose product is missing."""
+    line = lambda sale, no, pid: (sale, no, pid, None, 2, Decimal("1.50"), Decimal("3.00"), 0, T0)
+    t = RetailTables.from_frames(
+        spark, products=_mk(spark, "products", [_prod(1, "A")]), users=_mk(spark, "users", []),
+        sales=_mk(spark, "sales", [(i, f"S{i}", Decimal("9.00"), Decimal(0), Decimal(0), "cash", "completed", None, None, None, T0) for i in (1, 2, 3)]),
+        sale_lines=_mk(spark, "sale_lines", [line(1, n, 1) for n in (5, 2, 1, 4, 3)] + [line(2, 1, 77)]))
+    out = {(r.sale_id, r.part): json.loads(r.document) for r in S.sale_documents(t, part_items=2).collect()}
+    assert {k: [i["line_no"] for i in d["items"]] for k, d in out.items()} == {
+        (1, 0): [1, 2], (1, 1): [3, 4], (1, 2): [5], (2, 0): [], (3, 0): []}
+    assert out[1, 2]["items"][0]["unit_price"] == "1.50" and out[3, 0]["cashier_name"] is None
+    one = spark.createDataFrame([(3,)], "id long")
+    assert [r.sale_id for r in S.sale_documents(t, one).collect()] == [3]
 
 
 def test_s13_line_mode_outputs(spark):

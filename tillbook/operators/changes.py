@@ -111,10 +111,11 @@ def acknowledge_alerts(alerts: DataFrame, acks: DataFrame) -> DataFrame:
 
 def ack_outcomes(alerts: DataFrame, acks: DataFrame) -> DataFrame:
     """K9 per-ack result: ``acknowledged`` or ``not found or already acknowledged``."""
-    first = acks.groupBy("alert_id").agg(F.min(F.struct("ack_at", "user_id")).alias("_a"))
+    acks = _in_sequence(acks.select("alert_id", "user_id", "ack_at"), "alert_id", "ack_at", "user_id")  # tells equal acks apart
+    first = acks.groupBy("alert_id").agg(F.min(F.struct("ack_at", "user_id", "seq")).alias("_a"))
     a = alerts.select(F.col("id").alias("alert_id"), "alert_status")
     j = acks.join(a, "alert_id", "left").join(first, "alert_id", "left")
-    won = (F.col("alert_status") == "active") & (F.col("_a.ack_at") == F.col("ack_at")) & (F.col("_a.user_id") == F.col("user_id"))
+    won = (F.col("alert_status") == "active") & (F.col("_a.seq") == F.col("seq"))
     return j.select("alert_id", "user_id", "ack_at", F.when(won, F.lit("acknowledged"))
                     .otherwise(F.lit("not found or already acknowledged")).alias("result"))
 

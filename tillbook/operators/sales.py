@@ -124,6 +124,33 @@ def sale_items_detail(t: RetailTables, ids: DataFrame | None = None) -> DataFram
                     "product_name", "sku", "unit_size", "category_name", "variant_name", "variant_value")
 
 
+#: Items in one part of a sale's document.
+PART_ITEMS = 1000
+
+
+def sale_documents(t: RetailTables, ids: DataFrame | None = None, part_items: int = PART_ITEMS) -> DataFrame:
+    """S5 as JSON: (sale_id, part, document), the sale with its ``items[]`` in their order.
+
+    A sale of more than ``part_items`` lines comes in parts, each with the sale's header, so no row and no task holds an unbounded
+    sale. Money is text with two decimals; NULLs are told. Lines whose product is missing are left out, as in
+    ``sale_items_detail``; a sale without lines has one part with no items.
+    """
+    s, lines = t.sales, t.sale_lines
+    if ids is not None:
+        s = s.join(ids.select("id"), "id", "left_semi")
+        lines = lines.join(ids.select(F.col("id").alias("sale_id")), "sale_id", "left_semi")
+    p = t.products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"), "sku")
+    item = F.struct("line_no", "product_id", "product_name", "sku", "variant_id", "quantity",
+                    F.col("unit_price").cast("string").alias("unit_price"), F.col("total_price").cast("string").alias("total_price"))
+    part = F.floor((F.col("line_no") - 1) / F.lit(part_items)).cast("int")
+    parts = lines.join(p, "product_id").groupBy("sale_id", part.alias("part")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    x = s.join(_cashier_names(t), "cashier_id", "left").join(parts, F.col("id") == F.col("sale_id"), "left")
+    none = F.array().cast(parts.schema["items"].dataType)
+    document = F.to_json(F.struct("id", "sale_number", "status", "payment_method", F.col("total_amount").cast("string").alias("total_amount"),
+                                  "cashier_name", F.coalesce("items", none).alias("items")), {"ignoreNullFields": "false"})
+    return x.select(F.col("id").alias("sale_id"), F.coalesce("part", F.lit(0)).alias("part"), document.alias("document"))
+
+
 def _period_sales(t: RetailTables, period: str, as_of, date_from=None, date_to=None) -> DataFrame:
     return t.sales.filter(in_period("created_at", period, as_of, date_from, date_to))
 

@@ -158,6 +158,6 @@ register("seed_merge_products", lambda t: _products(t)[0].withColumns({c: F.col(
 register("seed_merge_stock", lambda t: _products(t)[1], _merge_sql("""
     SELECT * FROM stock
     UNION ALL
-    SELECT (SELECT MAX(id) FROM stock) + ROW_NUMBER() OVER (ORDER BY id), id, NULL, quantity, 0, now_, NULL
+    SELECT (SELECT MAX(id) FROM stock) + ROW_NUMBER() OVER (ORDER BY id), id, NULL, CAST(quantity AS INTEGER), 0, now_, NULL
     FROM products_in, at_ WHERE id NOT IN (SELECT product_id FROM stock WHERE variant_id IS NULL)""", "stock"),
     "Q5: the stock after the seed and an import")

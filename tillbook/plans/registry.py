@@ -36,5 +36,5 @@ def register(name: str, build: Callable[[RetailTables], DataFrame], sql: str | N
 def load_all() -> dict[str, QuerySpec]:
     """Import the modules that register queries (idempotent)."""
     from tillbook.plans import q_catalog, q_changes, q_dashboard, q_ledger, q_quality, q_sales, q_staff, q_stock  # noqa: F401
-    from tillbook.plans import q_indexes, q_inserts  # noqa: F401
+    from tillbook.plans import q_documents, q_indexes, q_inserts  # noqa: F401
     return QUERIES

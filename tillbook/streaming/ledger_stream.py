@@ -209,7 +209,7 @@ def stream_low_stock_alerts(t: RetailTables) -> DataFrame:
         "seq", "product_id", "variant_id", "op", "q_after", "min_level", "event", "created_by", "created_at")
 
 
-def swapped_log(t: RetailTables, blocks: int = 6) -> tuple[DataFrame, int]:
+def swapped_log(t: RetailTables, blocks: int = 4) -> tuple[DataFrame, int]:
     """The stock ops as a log whose files come pairwise in the wrong order, one a trigger, and the delay (ms) that mends it.
 
     The last file holds an op of no product, later than the delay, so that all before it fall due.
