@@ -24,6 +24,9 @@ from tillbook.sources.views import RetailTables
 ADJUST_TYPES = ("in", "out", "adjustment")
 #: Rows (carts times keys) of one component settled in one task.
 GROUP_ROWS = 1 << 20
+#: Components are looked for once when the open rows are this many times ``GROUP_ROWS``, and where so many rounds of the bounds leave more
+#: than this share of the open rows. A round of the bounds costs far less.
+GRAPH_GROUPS, SLOW_ROUNDS, SLOW_SHARE = 4, 3, 0.9
 
 
 def _validate_stock_requests(t: RetailTables, reqs: DataFrame) -> DataFrame:
@@ -297,11 +300,10 @@ def stock_after_results(t: RetailTables, results: DataFrame) -> DataFrame:
 
 
 def _checked_lines(t: RetailTables, lines: DataFrame) -> DataFrame:
-    """The lines with their ``reason`` and ``_bad`` = 1 for all lines of a cart that has one refused."""
+    """The lines with their ``reason``; a cart that has one refused is refused."""
     checkpoint_dir(t.spark)
-    v = _validate_stock_requests(t, lines)
-    bad = v.groupBy("cart_id").agg(F.max(F.col("reason").isNotNull().cast("int")).alias("_bad"))
-    return v.join(bad, "cart_id").checkpoint(eager=True)
+    v = _validate_stock_requests(t, lines.filter(F.col("cart_id").isNotNull()))
+    return v.drop("product_name", "created_by", "created_at").checkpoint(eager=True)
 
 
 def _by_bounds(rows: DataFrame) -> DataFrame:
@@ -328,10 +330,12 @@ def _one_by_one(rows: DataFrame, group: Column) -> DataFrame:
 
 def _settled_carts(t: RetailTables, checked: DataFrame) -> DataFrame:
     """(cart_id, status) of ``_checked_lines``; see ``apply_sales_exact``."""
-    decided = [checked.filter("_bad = 1").select("cart_id", F.lit("rejected").alias("status")).distinct()]
+    bad = checked.filter("reason is not null").select("cart_id").distinct()
     stock = _keyed(t.stock).select(*KEYS, F.col("quantity").cast("bigint").alias("_open"))
-    rows = (_keyed(checked.filter("_bad = 0")).groupBy("cart_id", *KEYS)
+    rows = (_keyed(checked.filter("reason is null")).join(bad, "cart_id", "left_anti").groupBy("cart_id", *KEYS)
             .agg(F.sum("quantity").cast("bigint").alias("_need")).join(stock, KEYS).withColumn("_sold", F.lit(0))).checkpoint(eager=True)
+    decided = [bad.select("cart_id", F.lit("rejected").alias("status"))]
+    left, split = [rows.count()], False
     while True:
         new = _by_bounds(rows).checkpoint(eager=True)
         decided.append(new)
@@ -339,11 +343,15 @@ def _settled_carts(t: RetailTables, checked: DataFrame) -> DataFrame:
                 .withColumn("_sold", F.when(F.col("status") == "accepted", 1).otherwise(F.col("_sold"))).drop("status"))
         waiting = rows.filter("_sold = 0").select(*KEYS).distinct()
         rows = rows.join(waiting, KEYS, "left_semi").checkpoint(eager=True)
-        n = rows.filter("_sold = 0").count()
-        if n <= GROUP_ROWS:
-            if n:
+        left.append(rows.filter("_sold = 0").count())
+        if left[-1] <= GROUP_ROWS:
+            if left[-1]:
                 decided.append(_one_by_one(rows, F.lit(0)).checkpoint(eager=True))
             return reduce(DataFrame.unionByName, decided)
+        slow = len(left) > SLOW_ROUNDS and left[-1] > left[-1 - SLOW_ROUNDS] * SLOW_SHARE
+        if not slow and (split or left[-1] > GRAPH_GROUPS * GROUP_ROWS):
+            continue
+        split = True
         # what one cart does to another goes through the keys they share: the components are independent
         key = F.concat_ws(":", F.lit("k"), *KEYS)
         links = rows.filter("_sold = 0").select(F.concat_ws(":", F.lit("c"), "cart_id").alias("a"), key.alias("b"))
@@ -353,6 +361,7 @@ def _settled_carts(t: RetailTables, checked: DataFrame) -> DataFrame:
         rows = rows.join(size, "_group").checkpoint(eager=True)
         decided.append(_one_by_one(rows.filter(F.col("_size") <= GROUP_ROWS), F.col("_group")).checkpoint(eager=True))
         rows = rows.filter(F.col("_size") > GROUP_ROWS).drop("_group", "_size").checkpoint(eager=True)
+        left = [rows.filter("_sold = 0").count()]
 
 
 def apply_sales_exact(t: RetailTables, lines: DataFrame) -> DataFrame:
@@ -360,12 +369,14 @@ def apply_sales_exact(t: RetailTables, lines: DataFrame) -> DataFrame:
 
     A cart fits when, for each (product, variant), its total quantity ``need`` is at most the stock at its turn. Only
     sales are involved, so bounds of that stock (``_by_bounds``: prefix sums over the carts, no Python) decide most
-    carts at once. The carts left over and the keys they contest form a graph; its components do not touch each other and are
-    settled at the same time, the carts of each one in order (``_one_by_one``). A component of more than ``GROUP_ROWS`` rows goes
-    through the bounds again, which now know more, and falls apart; the earliest open cart is always decided. Static
+    carts at once, and more each round, as they know more. When up to ``GROUP_ROWS`` rows are open, these carts are settled in order
+    (``_one_by_one``). Before that, and where the rounds decide little, the open carts and the keys they contest are taken as a graph: its components do
+    not touch each other and are settled at the same time, each one in order; a component of more than ``GROUP_ROWS`` rows goes
+    through the bounds again and falls apart; the earliest open cart is always decided. Static
     failures (unknown/inactive product, no stock row) reject a cart up front. Returns cart_id, status (accepted / rejected).
     """
-    return _settled_carts(t, _checked_lines(t, lines))
+    needed = lines.select("cart_id", "product_id", "variant_id", "quantity")
+    return _settled_carts(t, _checked_lines(t, needed))
 
 
 def post_sales(t: RetailTables, lines: DataFrame) -> DataFrame:
@@ -375,20 +386,20 @@ def post_sales(t: RetailTables, lines: DataFrame) -> DataFrame:
     ``alerts_after_sales``; a refused cart leaves nothing in any of them.
     """
     checked = _checked_lines(t, lines)
-    v = checked.join(_settled_carts(t, checked), "cart_id").checkpoint(eager=True)
-    sold = _keyed(v.filter(F.col("status") == "accepted"))
+    carts = _settled_carts(t, checked)
+    sold = _keyed(checked.join(carts.filter(F.col("status") == "accepted"), "cart_id")).checkpoint(eager=True)
     sold = keyed_scan(sold, KEYS, ["cart_id", "line_no"], F.col("quantity").cast("bigint"), "sum", "_so_far")
     stock = _keyed(t.stock).select(*KEYS, F.col("quantity").cast("bigint").alias("_open"))
     after = F.col("_open") - F.col("_so_far")
     sold = sold.join(stock, KEYS).select(
         "cart_id", "line_no", "product_id", "variant_id", "quantity", "unit_price", F.lit(None).cast("string").alias("reason"),
-        F.lit(1).alias("line_ok"), (after + F.col("quantity")).alias("stock_before"), after.alias("stock_after"))
+        F.lit(1).alias("line_ok"), (after + F.col("quantity")).alias("stock_before"), after.alias("stock_after")).checkpoint(eager=True)
     none = F.lit(None).cast("bigint")
-    refused = v.filter(F.col("status") == "rejected").select(
+    refused = checked.join(carts.filter(F.col("status") == "rejected"), "cart_id").select(
         "cart_id", "line_no", "product_id", "variant_id", "quantity", "unit_price",
         F.coalesce("reason", F.lit("Cart refused")).alias("reason"), F.lit(0).alias("line_ok"), none.alias("stock_before"),
         none.alias("stock_after"))
-    return sold.unionByName(refused).checkpoint(eager=True)
+    return sold.unionByName(refused)
 
 
 def stock_after_sales(t: RetailTables, posted: DataFrame) -> DataFrame:
