@@ -176,6 +176,10 @@ def sales_period_summary(t: RetailTables, period: str = "today", as_of=AS_OF, da
         money(F.coalesce(F.col("rev"), F.lit(0)) - F.coalesce(F.col("ref_amt"), F.lit(0))).alias("net_revenue"))
 
 
+#: Lines that one task groups by sale and product.
+TASK_ROWS = 1 << 20
+
+
 def _completed_item_agg(t: RetailTables, period: str, as_of, date_from=None, date_to=None,
                         with_sale_count: bool = False) -> DataFrame:
     """Σ quantity, Σ revenue (and distinct sale count) per product over completed sales.
@@ -183,9 +187,13 @@ def _completed_item_agg(t: RetailTables, period: str, as_of, date_from=None, dat
     Aggregates per (sale, product) first — right after the sale_id join, whose
     partitioning it reuses — then per product; so COUNT(DISTINCT sale) needs no extra
     distinct pass, and a hot product is pre-aggregated map-side before its shuffle.
+    Large tables go in partitions of some ``TASK_ROWS`` lines, so a task's groups do not grow with the table.
     """
     s = _period_sales(t, period, as_of, date_from, date_to).filter(F.col("status") == "completed")
     items = t.sale_items.select("sale_id", "product_id", "quantity", "total_price")
+    tasks = -(-items.count() // TASK_ROWS)  # of a stored table: from the files' footers
+    if tasks > t.spark.sparkContext.defaultParallelism:
+        items = items.repartition(tasks, "sale_id")
     j = items.join(s.select(F.col("id").alias("sale_id")), "sale_id", "inner")
     per_sale = j.groupBy("sale_id", "product_id").agg(F.sum("quantity").alias("q"), F.sum("total_price").alias("r"))
     aggs = [F.sum("q").alias("total_sold"), F.sum("r").alias("rev")]
