@@ -385,6 +385,22 @@ def test_contested_carts_go_on_by_bounds(spark, monkeypatch):
     assert {r.cart_id: r.status for r in X.apply_sales_exact(t, lines).collect()} == _py_carts(carts, stock_q) and len(calls) <= 1
 
 
+def test_item_groups_go_in_bounded_partitions(spark, monkeypatch):
+    """A large table's lines are spread by their number, with the same sums."""
+    from tillbook.operators import sales as S
+    sales = spark.createDataFrame([(i, "completed" if i % 3 else "refunded", T0) for i in range(60)],
+                                  "id long, status string, created_at timestamp_ntz")
+    items = [(i % 60, i % 7, 1 + i % 4, Decimal(i)) for i in range(300)]
+    t = RetailTables.from_frames(spark, sales=sales, sale_items=spark.createDataFrame(
+        items, "sale_id long, product_id long, quantity int, total_price decimal(12,2)"))
+    monkeypatch.setattr(S, "TASK_ROWS", 5)
+    got = S._completed_item_agg(t, "all", "2001-08-01", with_sale_count=True)
+    kept = [x for x in items if x[0] % 3]
+    assert {(r.product_id, r.total_sold, r.rev, r.sale_count) for r in got.collect()} == {
+        (p, sum(x[2] for x in kept if x[1] == p), sum(x[3] for x in kept if x[1] == p), len({x[0] for x in kept if x[1] == p})) for p in range(7)}
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_graphs(spark):
     from tillbook.plans.graph import components
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(200)] + [(5000, 5000), (7, 3)]
