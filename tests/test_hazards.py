@@ -401,6 +401,31 @@ def test_item_groups_go_in_bounded_partitions(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("window_rows", [1, 1 << 18])
+def test_contested_carts_need_no_components(spark, monkeypatch, window_rows):
+    """The rounds go on while they decide much, on the open carts only, whether keys are scanned in a window or in chunks."""
+    import random
+    monkeypatch.setattr(X, "GROUP_ROWS", 50)
+    monkeypatch.setattr(X, "WINDOW_ROWS", window_rows, raising=False)
+    calls, components = [], X.components
+    monkeypatch.setattr(X, "components", lambda *a: calls.append(1) or components(*a))
+    rng = random.Random(5)
+    products = _mk(spark, "products", [_prod(i, f"P{i}") for i in range(4)])
+    stock_q = {i: 200 for i in range(4)}
+    stock = _mk(spark, "stock", [(i * 10, i, None, q, 0, T0, None) for i, q in stock_q.items()])
+    carts, lines = {}, []
+    for c in range(80):
+        for ln, pid in enumerate(rng.sample(range(4), 2), 1):
+            q = rng.randrange(1, 40)
+            carts.setdefault(c, []).append((c * 1000 + ln, pid, q))
+            lines.append((c * 30_000, ln, pid, None, q, Decimal("1.00"), 1, T0))  # several chunks
+    lines = spark.createDataFrame(lines, "cart_id long, line_no int, product_id long, variant_id long, "
+                                         "quantity int, unit_price decimal(12,2), created_by long, created_at timestamp_ntz")
+    t = RetailTables.from_frames(spark, products=products, stock=stock)
+    got = {r.cart_id // 30_000: r.status for r in X.apply_sales_exact(t, lines).collect()}
+    assert got == _py_carts(carts, stock_q) and not calls
+
+
 def test_components_of_graphs(spark):
     from tillbook.plans.graph import components
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(200)] + [(5000, 5000), (7, 3)]

@@ -11,22 +11,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillbook.functions import folds
 from tillbook.operators.ledger import KEYS, _keyed, alerts_table, low_stock_alert_events, stock_ledger, stock_ledger_adjust_only
 from tillbook.plans.graph import components
-from tillbook.plans.scans import keyed_scan, keyed_scans
+from tillbook.plans.scans import keyed_scan
 from tillbook.session import checkpoint_dir
 from tillbook.sources.views import RetailTables
 
 ADJUST_TYPES = ("in", "out", "adjustment")
 #: Rows (carts times keys) of one component settled in one task.
 GROUP_ROWS = 1 << 20
+#: Open rows of a key that one window partition holds; those of a key with more are scanned in chunks.
+WINDOW_ROWS = 1 << 18
 #: Components are looked for once when the open rows are this many times ``GROUP_ROWS``, and where so many rounds of the bounds leave more
 #: than this share of the open rows. A round of the bounds costs far less.
-GRAPH_GROUPS, SLOW_ROUNDS, SLOW_SHARE = 4, 3, 0.9
+GRAPH_GROUPS, SLOW_ROUNDS, SLOW_SHARE = 1.25, 3, 0.9
 
 
 def _validate_stock_requests(t: RetailTables, reqs: DataFrame) -> DataFrame:
@@ -306,25 +308,44 @@ def _checked_lines(t: RetailTables, lines: DataFrame) -> DataFrame:
     return v.drop("product_name", "created_by", "created_at").checkpoint(eager=True)
 
 
-def _by_bounds(rows: DataFrame) -> DataFrame:
+def _by_bounds(rows: DataFrame, long_keys: DataFrame | None) -> DataFrame:
     """Carts decided by the bounds of the stock at their turn: (cart_id, status).
 
-    Upper bound: opening less the needs of the earlier accepted carts; lower bound: less those of all earlier ones.
+    Upper bound: ``_open``, what the carts accepted so far have left; lower bound: less the needs of all earlier ones that are open.
+    ``long_keys``: the keys whose rows are scanned in chunks; the others have few enough for a window each.
     """
-    x = keyed_scans(rows, KEYS, "cart_id", [(F.col("_need") * F.col("_sold"), "sum", "_sold_before", True),
-                                            ("_need", "sum", "_all_before", True)])
-    upper = F.col("_open") - F.coalesce(F.col("_sold_before"), F.lit(0))
-    lower = F.col("_open") - F.coalesce(F.col("_all_before"), F.lit(0))
-    new = x.filter("_sold = 0").groupBy("cart_id").agg(
-        F.max((F.col("_need") > upper).cast("int")).alias("_fail"), F.min((F.col("_need") <= lower).cast("int")).alias("_fit"))
+    def before(x: DataFrame) -> DataFrame:
+        earlier = Window.partitionBy(*KEYS).orderBy("cart_id").rowsBetween(Window.unboundedPreceding, -1)
+        return x.withColumn("_before", F.sum("_need").over(earlier))
+
+    if long_keys is None:
+        x = before(rows)
+    else:
+        x = before(rows.join(long_keys, KEYS, "left_anti")).unionByName(
+            keyed_scan(rows.join(long_keys, KEYS, "left_semi"), KEYS, "cart_id", "_need", "sum", "_before", exclusive=True))
+    lower = F.col("_open") - F.coalesce(F.col("_before"), F.lit(0))
+    new = x.groupBy("cart_id").agg(
+        F.max((F.col("_need") > F.col("_open")).cast("int")).alias("_fail"), F.min((F.col("_need") <= lower).cast("int")).alias("_fit"))
     return new.filter("_fail = 1 or _fit = 1").select(
         "cart_id", F.when(F.col("_fail") == 1, F.lit("rejected")).otherwise(F.lit("accepted")).alias("status"))
 
 
+def _still_open(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of the carts that ``new`` leaves open, their keys' stock less what its accepted carts take.
+
+    An accepted cart fits even after all earlier open ones, so these fit its keys either way: its needs may come off the stock
+    of earlier and later carts alike.
+    """
+    x = rows.join(new, "cart_id", "left")
+    taken = x.filter("status = 'accepted'").groupBy(*KEYS).agg(F.sum("_need").alias("_taken"))
+    return (x.filter("status is null").drop("status").join(taken, KEYS, "left")
+            .withColumn("_open", F.col("_open") - F.coalesce("_taken", F.lit(0))).drop("_taken"))
+
+
 def _one_by_one(rows: DataFrame, group: Column) -> DataFrame:
-    """The undecided carts of ``rows``, each group's in order in one task: (cart_id, status)."""
+    """The open carts of ``rows``, each group's in order in one task: (cart_id, status)."""
     x = rows.select(group.alias("grp"), "cart_id", F.concat_ws(":", *KEYS).alias("k"), F.col("_need").alias("need"),
-                    F.col("_open").alias("open"), F.col("_sold").alias("sold"))
+                    F.col("_open").alias("open"), F.lit(0).alias("sold"))
     return x.repartition("grp").sortWithinPartitions("grp", "cart_id").mapInPandas(folds.settle_carts, "cart_id long, status string")
 
 
@@ -333,17 +354,16 @@ def _settled_carts(t: RetailTables, checked: DataFrame) -> DataFrame:
     bad = checked.filter("reason is not null").select("cart_id").distinct()
     stock = _keyed(t.stock).select(*KEYS, F.col("quantity").cast("bigint").alias("_open"))
     rows = (_keyed(checked.filter("reason is null")).join(bad, "cart_id", "left_anti").groupBy("cart_id", *KEYS)
-            .agg(F.sum("quantity").cast("bigint").alias("_need")).join(stock, KEYS).withColumn("_sold", F.lit(0))).checkpoint(eager=True)
+            .agg(F.sum("quantity").cast("bigint").alias("_need")).join(stock, KEYS)).checkpoint(eager=True)
     decided = [bad.select("cart_id", F.lit("rejected").alias("status"))]
+    long_keys = rows.groupBy(*KEYS).count().filter(F.col("count") > WINDOW_ROWS).select(*KEYS).checkpoint(eager=True)
+    long_keys = None if long_keys.isEmpty() else long_keys
     left, split = [rows.count()], False
     while True:
-        new = _by_bounds(rows).checkpoint(eager=True)
+        new = _by_bounds(rows, long_keys).checkpoint(eager=True)
         decided.append(new)
-        rows = (rows.join(new, "cart_id", "left").filter("status is null or status = 'accepted'")
-                .withColumn("_sold", F.when(F.col("status") == "accepted", 1).otherwise(F.col("_sold"))).drop("status"))
-        waiting = rows.filter("_sold = 0").select(*KEYS).distinct()
-        rows = rows.join(waiting, KEYS, "left_semi").checkpoint(eager=True)
-        left.append(rows.filter("_sold = 0").count())
+        rows = _still_open(rows, new).checkpoint(eager=True)
+        left.append(rows.count())
         if left[-1] <= GROUP_ROWS:
             if left[-1]:
                 decided.append(_one_by_one(rows, F.lit(0)).checkpoint(eager=True))
@@ -354,14 +374,14 @@ def _settled_carts(t: RetailTables, checked: DataFrame) -> DataFrame:
         split = True
         # what one cart does to another goes through the keys they share: the components are independent
         key = F.concat_ws(":", F.lit("k"), *KEYS)
-        links = rows.filter("_sold = 0").select(F.concat_ws(":", F.lit("c"), "cart_id").alias("a"), key.alias("b"))
+        links = rows.select(F.concat_ws(":", F.lit("c"), "cart_id").alias("a"), key.alias("b"))
         groups = components(links, "a", "b").filter(F.col("node").startswith("k:"))
         rows = rows.join(groups.select(F.col("node").alias("_key"), F.col("root").alias("_group")), key == F.col("_key")).drop("_key")
         size = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_size"))
         rows = rows.join(size, "_group").checkpoint(eager=True)
         decided.append(_one_by_one(rows.filter(F.col("_size") <= GROUP_ROWS), F.col("_group")).checkpoint(eager=True))
         rows = rows.filter(F.col("_size") > GROUP_ROWS).drop("_group", "_size").checkpoint(eager=True)
-        left = [rows.filter("_sold = 0").count()]
+        left = [rows.count()]
 
 
 def apply_sales_exact(t: RetailTables, lines: DataFrame) -> DataFrame:
@@ -369,8 +389,8 @@ def apply_sales_exact(t: RetailTables, lines: DataFrame) -> DataFrame:
 
     A cart fits when, for each (product, variant), its total quantity ``need`` is at most the stock at its turn. Only
     sales are involved, so bounds of that stock (``_by_bounds``: prefix sums over the carts, no Python) decide most
-    carts at once, and more each round, as they know more. When up to ``GROUP_ROWS`` rows are open, these carts are settled in order
-    (``_one_by_one``). Before that, and where the rounds decide little, the open carts and the keys they contest are taken as a graph: its components do
+    carts at once, and more each round, as they know more. Decided carts leave the rows (``_still_open``). When up to ``GROUP_ROWS`` rows are open, these carts are settled in order
+    (``_one_by_one``). Where the rounds decide little, or hardly more rows are open than that, the open carts and the keys they contest are taken as a graph: its components do
     not touch each other and are settled at the same time, each one in order; a component of more than ``GROUP_ROWS`` rows goes
     through the bounds again and falls apart; the earliest open cart is always decided. Static
     failures (unknown/inactive product, no stock row) reject a cart up front. Returns cart_id, status (accepted / rejected).
