@@ -340,6 +340,28 @@ def test_h28_sku_of_an_inactive_product(spark):
     assert out[3] == (1, None, None) and out[4] == (0, "Product with this SKU already exists", None)
 
 
+def test_catalog_check_dealt_to_tasks(spark, monkeypatch):
+    """Large request tables: no side is broadcast, rows without a key don't meet, and the outcome is that of small ones."""
+    from tillbook.plans import tasks
+    products = _mk(spark, "products", [_prod(i, f"P{i}") for i in range(1, 40)])
+    cats = _mk(spark, "categories", [(1, "c", None, None, 1, T0, T0)])
+    t = RetailTables.from_frames(spark, products=products, categories=cats)
+    inc = spark.createDataFrame([(i, i, None if i % 9 == 0 else f"P{i + (i % 4 == 0) - (i % 4 == 1)}", "x", Decimal("1.00"), 1 + i % 2, None, None,
+                                  None, None, None if i % 3 else f"b{i // 2}", None) for i in range(1, 45)],
+                                "req_id long, id long, sku string, name string, price decimal(10,2), category_id long, brand string, "
+                                "unit_size string, cost decimal(10,2), min_stock_level int, barcode string, description string")
+    want = sorted(map(str, C.catalog_check(t, inc, "update").collect()))
+    after = sorted(map(str, C.catalog_update(t, inc, C.catalog_check(t, inc, "update"), "2001-08-01 00:00:00").collect()))
+    monkeypatch.setattr(tasks, "TASK_ROWS", 1)
+    n = tasks.tasks_for(inc)
+    assert n == 44
+    assert sorted(map(str, C.catalog_check(t, inc, "update").collect())) == want and "ok=0" in str(want) and "ok=1" in str(want)
+    assert sorted(map(str, C.catalog_update(t, inc, C.catalog_check(t, inc, "update"), "2001-08-01 00:00:00").collect())) == after
+    held = products.groupBy("sku").count()
+    plan = tasks.looked_up(inc, F.col("sku"), "req_id", held, "sku", n)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("rows", [25])
 def test_carts_settled_by_components(spark, monkeypatch, rows):
     """Components of contested carts side by side, giant ones through the bounds again: as one by one."""

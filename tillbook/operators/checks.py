@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tillbook.functions import folds
 from tillbook.plans.graph import components, lifted, lineage, rings
 from tillbook.plans.ids import allocate_ids
+from tillbook.plans.tasks import looked_up, tasks_for
 from tillbook.session import checkpoint_dir
 from tillbook.sources.schemas import ROLES
 from tillbook.sources.views import RetailTables
@@ -59,21 +60,22 @@ def _exists_other(prefix: str, self_id: Column | None) -> Column:
     return F.coalesce((n > 1) | ((n == 1) & ~lo.eqNullSafe(self_id)), F.lit(False))
 
 
-def _settle(df: DataFrame, kinds: dict[str, tuple[Column, Column, Column, DataFrame]]) -> DataFrame:
+def _settle(df: DataFrame, kinds: dict[str, tuple[Column, Column, Column, DataFrame]], tasks: int | None = None) -> DataFrame:
     """``_clash``: the first kind of key that a row of another id holds when the request comes; NULL = none.
 
     ``df``: req_id (unique), id, _pre (reason of the checks before the keys'; NULL = passed) and _post (of those after). Each
     kind has the key claimed, the key that the row of this id holds now, when to check it, and the table's (key, n) with
     n rows holding each key. As if the requests came one by one: a refused one blocks no other, an accepted one gives its
     old keys up. Requests that touch a common key, claimed or given up, or a common id are linked; the components of these links
-    do not touch each other, and each is settled in order in one task, holding the keys that have changed hands.
+    do not touch each other, and each is settled in order in one task, holding the keys that have changed hands. ``tasks``: how many
+    the requests are dealt to (``tasks_for``).
     """
     checkpoint_dir(df.sparkSession)
     x = df
     for i, (claim, old, test, held) in enumerate(kinds.values()):
         held = held.select(F.col(held.columns[0]).alias("_key"), F.col(held.columns[1]).alias(f"_n{i}")).filter("_key is not null")
         x = x.withColumns({f"_c{i}": claim.cast("string"), f"_o{i}": old.cast("string"), f"_t{i}": test})
-        x = x.join(held, F.col(f"_c{i}") == F.col("_key"), "left").drop("_key")
+        x = looked_up(x, F.col(f"_c{i}"), "req_id", held, "_key", tasks)
     x = x.checkpoint(eager=True)
     places = range(len(kinds))
     touched = F.array(*(F.concat(F.lit(f"{i}:"), F.col(f"_{c}{i}")) for i in places for c in "co"), F.concat(F.lit("id:"), F.col("id").cast("string")))
@@ -81,7 +83,7 @@ def _settle(df: DataFrame, kinds: dict[str, tuple[Column, Column, Column, DataFr
     links = x.filter("_pre is null").select(request.alias("a"), F.explode(F.array_distinct(F.filter(touched, lambda c: c.isNotNull()))).alias("b"))
     links = links.join(links.groupBy("b").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1"), "b").checkpoint(eager=True)
     if not links.isEmpty():
-        x = x.join(components(links, "a", "b").select(F.col("node").alias("_r"), F.col("root").alias("_grp")), F.col("_r") == request, "left").drop("_r")
+        x = looked_up(x, request, "req_id", components(links, "a", "b").select(F.col("node").alias("_r"), F.col("root").alias("_grp")), "_r", tasks)
     else:
         x = x.withColumn("_grp", F.lit(None).cast("string"))
 
@@ -91,10 +93,10 @@ def _settle(df: DataFrame, kinds: dict[str, tuple[Column, Column, Column, DataFr
     rows = x.select(F.coalesce("_grp", request).alias("grp"), "req_id", "id", F.col("_pre").isNull().cast("int").alias("alive"),
                     F.col("_post").isNotNull().cast("int").alias("late"), each("c").alias("claim"), each("o").alias("old"),
                     each("t").alias("test"), each("n", 0).alias("held"))
-    out = rows.repartition("grp").sortWithinPartitions("grp", "req_id").mapInPandas(folds.settle_requests, "req_id long, clash int")
+    out = (rows.repartition(tasks, "grp") if tasks else rows.repartition("grp")).sortWithinPartitions("grp", "req_id").mapInPandas(folds.settle_requests, "req_id long, clash int")
     name = F.array(*map(F.lit, kinds))
     out = out.select("req_id", F.when(F.col("clash") >= 0, F.get(name, F.col("clash"))).alias("_clash"))
-    return x.select(*df.columns).join(out, "req_id").checkpoint(eager=True)
+    return x.select(*df.columns).join(out.hint("merge") if tasks else out, "req_id").checkpoint(eager=True)
 
 
 def _holders(df: DataFrame, key: Column) -> DataFrame:
@@ -120,22 +122,22 @@ def catalog_check(t: RetailTables, incoming: DataFrame, mode: str = "insert") ->
     act = p.filter(F.col("is_active") == 1)
     x = incoming.withColumn("sku", F.trim("sku")).withColumn("name", F.trim("name")).withColumn(
         "barcode", F.nullif(F.trim("barcode"), F.lit("")))
-    x = (x.join(_key_stats(act, "sku", "_sa"), "sku", "left").join(_key_stats(p, "sku", "_sx"), "sku", "left")
-         .join(_key_stats(act, "barcode", "_ba").withColumnRenamed("barcode", "_bk"), F.col("barcode") == F.col("_bk"),
-               "left").drop("_bk"))
+    tasks = tasks_for(x)
+    for key, rows, prefix in (("sku", act, "_sa"), ("sku", p, "_sx"), ("barcode", act, "_ba")):
+        x = looked_up(x, F.col(key), "req_id", _key_stats(rows, key, prefix).withColumnRenamed(key, "_k"), "_k", tasks)
     cats = t.categories.filter(F.col("is_active") == 1).select(F.col("id").alias("_cat"))
     x = x.join(cats, F.col("category_id") == F.col("_cat"), "left")
     self_id = F.col("id") if mode == "update" else None
     pre = [("Validation failed", _blank("sku") | _blank("name") | F.col("price").isNull() | (F.col("price") < 0)
             | (F.col("cost") < 0) | (F.col("min_stock_level") < 0))]
-    x = x.join(act.select(F.col("id").alias("_pid"), F.col("sku").alias("_old_sku"), F.col("barcode").alias("_old_barcode")),
-               (F.col("id") == F.col("_pid")) & F.lit(mode == "update"), "left")
+    own = act.select(F.col("id").alias("_of"), F.col("id").alias("_pid"), F.col("sku").alias("_old_sku"), F.col("barcode").alias("_old_barcode"))
+    x = looked_up(x, F.when(F.lit(mode == "update"), F.col("id")), "req_id", own, "_of", tasks)
     if mode == "update":
         pre.append(("Product not found", F.col("_pid").isNull()))
     post = [("Category not found", _truthy_id("category_id") & F.col("_cat").isNull())]
     x = _settle(x.withColumn("_pre", first_failure(pre)).withColumn("_post", first_failure(post)), {
         "SKU": (F.col("sku"), F.col("_old_sku"), F.lit(folds.ALWAYS), _holders(act, F.col("sku"))),
-        "barcode": (F.col("barcode"), F.col("_old_barcode"), F.lit(folds.ALWAYS), _holders(act, F.col("barcode")))})
+        "barcode": (F.col("barcode"), F.col("_old_barcode"), F.lit(folds.ALWAYS), _holders(act, F.col("barcode")))}, tasks)
     x = x.withColumn("_reason", F.coalesce("_pre", F.when(F.col("_clash").isNotNull(), F.format_string(
         "Product with this %s already exists", "_clash")), "_post"))
     warn = F.when(F.col("_reason").isNull() & ~_exists_other("_sa", self_id) & _exists_other("_sx", self_id),
@@ -172,12 +174,12 @@ def catalog_insert(t: RetailTables, incoming: DataFrame, checked: DataFrame, now
 
 def catalog_update(t: RetailTables, incoming: DataFrame, checked: DataFrame, now: str) -> DataFrame:
     """Full-row replace of accepted updates; returns the new products table (image kept)."""
+    old = t.products
     acc = incoming.join(checked.filter(F.col("ok") == 1).select("req_id"), "req_id", "left_semi")
     last = acc.groupBy("id").agg(F.max("req_id").alias("req_id"))
     acc = acc.join(last, ["id", "req_id"], "inner")
     ts = F.lit(now).cast("timestamp_ntz")
     new = _product_row(acc, ts).drop("created_at")
-    old = t.products
     keep = old.join(new.select("id"), "id", "left_anti")
     upd = new.join(old.select("id", "image_url", "is_active", "created_at"), "id", "inner")
     cols = old.columns
