@@ -324,7 +324,7 @@ def _by_bounds(rows: DataFrame, long_keys: DataFrame | None) -> DataFrame:
         x = before(rows.join(long_keys, KEYS, "left_anti")).unionByName(
             keyed_scan(rows.join(long_keys, KEYS, "left_semi"), KEYS, "cart_id", "_need", "sum", "_before", exclusive=True))
     lower = F.col("_open") - F.coalesce(F.col("_before"), F.lit(0))
-    new = x.groupBy("cart_id").agg(
+    new = x.filter("_sold = 0").groupBy("cart_id").agg(
         F.max((F.col("_need") > F.col("_open")).cast("int")).alias("_fail"), F.min((F.col("_need") <= lower).cast("int")).alias("_fit"))
     return new.filter("_fail = 1 or _fit = 1").select(
         "cart_id", F.when(F.col("_fail") == 1, F.lit("rejected")).otherwise(F.lit("accepted")).alias("status"))
@@ -334,18 +334,20 @@ def _still_open(rows: DataFrame, new: DataFrame) -> DataFrame:
     """The rows of the carts that ``new`` leaves open, their keys' stock less what its accepted carts take.
 
     An accepted cart fits even after all earlier open ones, so these fit its keys either way: its needs may come off the stock
-    of earlier and later carts alike.
+    of earlier and later carts alike. Sold needs without a quantity stay as rows: from there on the key's stock is unknown.
     """
     x = rows.join(new, "cart_id", "left")
     taken = x.filter("status = 'accepted'").groupBy(*KEYS).agg(F.sum("_need").alias("_taken"))
-    return (x.filter("status is null").drop("status").join(taken, KEYS, "left")
+    kept = x.filter("status is null or (status = 'accepted' and _need is null)").withColumn(
+        "_sold", F.when(F.col("status") == "accepted", 1).otherwise(F.col("_sold"))).drop("status")
+    return (kept.join(taken, KEYS, "left")
             .withColumn("_open", F.col("_open") - F.coalesce("_taken", F.lit(0))).drop("_taken"))
 
 
 def _one_by_one(rows: DataFrame, group: Column) -> DataFrame:
     """The open carts of ``rows``, each group's in order in one task: (cart_id, status)."""
     x = rows.select(group.alias("grp"), "cart_id", F.concat_ws(":", *KEYS).alias("k"), F.col("_need").alias("need"),
-                    F.col("_open").alias("open"), F.lit(0).alias("sold"))
+                    F.col("_open").alias("open"), F.col("_sold").alias("sold"))
     return x.repartition("grp").sortWithinPartitions("grp", "cart_id").mapInPandas(folds.settle_carts, "cart_id long, status string")
 
 
@@ -354,7 +356,7 @@ def _settled_carts(t: RetailTables, checked: DataFrame) -> DataFrame:
     bad = checked.filter("reason is not null").select("cart_id").distinct()
     stock = _keyed(t.stock).select(*KEYS, F.col("quantity").cast("bigint").alias("_open"))
     rows = (_keyed(checked.filter("reason is null")).join(bad, "cart_id", "left_anti").groupBy("cart_id", *KEYS)
-            .agg(F.sum("quantity").cast("bigint").alias("_need")).join(stock, KEYS)).checkpoint(eager=True)
+            .agg(F.sum("quantity").cast("bigint").alias("_need")).join(stock, KEYS).withColumn("_sold", F.lit(0))).checkpoint(eager=True)
     decided = [bad.select("cart_id", F.lit("rejected").alias("status"))]
     long_keys = rows.groupBy(*KEYS).count().filter(F.col("count") > WINDOW_ROWS).select(*KEYS).checkpoint(eager=True)
     long_keys = None if long_keys.isEmpty() else long_keys
@@ -363,7 +365,7 @@ def _settled_carts(t: RetailTables, checked: DataFrame) -> DataFrame:
         new = _by_bounds(rows, long_keys).checkpoint(eager=True)
         decided.append(new)
         rows = _still_open(rows, new).checkpoint(eager=True)
-        left.append(rows.count())
+        left.append(rows.filter("_sold = 0").count())
         if left[-1] <= GROUP_ROWS:
             if left[-1]:
                 decided.append(_one_by_one(rows, F.lit(0)).checkpoint(eager=True))
@@ -374,14 +376,14 @@ def _settled_carts(t: RetailTables, checked: DataFrame) -> DataFrame:
         split = True
         # what one cart does to another goes through the keys they share: the components are independent
         key = F.concat_ws(":", F.lit("k"), *KEYS)
-        links = rows.select(F.concat_ws(":", F.lit("c"), "cart_id").alias("a"), key.alias("b"))
+        links = rows.filter("_sold = 0").select(F.concat_ws(":", F.lit("c"), "cart_id").alias("a"), key.alias("b"))
         groups = components(links, "a", "b").filter(F.col("node").startswith("k:"))
         rows = rows.join(groups.select(F.col("node").alias("_key"), F.col("root").alias("_group")), key == F.col("_key")).drop("_key")
         size = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_size"))
         rows = rows.join(size, "_group").checkpoint(eager=True)
         decided.append(_one_by_one(rows.filter(F.col("_size") <= GROUP_ROWS), F.col("_group")).checkpoint(eager=True))
         rows = rows.filter(F.col("_size") > GROUP_ROWS).drop("_group", "_size").checkpoint(eager=True)
-        left = [rows.count()]
+        left = [rows.filter("_sold = 0").count()]
 
 
 def apply_sales_exact(t: RetailTables, lines: DataFrame) -> DataFrame:
