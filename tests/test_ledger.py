@@ -282,3 +282,50 @@ def test_a_reversed_log_is_put_in_order(spark, tmp_path):
     batch = L.low_stock_alert_events(t, L.stock_ledger(t, ops=spark.createDataFrame(rows, names)), min_level=20)
     assert {(r.seq, r.event) for r in got if r.event} == {(r.seq, r.event) for r in batch.collect()}
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != LS.ROCKSDB
+
+
+def test_waiting_rows_are_packed():
+    """A key's rows of a batch wait in few state entries, and are folded in order when due, with rows of later batches left waiting."""
+    import pandas as pd
+    from tillbook.functions.folds import apply_op
+    from tillbook.functions.reorder import Reordering
+
+    class State(list):
+        now = None
+        exists = lambda self: self.now is not None
+        update = lambda self, v: setattr(self, "now", v)
+        appendList = list.extend  # noqa: N815
+
+        def put(self, rows):
+            self[:] = rows
+
+    waiting, stock, timers = State(), State(), set()
+    waiting.get = lambda: iter(list(waiting))
+    stock.get = lambda: stock.now
+
+    class Handle:
+        getListState = lambda self, *a: waiting  # noqa: E731, N815
+        getValueState = lambda self, *a: stock  # noqa: E731, N815
+        registerTimer = lambda self, at: timers.add(at)  # noqa: E731, N815
+        deleteTimer = lambda self, at: timers.discard(at)  # noqa: E731, N815
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    r = Reordering(10)
+    r.init(Handle())
+    n = 5000
+    ops = [("in", "out", "sale", "adjustment")[i % 4] for i in range(n)]
+    pdf = pd.DataFrame({"seq": range(n), "op": ops, "n": [i % 17 for i in range(n)], "opening": 3, "min_level": [None if i % 2 else 4 for i in range(n)],
+                        "created_by": [None if i % 3 else 1 for i in range(n)], "created_at": pd.to_datetime([None if i % 5 == 0 else i for i in range(n)], unit="ms"),
+                        "ms": range(n)})
+    assert not list(r.handleInputRows((1, -1), iter([pdf.iloc[::-1]]), Now(0)))
+    assert len(waiting) == 2 and timers == {10}
+    out = pd.concat([pd.concat(list(r.handleExpiredTimer((1, -1), Now(2010), None))), pd.concat(list(r.handleExpiredTimer((1, -1), Now(n + 10), None)))])
+    q, want = 3, []
+    for i in range(n):
+        q, _ = apply_op(q, ops[i], i % 17)
+        want.append((i, q))
+    assert list(zip(out["seq"], out["q_after"])) == want and not waiting
+    assert out["variant_id"].isna().all() and out["min_level"].isna().sum() == n // 2 and out["created_at"].isna().sum() == n // 5
