@@ -169,7 +169,8 @@ def catalog_insert(t: RetailTables, incoming: DataFrame, checked: DataFrame, now
                                         "created_at", "updated_at")
     held = rows.select(F.col("id").alias("product_id"), F.lit(None).cast("bigint").alias("variant_id"), F.lit(0).alias("quantity"),
                        F.lit(0).alias("reserved_quantity"), ts.alias("last_updated"), F.lit(None).cast("bigint").alias("updated_by"))
-    return rows, allocate_ids(held, t.stock, "product_id")
+    stock = t.stock if t.supplied("stock") else held.select(F.col("product_id").alias("id")).limit(0)
+    return rows, allocate_ids(held, stock, "product_id")
 
 
 def catalog_update(t: RetailTables, incoming: DataFrame, checked: DataFrame, now: str) -> DataFrame:

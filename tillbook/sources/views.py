@@ -128,6 +128,10 @@ class RetailTables:
         other.__dict__.update(frames)
         return other
 
+    def supplied(self, name: str) -> bool:
+        """Whether the bundle has table ``name``; only one of hand-made frames may lack it."""
+        return bool(self._base or self._root) or name in self._tables or name in self.__dict__
+
     def base(self, name: str) -> DataFrame:
         return self._base[name]
 
