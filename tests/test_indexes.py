@@ -42,6 +42,19 @@ def test_the_rarest_gram_is_read(spark, table, tmp_path):
     assert "INSET" in plan or " IN (" in plan
 
 
+def test_postings_in_parts_of_bounded_size(spark, table, tmp_path, monkeypatch):
+    """More texts make more parts, not larger ones, and a posting is there once though ids repeat."""
+    monkeypatch.setattr(indexes, "TASK_GRAMS", 200, raising=False)
+    index = GramIndex.build(table, str(tmp_path / "grams"), ("a", "b"))
+    posted = index._postings()
+    n = posted.count()
+    assert posted.distinct().count() == n
+    parts = [r["count"] for r in posted.groupBy(F.input_file_name()).count().collect()]
+    assert len(parts) > 16 and max(parts) < n / 8  # 8 shuffle partitions
+    want = {(r.gram, r.n) for r in posted.groupBy("gram").agg(F.count_distinct("id").alias("n")).collect()}
+    assert {(r.gram, r.n) for r in spark.read.parquet(str(tmp_path / "grams" / "grams")).collect()} == want
+
+
 def test_an_empty_table_has_an_index(spark, table, tmp_path):
     index = GramIndex.build(table.limit(0), str(tmp_path / "grams"), ("a", "b"))
     assert index.matching(table.limit(0), "alpha").collect() == []

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from tillbook.functions.exprs import contains_any
 
 GRAM = 3
+#: Letters of the texts (a posting each at most) that one task takes.
+TASK_GRAMS = 1 << 20
+#: So many tasks' postings are made in one.
+MAKE_PARTS = 4
 #: Up to so many candidates their ids are a filter of the scan (min/max statistics of files and row groups skip the rest).
 ID_LIST = 10_000
 
@@ -22,7 +27,7 @@ ID_LIST = 10_000
 class GramIndex:
     """Inverted index of the 3-grams of a table's text columns, for case-insensitive contains-search.
 
-    ``postings``: a row for each (gram, id), range-partitioned and sorted by both, so a frequent gram spreads over files and a lookup reads
+    ``postings``: a row for each (gram, id), once, range-partitioned in parts of bounded size and sorted by both, so a frequent gram spreads over files and a lookup reads
     the row groups of one gram; ``grams``: how many ids each has. A search reads the postings of its rarest gram and checks the term on the rows
     themselves, so it finds what a scan finds. Terms whose parts between wildcards are all under 3 letters are scanned for. Rows
     without an id are always checked.
@@ -37,9 +42,15 @@ class GramIndex:
         every = F.lit(f"(?s)(?=({'.' * GRAM}))")
         grams = F.array_distinct(F.flatten(F.array(*[
             F.coalesce(F.regexp_extract_all(F.lower(F.col(c)), every, F.lit(1)), F.array().cast("array<string>")) for c in columns])))
-        rows = table.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.explode(grams).alias("gram"))
-        (rows.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(f"{self.root}/postings"))
-        n = self._postings().groupBy("gram").agg(F.count_distinct("id").alias("n"))
+        texts = table.select(id_col, *columns)
+        letters = texts.agg(F.sum(reduce(Column.__add__, [F.coalesce(F.length(c), F.lit(0)) for c in columns])).cast("long")).first()[0] or 0
+        parts = max(1, -(-letters // TASK_GRAMS))
+        if parts > MAKE_PARTS:
+            texts = texts.repartition(-(-parts // MAKE_PARTS), *texts.columns)
+        rows = texts.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.explode(grams).alias("gram"))
+        rows = rows.repartitionByRange(parts, "gram", "id").dropDuplicates()  # equal rows are in one partition
+        rows.sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(f"{self.root}/postings")
+        n = self._postings().groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
         n.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{self.root}/grams")
         return self
 
@@ -61,7 +72,7 @@ class GramIndex:
         best = self.rarest(term)
         if best is None:
             return table
-        ids = self._postings().filter(F.col("gram") == best[0]).select("id").distinct()
+        ids = self._postings().filter(F.col("gram") == best[0]).select("id")
         if best[1] <= ID_LIST:
             return table.filter(F.col(self.id_col).isin([r.id for r in ids.collect()]) | F.col(self.id_col).isNull())
         hit = table.join(ids.withColumnRenamed("id", "_hit"), F.col(self.id_col) == F.col("_hit"), "left_semi")
