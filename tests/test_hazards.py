@@ -448,6 +448,48 @@ def test_contested_carts_need_no_components(spark, monkeypatch, window_rows):
     assert got == _py_carts(carts, stock_q) and not calls
 
 
+def test_rounds_take_only_carts_that_fit_the_stock_at_the_start(spark, monkeypatch):
+    """Carts that need more than a stock ever had, or have a refused line, are out before the first prefix sum; products and stocks
+    that stand there twice have their lines twice, as their look-ups do."""
+    seen, by_bounds = [], X._by_bounds
+    monkeypatch.setattr(X, "_by_bounds", lambda rows, *a: seen.append(sorted({r.cart_id for r in rows.collect()})) or by_bounds(rows, *a))
+    monkeypatch.setattr(X, "GROUP_ROWS", 0)
+    products = _mk(spark, "products", [_prod(i, f"P{i}") for i in (1, 2, 3, 3)])
+    stock = _mk(spark, "stock", [(10, 1, None, 10, 0, T0, None), (20, 2, None, 10, 0, T0, None), (30, 3, None, 10, 0, T0, None)])
+    t = RetailTables.from_frames(spark, products=products, stock=stock)
+    carts = {1: [(1, 11)], 2: [(1, 4), (2, 4)], 3: [(2, 6), (2, 5)], 4: [(1, 6), (2, 6)], 5: [(1, 1), (9, 1)], 6: [(1, 6), (2, 7)], 7: [(3, 6)], 8: [(3, 4)]}
+    rows = [(c, n, p, None, q, Decimal("1.00"), 1, T0) for c, x in carts.items() for n, (p, q) in enumerate(x, 1)]
+    lines = spark.createDataFrame(rows, "cart_id long, line_no int, product_id long, variant_id long, quantity int, "
+                                        "unit_price decimal(12,2), created_by long, created_at timestamp_ntz")
+    sold = {2: "accepted", 4: "accepted", 8: "accepted"}  # product 3 is there twice: cart 7 takes 12, cart 8 takes 8
+    assert {r.cart_id: r.status for r in X.apply_sales_exact(t, lines).collect()} == {c: sold.get(c, "rejected") for c in carts}
+    assert seen[0] == [2, 4, 6, 8]
+    posted = X.post_sales(t, lines).collect()
+    assert sorted((r.cart_id, r.line_no, r.stock_after) for r in posted if r.line_ok) == [
+        (2, 1, 6), (2, 2, 6), (4, 1, 0), (4, 2, 0), (8, 1, 2), (8, 1, 6)]
+    assert len(posted) == len(rows) + 2 and {r.reason for r in posted if r.cart_id == 5} == {"Cart refused", "Product not found"}
+
+
+def test_lines_of_some_sales_are_numbered_alone(spark):
+    """Only the lines of the sales asked for are numbered, with the numbers of the whole table, as often as the sale is there."""
+    from types import SimpleNamespace
+
+    from tillbook.sources import standins as SI
+    from tillbook.sources.base import BASE_SCHEMAS
+    rows = [(i % 5, i % 3, 1, 1 + i // 10, float(1 + i % 4), 10.0 * i, 0.0, 0.0, "RN"[i % 2], "O", T0) for i in range(40)]
+    t = RetailTables(spark, base={"lineitem": spark.createDataFrame(rows, BASE_SCHEMAS["lineitem"])})
+    some = spark.createDataFrame([(1,), (3,), (77,)], "sale_id long")
+    got = t.sale_lines_of(some)
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in t.sale_lines.collect() if r.sale_id in (1, 3))
+    sales = spark.createDataFrame([(i, i, T0) for i in (0, 1, 1, 3)], "id long, cashier_id long, created_at timestamp_ntz")
+    t2 = SimpleNamespace(spark=spark, sales=sales, sale_lines=t.sale_lines, sale_lines_of=t.sale_lines_of)
+    read, cols = SI.cart_line_reader(t2), ["cart_id", "line_no", "product_id", "variant_id", "quantity", "unit_price"]
+    want = SI.cart_lines(t2).select(*cols)
+    assert sorted(map(str, read().select(*cols).collect())) == sorted(map(str, want.collect())) and want.count() == 48
+    mine = read(some.withColumnRenamed("sale_id", "cart_id")).select(*cols)
+    assert sorted(map(str, mine.collect())) == sorted(map(str, want.filter("cart_id in (1, 3)").collect()))
+
+
 def test_components_of_graphs(spark):
     from tillbook.plans.graph import components
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(200)] + [(5000, 5000), (7, 3)]

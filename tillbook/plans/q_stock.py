@@ -311,14 +311,15 @@ def _carts_sql(select, **more):
     return with_views(select, "sale_items", "sales", "products", "stock", *more.pop("views", ()), extra={**_CARTS, **more})
 
 
-register("apply_sales_exact", lambda t: X.apply_sales_exact(t, SI.cart_lines(t)), _carts_sql("""
+register("apply_sales_exact", lambda t: X.apply_sales_exact(t, SI.cart_line_reader(t)()), _carts_sql("""
     SELECT b.cart_id, CASE WHEN w.ok THEN 'accepted' ELSE 'rejected' END AS status
     FROM cart_bad b LEFT JOIN cart_needs n ON n.cart_id = b.cart_id LEFT JOIN cart_walk w ON w.c = n.c"""),
          "S13: every sale replayed all-or-nothing against the stock table; the outcome of each cart")
 
 
 def _posted(t, make):
-    return make(X.post_sales(t, SI.cart_lines(t)))
+    read = SI.cart_line_reader(t)
+    return make(X.post_sales(t, read(), read))
 
 
 register("post_sales", lambda t: _posted(t, lambda p: X.sale_replay_rows(p, SI.cart_headers(t))), _carts_sql("""

@@ -8,9 +8,12 @@ lines that came back, one request per sale.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillbook.session import checkpoint_dir
 from tillbook.sources.views import RetailTables
 
 def adjustment_requests(t: RetailTables) -> DataFrame:
@@ -25,6 +28,24 @@ def cart_lines(t: RetailTables) -> DataFrame:
                     "created_by", "created_at")
 
 
+def cart_line_reader(t: RetailTables) -> Callable[..., DataFrame]:
+    """Reads ``cart_lines`` without cashier and time: all, or those of some carts (cart_id), where only theirs are numbered.
+
+    A sale's lines come as often as the sale is in its table; only where one is there more than once are they joined.
+    """
+    checkpoint_dir(t.spark)
+    often = (t.sales.groupBy(F.col("id").alias("sale_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 and sale_id is not null")
+             .checkpoint(eager=True))
+    once = often.isEmpty()
+
+    def read(carts: DataFrame | None = None) -> DataFrame:
+        x = t.sale_lines if carts is None else t.sale_lines_of(carts.select(F.col("cart_id").alias("sale_id")))
+        if not once:
+            x = x.join(often, "sale_id", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_n", F.lit(1)))))
+        return x.select(F.col("sale_id").alias("cart_id"), "line_no", "product_id", "variant_id", "quantity", "unit_price")
+    return read
+
+
 def refund_requests(t: RetailTables) -> tuple[DataFrame, DataFrame]:
     """(requests, request_lines): one request per sale with returned lines, listing those lines."""
     r = t.sale_lines.filter(F.col("returned") == 1)

@@ -290,17 +290,28 @@ class RetailTables:
     @cached_property
     def sale_lines(self) -> DataFrame:
         """``sale_items`` numbered 1, 2, ... within each sale, with the return flag: computed once when written."""
-        def build():
-            from tillbook.plans.scans import number_lines
-            li = number_lines(self.base("lineitem").withColumn("_ln", F.col("l_linenumber").cast("bigint")), "l_orderkey",
-                              ["_ln", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"])
-            return li.select(
-                F.col("l_orderkey").alias("sale_id"), "line_no",
-                F.col("l_partkey").alias("product_id"), F.lit(None).cast("bigint").alias("variant_id"),
-                F.floor("l_quantity").cast("int").alias("quantity"), _unit_price().alias("unit_price"),
-                F.col("l_extendedprice").cast(MONEY).alias("total_price"),
-                F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("returned"), F.col("l_shipdate").alias("created_at"))
-        return self._get("sale_lines", build)
+        return self._get("sale_lines", lambda: self._numbered(self.base("lineitem")))
+
+    def sale_lines_of(self, sales: DataFrame) -> DataFrame:
+        """The ``sale_lines`` of ``sales`` (sale_id); where the table is not written, only their lines are numbered."""
+        if not self._base:
+            return self.sale_lines.join(sales, "sale_id", "left_semi")
+        from tillbook.session import checkpoint_dir
+        checkpoint_dir(self.spark)
+        li = self.base("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
+        return self._numbered(li.join(sales.hint("shuffle_hash"), li.l_orderkey == sales.sale_id, "left_semi").checkpoint(eager=True))
+
+    @staticmethod
+    def _numbered(li: DataFrame) -> DataFrame:
+        from tillbook.plans.scans import number_lines
+        li = number_lines(li.withColumn("_ln", F.col("l_linenumber").cast("bigint")), "l_orderkey",
+                          ["_ln", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"])
+        return li.select(
+            F.col("l_orderkey").alias("sale_id"), "line_no",
+            F.col("l_partkey").alias("product_id"), F.lit(None).cast("bigint").alias("variant_id"),
+            F.floor("l_quantity").cast("int").alias("quantity"), _unit_price().alias("unit_price"),
+            F.col("l_extendedprice").cast(MONEY).alias("total_price"),
+            F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("returned"), F.col("l_shipdate").alias("created_at"))
 
     @cached_property
     def stock_ops(self) -> DataFrame:
