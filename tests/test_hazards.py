@@ -470,6 +470,23 @@ def test_rounds_take_only_carts_that_fit_the_stock_at_the_start(spark, monkeypat
     assert len(posted) == len(rows) + 2 and {r.reason for r in posted if r.cart_id == 5} == {"Cart refused", "Product not found"}
 
 
+def test_alerts_need_the_lines_of_sold_carts_only(spark, monkeypatch):
+    """The alerts of a large job come from the lines of its sold carts, which alone are asked for."""
+    monkeypatch.setattr(X, "GROUP_ROWS", 0)
+    products = _mk(spark, "products", [_prod(i, f"P{i}") for i in (1, 2)]).withColumn("min_stock_level", F.lit(5))
+    stock = _mk(spark, "stock", [(10, 1, None, 10, 0, T0, None), (20, 2, None, 10, 0, T0, None)])
+    t = RetailTables.from_frames(spark, products=products, stock=stock, low_stock_alerts=spark.createDataFrame([], RETAIL_SCHEMAS["low_stock_alerts"]))
+    carts = {1: [(1, 4)], 2: [(1, 11), (2, 1)], 3: [(1, 3), (2, 4)], 4: [(2, 7)], 5: [(2, 2)]}
+    rows = [(c, n, p, None, q, Decimal("1.00")) for c, x in carts.items() for n, (p, q) in enumerate(x, 1)]
+    lines, asked = spark.createDataFrame(rows, "cart_id long, line_no int, product_id long, variant_id long, quantity int, unit_price decimal(12,2)"), []
+
+    def lines_of(c):
+        asked.append(sorted(r.cart_id for r in c.collect()))
+        return lines.join(c, "cart_id", "left_semi")
+    alerts = X.alerts_after_sales(t, X.post_sales(t, lines, lines_of))
+    assert {(r.product_id, r.sale_id, r.line_no, r.current_stock) for r in alerts.collect()} == {(1, 3, 1, 3), (2, 5, 1, 4)} and asked == [[1, 3, 5]]
+
+
 def test_lines_of_some_sales_are_numbered_alone(spark):
     """Only the lines of the sales asked for are numbered, with the numbers of the whole table, as often as the sale is there."""
     from types import SimpleNamespace
