@@ -487,6 +487,61 @@ def test_alerts_need_the_lines_of_sold_carts_only(spark, monkeypatch):
     assert {(r.product_id, r.sale_id, r.line_no, r.current_stock) for r in alerts.collect()} == {(1, 3, 1, 3), (2, 5, 1, 4)} and asked == [[1, 3, 5]]
 
 
+def test_active_alerts_and_the_sales_job_run_side_by_side(spark, monkeypatch):
+    """The sales job does not wait for the ledger that tells the active alerts; a stock with one raises no other."""
+    import threading
+    from types import SimpleNamespace
+
+    from tillbook.plans import q_stock
+    begun, names = threading.Event(), ["cart_id", "line_no", "product_id", "variant_id", "quantity", "unit_price", "line_ok", "stock_after"]
+    alert = (1, 2, None, 1, 5, "active", None, None, T0)
+    t = RetailTables.from_frames(spark, products=_mk(spark, "products", [_prod(i, f"P{i}") for i in (1, 2)]),
+                                 low_stock_alerts=spark.createDataFrame([alert], RETAIL_SCHEMAS["low_stock_alerts"]))
+    kinds = "cart_id long, line_no int, product_id long, variant_id long, quantity int, unit_price decimal(12,2), line_ok int, stock_after long"
+    posted = spark.createDataFrame([(c, 1, p, None, 1, Decimal("1.00"), 1, 3) for c, p in ((7, 1), (8, 1), (9, 2))], kinds).select(*names)
+    active_alert_keys = X.active_alert_keys
+    monkeypatch.setattr(X, "active_alert_keys", lambda t: active_alert_keys(t) if begun.wait(60) else None)
+    monkeypatch.setattr(X, "post_sales", lambda *a: begun.set() or posted)
+    monkeypatch.setattr(q_stock.SI, "cart_line_reader", lambda t: SimpleNamespace)
+    got = q_stock._posted_alerts(t).collect()
+    assert [(r.product_id, r.sale_id, r.current_stock, r.alert_status) for r in got] == [(1, 7, 3, "active")]
+
+
+def test_a_round_shuffles_open_rows_by_key_once(spark):
+    """What accepted carts take and the next round's prefix sums go through one shuffle by key, then one by cart; refused rows leave before."""
+    rows = spark.createDataFrame([(1, 1, -1, 4, 10, 0, "accepted"), (2, 1, -1, 9, 10, 0, "rejected"), (3, 1, -1, 5, 10, 0, None),
+                                  (4, 1, -1, 2, 10, 0, None), (1, 2, -1, None, 8, 0, "accepted")],
+                                 "cart_id long, product_id long, _vk long, _need long, _open long, _sold int, status string").checkpoint(eager=True)
+    left = X._left_open(rows, None)
+    assert {tuple(r) for r in left.collect()} == {(3, 1, -1, 5, 6, 0), (4, 1, -1, 2, 6, 0), (1, 2, -1, None, 8, 1)}
+    done = X._decided(left, None)
+    assert {(r.cart_id, r.status) for r in done.collect()} == {(3, "accepted"), (4, None), (1, None)}
+    plan = done._jdf.queryExecution().sparkPlan().toString() + done._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_jobs_add_up_quantities_below_zero(spark, monkeypatch, seed):
+    """A line that needs more than the stock at the start puts its cart out alone, but not where another gives some back."""
+    import random
+    rng = random.Random(seed)
+    monkeypatch.setattr(X, "GROUP_ROWS", 0)
+    products = _mk(spark, "products", [_prod(i, f"P{i}") for i in range(1, 5)])
+    stock = _mk(spark, "stock", [(i * 10, i, None, 30, 0, T0, None) for i in range(1, 5)])
+    t = RetailTables.from_frames(spark, products=products, stock=stock)
+    carts = {1: [(1, 31), (1, -5)], 2: [(2, 31), (3, -1)], 3: [(3, 31), (3, 1)], 4: [(4, 40), (4, -20), (9, 1)]}
+    carts |= {c: [(rng.randrange(1, 5), rng.choice((-8, 3, 12, 33))) for _ in range(rng.randrange(1, 4))] for c in range(5, 40)}
+    rows = [(c, n, p, None, q, Decimal("1.00")) for c, x in carts.items() for n, (p, q) in enumerate(x, 1)]
+    lines = spark.createDataFrame(rows, "cart_id long, line_no int, product_id long, variant_id long, quantity int, unit_price decimal(12,2)")
+    needs = X._needs(t, lines, X._known_stocks(t), fitting=True)
+    want = {}
+    for c, x in carts.items():
+        sums = {p: sum(q for k, q in x if k == p) for p, _ in x}
+        if all(p < 9 and q <= 30 for p, q in sums.items()):
+            want |= {(c, p): q for p, q in sums.items()}
+    assert {(r.cart_id, r.product_id): r._need for r in needs.collect()} == want and (1, 1) in want and (2, 2) not in want
+
+
 def test_lines_of_some_sales_are_numbered_alone(spark):
     """Only the lines of the sales asked for are numbered, with the numbers of the whole table, as often as the sale is there."""
     from types import SimpleNamespace

@@ -238,6 +238,18 @@ def test_hot_keys_are_folded_in_chunks(spark, monkeypatch, seed, adjustments):
     assert sorted(map(tuple, L.stock_ledger(t, **args).collect())) == plain and len(plain) == 900
 
 
+def test_keys_of_few_ops_are_not_cut_at_adjustments(spark, monkeypatch):
+    """The ops of a key that is not hot go through one shuffle and one fold, adjustments among them."""
+    monkeypatch.setattr(L, "_segments", lambda *a: pytest.fail("cut at adjustments"))
+    rows = _ops(random.Random(5), 300, 6)
+    names = "seq long, product_id long, variant_id long, op string, n int, created_by long, created_at timestamp_ntz"
+    t = RetailTables.from_frames(spark)
+    opening = {(p, None): 7 for p in range(3)}
+    stock = spark.createDataFrame([(p, None, 7) for p in range(3)], "product_id long, variant_id long, quantity int")
+    got = {r.seq: (r.q_before, r.q_after, r.accepted) for r in L.stock_ledger(t, spark.createDataFrame(rows, names), stock).collect()}
+    assert got == _py_fold(rows, opening)
+
+
 def test_alert_table_kept_by_a_stream(spark, tmp_path):
     """Batches merged one by one equal the batch job; a batch that comes again changes nothing; late rows come out."""
     rows = _ops(random.Random(6), 240, 6)

@@ -32,7 +32,7 @@ def fold_sorted_batches(batches):
     """Fold rows sorted by (product_id, _vk, seg, seq); the state crosses batch boundaries, so a task holds
     one Arrow batch and one quantity, however many rows a segment has.
 
-    Segment 0 starts at the row's ``opening``. Each adjustment row comes twice: a *probe*
+    Segment 0 starts at the row's ``opening``. Where a key is cut into segments, each adjustment row comes twice: a *probe*
     copy closing the previous segment (its ``before`` is the quantity there, its
     ``after`` the set value) and a *reset* copy opening its own segment (sets the state,
     emits nothing) — so no segment needs another segment's result.

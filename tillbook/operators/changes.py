@@ -320,11 +320,20 @@ def _needs(t: RetailTables, lines: DataFrame, known: DataFrame, fitting: bool) -
     """What the carts without a refused line need: (cart_id, KEYS, _need, _open, _sold), _open the stock at the start.
 
     ``fitting``: without the carts that need more of a stock than it has at the start. A line is looked up by its key, then the lines go
-    by carts; nothing else of them is read.
+    by carts; nothing else of them is read. Most such carts have a line that tells by itself; they are out before lines are added up.
     """
     x = _keyed(lines.filter(F.col("cart_id").isNotNull())).select("cart_id", *KEYS, "quantity").join(known.hint("shuffle_hash"), KEYS, "left")
     x = x.select("cart_id", *KEYS, (F.col("quantity") * F.col("_times")).alias("_need"), F.col("_times").isNull().alias("_refused"), "_least")
-    need = x.repartition("cart_id").groupBy("cart_id", *KEYS).agg(
+    if fitting:
+        alone = F.when(F.col("_refused"), 2).when(F.col("_need") > F.col("_least"), 1).otherwise(0)
+        told = x.select("cart_id", alone.alias("_alone"), "_need").filter("_alone > 0 or _need < 0").groupBy("cart_id").agg(
+            F.max("_alone").alias("_alone"), F.min("_need").alias("_lowest"))
+        # where a quantity is negative, a cart may need less than one of its lines
+        told = told.filter("_alone = 2 or (_alone = 1 and _lowest >= 0)").select("cart_id")
+        x = x.join(told.hint("shuffle_hash"), "cart_id", "left_anti")
+    else:
+        x = x.repartition("cart_id")
+    need = x.groupBy("cart_id", *KEYS).agg(
         F.sum("_need").alias("_need"), F.max("_refused").alias("_refused"), F.min("_least").alias("_least"))
     out = F.col("_refused") | F.coalesce(F.col("_need") > F.col("_least"), F.lit(False)) if fitting else F.col("_refused")
     kept = need.withColumn("_out", F.max(out).over(Window.partitionBy("cart_id"))).filter(~F.col("_out"))
@@ -364,28 +373,29 @@ def _by_bounds(rows: DataFrame, long_keys: DataFrame | None) -> DataFrame:
 
 
 def _decided(rows: DataFrame, long_keys: DataFrame | None) -> DataFrame:
-    """One round: the rows with the ``status`` of their cart (rejected, accepted, or NULL: open) and their keys' stock less what the
-    carts accepted in this round take.
+    """One round: the rows with the ``status`` of their cart (rejected, accepted, or NULL: open)."""
+    cart = Window.partitionBy("cart_id")
+    x = _by_bounds(rows, long_keys).withColumns({"_fail": F.max("_fail").over(cart), "_fit": F.min("_fit").over(cart)})
+    return x.select(*rows.columns, F.when(F.col("_fail") == 1, "rejected").when(F.col("_fit") == 1, "accepted").alias("status"))
+
+
+def _left_open(done: DataFrame, long_keys: DataFrame | None) -> DataFrame:
+    """The rows of ``_decided`` that go into the next round, with their keys' stock less what the carts accepted in this round take.
 
     An accepted cart fits even after all earlier open ones, so these fit its keys either way: its needs may come off the stock
-    of earlier and later carts alike. Sold needs without a quantity stay as rows (``_left_open``): from there on the key's stock is unknown.
+    of earlier and later carts alike. Sold needs without a quantity stay as rows: from there on the key's stock is unknown.
+    The rows stay with their keys in the order of the next round's prefix sums: one shuffle and one sort do for both.
     """
-    cart, key = Window.partitionBy("cart_id"), Window.partitionBy(*KEYS)
-    x = _by_bounds(rows, long_keys).withColumns({"_fail": F.max("_fail").over(cart), "_fit": F.min("_fit").over(cart)})
-    x = x.select(*rows.columns, F.when(F.col("_fail") == 1, "rejected").when(F.col("_fit") == 1, "accepted").alias("status"))
-    takes = F.when(F.col("status") == "accepted", F.col("_need"))
+    x, takes = done.filter("status is null or status = 'accepted'"), F.when(F.col("status") == "accepted", F.col("_need"))
     if long_keys is None:
+        key = Window.partitionBy(*KEYS).orderBy("cart_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         x = x.withColumn("_taken", F.sum(takes).over(key))
     else:
-        x = x.checkpoint(eager=True)
         x = x.join(x.groupBy(*KEYS).agg(F.sum(takes).alias("_taken")), KEYS, "left")
-    return x.withColumn("_open", F.col("_open") - F.coalesce("_taken", F.lit(0))).drop("_taken")
-
-
-def _left_open(rows: DataFrame) -> DataFrame:
-    """The rows of ``_decided`` that go into the next round."""
-    return rows.filter("status is null or (status = 'accepted' and _need is null)").withColumn(
-        "_sold", F.when(F.col("status") == "accepted", 1).otherwise(F.col("_sold"))).drop("status")
+    x = x.filter("status is null or _need is null").withColumns({
+        "_open": F.col("_open") - F.coalesce("_taken", F.lit(0)), "_sold": F.when(F.col("status") == "accepted", 1).otherwise(F.col("_sold"))})
+    x = x.drop("status", "_taken")
+    return x if long_keys is None else x.checkpoint(eager=True)
 
 
 def _one_by_one(rows: DataFrame, group: Column) -> DataFrame:
@@ -395,27 +405,40 @@ def _one_by_one(rows: DataFrame, group: Column) -> DataFrame:
     return x.repartition("grp").sortWithinPartitions("grp", "cart_id").mapInPandas(folds.settle_carts, "cart_id long, status string")
 
 
+def _accepted_one_by_one(rows: DataFrame, group: Column) -> DataFrame:
+    return _one_by_one(rows, group).filter("status = 'accepted'").select("cart_id").checkpoint(eager=True)
+
+
+def _sizes(rows: DataFrame) -> tuple[int, int, int]:
+    """How many rows there are, how many of them have no ``_need``, and how many the key with the most has."""
+    keys = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), F.count("_need").alias("_told"))
+    n, told, longest = keys.agg(F.sum("_n"), F.sum("_told"), F.max("_n")).first()
+    return n or 0, (n or 0) - (told or 0), longest or 0
+
+
 def _sold_carts(t: RetailTables, lines: DataFrame, known: DataFrame) -> DataFrame:
     """(cart_id) of the accepted carts, each once; see ``apply_sales_exact``."""
     many = lines.count() > FIT_GROUPS * GROUP_ROWS
     rows = _needs(t, lines, known, fitting=many).checkpoint(eager=True)
-    if many and not rows.filter("_need is null").isEmpty():  # what becomes of a cart with a need that is not known hangs on all others'
+    n, unknown, longest = _sizes(rows)
+    if many and unknown:  # what becomes of a cart with a need that is not known hangs on all others'
         rows = _needs(t, lines, known, fitting=False).checkpoint(eager=True)
-    decided, long_keys = [], _long_keys(rows)
-    left, split = [rows.count()], False
+        n, unknown, longest = _sizes(rows)
+    decided, long_keys = [], _long_keys(rows) if longest > WINDOW_ROWS else None
+    left, split = [n], False
     while True:
         done = _decided(rows, long_keys).checkpoint(eager=True)
-        decided.append(done.select("cart_id", "status"))
-        rows = _left_open(done)
-        left.append(rows.filter("_sold = 0").count())
+        decided.append(done.filter("status = 'accepted'").select("cart_id"))
+        left.append(done.filter("status is null and _sold = 0").count())
+        rows = _left_open(done, long_keys)
         if left[-1] <= GROUP_ROWS:
             if left[-1]:
-                decided.append(_one_by_one(rows, F.lit(0)).checkpoint(eager=True))
-            return reduce(DataFrame.unionByName, decided).filter("status = 'accepted'").select("cart_id").distinct().checkpoint(eager=True)
+                decided.append(_accepted_one_by_one(rows, F.lit(0)))
+            return reduce(DataFrame.unionByName, decided).distinct().checkpoint(eager=True)
         slow = len(left) > SLOW_ROUNDS and left[-1] > left[-1 - SLOW_ROUNDS] * SLOW_SHARE
         if not slow and (split or left[-1] > GRAPH_GROUPS * GROUP_ROWS):
             continue
-        split = True
+        split, rows = True, rows.checkpoint(eager=True)
         # what one cart does to another goes through the keys they share: the components are independent
         key = F.concat_ws(":", F.lit("k"), *KEYS)
         links = rows.filter("_sold = 0").select(F.concat_ws(":", F.lit("c"), "cart_id").alias("a"), key.alias("b"))
@@ -423,7 +446,7 @@ def _sold_carts(t: RetailTables, lines: DataFrame, known: DataFrame) -> DataFram
         rows = rows.join(groups.select(F.col("node").alias("_key"), F.col("root").alias("_group")), key == F.col("_key")).drop("_key")
         size = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_size"))
         rows = rows.join(size, "_group").checkpoint(eager=True)
-        decided.append(_one_by_one(rows.filter(F.col("_size") <= GROUP_ROWS), F.col("_group")).checkpoint(eager=True))
+        decided.append(_accepted_one_by_one(rows.filter(F.col("_size") <= GROUP_ROWS), F.col("_group")))
         rows = rows.filter(F.col("_size") > GROUP_ROWS).drop("_group", "_size").checkpoint(eager=True)
         left = [rows.filter("_sold = 0").count()]
 
@@ -479,14 +502,20 @@ def stock_after_sales(t: RetailTables, posted: DataFrame) -> DataFrame:
                     "reserved_quantity")
 
 
-def alerts_after_sales(t: RetailTables, posted: DataFrame) -> DataFrame:
+def active_alert_keys(t: RetailTables) -> DataFrame:
+    """The stocks with an active alert."""
+    return _keyed(t.low_stock_alerts.filter(F.col("alert_status") == "active")).select(*KEYS)
+
+
+def alerts_after_sales(t: RetailTables, posted: DataFrame, active: DataFrame | None = None) -> DataFrame:
     """S13 output: alerts the sold lines raise: the first line that leaves a stock at or below its product's
-    minimum, for stocks without an active alert. Stock only falls here, so there is one at most."""
+    minimum, for stocks without an active alert (``active``: those of ``active_alert_keys``). Stock only falls here, so there is one
+    at most."""
     p = t.products.select(F.col("id").alias("product_id"), "min_stock_level")
     low = _keyed(posted.filter(F.col("line_ok") == 1).join(p, "product_id")).filter(F.col("stock_after") <= F.col("min_stock_level"))
     first = low.groupBy(*KEYS, "variant_id", "min_stock_level").agg(
         F.min(F.struct("cart_id", "line_no", "stock_after")).alias("x"))
-    active = _keyed(t.low_stock_alerts.filter(F.col("alert_status") == "active")).select(*KEYS)
+    active = active_alert_keys(t) if active is None else active
     return first.join(active, KEYS, "left_anti").select(
         "product_id", "variant_id", F.col("x.stock_after").alias("current_stock"), "min_stock_level",
         F.lit("active").alias("alert_status"), F.col("x.cart_id").alias("sale_id"), F.col("x.line_no").alias("line_no"))

@@ -13,12 +13,12 @@ created_at — ``op`` ∈ in, out, adjustment, sale, return. Per (product, varia
 Plans
 -----
 * ``stock_ledger`` (L1): the sale rule makes the fold non-associative, so it runs as a
-  sequential fold in ``mapInPandas``. An ``adjustment`` resets the state, so ops are
-  cut into segments at adjustments (segment id = running count of adjustments, a
-  two-level scan) and partitioned by (product, variant, segment): a hot product
-  spreads over tasks at every adjustment. Inside a task rows stream through Arrow
+  sequential fold in ``mapInPandas``, partitioned by (product, variant). An ``adjustment``
+  resets the state, so the ops of a product with very many are cut into segments at
+  adjustments (segment id = running count of adjustments, a two-level scan) and partitioned
+  by (product, variant, segment, chunk): a hot product spreads over tasks. Inside a task rows stream through Arrow
   batches sorted by (key, segment, seq); the state is two integers, so memory does
-  not grow with a key's size. Each adjustment is fed twice — a probe copy closing the
+  not grow with a key's size. Each adjustment of a hot product is fed twice — a probe copy closing the
   previous segment (it knows the quantity before the adjustment; its result is the set
   value) and a reset copy opening its own — so segments never wait for each other and
   the fold runs exactly once (no self-join of its output).
@@ -101,27 +101,27 @@ def stock_ledger(t: RetailTables, ops: DataFrame | None = None, opening: DataFra
 
     ``has_adjustments=False`` declares that ``ops`` holds no ``adjustment`` rows (e.g. a
     sale replay): the whole key is one segment and the segment scan is skipped.
-    Whether a sale is refused depends on all before it, so the ops between two adjustments
-    of one (product, variant) are folded one after the other, as a stream; a (product, variant) with
-    more than ``HOT_OPS`` ops is folded in chunks side by side (``_folded_in_chunks``).
+    Whether a sale is refused depends on all before it, so the ops of one (product, variant) are folded one after
+    the other, as a stream; those of a (product, variant) with more than ``HOT_OPS`` ops are cut at adjustments
+    and folded in chunks side by side (``_folded_in_chunks``).
     """
     ops = _keyed(t.stock_ops if ops is None else ops)
     hot = ops.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_OPS).select(*KEYS)
     some = not hot.isEmpty()
 
-    def rows(ops: DataFrame) -> DataFrame:
+    def rows(ops: DataFrame, cut: bool = False) -> DataFrame:
         x = _with_opening(ops, opening)
-        if has_adjustments:
+        if cut:
             x = _split_adjustments(_segments(x, chunk_width))
         else:
             x = x.withColumn("seg", F.lit(0).cast("bigint")).withColumn("_role", F.lit(0))
         return x.select("seq", "product_id", "variant_id", "_vk", "seg", "_role", "op", "n", "created_by", "created_at", "opening")
 
-    # hash by group (no fixed count: AQE sizes the partitions from the shuffle statistics)
-    led = (rows(ops.join(hot, KEYS, "left_anti") if some else ops).repartition("product_id", "_vk", "seg")
-           .sortWithinPartitions("product_id", "_vk", "seg", "seq").mapInPandas(folds.fold_sorted_batches, LEDGER_SCHEMA))
+    # hash by key (no fixed count: AQE sizes the partitions from the shuffle statistics)
+    led = (rows(ops.join(hot, KEYS, "left_anti") if some else ops).repartition(*KEYS)
+           .sortWithinPartitions(*KEYS, "seq").mapInPandas(folds.fold_sorted_batches, LEDGER_SCHEMA))
     if some:
-        led = led.unionByName(_folded_in_chunks(rows(ops.join(hot, KEYS, "left_semi")), chunk_width))
+        led = led.unionByName(_folded_in_chunks(rows(ops.join(hot, KEYS, "left_semi"), cut=has_adjustments), chunk_width))
     return _finish(led)
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.util import inheritable_thread_target
+
 from tillbook.operators import changes as X
 from tillbook.operators import stock as K
 from tillbook.oracle.carts_sql import carts_ctes
 from tillbook.oracle.ledger_sql import ALERTS_CTES, MOVEMENTS_CTES, ledger_ctes
 from tillbook.oracle.views_sql import with_views
 from tillbook.plans.registry import register
+from tillbook.session import checkpoint_dir
 from tillbook.sources import standins as SI
 
 
@@ -342,7 +347,17 @@ register("post_sales_stock", lambda t: _posted(t, lambda p: X.stock_after_sales(
     FROM stock st LEFT JOIN (SELECT product_id, variant_id, CAST(SUM(quantity) AS BIGINT) AS less FROM cart_sold
                              GROUP BY product_id, variant_id) x
       ON x.product_id = st.product_id AND x.variant_id IS NOT DISTINCT FROM st.variant_id"""), "S13: the stock after them")
-register("post_sales_alerts", lambda t: _posted(t, lambda p: X.alerts_after_sales(t, p)), _carts_sql("""
+
+
+def _posted_alerts(t):
+    """The ledger that tells the active alerts and the sales job need nothing of each other: their Spark jobs run side by side."""
+    checkpoint_dir(t.spark)
+    with ThreadPoolExecutor(1) as pool:
+        active = pool.submit(inheritable_thread_target(t.spark)(lambda: X.active_alert_keys(t).checkpoint(eager=True)))
+        return _posted(t, lambda p: X.alerts_after_sales(t, p, active.result()))
+
+
+register("post_sales_alerts", _posted_alerts, _carts_sql("""
     SELECT product_id, variant_id, after AS current_stock, min_stock_level, 'active' AS alert_status, cart_id AS sale_id, line_no
     FROM (SELECT x.*, p.min_stock_level, ROW_NUMBER() OVER (PARTITION BY x.product_id, x.variant_id
                                                             ORDER BY x.cart_id, x.line_no) AS nth

@@ -363,4 +363,6 @@ class RetailTables:
         if self._stored("low_stock_alerts") is not None:
             return self._tables["low_stock_alerts"]
         from tillbook.operators.ledger import alerts_table, low_stock_alert_events
-        return alerts_table(low_stock_alert_events(self, self.ledger))
+        from tillbook.session import checkpoint_dir
+        checkpoint_dir(self.spark)
+        return alerts_table(low_stock_alert_events(self, self.ledger).checkpoint(eager=True))  # read twice
